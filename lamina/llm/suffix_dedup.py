@@ -1,0 +1,523 @@
+"""Suffix-array dedup: cut every byte covered by a string of LENGTH bytes that also starts in an earlier document.
+
+Strings are dealt to shards by content: the windows of LENGTH bytes that share their minimizer (the smallest
+hash of GRAM bytes inside) go to the same shard, as substrings of consecutive windows. Minimizers that only one
+text has can't repeat and stay home. Each shard sorts the suffixes of its substrings by induced sorting: the
+left-most S suffixes are sorted first, on names of ever longer blocks; then the L suffixes are induced from them
+bucket by bucket, and the S suffixes from those, through queues of (place) tuples that go to disk beyond
+QUEUE_BYTES. Neighbours in the suffix array whose common prefix is LENGTH bytes or more form groups; the
+smallest document of a group cuts the string out of all the others.
+
+Two departures from textbook external induced sorting, as right results at this cost need them: the reduced
+problem is solved by doubling of block names instead of a further recursion, and the common prefix is
+compared on the text itself (up to LENGTH) instead of being carried through the queues.
+
+Equal texts are one text: its copies beyond the smallest id lose all their bytes. Defined cases: a null text
+counts as empty; texts shorter than LENGTH lose nothing; a null id is neither earlier nor cut; rows of one id
+are not earlier than each other; extra columns are ignored (or passed on by cut_texts).
+"""
+
+from __future__ import annotations
+
+import gc
+import hashlib
+import os
+import tempfile
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lamina.llm.common import as_bytes, columns, drop, materialize, mix, shuffle_width, slices, word_hashes
+
+LENGTH = 50
+#: Bytes hashed for a minimizer, and windows per substring at most.
+GRAM, RUN = 16, 64
+#: Bytes that the queues of one shard hold in memory.
+QUEUE_BYTES = 256 << 20
+SLICE = 1 << 20
+U = np.uint64
+
+
+# ---------------------------------------------------------------- substrings by minimizer
+
+
+def _words8(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number."""
+    data = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf),), "<u8", data.tobytes(), 0, (1,))
+
+
+def minimizers(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimizer: (hash, document, first window, windows); windows don't cross documents."""
+    none = np.zeros(0, np.int64)
+    if len(buf) < LENGTH:
+        return none.astype(U), none, none, none
+    w = _words8(buf)
+    n = len(buf) - GRAM + 1
+    h = mix(w[:n] * U(0x9E3779B97F4A7C15) + w[8 : 8 + n])
+    span, k = LENGTH - GRAM + 1, 1
+    while 2 * k <= span:
+        h = np.minimum(h[:-k], h[k:])
+        k *= 2
+    if span > k:
+        h = np.minimum(h[: len(h) - (span - k)], h[span - k :])
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(h)]
+    at = np.flatnonzero(np.arange(len(h)) + LENGTH <= offs[doc + 1])
+    if not len(at):
+        return none.astype(U), none, none, none
+    h, doc = h[at], doc[at]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(h)))
+    # longer runs (periodic texts) in pieces
+    parts = -(-size // RUN)
+    k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(first, parts) + k * RUN
+    size = np.minimum(np.repeat(size, parts) - k * RUN, RUN)
+    return h[first], doc[first], at[first], size
+
+
+# ---------------------------------------------------------------- induced sorting of a shard
+
+
+class Queue:
+    """Arrays of places by bucket, in order of arrival; beyond a size all go to one file on disk."""
+
+    def __init__(self, most: int = QUEUE_BYTES):
+        self.most, self.held, self.spilled = most, 0, 0
+        self.parts: dict[int, list] = {}
+        self.file = None
+
+    def push(self, bucket: int, places: np.ndarray) -> None:
+        self.parts.setdefault(bucket, []).append(places)
+        self.held += places.nbytes
+        if self.held > self.most:
+            if self.file is None:
+                self.file = tempfile.TemporaryFile()
+            for k, arrays in self.parts.items():
+                whole = [x for x in arrays if isinstance(x, np.ndarray)]
+                if whole:
+                    done = [x for x in arrays if not isinstance(x, np.ndarray)]
+                    at = self.file.seek(0, os.SEEK_END)
+                    flat = np.concatenate(whole)
+                    self.file.write(flat.astype(np.int64).tobytes())
+                    self.parts[k] = [*done, (at, len(flat))]
+            self.spilled += self.held
+            self.held = 0
+
+    def pop(self, bucket: int) -> np.ndarray:
+        out = []
+        for x in self.parts.pop(bucket, []):
+            if isinstance(x, np.ndarray):
+                self.held -= x.nbytes
+                out.append(x)
+            else:
+                self.file.seek(x[0])
+                out.append(np.frombuffer(self.file.read(8 * x[1]), np.int64))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def _by_char(queue: Queue, text: np.ndarray, places: np.ndarray) -> None:
+    """Push places to the buckets of their first letters, keeping their order."""
+    if not len(places):
+        return
+    c = text[places]
+    order = np.argsort(c, kind="stable")
+    c, places = c[order], places[order]
+    cuts = np.flatnonzero(np.diff(c.astype(np.int64), prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(c)]):
+        queue.push(int(c[a]), places[a:b])
+
+
+def suffix_array(text: np.ndarray, depth: int = LENGTH, most: int = QUEUE_BYTES) -> np.ndarray:
+    """Suffixes of a text of letters (uint16, 0 ends a string and never repeats in what is compared) ordered by their first `depth` letters at least.
+
+    Letters of 0 are ends: suffixes are compared up to the first end.
+    """
+    n = len(text)
+    if n < 2:
+        return np.arange(n)
+    t = text.astype(np.int64)
+    # S where the next different letter is larger; ends count as S so that they seed all that precedes them
+    rise = np.sign(np.append(t[1:] - t[:-1], 1))
+    same = np.where(rise != 0, np.arange(n), n)
+    nxt = np.minimum.accumulate(same[::-1])[::-1]
+    is_s = rise[np.minimum(nxt, n - 1)] > 0
+    is_s[t == 0] = True
+    seed = is_s.copy()
+    seed[1:] &= ~is_s[:-1]
+    seed[0] = False
+    seed[t == 0] = True
+    lms = np.flatnonzero(seed)
+    lms = lms[_order(text, lms, depth)]
+    letters = int(t.max()) + 1
+    # L suffixes from left-most S suffixes, from the smallest letter up
+    queue, ends = Queue(most), np.searchsorted(text[lms], np.arange(letters + 1))
+    low: dict[int, np.ndarray] = {}
+    for c in range(letters):
+        cur, got = queue.pop(c), []
+        while len(cur):
+            got.append(cur)
+            cur = _before(cur, text, c, queue, is_s, want=False)
+        low[c] = np.concatenate(got) if got else np.zeros(0, np.int64)
+        own = lms[ends[c] : ends[c + 1]]
+        if len(own):
+            _before(own, text, -1, queue, is_s, want=False)
+    queue.close()
+    # S suffixes from all larger ones, from the largest letter down; each bucket comes out backwards
+    queue = Queue(most)
+    high: dict[int, np.ndarray] = {}
+    for c in range(letters - 1, 0, -1):
+        cur, got = queue.pop(c), []
+        while len(cur):
+            got.append(cur)
+            cur = _before(cur, text, c, queue, is_s, want=True)
+        high[c] = np.concatenate(got)[::-1] if got else np.zeros(0, np.int64)
+        _before(low[c][::-1], text, -1, queue, is_s, want=True)
+    queue.close()
+    return np.concatenate([lms[: ends[1]], *[x for c in range(1, letters) for x in (low[c], high[c])]])
+
+
+def _before(places: np.ndarray, text: np.ndarray, c: int, queue: Queue, is_s: np.ndarray, want: bool) -> np.ndarray:
+    """Queue the suffixes that start one place earlier and have the wanted type; those of letter c come back at once."""
+    p = places[places > 0] - 1
+    p = p[(is_s[p] == want) & (text[p] > 0)]
+    now = text[p] == c
+    _by_char(queue, text, p[~now])
+    return p[now]
+
+
+def _order(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes at some places by their first `depth` letters: blocks of 7 letters are named, and names of the blocks that follow break ties."""
+    padded = np.concatenate((text, np.zeros(depth + 8, text.dtype)))
+
+    def block(at: np.ndarray) -> np.ndarray:
+        key, alive = np.zeros(len(at), U), np.ones(len(at), bool)
+        for k in range(7):
+            c = padded[at + k]
+            alive &= c > 0
+            key = (key << U(9)) | np.where(alive, c, 0).astype(U)
+        return key
+
+    key = block(places)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    name = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    for step in range(7, depth, 7):
+        # names held by several suffixes that have not ended in the last block
+        go = (np.bincount(name)[name] > 1) & ((key & U(511)) > 0)
+        which = np.flatnonzero(go)
+        if not len(which):
+            break
+        fresh = block(places[order[which]] + step)
+        sub = np.lexsort((fresh, name[which]))
+        order[which], key[which] = order[which[sub]], fresh[sub]
+        tie = (name[1:] == name[:-1]) & (~go[1:] | (key[1:] == key[:-1]))
+        name = np.cumsum(np.concatenate(([0], ~tie)))
+    return order
+
+
+def repeats(strings: tuple[np.ndarray, np.ndarray], least: np.ndarray, most: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows of all strings: (string, window, smallest document of any string that holds the window)."""
+    buf, size = strings
+    n_str = len(size)
+    at = np.cumsum(size + 1) - (size + 1)
+    text = np.zeros(int((size + 1).sum()), np.uint16)
+    spot = np.arange(int(size.sum())) + np.repeat(np.arange(n_str), size)
+    text[spot] = buf.astype(np.uint16) + 1
+    sa = suffix_array(text, LENGTH, most)
+    own = np.repeat(np.arange(n_str), size + 1)
+    keep = sa + LENGTH <= (at + size)[own[sa]]
+    sa = sa[keep]
+    # common prefix of neighbours: LENGTH letters or fewer, compared on the text
+    raw = np.zeros(len(text), np.uint8)
+    raw[spot] = buf
+    w = _words8(raw)
+    same = np.ones(max(len(sa) - 1, 0), bool)
+    for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        x = w[sa + k]
+        same &= x[1:] == x[:-1]
+    group = np.cumsum(np.concatenate(([0], ~same))) if len(sa) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    low = np.minimum.reduceat(least[own[sa]], first)[group] if len(sa) else np.zeros(0, np.int64)
+    return own[sa], sa - at[own[sa]], low
+
+
+# ---------------------------------------------------------------- Spark
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def _anchors(docs: DataFrame, text_col: str, n_parts: int) -> DataFrame:
+    """(part, anchors, cids, counts): minimizers by part of the hash range, with the texts that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid, text = batch.column(0).to_numpy(), batch.column(1)
+            buf, offs = as_bytes(text)
+            for a, b in slices(offs, SLICE):
+                h, doc, _, _ = minimizers(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                part = (mix(h) % U(n_parts)).astype(np.int64)
+                order = np.lexsort((h, doc, part))
+                h, doc, part = h[order], doc[order], part[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, doc, part = h[new], doc[new], part[new]
+                edge = np.searchsorted(part, np.arange(n_parts + 1))
+                rows = []
+                for p in np.flatnonzero(np.diff(edge)):
+                    x, y = edge[p], edge[p + 1]
+                    d, n = np.unique(doc[x:y], return_counts=True)
+                    rows.append((p, h[x:y].tobytes(), cid[a:b][d].tobytes(), n.astype(np.uint32).tobytes()))
+                if rows:
+                    cols = list(zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "anchors", "cids", "counts"])
+
+    return docs.select(F.xxhash64(_text(text_col)).alias("cid"), _text(text_col).alias("text")).mapInArrow(run, "part int, anchors binary, cids binary, counts binary")
+
+
+def _shared(packed: DataFrame, n_parts: int) -> DataFrame:
+    """(cid, dups): the minimizers of each text that other texts hold too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in columns(b, "anchors", "cids", "counts")))]
+        if not rows:
+            return
+        h = np.frombuffer(b"".join(r[0] for r in rows), U)
+        cid = np.repeat(np.frombuffer(b"".join(r[1] for r in rows), np.int64), np.frombuffer(b"".join(r[2] for r in rows), np.uint32))
+        del rows
+        order = np.lexsort((cid, h))
+        h, cid = h[order], cid[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (cid[1:] != cid[:-1])
+        h, cid = h[new], cid[new]
+        tie = np.zeros(len(h), bool)
+        tie[1:] = h[1:] == h[:-1]
+        tie[:-1] |= tie[1:]
+        h, cid = h[tie], cid[tie]
+        order = np.argsort(cid, kind="stable")
+        h, cid = h[order], cid[order]
+        cuts = np.flatnonzero(np.diff(cid, prepend=cid[0] - 1)) if len(cid) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(cid))
+        for a in range(0, len(cuts), 20_000):
+            data = [h[x:y].tobytes() for x, y in zip(cuts[a : a + 20_000].tolist(), ends[a : a + 20_000].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(cid[cuts[a : a + 20_000]]), pa.array(data, pa.binary())], names=["cid", "dups"])
+
+    return packed.repartition(n_parts, "part").mapInArrow(run, "cid long, dups binary")
+
+
+def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
+    """From (id, cid, text, dups): rows (shard, packed substrings) and rows (hash, id, cid, at) of their occurrences."""
+    names = ["shard", "bytes", "sizes", "hashes", "lows", "highs", "hash", "id", "cid", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cids, text, dups = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_pylist()
+            buf, offs = as_bytes(text)
+            for a, b in slices(offs, 4 * SLICE):
+                own, o = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                h, doc, at, n = minimizers(own, o)
+                known = np.unique(np.frombuffer(b"".join(b"".join(d) for d in dups[a:b]), U))
+                if not len(known) or not len(h):
+                    continue
+                # a minimizer shared by one document of the slice is shared by all that hold it
+                spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                use = known[spot] == h
+                h, doc, at, n = h[use], doc[use], at[use], n[use]
+                size = n + LENGTH - 1
+                code = word_hashes(own, at, at + size, lower=False)
+                shard = (mix(h ^ U(0x94D049BB133111EB)) % U(n_shards)).astype(np.int64)
+                who = ids[a:b][doc]
+                none = pa.nulls(len(h), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(h), pa.int32()), none, none, none, none, none, pa.array(code.view(np.int64)), pa.array(who), pa.array(cids[a:b][doc]), pa.array((at - o[doc]).astype(np.int32))], names=names
+                )
+                order = np.lexsort((who, code, shard))
+                code, shard, who, at, size = code[order], shard[order], who[order], at[order], size[order]
+                new = np.ones(len(code), bool)
+                new[1:] = (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])
+                first = np.flatnonzero(new)
+                low, high = who[first], who[np.append(first[1:], len(who)) - 1]
+                code, shard, at, size = code[first], shard[first], at[first], size[first]
+                edge = np.searchsorted(shard, np.arange(n_shards + 1))
+                rows = []
+                for s in np.flatnonzero(np.diff(edge)):
+                    x, y = edge[s], edge[s + 1]
+                    start = np.cumsum(size[x:y]) - size[x:y]
+                    src = np.repeat(at[x:y] - start, size[x:y]) + np.arange(int(size[x:y].sum()))
+                    rows.append((s, own[src].tobytes(), size[x:y].astype(np.uint8).tobytes(), code[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes()))
+                if rows:
+                    cols = list(zip(*rows))
+                    k = len(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.int32())], names=names
+                    )
+
+    schema = "shard int, bytes binary, sizes binary, hashes binary, lows binary, highs binary, hash long, id long, cid long, at int"
+    return texts.mapInArrow(run, schema)
+
+
+def _cuts(packed: DataFrame, n_shards: int) -> DataFrame:
+    """(hash, off, n, low): runs of windows of a substring that an earlier document holds, and the earliest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in columns(b, "bytes", "sizes", "hashes", "lows", "highs")))]
+        if not rows:
+            return
+        buf = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
+        size = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).astype(np.int64)
+        code = np.frombuffer(b"".join(r[2] for r in rows), U)
+        low = np.frombuffer(b"".join(r[3] for r in rows), np.int64)
+        high = np.frombuffer(b"".join(r[4] for r in rows), np.int64)
+        del rows
+        at = np.cumsum(size) - size
+        _, first, number = np.unique(code, return_index=True, return_inverse=True)
+        lows, highs = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+        np.minimum.at(lows, number, low)
+        np.maximum.at(highs, number, high)
+        code, at, size = code[first], at[first], size[first]
+        start = np.cumsum(size) - size
+        own = buf[np.repeat(at - start, size) + np.arange(int(size.sum()))]
+        which, off, least = repeats((own, size), lows)
+        use = least < highs[which]
+        which, off, least = which[use], off[use], least[use]
+        order = np.lexsort((off, which))
+        which, off, least = which[order], off[order], least[order]
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (off[1:] != off[:-1] + 1) | (least[1:] != least[:-1])
+        f = np.flatnonzero(new)
+        n = np.diff(np.append(f, len(which)))
+        for a in range(0, len(f), 50_000):
+            k = f[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code[which[k]].view(np.int64)), pa.array(off[k].astype(np.int32)), pa.array(n[a : a + 50_000].astype(np.int32)), pa.array(least[k])], names=["hash", "off", "n", "low"]
+            )
+
+    return packed.repartition(n_shards, "shard").mapInArrow(run, "hash long, off int, n int, low long")
+
+
+def _collected(spark) -> None:
+    """Let go of shuffle files that nothing reads any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, cid, n_bytes, sha, first id of the text) per row, (id, cid, runs of windows to cut) of first documents)."""
+    spark = docs.sparkSession
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(_text(text_col)).alias("cid"), F.octet_length(_text(text_col)).cast("long").alias("n_bytes"), F.sha2(_text(text_col), 256).alias("sha"))
+    meta, _ = materialize(own, "texts")
+    firsts = meta.groupBy("cid").agg(F.min(F.col("id").cast("long")).alias("first"), F.max("n_bytes").alias("size"))
+    total = meta.agg(F.sum("n_bytes")).first()[0] or 0
+    # about 16 MB of minimizers a part, and as much of substrings a shard
+    n_parts = int(max(shuffle_width(spark), total // 2 // (16 << 20) + 1))
+    shared, at_shared = materialize(_shared(_anchors(docs, text_col, n_parts), n_parts), "shared")
+    _collected(spark)
+    lists = shared.groupBy("cid").agg(F.collect_list("dups").alias("dups"))
+    wanted = firsts.where(F.col("first").isNotNull() & (F.col("size") >= LENGTH)).join(lists, "cid").select(F.col("first").alias("_first"), F.col("cid").alias("_cid"), "dups")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), _text(text_col).alias("_text"))
+    chosen = texts.join(wanted, (F.col("_id") == F.col("_first")) & (F.xxhash64("_text") == F.col("_cid")))
+    subs, at_subs = materialize(_substrings(chosen.select("_id", "_cid", "_text", "dups"), n_parts), "substrings")
+    drop(spark, at_shared)
+    _collected(spark)
+    cuts = _cuts(subs.where("shard IS NOT NULL").select("shard", "bytes", "sizes", "hashes", "lows", "highs"), n_parts)
+    places = subs.where("shard IS NULL").select("hash", "id", "cid", "at")
+    hits = places.join(cuts, "hash").where(F.col("low") < F.col("id")).select("id", "cid", (F.col("at") + F.col("off")).alias("a"), (F.col("at") + F.col("off") + F.col("n") + LENGTH - 1).alias("b"))
+    runs, _ = materialize(hits.groupBy("id", "cid").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
+    drop(spark, at_subs)
+    _collected(spark)
+    named = meta.join(firsts.select("cid", "first"), "cid")
+    return named, runs
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *[x for s in spans for x in s], len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def _pairs(runs) -> list[tuple[int, int]]:
+    return [(r["a"], r["b"]) for r in runs or ()]
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_bytes, n_removed, n_spans, kept_sha256."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    named, runs = _spans(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, cid, text, spans = batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            got = []
+            for t, s in zip(text, spans):
+                m = _merged(_pairs(s))
+                got.append((sum(b - a for a, b in m), len(m), hashlib.sha256(_kept(t.encode(), m)).hexdigest()))
+            cols = list(zip(*got)) if got else [[], [], []]
+            yield pa.RecordBatch.from_arrays([ids, cid, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["_id", "_cid", "cut", "spans", "kept"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(_text(text_col)).alias("_cid"), _text(text_col).alias("_text"))
+    cut = texts.join(runs, (F.col("_id") == F.col("id")) & (F.col("_cid") == F.col("cid"))).select("_id", "_cid", "_text", "runs")
+    cut = cut.mapInArrow(run, "_id long, _cid long, cut long, spans long, kept string").dropDuplicates(["_id", "_cid"])
+    rows = named.join(cut, (F.col("id").cast("long") == F.col("_id")) & (F.col("cid") == F.col("_cid")), "left")
+    copy = F.coalesce((F.col("id").cast("long") > F.col("first")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
+    return rows.select(
+        F.col("id").cast(kind).alias(id_col),
+        "n_bytes",
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("cut", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+    )
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """The documents with repeated passages cut out (characters that a cut has broken go too) and their length set anew."""
+    named, runs = _spans(docs, id_col, text_col)
+    later = named.where((F.col("id").cast("long") > F.col("first")) & (F.col("n_bytes") >= LENGTH)).select(F.col("id").cast("long").alias("_run_id"), F.col("cid").alias("_run_cid"), F.lit(True).alias("_copy"), F.lit(None).alias("_runs")).distinct()
+    known = runs.select(F.col("id").alias("_run_id"), F.col("cid").alias("_run_cid"), F.lit(False).alias("_copy"), F.col("runs").alias("_runs"))
+    known = known.unionByName(later.withColumn("_runs", F.col("_runs").cast(known.schema["_runs"].dataType)))
+    rows = docs.join(known, (F.col(id_col).cast("long") == F.col("_run_id")) & (F.xxhash64(_text(text_col)) == F.col("_run_cid")), "left").drop("_run_id", "_run_cid")
+    names = docs.columns
+    counted = count_col in names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, spans, copy = (c.to_pylist() for c in columns(batch, text_col, "_runs", "_copy"))
+            new, size = [], []
+            for t, s, c in zip(text, spans, copy):
+                if t is not None and c:
+                    t = ""
+                elif t is not None and s:
+                    t = _kept(t.encode(), _merged(_pairs(s))).decode("utf-8", "ignore")
+                new.append(t)
+                size.append(len(t) if t is not None else 0)
+            cols = []
+            for k, n in enumerate(names):
+                col = batch.column(k)
+                if n == text_col:
+                    col = pa.array(new, col.type)
+                elif n == count_col and counted:
+                    changed = [x if y == z else w for x, y, z, w in zip(col.to_pylist(), new, text, size)]
+                    col = pa.array(changed, col.type)
+                cols.append(col)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return rows.mapInArrow(run, docs.schema)

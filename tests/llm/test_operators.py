@@ -309,3 +309,43 @@ def test_bpe_joints(monkeypatch):
     texts = ["some words that are cut at each space here", "more of them"]
     ids, at = c.encode(*as_bytes(pa.array(texts)))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [c.ids(t) for t in texts]
+
+
+# ---------------------------------------------------------------- suffix-array dedup
+
+
+@pytest.mark.parametrize("most", [1 << 30, 2000])
+def test_suffix_array(most):
+    from lamina.llm import suffix_dedup
+
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        strings = [rng.integers(97, 97 + rng.integers(1, 5), rng.integers(1, 90)) for _ in range(rng.integers(1, 30))]
+        text = np.concatenate([np.append(s, 0) for s in strings]).astype(np.uint16)
+        ends = np.flatnonzero(text == 0)
+        sa = suffix_dedup.suffix_array(text, 50, most)
+        assert sorted(sa.tolist()) == list(range(len(text)))
+        keys = [text[p : ends[np.searchsorted(ends, p)]][:50].tolist() for p in sa]
+        assert keys == sorted(keys)
+
+
+def test_removals(spark, docs, odd, empty):
+    from lamina.llm import suffix_dedup
+
+    periodic = [(100, "ab" * 300), (101, "x" + "ab" * 100 + "y"), (102, "ab" * 300), (103, "z" * 60)]
+    more = spark.createDataFrame([(d, t, 1, "p", 2, None, "s") for d, t in periodic], SCHEMA)
+    for df in (docs.limit(150), odd.unionByName(more)):
+        got = suffix_dedup.removals(df)
+        assert rows_of(got) == sorted(brute.removals(plain(df)), key=str)
+    assert suffix_dedup.removals(empty).count() == 0
+
+
+def test_cut_texts(spark, odd):
+    from lamina.llm import suffix_dedup
+
+    rows = odd.withColumnRenamed("n", "n_chars")
+    cut = suffix_dedup.cut_texts(rows)
+    assert cut.columns == rows.columns
+    want = {(str(d), h) for d, _, _, _, h in brute.removals(plain(odd)) if d not in (7, 8)}
+    got = {(str(r["doc_id"]), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in cut.collect() if r["doc_id"] not in (7, 8)}
+    assert got == want and cut.count() == len(brute.ODD)
