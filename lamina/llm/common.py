@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import getpass
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing reads any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,10 +10,10 @@ first order's prefixes make groups; inside a group a pair goes on only if the si
 second and the third order can share a token as well (bit maps), and the parity maps of the whole sets don't
 differ in more bits than linked sets can. What passes all filters is verified on the whole sets.
 
-Equal sets count once throughout. Groups of at most BLOCK sets are compared whole. In larger ones, a
-first round compares each set with a few pivots only; the second compares what is then still in different
-components, in blocks of at most CHUNK by CHUNK sets. No link between components is lost, and no group is
-expanded into all its pairs.
+Equal sets count once throughout. A first round verifies PARTNERS candidates of each set only, picked by a
+hash of the pair; the second verifies all candidates whose sets are then still in different components. Groups of more
+than CHUNK sets are compared in blocks. So no link between components is lost, and near copies, however
+many, are not verified against all of each other.
 
 Defined cases: null and empty texts: no shingles, a component of their own; repeated rows: the same component;
 a null id is never the smallest unless the component has no other; extra columns are ignored (or passed on).
@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import SPACED_WORD, as_bytes, columns, drop, materialize, mix, shuffle_width, slices, word_hashes, word_spans
+from lamina.llm.common import SPACED_WORD, as_bytes, columns, drop, materialize, mix, release, shuffle_width, slices, word_hashes, word_spans
 
 ORDERS = 3
 #: Buckets of the document-frequency sketch.
 SKETCH = 1 << 15
-BLOCK, CHUNK = 16, 2048
+#: Candidates per set in the first round; sets up to which it looks at a whole group; sets per block.
+PARTNERS, WHOLE, CHUNK = 4, 256, 2048
 #: 64-bit words of each bit map.
 MAP = 4
 U = np.uint64
@@ -113,6 +114,27 @@ def bit_maps(tokens: np.ndarray, doc: np.ndarray, n_docs: int, parity: bool) ->
     return out
 
 
+def wide_maps(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parity map of each set, of at least four bits a token; its size is a power of two."""
+    code = mix(tokens ^ U(0x9FB21C651E98DF25))
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        bits = 1 << max(8, (4 * (b - a) - 1).bit_length())
+        on = np.bincount((code[a:b] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(on.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def maps_differ(x: bytes, y: bytes) -> int:
+    """Bits in which two parity maps differ; the larger is folded to the smaller one's size."""
+    a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def passing(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     """Which pairs pass the size filter, the prefix filters of the further orders, and the parity filter."""
     most = most_differing(a["n"][i], a["n"][j], threshold)
@@ -159,11 +181,11 @@ def _levels(sketch: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: tuple[int, int], level: np.ndarray, n_parts: int) -> DataFrame:
-    """Rows (part, tokens and set ids, packed) of first-order prefixes, and rows (sid, n, maps) of sets."""
+    """Rows (part, tokens and set ids, packed) of first-order prefixes, and rows (sid, n, maps, wide map) of sets."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "sid", "n", "data"]
+        names = ["part", "sid", "n", "data", "wide"]
         for batch in batches:
             (text,) = columns(batch, text_col)
             buf, offs = as_bytes(text)
@@ -177,7 +199,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
                     maps.append(bit_maps(*prefixes(t, at, sent.value, k, threshold), len(n), parity=False))
                 m = np.concatenate(maps, 1)[one]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(one), pa.int32()), pa.array(sid[one].view(np.int64)), pa.array(n[one]), pa.array([r.tobytes() for r in m], pa.binary())], names=names
+                    [pa.nulls(len(one), pa.int32()), pa.array(sid[one].view(np.int64)), pa.array(n[one]), pa.array([r.tobytes() for r in m], pa.binary()), pa.array(wide_maps(t, at)).take(pa.array(one))], names=names
                 )
                 tok, doc = prefixes(t, at, sent.value, 0, threshold)
                 chosen = np.zeros(len(n), bool)
@@ -189,9 +211,9 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
                 edge = np.searchsorted(part[order], np.arange(n_parts + 1))
                 on = np.flatnonzero(np.diff(edge))
                 none = pa.nulls(len(on), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), none, none, pa.array([pairs[edge[p] : edge[p + 1]].tobytes() for p in on], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), none, none, pa.array([pairs[edge[p] : edge[p + 1]].tobytes() for p in on], pa.binary()), pa.nulls(len(on), pa.binary())], names=names)
 
-    return docs.select(text_col).mapInArrow(run, "part int, sid long, n long, data binary")
+    return docs.select(text_col).mapInArrow(run, "part int, sid long, n long, data binary, wide binary")
 
 
 def _groups(packed: DataFrame, n_parts: int) -> DataFrame:
@@ -233,14 +255,14 @@ def _pairs_of_group(g: dict[str, np.ndarray], at: np.ndarray, final: bool) -> It
     size = int(g["size"][at[0]])
     cross = g["side"][at[0]] != 2
     if not final:
-        if size <= BLOCK:
+        if size <= WHOLE:
             i, j = np.triu_indices(len(at), 1)
             yield at[i], at[j]
         elif not cross:
-            # pivots at both ends of the id order, and the next in that order
-            for k in (0, 1, -2, -1):
-                yield np.full(len(at), at[k]), at
-            yield at[:-1], at[1:]
+            # in an order of the group's own, each member meets the next few
+            own = at[np.argsort(mix(g["sid"][at].view(U) ^ g["key"][at].view(U)))]
+            for k in range(1, PARTNERS + 1):
+                yield own[:-k], own[k:]
         return
     left, right = (at[g["side"][at] == 0], at[g["side"][at] == 1]) if cross else (at, at)
     if not len(left) or not len(right):
@@ -258,7 +280,7 @@ def _pairs_of_group(g: dict[str, np.ndarray], at: np.ndarray, final: bool) -> It
 
 
 def _candidates(members: DataFrame, threshold: tuple[int, int], final: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of set ids that pass all filters."""
+    """Distinct pairs (a, b), a < b, of set ids that pass all filters: a few of each set, or finally all between components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
@@ -295,13 +317,43 @@ def _candidates(members: DataFrame, threshold: tuple[int, int], final: bool) ->
                     flush()
         flush()
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        for a in range(0, len(out), 50_000):
-            part = out[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
+        if final:
+            for a in range(0, len(out), 50_000):
+                part = out[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.nulls(len(part), pa.int64())], names=["a", "b", "score"])
+            return
+        score = (mix(out[:, 0].view(U) ^ mix(out[:, 1].view(U))) >> U(1)).astype(np.int64)
+        one, two, score = np.concatenate((out[:, 0], out[:, 1])), np.concatenate((out[:, 1], out[:, 0])), np.tile(score, 2)
+        order = np.lexsort((score, one))
+        one, two, score = one[order], two[order], score[order]
+        first = np.searchsorted(one, one)
+        keep = np.arange(len(one)) - first < PARTNERS
+        one, two, score = one[keep], two[keep], score[keep]
+        for a in range(0, len(one), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (one, two, score)], names=["a", "b", "score"])
 
     n = shuffle_width(members.sparkSession)
     cols = ["key", "side", "size", "sid", "n", "maps"] + ["comp"] * final
-    return members.select(*cols).repartition(n, "key").mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one")
+    rows = members.select(*cols).repartition(n, "key").mapInArrow(run, "a long, b long, score long")
+    if final:
+        return rows.select("a", "b").distinct()
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("score", "b"))
+    return rows.distinct().withColumn("_rank", rank).where(F.col("_rank") <= PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _near(pairs: DataFrame, wide: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs whose wide parity maps don't differ in more bits than linked sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, m, n, x, y = columns(batch, "a", "b", "m", "n", "x", "y")
+            most = most_differing(m.to_numpy(), n.to_numpy(), threshold)
+            keep = pa.array([k >= 0 and maps_differ(x[i].as_buffer(), y[i].as_buffer()) <= k for i, k in enumerate(most.tolist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+    one = wide.select(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("wide").alias("x"))
+    two = wide.select(F.col("sid").alias("b"), "n", F.col("wide").alias("y"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -374,18 +426,30 @@ def _components(docs: DataFrame, threshold: tuple[int, int], words: int, id_col:
     n_parts = int(max(shuffle_width(spark), total * 16 // (16 << 20) + 1))
     packed, at_packed = materialize(_members(docs, id_col, text_col, words, threshold, level, n_parts), "prefixes")
     features = packed.where("part IS NULL").groupBy("sid").agg(F.max("n").alias("n"), F.max("data").alias("maps"))
-    members, _ = materialize(_groups(packed.where("part IS NOT NULL"), n_parts).join(features, "sid"), "members")
+    wide, _ = materialize(packed.where("part IS NULL").select("sid", "n", "wide").dropDuplicates(["sid"]), "wide")
+    members, at_members = materialize(_groups(packed.where("part IS NOT NULL"), n_parts).join(features, "sid"), "members")
     drop(spark, at_packed)
-    pairs, _ = materialize(_candidates(members, threshold, final=False), "pairs")
-    large = members.where(F.col("size") > BLOCK)
-    need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(large.select("sid")).distinct()
+    release(spark)
     reps = meta.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"))
-    sets, _ = materialize(_sets(docs, reps.join(need, "sid").select("sid", "rep"), id_col, text_col, words).dropDuplicates(["sid"]), "sets")
+
+    def sets_of(need: DataFrame) -> DataFrame:
+        got, _ = materialize(_sets(docs, reps.join(need, "sid").select("sid", "rep"), id_col, text_col, words).dropDuplicates(["sid"]), "sets")
+        release(spark)
+        return got
+
+    pairs, _ = materialize(_near(_candidates(members, threshold, final=False), wide, threshold), "pairs")
+    ends = lambda p: p.select(F.col("a").alias("sid")).union(p.select("b")).distinct()
+    sets = sets_of(ends(pairs))
     links, _ = materialize(_verified(pairs, sets, threshold), "links")
     comps = connect(links)
-    if not large.isEmpty():
-        known = large.join(comps.select(F.col("node").alias("sid"), F.col("comp").alias("_c")), "sid", "left").withColumn("comp", F.coalesce("_c", "sid")).drop("_c")
-        rest = _candidates(known, threshold, final=True).join(pairs, ["a", "b"], "left_anti")
+    known = members.join(comps.select(F.col("node").alias("sid"), F.col("comp").alias("_c")), "sid", "left").withColumn("comp", F.coalesce("_c", "sid")).drop("_c")
+    rest = _near(_candidates(known, threshold, final=True).join(pairs, ["a", "b"], "left_anti"), wide, threshold)
+    rest, _ = materialize(rest, "pairs")
+    drop(spark, at_members)
+    release(spark)
+    if not rest.isEmpty():
+        new = ends(rest).join(sets.select("sid"), "sid", "left_anti")
+        sets = sets.unionByName(sets_of(new)) if not new.isEmpty() else sets
         more, _ = materialize(_verified(rest, sets, threshold), "links")
         if not more.isEmpty():
             comps = connect(links.unionByName(more))

@@ -19,7 +19,6 @@ are not earlier than each other; extra columns are ignored (or passed on by cut_
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import tempfile
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import as_bytes, columns, drop, materialize, mix, shuffle_width, slices, word_hashes
+from lamina.llm.common import as_bytes, columns, drop, materialize, mix, release, shuffle_width, slices, word_hashes
 
 LENGTH = 50
 #: Bytes hashed for a minimizer, and windows per substring at most.
@@ -406,12 +405,6 @@ def _cuts(packed: DataFrame, n_shards: int) -> DataFrame:
     return packed.repartition(n_shards, "shard").mapInArrow(run, "hash long, off int, n int, low long")
 
 
-def _collected(spark) -> None:
-    """Let go of shuffle files that nothing reads any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """((id, cid, n_bytes, sha, first id of the text) per row, (id, cid, runs of windows to cut) of first documents)."""
     spark = docs.sparkSession
@@ -422,20 +415,20 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     # about 16 MB of minimizers a part, and as much of substrings a shard
     n_parts = int(max(shuffle_width(spark), total // 2 // (16 << 20) + 1))
     shared, at_shared = materialize(_shared(_anchors(docs, text_col, n_parts), n_parts), "shared")
-    _collected(spark)
+    release(spark)
     lists = shared.groupBy("cid").agg(F.collect_list("dups").alias("dups"))
     wanted = firsts.where(F.col("first").isNotNull() & (F.col("size") >= LENGTH)).join(lists, "cid").select(F.col("first").alias("_first"), F.col("cid").alias("_cid"), "dups")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), _text(text_col).alias("_text"))
     chosen = texts.join(wanted, (F.col("_id") == F.col("_first")) & (F.xxhash64("_text") == F.col("_cid")))
     subs, at_subs = materialize(_substrings(chosen.select("_id", "_cid", "_text", "dups"), n_parts), "substrings")
     drop(spark, at_shared)
-    _collected(spark)
+    release(spark)
     cuts = _cuts(subs.where("shard IS NOT NULL").select("shard", "bytes", "sizes", "hashes", "lows", "highs"), n_parts)
     places = subs.where("shard IS NULL").select("hash", "id", "cid", "at")
     hits = places.join(cuts, "hash").where(F.col("low") < F.col("id")).select("id", "cid", (F.col("at") + F.col("off")).alias("a"), (F.col("at") + F.col("off") + F.col("n") + LENGTH - 1).alias("b"))
     runs, _ = materialize(hits.groupBy("id", "cid").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
     drop(spark, at_subs)
-    _collected(spark)
+    release(spark)
     named = meta.join(firsts.select("cid", "first"), "cid")
     return named, runs
 
