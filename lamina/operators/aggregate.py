@@ -84,7 +84,8 @@ def histogram_lut(vox: DataFrame, value: str, steps: int = 255) -> DataFrame:
     low = F.coalesce(F.lag("_cum").over(w), F.lit(0))
     # value v serves all i with low / total < i / steps <= cum / total
     cdf = cdf.withColumn("_from", F.when(low == 0, F.lit(0)).otherwise(F.floor(low * steps / F.col("_tot")) + 1)).withColumn("_to", F.floor(F.col("_cum") * steps / F.col("_tot")))
-    return cdf.where("_from <= _to").select(F.explode(F.sequence("_from", "_to")).cast("int").alias("i"), F.col(value).alias("v"))
+    seq = F.sequence(F.col("_from").cast("int"), F.col("_to").cast("int"))
+    return cdf.where("_from <= _to").select(F.explode(seq).alias("i"), F.col(value).alias("v"))
 
 
 def match_histogram(vox: DataFrame, lut: DataFrame, value: str, steps: int = 255) -> DataFrame:

@@ -31,7 +31,7 @@ def grid(spark: SparkSession, shape: tuple[int, int, int], three_d: bool, step:
     for a, n in zip(AXES, shape):
         start = F.col("_o") if three_d or a != "z" else F.lit(0)
         every = step if three_d or a != "z" else 1
-        rows = rows.where(start < n).withColumn(a, F.explode(F.sequence(start, F.lit(n - 1), F.lit(every))).cast("int"))
+        rows = rows.where(start < n).withColumn(a, F.explode(F.sequence(start, F.lit(n - 1), F.lit(every))))
     return numbered(rows, "_k", *AXES)
 
 

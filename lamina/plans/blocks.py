@@ -1 +1,93 @@
-"""Queries (to come)."""
+"""Queries whose work is a kernel per block; where SQL can say it, a plain form is given."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.operators import augment, kernels, labels, seeds, spatial, traverse
+from lamina.plans.base import VOX, r9, vox
+from lamina.plans.registry import query
+
+S = SparkSession
+
+
+@query(f"""WITH RECURSIVE {VOX}, n AS (SELECT z, y, x, label, (CAST(z AS BIGINT) << 42) | (CAST(y AS BIGINT) << 21) | x AS k FROM vox WHERE label > 0),
+e AS (SELECT p.k AS u, q.k AS v FROM n p JOIN n q ON p.label = q.label AND ((q.z = p.z AND q.y = p.y AND abs(q.x - p.x) = 1) OR (q.z = p.z AND q.x = p.x AND abs(q.y - p.y) = 1) OR (q.y = p.y AND q.x = p.x AND abs(q.z - p.z) = 1))),
+r(node, root) AS (SELECT k, k FROM n UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node)
+SELECT z, y, x, label, min(root) AS component FROM r JOIN n ON n.k = r.node GROUP BY z, y, x, label""")
+def connected_components(spark: S, d: str) -> DataFrame:
+    return labels.split_components(vox(spark, d), (8, 8, 16))
+
+
+@query(f"""WITH {VOX}, s AS (SELECT * FROM vox WHERE z = 5)
+SELECT p.y, p.x, round(sqrt(min((q.y - p.y) * (q.y - p.y) * 4.0 + (q.x - p.x) * (q.x - p.x))), 9) AS dist FROM s p, s q WHERE q.label = 0 GROUP BY p.y, p.x""")
+def edt_block(spark: S, d: str) -> DataFrame:
+    """Distance to the background on one slice, with voxels twice as high as wide."""
+    import numpy as np
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((rows["y"].max() + 1, rows["x"].max() + 1), bool)
+        a[rows["y"], rows["x"]] = rows["label"] > 0
+        dist = kernels.distance(a, (2.0, 1.0))
+        return pd.DataFrame({"y": rows["y"], "x": rows["x"], "dist": dist[rows["y"], rows["x"]]})
+
+    got = vox(spark, d).where("z = 5").groupBy("z").applyInPandas(run, "y int, x int, dist double")
+    return got.select("y", "x", r9(F.col("dist"), "dist"))
+
+
+def _with_blocks(spark: S, d: str) -> DataFrame:
+    v = vox(spark, d)
+    return v.withColumns({"bz": F.floor(F.col("z") / 16), "bx": F.floor(F.col("x") / 32)})
+
+
+@query(None)
+def seeds_peaks(spark: S, d: str) -> DataFrame:
+    return seeds.peaks(_with_blocks(spark, d), ["bz", "bx"], sigma=2.0)
+
+
+@query(None)
+def seeds_peaks_2d(spark: S, d: str) -> DataFrame:
+    return seeds.peaks_2d(vox(spark, d), min_distance=3, least=1.0, sigma=2.0)
+
+
+@query(None)
+def seeds_fill_empty(spark: S, d: str) -> DataFrame:
+    return seeds.fill_empty(_with_blocks(spark, d), ["bz", "bx"])
+
+
+@query(None)
+def seeds_intensity_peaks(spark: S, d: str) -> DataFrame:
+    return seeds.peaks_3d_2d(_with_blocks(spark, d), ["bz", "bx"], 3, 5)
+
+
+@query(None)
+def decision_points_expanded(spark: S, d: str) -> DataFrame:
+    """Decision points after every voxel took its nearest segment, per slab of slices."""
+    v = vox(spark, d).where("label IN (0, 2, 3, 4)").select(F.floor(F.col("z") / 8).cast("string").alias("volume"), "z", "y", "x", "label")
+    return spatial.decision_points(spatial.expanded_candidates(v, (1, 1, 1), 4.0))
+
+
+CONFIG = traverse.Config(fov=(3, 3, 3), deltas=(1, 1, 1), min_size=3, boundary=(1, 1, 1))
+
+
+@query(None)
+def segment_all_standin(spark: S, d: str) -> DataFrame:
+    return traverse.segment(_with_blocks(spark, d).select("bz", "bx", "z", "y", "x", "value"), ["bz", "bx"], traverse.threshold_predictor(0.1, 20.0), CONFIG, 0.2)
+
+
+@query(None)
+def resegment_points(spark: S, d: str) -> DataFrame:
+    v = vox(spark, d)
+    points = spatial.decision_points(spatial.contacts(v).withColumn("dist", F.lit(1.0)))
+    return traverse.resegment(v.select("z", "y", "x", "value", "label"), points, (2, 4, 6), traverse.threshold_predictor(0.05, 20.0), CONFIG)
+
+
+@query(None)
+def warp_sections(spark: S, d: str) -> DataFrame:
+    """Elastic, affine and blurred slices one after another."""
+    v = vox(spark, d).select("z", "y", "x", "value")
+    for kind, strength in (("elastic", 1.5), ("affine", 0.05), ("focus", 1.0)):
+        v = augment.warp_slices(v, kind, 4, strength)
+    return v

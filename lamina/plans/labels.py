@@ -1 +1,78 @@
-"""Queries (to come)."""
+"""Queries over relabelling, components and graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.operators import labels
+from lamina.plans.base import EDGES, VOX, edges, table, vox
+from lamina.plans.registry import query
+
+S = SparkSession
+
+
+@query(f"WITH {VOX}, t AS (SELECT CAST(n_nationkey AS BIGINT) AS old_id, CAST(n_regionkey - 1 AS BIGINT) AS new_id FROM nation WHERE n_nationkey < 6) SELECT z, y, x, CASE WHEN new_id IS NULL OR new_id < 0 THEN label ELSE new_id END AS label FROM vox LEFT JOIN t ON label = old_id")
+def relabel_default(spark: S, d: str) -> DataFrame:
+    t = table(spark, d, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").cast("long").alias("old_id"), (F.col("n_regionkey") - 1).cast("long").alias("new_id"))
+    return labels.relabel(vox(spark, d), t).select("z", "y", "x", "label")
+
+
+@query(f"WITH {VOX}, t AS (SELECT CAST(n_regionkey AS INTEGER) AS volume, CAST(n_nationkey % 11 AS BIGINT) AS old_id, CAST(max(n_nationkey) + 100 AS BIGINT) AS new_id FROM nation GROUP BY 1, 2) SELECT z, y, x, coalesce(new_id, label) AS label FROM vox LEFT JOIN t ON label = old_id AND z % 5 = volume")
+def relabel_by_volume(spark: S, d: str) -> DataFrame:
+    t = table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("int").alias("volume"), (F.col("n_nationkey") % 11).cast("long").alias("old_id")).agg((F.max("n_nationkey") + 100).cast("long").alias("new_id"))
+    return labels.relabel(vox(spark, d).withColumn("volume", (F.col("z") % 5).cast("int")), t, ["volume"]).select("z", "y", "x", "label")
+
+
+@query(f"WITH {VOX}, t AS (SELECT label, row_number() OVER (ORDER BY label) AS n FROM (SELECT DISTINCT label * 7 % 23 AS label FROM vox WHERE label * 7 % 23 > 0)) SELECT z, y, x, coalesce(n, 0) AS label FROM (SELECT z, y, x, label * 7 % 23 AS label FROM vox) v LEFT JOIN t USING (label)")
+def make_contiguous(spark: S, d: str) -> DataFrame:
+    v = vox(spark, d).withColumn("label", F.col("label") * 7 % 23)
+    return labels.contiguous(v).select("z", "y", "x", "label")
+
+
+
+
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS u, dst AS v FROM edges WHERE (src + dst) % 5 = 0 UNION SELECT dst, src FROM edges WHERE (src + dst) % 5 = 0),
+reach(node, root) AS (SELECT u, u FROM b UNION SELECT b.v, reach.root FROM reach JOIN b ON b.u = reach.node)
+SELECT node, min(root) AS component FROM reach GROUP BY node""")
+def graph_components(spark: S, d: str) -> DataFrame:
+    return labels.components(edges(spark, d).where("(src + dst) % 5 = 0"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges),
+far(node, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT b.v, depth + 1 FROM far JOIN b ON b.u = far.node WHERE depth < 8),
+near AS (SELECT node, min(depth) AS depth FROM far GROUP BY node),
+path(node, depth) AS (SELECT node, depth FROM near WHERE node = 40 UNION ALL
+  SELECT (SELECT min(b.u) FROM b JOIN near n ON n.node = b.u WHERE b.v = path.node AND n.depth = path.depth - 1), depth - 1 FROM path WHERE depth > 0)
+SELECT depth AS step, node FROM path""")
+def graph_shortest_path(spark: S, d: str) -> DataFrame:
+    return labels.shortest_path(edges(spark, d), 3, 40)
+
+
+@query("WITH s AS (SELECT o_custkey AS sel, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders) SELECT CAST(node AS BIGINT) AS src, CAST(nxt AS BIGINT) AS dst FROM (SELECT node, lead(node) OVER (PARTITION BY sel ORDER BY pos) AS nxt FROM s) WHERE nxt IS NOT NULL")
+def merge_chain(spark: S, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("sel"), F.col("o_orderkey").cast("long").alias("pos"), F.col("o_orderkey").cast("long").alias("node"))
+    return labels.chain_edges(o)
+
+
+@query(f"WITH {EDGES} SELECT src, dst FROM edges WHERE (src % 3 = 0) = (dst % 3 = 0) AND NOT (src = 3 AND dst = 401)")
+def isolate_and_cut(spark: S, d: str) -> DataFrame:
+    """Edges that don't leave a set, less one."""
+    e = edges(spark, d)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).where("node % 3 = 0")
+    return labels.without_edge(labels.isolate(e, nodes), spark.createDataFrame([(401, 3)], "src long, dst long"))
+
+
+@query("""WITH c AS (SELECT CAST(user_id AS BIGINT) AS id, arg_max(event_type, event_id) AS cls FROM events GROUP BY 1)
+SELECT id, cls FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM c) WHERE n > 20 AND n <= 40""")
+def review_page(spark: S, d: str) -> DataFrame:
+    """The second page of objects with the last class given to each."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("long").alias("id"), F.col("event_type").alias("cls"), F.col("event_id").alias("seq"))
+    return labels.page(labels.last_class(e), 20, 1)
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def unfinished_corners(spark: S, d: str) -> DataFrame:
+    """Work whose result does not exist yet."""
+    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(done, "c_custkey", "left_anti").select(F.col("c_custkey").cast("long").alias("id"))
