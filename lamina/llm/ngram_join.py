@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from lamina.llm.common import SPACED_WORD, as_bytes, columns, drop, materialize, mix, release, shuffle_width, slices, word_hashes, word_spans
 
 ORDERS = 3
-#: Buckets of the document-frequency sketch.
-SKETCH = 1 << 15
+#: Buckets of the document-frequency sketch, and stripes that it is summed in.
+SKETCH, STRIPES = 1 << 21, 64
 #: Candidates per set in the first round; sets up to which it looks at a whole group; sets per block.
 PARTNERS, WHOLE, CHUNK = 4, 256, 2048
-#: 64-bit words of each bit map.
-MAP = 4
+#: 64-bit words of each prefix bit map; bits a token of the parity maps.
+MAP, NARROW, WIDE = 4, 1 / 3, 4
 U = np.uint64
 
 
@@ -103,23 +103,19 @@ def prefixes(tokens: np.ndarray, at: np.ndarray, level: np.ndarray, k: int, thre
     return tokens[order][keep], doc[keep]
 
 
-def bit_maps(tokens: np.ndarray, doc: np.ndarray, n_docs: int, parity: bool) -> np.ndarray:
-    """(n_docs, MAP) bit maps of tokens; parity: a token flips its bit, else it sets it."""
-    out = np.zeros((n_docs, MAP), U)
+def bit_maps(tokens: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """(n_docs, MAP) bit maps of tokens."""
     bit = mix(tokens ^ U(0x2545F4914F6CDD1D)) % U(64 * MAP)
-    flat = doc * (64 * MAP) + bit.astype(np.int64)
-    count = np.bincount(flat, minlength=n_docs * 64 * MAP).reshape(n_docs, MAP, 64)
-    on = (count % 2 if parity else count > 0).astype(bool)
-    out[:] = np.packbits(on, axis=2, bitorder="little").reshape(n_docs, MAP, 8).copy().view(U)[:, :, 0]
-    return out
+    on = np.bincount(doc * (64 * MAP) + bit.astype(np.int64), minlength=n_docs * 64 * MAP).reshape(n_docs, MAP, 64) > 0
+    return np.packbits(on, axis=2, bitorder="little").reshape(n_docs, MAP, 8).copy().view(U)[:, :, 0]
 
 
-def wide_maps(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Parity map of each set, of at least four bits a token; its size is a power of two."""
+def parity_maps(tokens: np.ndarray, at: np.ndarray, per_token: float) -> list[bytes]:
+    """Parity map of each set, of at least so many bits a token; its size is a power of two."""
     code = mix(tokens ^ U(0x9FB21C651E98DF25))
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        bits = 1 << max(8, (4 * (b - a) - 1).bit_length())
+        bits = 1 << max(8, (int(per_token * (b - a)) - 1).bit_length())
         on = np.bincount((code[a:b] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(on.astype(np.uint8), bitorder="little").tobytes())
     return out
@@ -139,45 +135,79 @@ def passing(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: t
     """Which pairs pass the size filter, the prefix filters of the further orders, and the parity filter."""
     most = most_differing(a["n"][i], a["n"][j], threshold)
     keep = np.flatnonzero(most >= 0)
-    for k in range(1, ORDERS):
+    for k in range(ORDERS - 1):
         m = a["maps"][:, k * MAP : (k + 1) * MAP]
         keep = keep[(m[i[keep]] & m[j[keep]]).any(1)]
-    m = a["maps"][:, :MAP]
-    differ = np.bitwise_count(m[i[keep]] ^ m[j[keep]]).sum(1)
+    # parity maps differ in size by a factor of two at most where the sizes of the sets fit
+    differ = np.zeros(len(keep), np.int64)
+    one, two = a["class"][i[keep]], a["class"][j[keep]]
+    for p, q in set(zip(one.tolist(), two.tolist())):
+        at = np.flatnonzero((one == p) & (two == q))
+        x, y = a["parity"][p][a["row"][i[keep[at]]]], a["parity"][q][a["row"][j[keep[at]]]]
+        least = min(x.shape[1], y.shape[1])
+        x, y = (np.bitwise_xor.reduce(m.reshape(len(m), -1, least), axis=1) for m in (x, y))
+        differ[at] = np.bitwise_count(x ^ y).sum(1)
     return keep[differ <= most[keep]]
 
 
+def unpacked(maps: pa.Array) -> dict:
+    """Prefix maps, and parity maps by size class with each row's class and place in it."""
+    buf, offs = as_bytes(maps)
+    head = (ORDERS - 1) * MAP * 8
+    size = np.diff(offs) - head
+    first = np.frombuffer(np.ascontiguousarray(buf[(offs[:-1, None] + np.arange(head)).ravel()]), U).reshape(len(size), -1)
+    classes, number = np.unique(size, return_inverse=True)
+    row, parity = np.zeros(len(size), np.int64), []
+    for c, w in enumerate(classes):
+        own = np.flatnonzero(number == c)
+        row[own] = np.arange(len(own))
+        parity.append(np.ascontiguousarray(buf[(offs[own, None] + head + np.arange(w)).ravel()]).view(U).reshape(len(own), -1))
+    return {"maps": first, "class": number, "row": row, "parity": parity}
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Rows (id, n, sid) of documents, and rows (bucket, freq) of the frequency sketch."""
+    """Rows (id, n, sid) of documents, and rows (stripe, counts) of each task's frequency sketch (counts of 255 or less)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = np.zeros(SKETCH, np.int64)
+        freq = np.zeros(SKETCH, np.uint8)
         kind = None
-        names = ["id", "n", "sid", "bucket", "freq"]
+        names = ["id", "n", "sid", "stripe", "counts"]
         for batch in batches:
             key, text = columns(batch, id_col, text_col)
             kind = key.type
             buf, offs = as_bytes(text)
             for a, b in slices(offs):
                 t, at = shingle_sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], words)
-                freq += np.bincount((t >> U(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
-                none = pa.nulls(b - a, pa.int64())
-                yield pa.RecordBatch.from_arrays([key.slice(a, b - a), pa.array(np.diff(at)), pa.array(set_ids(t, at).view(np.int64)), none, none], names=names)
-        on = np.flatnonzero(freq)
-        if len(on):
-            none = pa.nulls(len(on), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(on), kind), none, none, pa.array(on), pa.array(freq[on])], names=names)
+                on, more = np.unique((t >> U(40)).astype(np.int64) % SKETCH, return_counts=True)
+                freq[on] = np.minimum(freq[on] + more, 255)
+                yield pa.RecordBatch.from_arrays([key.slice(a, b - a), pa.array(np.diff(at)), pa.array(set_ids(t, at).view(np.int64)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
+        if kind is not None:
+            none = pa.nulls(STRIPES, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(STRIPES, kind), none, none, pa.array(np.arange(STRIPES, dtype=np.int32)), pa.array([x.tobytes() for x in freq.reshape(STRIPES, -1)], pa.binary())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sid long, bucket long, freq long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sid long, stripe int, counts binary")
 
 
 def _levels(sketch: DataFrame) -> np.ndarray:
-    """Frequency level by bucket: 0 up to twice the median count, then its binary logarithm. SKETCH rows at most."""
-    got = sketch.groupBy("bucket").agg(F.sum("freq").alias("freq")).toPandas()
-    freq = np.zeros(SKETCH)
-    freq[got["bucket"].to_numpy(int)] = got["freq"].to_numpy(float)
-    return np.floor(np.log2(np.maximum(freq / max(np.median(freq), 1), 1))).astype(np.int64)
+    """Frequency level by bucket: 0 up to twice the median count, then its binary logarithm. SKETCH bytes reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, c in zip(*(x.to_pylist() for x in batch.columns)):
+                total[s] = total.get(s, 0) + np.frombuffer(c, np.uint8).astype(np.int64)
+        # an eighth of a power of two is exact enough for an order
+        logs = {s: np.minimum(np.log2(x + 1.0) * 4, 255).astype(np.uint8).tobytes() for s, x in total.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(logs), pa.int32()), pa.array(list(logs.values()), pa.binary())], names=["stripe", "logs"])
+
+    n = min(STRIPES, shuffle_width(sketch.sparkSession))
+    got = sketch.repartition(n, "stripe").mapInArrow(run, "stripe int, logs binary").toPandas()
+    logs = np.zeros((STRIPES, SKETCH // STRIPES))
+    for s, x in zip(got["stripe"], got["logs"]):
+        logs[s] = np.frombuffer(x, np.uint8)
+    logs = logs.ravel() / 4
+    return np.maximum(np.floor(logs - np.median(logs)), 0).astype(np.uint8)
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: tuple[int, int], level: np.ndarray, n_parts: int) -> DataFrame:
@@ -194,12 +224,10 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
                 n, sid = np.diff(at), set_ids(t, at)
                 _, one = np.unique(sid, return_index=True)
                 one = one[n[one] > 0]
-                maps = [bit_maps(t, np.repeat(np.arange(len(n)), n), len(n), parity=True)]
-                for k in range(1, ORDERS):
-                    maps.append(bit_maps(*prefixes(t, at, sent.value, k, threshold), len(n), parity=False))
-                m = np.concatenate(maps, 1)[one]
+                m = np.concatenate([bit_maps(*prefixes(t, at, sent.value, k, threshold), len(n)) for k in range(1, ORDERS)], 1)
+                small, wide = parity_maps(t, at, NARROW), parity_maps(t, at, WIDE)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(one), pa.int32()), pa.array(sid[one].view(np.int64)), pa.array(n[one]), pa.array([r.tobytes() for r in m], pa.binary()), pa.array(wide_maps(t, at)).take(pa.array(one))], names=names
+                    [pa.nulls(len(one), pa.int32()), pa.array(sid[one].view(np.int64)), pa.array(n[one]), pa.array([m[x].tobytes() + small[x] for x in one], pa.binary()), pa.array([wide[x] for x in one], pa.binary())], names=names
                 )
                 tok, doc = prefixes(t, at, sent.value, 0, threshold)
                 chosen = np.zeros(len(n), bool)
@@ -290,8 +318,7 @@ def _candidates(members: DataFrame, threshold: tuple[int, int], final: bool) ->
         g = {k: table[k].to_numpy() for k in ("key", "side", "size", "n")}
         g["sid"] = table["sid"].to_numpy()
         g["comp"] = table["comp"].to_numpy() if final else g["sid"]
-        maps = table["maps"].combine_chunks()
-        g["maps"] = np.frombuffer(as_bytes(maps)[0], U).reshape(len(table), ORDERS * MAP)
+        g |= unpacked(table["maps"])
         order = np.lexsort((g["sid"], g["key"]))
         cuts = np.flatnonzero(np.diff(g["key"][order], prepend=g["key"][order[0]] - 1))
         found: list[np.ndarray] = []
@@ -418,8 +445,8 @@ def _components(docs: DataFrame, threshold: tuple[int, int], words: int, id_col:
     """((id, n, sid) per document, (node, comp) of sets that have links)."""
     spark = docs.sparkSession
     scanned, _ = materialize(_scan(docs, id_col, text_col, words), "scan")
-    level = _levels(scanned.where("bucket IS NOT NULL"))
-    meta = scanned.where("bucket IS NULL").select("id", "n", "sid")
+    level = _levels(scanned.where("stripe IS NOT NULL").select("stripe", "counts"))
+    meta = scanned.where("stripe IS NULL").select("id", "n", "sid")
     # about 16 MB of prefixes a part
     share = 1 - threshold[0] / threshold[1]
     total = meta.agg(F.sum(F.col("n") * share + 1)).first()[0] or 0
