@@ -35,8 +35,10 @@ LENGTH = 50
 #: Bytes hashed for a minimizer, and windows per substring at most.
 GRAM, RUN = 16, 64
 #: Bytes that the queues of one shard hold in memory.
-QUEUE_BYTES = 256 << 20
+QUEUE_BYTES = 64 << 20
 SLICE = 1 << 20
+#: Bytes of input for each shard; about a third as many are sorted in it at once.
+SHARD_BYTES = 4 << 20
 U = np.uint64
 
 
@@ -323,7 +325,7 @@ def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
         for batch in batches:
             ids, cids, text, dups = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_pylist()
             buf, offs = as_bytes(text)
-            for a, b in slices(offs, 4 * SLICE):
+            for a, b in slices(offs, 2 * SLICE):
                 own, o = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
                 h, doc, at, n = minimizers(own, o)
                 known = np.unique(np.frombuffer(b"".join(b"".join(d) for d in dups[a:b]), U))
@@ -366,43 +368,48 @@ def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _cuts(packed: DataFrame, n_shards: int) -> DataFrame:
+def _cuts_of(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One shard: (hash, off, n, low) of the runs to cut."""
+    buf = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
+    size = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).astype(np.int64)
+    code = np.frombuffer(b"".join(r[2] for r in rows), U)
+    low = np.frombuffer(b"".join(r[3] for r in rows), np.int64)
+    high = np.frombuffer(b"".join(r[4] for r in rows), np.int64)
+    at = np.cumsum(size) - size
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    lows, highs = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+    np.minimum.at(lows, number, low)
+    np.maximum.at(highs, number, high)
+    code, at, size = code[first], at[first], size[first]
+    start = np.cumsum(size) - size
+    own = buf[np.repeat(at - start, size) + np.arange(int(size.sum()))]
+    which, off, least = repeats((own, size), lows)
+    use = least < highs[which]
+    which, off, least = which[use], off[use], least[use]
+    order = np.lexsort((off, which))
+    which, off, least = which[order], off[order], least[order]
+    new = np.ones(len(which), bool)
+    new[1:] = (which[1:] != which[:-1]) | (off[1:] != off[:-1] + 1) | (least[1:] != least[:-1])
+    f = np.flatnonzero(new)
+    n = np.diff(np.append(f, len(which)))
+    return code[which[f]].view(np.int64), off[f].astype(np.int32), n.astype(np.int32), least[f]
+
+
+def _cuts(packed: DataFrame, n_parts: int) -> DataFrame:
     """(hash, off, n, low): runs of windows of a substring that an earlier document holds, and the earliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in columns(b, "bytes", "sizes", "hashes", "lows", "highs")))]
-        if not rows:
-            return
-        buf = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
-        size = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).astype(np.int64)
-        code = np.frombuffer(b"".join(r[2] for r in rows), U)
-        low = np.frombuffer(b"".join(r[3] for r in rows), np.int64)
-        high = np.frombuffer(b"".join(r[4] for r in rows), np.int64)
-        del rows
-        at = np.cumsum(size) - size
-        _, first, number = np.unique(code, return_index=True, return_inverse=True)
-        lows, highs = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
-        np.minimum.at(lows, number, low)
-        np.maximum.at(highs, number, high)
-        code, at, size = code[first], at[first], size[first]
-        start = np.cumsum(size) - size
-        own = buf[np.repeat(at - start, size) + np.arange(int(size.sum()))]
-        which, off, least = repeats((own, size), lows)
-        use = least < highs[which]
-        which, off, least = which[use], off[use], least[use]
-        order = np.lexsort((off, which))
-        which, off, least = which[order], off[order], least[order]
-        new = np.ones(len(which), bool)
-        new[1:] = (which[1:] != which[:-1]) | (off[1:] != off[:-1] + 1) | (least[1:] != least[:-1])
-        f = np.flatnonzero(new)
-        n = np.diff(np.append(f, len(which)))
-        for a in range(0, len(f), 50_000):
-            k = f[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code[which[k]].view(np.int64)), pa.array(off[k].astype(np.int32)), pa.array(n[a : a + 50_000].astype(np.int32)), pa.array(least[k])], names=["hash", "off", "n", "low"]
-            )
-
-    return packed.repartition(n_shards, "shard").mapInArrow(run, "hash long, off int, n int, low long")
+        shards: dict[int, list] = {}
+        for b in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in columns(b, "shard", "bytes", "sizes", "hashes", "lows", "highs"))):
+                shards.setdefault(shard, []).append(row)
+        while shards:
+            _, rows = shards.popitem()
+            code, off, n, low = _cuts_of(rows)
+            for a in range(0, len(code), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (code, off, n, low)], names=["hash", "off", "n", "low"])
+
+    return packed.repartition(n_parts, "shard").mapInArrow(run, "hash long, off int, n int, low long")
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -412,7 +419,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     meta, _ = materialize(own, "texts")
     firsts = meta.groupBy("cid").agg(F.min(F.col("id").cast("long")).alias("first"), F.max("n_bytes").alias("size"))
     total = meta.agg(F.sum("n_bytes")).first()[0] or 0
-    # about 16 MB of minimizers a part, and as much of substrings a shard
+    # about 16 MB of minimizers a part
     n_parts = int(max(shuffle_width(spark), total // 2 // (16 << 20) + 1))
     shared, at_shared = materialize(_shared(_anchors(docs, text_col, n_parts), n_parts), "shared")
     release(spark)
@@ -420,7 +427,8 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     wanted = firsts.where(F.col("first").isNotNull() & (F.col("size") >= LENGTH)).join(lists, "cid").select(F.col("first").alias("_first"), F.col("cid").alias("_cid"), "dups")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), _text(text_col).alias("_text"))
     chosen = texts.join(wanted, (F.col("_id") == F.col("_first")) & (F.xxhash64("_text") == F.col("_cid")))
-    subs, at_subs = materialize(_substrings(chosen.select("_id", "_cid", "_text", "dups"), n_parts), "substrings")
+    n_shards = int(max(n_parts, total // SHARD_BYTES + 1))
+    subs, at_subs = materialize(_substrings(chosen.select("_id", "_cid", "_text", "dups"), n_shards), "substrings")
     drop(spark, at_shared)
     release(spark)
     cuts = _cuts(subs.where("shard IS NOT NULL").select("shard", "bytes", "sizes", "hashes", "lows", "highs"), n_parts)
