@@ -288,7 +288,10 @@ def _anchors(docs: DataFrame, text_col: str, n_parts: int) -> DataFrame:
 
 
 def _shared(packed: DataFrame, n_parts: int) -> DataFrame:
-    """(cid, dups): the minimizers of each text that other texts hold too."""
+    """(bucket, cids, counts, dups): the minimizers of each text that other texts hold too, packed by bucket of texts.
+
+    A row holds one minimizer at least, so there are never more rows than shared minimizers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in columns(b, "anchors", "cids", "counts")))]
@@ -306,15 +309,40 @@ def _shared(packed: DataFrame, n_parts: int) -> DataFrame:
         tie[1:] = h[1:] == h[:-1]
         tie[:-1] |= tie[1:]
         h, cid = h[tie], cid[tie]
+        bucket = (mix(cid.view(U)) % U(n_parts)).astype(np.int64)
+        order = np.lexsort((cid, bucket))
+        h, cid, bucket = h[order], cid[order], bucket[order]
+        edge = np.searchsorted(bucket, np.arange(n_parts + 1))
+        got = []
+        for p in np.flatnonzero(np.diff(edge)):
+            texts, n = np.unique(cid[edge[p] : edge[p + 1]], return_counts=True)
+            got.append((p, texts.tobytes(), n.astype(np.uint32).tobytes(), h[edge[p] : edge[p + 1]].tobytes()))
+        if got:
+            cols = list(zip(*got))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "cids", "counts", "dups"])
+
+    return packed.repartition(n_parts, "part").mapInArrow(run, "bucket int, cids binary, counts binary, dups binary")
+
+
+def _lists(shared: DataFrame, n_parts: int) -> DataFrame:
+    """(cid, dups): one row per text, with all its shared minimizers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in columns(b, "cids", "counts", "dups")))]
+        if not rows:
+            return
+        cid = np.repeat(np.frombuffer(b"".join(r[0] for r in rows), np.int64), np.frombuffer(b"".join(r[1] for r in rows), np.uint32))
+        h = np.frombuffer(b"".join(r[2] for r in rows), U)
+        del rows
         order = np.argsort(cid, kind="stable")
         h, cid = h[order], cid[order]
-        cuts = np.flatnonzero(np.diff(cid, prepend=cid[0] - 1)) if len(cid) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(cid))
-        for a in range(0, len(cuts), 20_000):
-            data = [h[x:y].tobytes() for x, y in zip(cuts[a : a + 20_000].tolist(), ends[a : a + 20_000].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(cid[cuts[a : a + 20_000]]), pa.array(data, pa.binary())], names=["cid", "dups"])
+        cuts = np.append(np.flatnonzero(np.diff(cid, prepend=cid[0] - 1)), len(cid))
+        for a in range(0, len(cuts) - 1, 5_000):
+            some = cuts[a : a + 5_001].tolist()
+            data = [h[x:y].tobytes() for x, y in zip(some, some[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(cid[some[:-1]]), pa.array(data, pa.binary())], names=["cid", "dups"])
 
-    return packed.repartition(n_parts, "part").mapInArrow(run, "cid long, dups binary")
+    return shared.repartition(n_parts, "bucket").mapInArrow(run, "cid long, dups binary")
 
 
 def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
@@ -328,7 +356,7 @@ def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
             for a, b in slices(offs, 2 * SLICE):
                 own, o = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
                 h, doc, at, n = minimizers(own, o)
-                known = np.unique(np.frombuffer(b"".join(b"".join(d) for d in dups[a:b]), U))
+                known = np.unique(np.frombuffer(b"".join(dups[a:b]), U))
                 if not len(known) or not len(h):
                     continue
                 # a minimizer shared by one document of the slice is shared by all that hold it
@@ -423,7 +451,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     n_parts = int(max(shuffle_width(spark), total // 2 // (16 << 20) + 1))
     shared, at_shared = materialize(_shared(_anchors(docs, text_col, n_parts), n_parts), "shared")
     release(spark)
-    lists = shared.groupBy("cid").agg(F.collect_list("dups").alias("dups"))
+    lists = _lists(shared, n_parts)
     wanted = firsts.where(F.col("first").isNotNull() & (F.col("size") >= LENGTH)).join(lists, "cid").select(F.col("first").alias("_first"), F.col("cid").alias("_cid"), "dups")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), _text(text_col).alias("_text"))
     chosen = texts.join(wanted, (F.col("_id") == F.col("_first")) & (F.xxhash64("_text") == F.col("_cid")))
