@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import getpass
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,9 +46,16 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing reads any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let go of shuffle files that nothing reads any more; else they stay until the driver happens to collect its garbage.
+
+    The session holds on to its last query until the next one, and Python's references are given back by a
+    thread of their own: hence an empty query, and two rounds.
+    """
+    spark.range(0).collect()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:
