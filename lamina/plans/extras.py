@@ -117,9 +117,9 @@ def consensus_origins(spark: S, d: str) -> DataFrame:
     return o.join(left, "segment_id", "left_semi")
 
 
-@query(f"""WITH {VOX}, e AS (SELECT label AS id, count(*) AS size, count(*) FILTER (p AND q) AS both, count(*) FILTER (p OR q) AS any_, count(*) FILTER (p) AS np, count(*) FILTER (q) AS nq
+@query(f"""WITH {VOX}, e AS (SELECT label AS id, count(*) AS size, count(*) FILTER (p AND q) AS n_both, count(*) FILTER (p OR q) AS any_, count(*) FILTER (p) AS np, count(*) FILTER (q) AS nq
   FROM (SELECT label, value > 0.05 AS p, value > 0.08 AND x > 5 AS q FROM vox WHERE label > 0 AND z BETWEEN 2 AND 20) GROUP BY label)
-SELECT id, size, round(both / greatest(any_, 1), 9) AS iou, round(np / size, 9) AS consistency_a, round(nq / size, 9) AS consistency_b, CASE WHEN size < 1000 THEN 'incomplete' WHEN both = 0 THEN 'missing' ELSE 'ok' END AS status FROM e""")
+SELECT id, size, round(n_both / greatest(any_, 1), 9) AS iou, round(np / size, 9) AS consistency_a, round(nq / size, 9) AS consistency_b, CASE WHEN size < 1000 THEN 'incomplete' WHEN n_both = 0 THEN 'missing' ELSE 'ok' END AS status FROM e""")
 def pair_evaluation(spark: S, d: str) -> DataFrame:
     """Two re-segmentations of each segment in an analysis box: overlap, consistency, and a status instead of exceptions."""
     p, q = F.col("value") > 0.05, (F.col("value") > 0.08) & (F.col("x") > 5)
