@@ -8,6 +8,9 @@ bucket by bucket, and the S suffixes from those, through queues of (place) tuple
 QUEUE_BYTES. Neighbours in the suffix array whose common prefix is LENGTH bytes or more form groups; the
 smallest document of a group cuts the string out of all the others.
 
+A shard that one frequent minimizer (or a few) makes larger than LARGE_BYTES is not sorted in one task: its
+substrings, equal ones once, are cut into their windows, and those are grouped by their bytes on Spark.
+
 Two departures from textbook external induced sorting, as right results at this cost need them: the reduced
 problem is solved by doubling of block names instead of a further recursion, and the common prefix is
 compared on the text itself (up to LENGTH) instead of being carried through the queues.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import as_bytes, columns, drop, materialize, mix, release, shuffle_width, slices, word_hashes
@@ -39,6 +42,8 @@ QUEUE_BYTES = 64 << 20
 SLICE = 1 << 20
 #: Bytes of input for each shard; about a third as many are sorted in it at once.
 SHARD_BYTES = 4 << 20
+#: Bytes of substrings that one task sorts at most. Evenly dealt text makes up to 2.5 bytes of substrings of each byte of input, so only frequent minimizers exceed it.
+LARGE_BYTES = 12 << 20
 U = np.uint64
 
 
@@ -158,8 +163,9 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH, most: int = QUEUE_BYTES)
     seed[0] = False
     seed[t == 0] = True
     lms = np.flatnonzero(seed)
-    lms = lms[_order(text, lms, depth)]
     letters = int(t.max()) + 1
+    del t, rise, same, nxt, seed
+    lms = lms[_order(text, lms, depth)]
     # L suffixes from left-most S suffixes, from the smallest letter up
     queue, ends = Queue(most), np.searchsorted(text[lms], np.arange(letters + 1))
     low: dict[int, np.ndarray] = {}
@@ -347,7 +353,7 @@ def _lists(shared: DataFrame, n_parts: int) -> DataFrame:
 
 def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
     """From (id, cid, text, dups): rows (shard, packed substrings) and rows (hash, id, cid, at) of their occurrences."""
-    names = ["shard", "bytes", "sizes", "hashes", "lows", "highs", "hash", "id", "cid", "at"]
+    names = ["shard", "bytes", "sizes", "hashes", "lows", "highs", "total", "hash", "id", "cid", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,7 +375,7 @@ def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
                 who = ids[a:b][doc]
                 none = pa.nulls(len(h), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(h), pa.int32()), none, none, none, none, none, pa.array(code.view(np.int64)), pa.array(who), pa.array(cids[a:b][doc]), pa.array((at - o[doc]).astype(np.int32))], names=names
+                    [pa.nulls(len(h), pa.int32()), none, none, none, none, none, pa.nulls(len(h), pa.int64()), pa.array(code.view(np.int64)), pa.array(who), pa.array(cids[a:b][doc]), pa.array((at - o[doc]).astype(np.int32))], names=names
                 )
                 order = np.lexsort((who, code, shard))
                 code, shard, who, at, size = code[order], shard[order], who[order], at[order], size[order]
@@ -384,15 +390,15 @@ def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
                     x, y = edge[s], edge[s + 1]
                     start = np.cumsum(size[x:y]) - size[x:y]
                     src = np.repeat(at[x:y] - start, size[x:y]) + np.arange(int(size[x:y].sum()))
-                    rows.append((s, own[src].tobytes(), size[x:y].astype(np.uint8).tobytes(), code[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes()))
+                    rows.append((s, own[src].tobytes(), size[x:y].astype(np.uint8).tobytes(), code[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes(), len(src)))
                 if rows:
-                    cols = list(zip(*rows))
+                    *cols, total = zip(*rows)
                     k = len(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.int32())], names=names
+                        [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]], pa.array(total, pa.int64()), *[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.int32())], names=names
                     )
 
-    schema = "shard int, bytes binary, sizes binary, hashes binary, lows binary, highs binary, hash long, id long, cid long, at int"
+    schema = "shard int, bytes binary, sizes binary, hashes binary, lows binary, highs binary, total long, hash long, id long, cid long, at int"
     return texts.mapInArrow(run, schema)
 
 
@@ -440,6 +446,40 @@ def _cuts(packed: DataFrame, n_parts: int) -> DataFrame:
     return packed.repartition(n_parts, "shard").mapInArrow(run, "hash long, off int, n int, low long")
 
 
+def _by_size(packed: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of the shards that one task can sort, rows of the larger ones or None)."""
+    large = [r[0] for r in packed.groupBy("shard").agg(F.sum("total").alias("n")).where(F.col("n") > most).select("shard").collect()]
+    if not large:
+        return packed, None
+    return packed.where(~F.col("shard").isin(large)), packed.where(F.col("shard").isin(large))
+
+
+def _strings(packed: DataFrame) -> DataFrame:
+    """(hash, string, low, high): the distinct substrings of shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, sizes, hashes, lows, highs in zip(*(c.to_pylist() for c in columns(batch, "bytes", "sizes", "hashes", "lows", "highs"))):
+                ends = np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int64)).tolist()
+                strings = [data[a:b] for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, np.int64)), pa.array(strings, pa.binary()), *[pa.array(np.frombuffer(x, np.int64)) for x in (lows, highs)]], names=["hash", "string", "low", "high"])
+
+    rows = packed.select("bytes", "sizes", "hashes", "lows", "highs").mapInArrow(run, "hash long, string binary, low long, high long")
+    return rows.groupBy("hash").agg(F.first("string").alias("string"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _cuts_by_window(strings: DataFrame) -> DataFrame:
+    """What _cuts gives, for shards that no task can hold: equal windows meet by their bytes, counted before they are shuffled."""
+    places = F.expr(f"sequence(0, octet_length(string) - {LENGTH})")
+    windows = strings.select("hash", "string", "low", "high", F.explode(places).alias("off")).select(F.expr(f"substring(string, off + 1, {LENGTH})").alias("window"), "hash", "off", "low", "high")
+    least = windows.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("window", "least")
+    hits = windows.select("window", "hash", "off", "high").join(least, "window").where("least < high")
+    # windows that follow one another become runs again; a substring has RUN windows at most
+    rank = F.row_number().over(Window.partitionBy("hash", "least").orderBy("off"))
+    runs = hits.select("hash", "off", "least", (F.col("off") - rank).alias("run")).groupBy("hash", "least", "run").agg(F.min("off").alias("off"), F.count("*").cast("int").alias("n"))
+    return runs.select("hash", "off", "n", F.col("least").alias("low"))
+
+
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """((id, cid, n_bytes, sha, first id of the text) per row, (id, cid, runs of windows to cut) of first documents)."""
     spark = docs.sparkSession
@@ -459,11 +499,15 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     subs, at_subs = materialize(_substrings(chosen.select("_id", "_cid", "_text", "dups"), n_shards), "substrings")
     drop(spark, at_shared)
     release(spark)
-    cuts = _cuts(subs.where("shard IS NOT NULL").select("shard", "bytes", "sizes", "hashes", "lows", "highs"), n_parts)
+    fit, large = _by_size(subs.where("shard IS NOT NULL"), LARGE_BYTES)
+    cuts = _cuts(fit.select("shard", "bytes", "sizes", "hashes", "lows", "highs"), n_parts)
+    if large is not None:
+        strings, at_strings = materialize(_strings(large), "strings")
+        cuts = cuts.unionByName(_cuts_by_window(strings))
     places = subs.where("shard IS NULL").select("hash", "id", "cid", "at")
     hits = places.join(cuts, "hash").where(F.col("low") < F.col("id")).select("id", "cid", (F.col("at") + F.col("off")).alias("a"), (F.col("at") + F.col("off") + F.col("n") + LENGTH - 1).alias("b"))
     runs, _ = materialize(hits.groupBy("id", "cid").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
-    drop(spark, at_subs)
+    drop(spark, at_subs, *([at_strings] if large is not None else []))
     release(spark)
     named = meta.join(firsts.select("cid", "first"), "cid")
     return named, runs

@@ -340,6 +340,33 @@ def test_removals(spark, docs, odd, empty):
     assert suffix_dedup.removals(empty).count() == 0
 
 
+def test_removals_frequent_phrase(spark, odd, monkeypatch):
+    """One phrase in all texts with other surroundings: its shard is too large for a task and is split, with the same result."""
+    from lamina.llm import suffix_dedup
+
+    rng = np.random.default_rng(7)
+    noise = lambda: bytes(rng.integers(97, 123, 60).astype(np.uint8)).decode()
+    rows = [(d, noise() + " a phrase that all of them hold " + noise()) for d in range(300)]
+    rows += [(d, noise() + rows[d - 300][1][40:120] + noise()) for d in range(300, 330)]
+    most, seen = 5_000, []
+    split = suffix_dedup._by_size
+
+    def spy(packed, limit):
+        fit, large = split(packed, limit)
+        sizes = lambda df: [r[0] for r in df.groupBy("shard").agg(suffix_dedup.F.sum("total")).select("sum(total)").collect()]
+        seen.append((max(sizes(fit), default=0), sizes(large)))
+        return fit, large
+
+    monkeypatch.setattr(suffix_dedup, "_by_size", spy)
+    monkeypatch.setattr(suffix_dedup, "LARGE_BYTES", most)
+    got = suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert rows_of(got) == sorted(brute.removals(rows), key=str)
+    assert seen[0][0] <= most and seen[0][1]
+    # all shards by windows
+    monkeypatch.setattr(suffix_dedup, "LARGE_BYTES", 0)
+    assert rows_of(suffix_dedup.removals(odd)) == sorted(brute.removals(plain(odd)), key=str)
+
+
 def test_cut_texts(spark, odd):
     from lamina.llm import suffix_dedup
 
