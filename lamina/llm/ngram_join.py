@@ -166,27 +166,27 @@ def unpacked(maps: pa.Array) -> dict:
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Rows (id, n, sid) of documents, and rows (stripe, counts) of each task's frequency sketch (counts of 255 or less)."""
+    """Rows (id, n, sid, cid: a hash of the text) of documents, and rows (stripe, counts) of each task's frequency sketch (counts of 255 or less)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = np.zeros(SKETCH, np.uint8)
         kind = None
-        names = ["id", "n", "sid", "stripe", "counts"]
+        names = ["id", "n", "sid", "cid", "stripe", "counts"]
         for batch in batches:
-            key, text = columns(batch, id_col, text_col)
+            key, text, cid = batch.columns
             kind = key.type
             buf, offs = as_bytes(text)
             for a, b in slices(offs):
                 t, at = shingle_sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], words)
                 on, more = np.unique((t >> U(40)).astype(np.int64) % SKETCH, return_counts=True)
                 freq[on] = np.minimum(freq[on] + more, 255)
-                yield pa.RecordBatch.from_arrays([key.slice(a, b - a), pa.array(np.diff(at)), pa.array(set_ids(t, at).view(np.int64)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([key.slice(a, b - a), pa.array(np.diff(at)), pa.array(set_ids(t, at).view(np.int64)), cid.slice(a, b - a), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names=names)
         if kind is not None:
             none = pa.nulls(STRIPES, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(STRIPES, kind), none, none, pa.array(np.arange(STRIPES, dtype=np.int32)), pa.array([x.tobytes() for x in freq.reshape(STRIPES, -1)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(STRIPES, kind), none, none, none, pa.array(np.arange(STRIPES, dtype=np.int32)), pa.array([x.tobytes() for x in freq.reshape(STRIPES, -1)], pa.binary())], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, sid long, stripe int, counts binary")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, n long, sid long, cid long, stripe int, counts binary")
 
 
 def _levels(sketch: DataFrame) -> np.ndarray:
@@ -442,11 +442,11 @@ def connect(links: DataFrame) -> DataFrame:
 
 
 def _components(docs: DataFrame, threshold: tuple[int, int], words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """((id, n, sid) per document, (node, comp) of sets that have links)."""
+    """((id, n, sid, cid) per document, (node, comp) of sets that have links)."""
     spark = docs.sparkSession
     scanned, _ = materialize(_scan(docs, id_col, text_col, words), "scan")
     level = _levels(scanned.where("stripe IS NOT NULL").select("stripe", "counts"))
-    meta = scanned.where("stripe IS NULL").select("id", "n", "sid")
+    meta = scanned.where("stripe IS NULL").select("id", "n", "sid", "cid")
     # about 16 MB of prefixes a part
     share = 1 - threshold[0] / threshold[1]
     total = meta.agg(F.sum(F.col("n") * share + 1)).first()[0] or 0
@@ -493,10 +493,21 @@ def components(docs: DataFrame, threshold: tuple[int, int] = (80, 100), words: i
 
 
 def keep_first(docs: DataFrame, threshold: tuple[int, int] = (80, 100), words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the smallest id of each component, with all its columns; of repeated ids in one component, one row stays."""
-    groups = components(docs, threshold, words, id_col, text_col)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    stay = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    # rows of one id: the join has brought them together already
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return stay.withColumn("_rank_in_id", rank).where(F.col("_rank_in_id") == 1).drop("_rank_in_id")
+    """One row of each component, with all its columns: the first by id (nulls last) and text. Rows without shingles all stay.
+
+    Rows are told apart by id and text, so a null or repeated id loses only the rows that are not first in their component.
+    """
+    meta, comps = _components(docs, threshold, words, id_col, text_col)
+    own = meta.where("n > 0").join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("id", "cid", F.coalesce("comp", "sid").alias("comp"))
+    first = own.groupBy("comp").agg(F.min("id").alias("first"))
+    best = own.join(first, "comp").where(F.col("id").eqNullSafe(F.col("first")))
+    best = best.groupBy("comp", "id", "cid").agg(F.count("*").alias("rows"))
+    several = best.groupBy("comp").agg((F.sum("rows") > 1).alias("several"))
+    keys, _ = materialize(best.join(several, "comp").select(F.col("comp").alias("_comp"), F.col("id").alias("_id"), F.col("cid").alias("_cid"), "several"), "firsts")
+    at = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_cid"))
+    bare = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x09-\x0d\x20]")
+    alone = docs.where(~bare).join(keys.where("NOT several").select("_id", "_cid"), at, "left_semi")
+    # only where rows of a component share the first id, or none has an id, their texts decide
+    rank = F.row_number().over(Window.partitionBy("_comp").orderBy(text_col))
+    tied = docs.where(~bare).join(keys.where("several").select("_comp", "_id", "_cid"), at).withColumn("_rank", rank).where("_rank = 1")
+    return docs.where(bare).unionByName(alone).unionByName(tied.select(docs.columns))

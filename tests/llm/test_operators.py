@@ -216,6 +216,25 @@ def test_keep_first(spark, odd):
     assert sorted(ids, key=str) == sorted({d for d, _ in brute.ODD} - {5}, key=str)
 
 
+def test_keep_first_by_row(spark):
+    """Null and repeated ids lose only the rows that are not first in their component."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [
+        (1, a), (None, a + " more"),  # a copy without an id goes
+        (None, b), (None, b + " z"), (None, b),  # no row of these has an id: the first text stays
+        (7, c), (7, d), (7, "one more text that is not like any other of them"),  # unlike texts under one id stay
+        (3, c + " y"),  # the smaller id wins; the other rows of 7 stay
+        (8, "said twice under one id and so it stays only once"), (8, "said twice under one id and so it stays only once"),
+        (None, None), (None, ""), (None, " \t"), (9, None), (9, ""),  # no shingles: all stay
+    ]
+    got = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), (80, 100), 5)
+    gone = [(None, a + " more"), (None, b), (None, b + " z"), (7, c), (8, rows[9][1])]
+    want = list(rows)
+    for r in gone:
+        want.remove(r)
+    assert rows_of(got) == sorted(want, key=str)
+
+
 # ---------------------------------------------------------------- toxicity
 
 
