@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -57,12 +58,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             return labels
 
 
-def shortest_path(edges: DataFrame, start: int, goal: int, most: int = 64) -> DataFrame:
-    """(step, node) of one shortest path: breadth-first rounds keep one parent per node, the smallest."""
+def shortest_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
+    """(step, node) of one shortest path: breadth-first rounds keep one parent per node, the smallest, and end at the goal or where no new node is left."""
     spark = edges.sparkSession
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct()
     seen = kept(spark.createDataFrame([(start, None, 0)], "node long, parent long, depth int"), "front")
-    for depth in range(1, most + 1):
+    for depth in count(1):
         if not seen.where(F.col("node") == goal).isEmpty():
             break
         front = seen.where(F.col("depth") == depth - 1).select(F.col("node").alias("u"))

@@ -34,7 +34,6 @@ class Config:
     boundary: tuple[int, int, int] = (1, 1, 1)
     #: Share of moved-to voxels above which new voxels may not start below one half (0: always).
     disconnected: float = 0.0
-    max_iterations: int = 10_000
 
 
 def threshold_predictor(level: float, gain: float = 8.0) -> Predictor:
@@ -105,11 +104,11 @@ class Canvas:
         return new
 
     def segment_at(self, start: tuple[int, int, int]) -> int:
-        """Grow one object first in, first out; a start whose logit has fallen below the threshold ends it (unvisited ones don't)."""
+        """Grow one object first in, first out, until no position is left (lattice cells are finite); a start whose logit has fallen below the threshold ends it (unvisited ones don't)."""
         self.logits[:] = np.nan
         self.logits[start] = _logit(self.c.init)
         todo, seen, n = deque([start]), set(), 0
-        while todo and n < self.c.max_iterations:
+        while todo:
             if not np.isnan(self.logits[start]) and self.logits[start] < _logit(self.c.move):
                 self.count("seed-got-too-weak")
                 break

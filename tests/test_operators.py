@@ -256,3 +256,16 @@ def test_progress_state(spark, tmp_path):
     out = counters.progress(counters.read_events(spark, folder, rows.schema))
     counters.run_once(out, "progress1", check, "update")
     assert sorted(map(tuple, spark.sql("SELECT * FROM progress1").collect())) == [("c0", 5, 2), ("c1", 2, 1)]
+
+
+def test_growth_has_no_cap():
+    """An object of more than 10,000 positions is grown to its end."""
+    image = np.random.default_rng(0).uniform(0.8, 1, (40, 40, 40))
+    canvas = traverse.Canvas(image, traverse.threshold_predictor(0.5), traverse.Config(fov=(3, 3, 3)))
+    assert canvas.segment_at((20, 20, 20)) > 10_000
+
+
+def test_shortest_path_beyond_64_steps(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(66)], "src long, dst long").coalesce(1)
+    got = sorted(tuple(r) for r in labels.shortest_path(edges, 0, 66).collect())
+    assert got == [(k, k) for k in range(67)]
