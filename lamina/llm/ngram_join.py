@@ -219,17 +219,21 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
         for batch in batches:
             (text,) = columns(batch, text_col)
             buf, offs = as_bytes(text)
-            for a, b in slices(offs, 16 << 20):
+            for a, b in slices(offs):
                 t, at = shingle_sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], words)
                 n, sid = np.diff(at), set_ids(t, at)
                 _, one = np.unique(sid, return_index=True)
                 one = one[n[one] > 0]
-                m = np.concatenate([bit_maps(*prefixes(t, at, sent.value, k, threshold), len(n)) for k in range(1, ORDERS)], 1)
+                m = np.empty((len(n), (ORDERS - 1) * MAP), U)
+                for k in range(1, ORDERS):  # one order at a time: its arrays are as long as the tokens
+                    m[:, (k - 1) * MAP : k * MAP] = bit_maps(*prefixes(t, at, sent.value, k, threshold), len(n))
                 small, wide = parity_maps(t, at, NARROW), parity_maps(t, at, WIDE)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(len(one), pa.int32()), pa.array(sid[one].view(np.int64)), pa.array(n[one]), pa.array([m[x].tobytes() + small[x] for x in one], pa.binary()), pa.array([wide[x] for x in one], pa.binary())], names=names
                 )
+                del m, small, wide
                 tok, doc = prefixes(t, at, sent.value, 0, threshold)
+                del t
                 chosen = np.zeros(len(n), bool)
                 chosen[one] = True
                 tok, doc = tok[chosen[doc]], doc[chosen[doc]]
@@ -237,6 +241,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
                 order = np.argsort(part, kind="stable")
                 pairs = np.stack((tok[order], sid[doc[order]]), 1)
                 edge = np.searchsorted(part[order], np.arange(n_parts + 1))
+                del tok, doc, part, order
                 on = np.flatnonzero(np.diff(edge))
                 none = pa.nulls(len(on), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), none, none, pa.array([pairs[edge[p] : edge[p + 1]].tobytes() for p in on], pa.binary()), pa.nulls(len(on), pa.binary())], names=names)
