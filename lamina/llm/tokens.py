@@ -1,14 +1,16 @@
 """BPE encoding and decoding by content-defined chunks that are encoded once and reused.
 
-A rolling hash over the last bytes before a joint picks chunk ends, so equal passages fall into equal
-chunks whatever stands before them. Joints are places of letter, space, letter (ASCII): the pre-tokenizer
-starts a new piece there. Each distinct chunk is encoded by the library once per worker and kept in a
-bounded table. Then each joint between chunks is tested by encoding the two pieces that touch there
-together (one test per kind of joint: the letters that touch decide it); if the ids don't agree with the parts, both chunks are joined and encoded anew, until they do.
+A rolling hash over the last bytes picks chunk ends at any character, so equal passages fall into equal chunks
+whatever stands before them, and a cut may part a word, a number or a run of spaces. Each distinct chunk is
+encoded once per worker and kept in a bounded table. Then every joint is repaired: from the last piece of
+the left chunk that nothing to the right can change, pieces are cut anew across the joint until one ends where
+a piece of the right chunk ends as well; what lies between is encoded anew. The look to the right doubles until
+that happens; if it never does, both chunks become one. From such a place on the right chunk's own ids
+hold, as the pre-tokenizer never looks back; it looks ahead by LOOK characters at most.
 
 Ids equal those of the tokenizers library on the whole text with add_special_tokens=False.
 Defined cases: a null text counts as empty (no ids, empty decoded text); repeated rows each get a result;
-a text without joints is one chunk; other columns are ignored.
+a text that holds a special token is one chunk; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,23 +18,26 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
-from lamina.llm.common import as_bytes, columns, mix, slices, table_of
+from lamina.llm.common import as_bytes, columns, mix, slices
 
-#: One joint in 2**MASK_BITS ends a chunk.
-MASK_BITS = 5
-#: Bytes before a joint that the rolling hash sees.
-ROLL = 4
-#: Chunks that a worker keeps; then it starts anew.
-KEPT = 100_000
+#: One place in 2**MASK_BITS ends a chunk.
+MASK_BITS = 8
+#: Bytes before a place that the rolling hash sees.
+ROLL = 8
+#: Chunks, and repaired joints, that a worker keeps; then it starts anew.
+KEPT = 60_000
+#: Characters after a piece that can decide its end; characters right of a joint that are looked at first.
+LOOK, FIRST = 3, 24
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LETTER = table_of((0x41, 0x5A), (0x61, 0x7A))
 SLICE = 2 << 20
 
 
@@ -56,13 +61,26 @@ def encoding(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@dataclass(slots=True)
+class Chunk:
+    """A text and its ids; tail: its end from the last piece that starts LOOK characters before the end or earlier."""
+
+    text: str
+    ids: np.ndarray
+    tail_at: int
+    tail: str
+    tail_size: int
+
+
 class Codec:
-    """Encodes and decodes with a bounded table of chunks."""
+    """Encodes and decodes with bounded tables of chunks and joints."""
 
     def __init__(self, path: str, kept: int = KEPT, mask_bits: int = MASK_BITS):
         self.t, self.kept, self.mask = encoding(path), kept, np.uint64((1 << mask_bits) - 1)
         self.special = sorted(self.t.special_tokens_set)
-        self.chunks: dict[bytes, np.ndarray] = {}
+        self.pieces = regex.compile(PATTERN)
+        self.chunks: dict[bytes, Chunk] = {}
+        self.joints: dict[tuple[str, str], tuple | None] = {}
         number = [b"%d," % i for i in range(self.t.n_vocab)]
         self.size = np.array([len(x) for x in number])
         self.flat = np.frombuffer(b"".join(number), np.uint8)
@@ -74,66 +92,109 @@ class Codec:
         return self.t.encode_ordinary(text)
 
     def cuts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Sorted chunk starts: those of the documents, and the spaces at chosen joints."""
+        """Sorted chunk starts: those of the documents, and the characters that the rolling hash chooses."""
         n = len(buf)
-        joint = np.zeros(n, bool)
-        if n > 2:
-            letter = LETTER[buf]
-            joint[1:-1] = (buf[1:-1] == 32) & letter[:-2] & letter[2:]
-        at = np.flatnonzero(joint)
-        doc = np.searchsorted(offs, at, "right") - 1
-        at = at[(at > offs[doc]) & (at + 1 < offs[doc + 1])]
-        if self.mask:
-            roll = np.zeros(len(at), np.uint64)
-            for k in range(1, ROLL + 1):
-                roll = roll * np.uint64(0x100000001B3) + buf[np.maximum(at - k, 0)]
-            at = at[(mix(roll) & self.mask) == 0]
-        return np.sort(np.concatenate((at, offs[:-1][offs[:-1] < offs[1:]])), kind="stable")
-
-    def agree(self, left: bytes, right: bytes) -> bool:
-        """Whether the pieces on both sides of a joint encode together as they do apart."""
-        a, b = left[max(left.rfind(b" "), 0) :].decode(), right[: right.find(b" ", 1) if b" " in right[1:] else len(right)].decode()
-        return self.ids(a + b) == self.ids(a) + self.ids(b)
+        roll = np.zeros(n, np.uint64)
+        for k in range(1, min(ROLL, n - 1) + 1):
+            roll[k:] += (buf[: n - k].astype(np.uint64) + np.uint64(1)) * np.uint64(0x100000001B3**k % (1 << 64))
+        # bytes 0x80 to 0xBF go on with a character
+        at = np.flatnonzero(((mix(roll) & self.mask) == 0) & ((buf & 0xC0) != 0x80))
+        held = [x.encode() for x in self.special]
+        data = buf.tobytes()
+        if any(x in data for x in held):
+            whole = np.array([any(x in data[a:b] for x in held) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())])
+            at = at[~whole[np.searchsorted(offs, at, "right") - 1]]
+        return np.unique(np.concatenate((at, offs[:-1][offs[:-1] < offs[1:]])))
+
+    def chunk(self, text: str) -> Chunk:
+        """Encode a text that starts at the start of a piece."""
+        last = 0
+        for m in self.pieces.finditer(text):
+            if m.start() > len(text) - LOOK:
+                break
+            last = m.start()
+        ids = self.ids(text)
+        return Chunk(text, np.array(ids, np.int32), last, text[last:], len(self.ids(text[last:])) if last else len(ids))
+
+    def known(self, data: bytes) -> Chunk:
+        got = self.chunks.get(data)
+        if got is None:
+            got = self.chunk(data.decode())
+            if len(self.chunks) >= self.kept:
+                self.chunks.clear()
+            self.chunks[data] = got
+        return got
+
+    def joint(self, tail: str, right: str) -> tuple[int, int, list[int]] | None:
+        """(characters and ids of the right chunk that are replaced, new ids from the tail on); None if the two never agree."""
+        look = FIRST
+        while True:
+            head = right[:look]
+            key = (tail, head)
+            if key not in self.joints:
+                if len(self.joints) >= self.kept:
+                    self.joints.clear()
+                self.joints[key] = self._agreement(tail, head)
+            got = self.joints[key]
+            if got is not None or len(head) == len(right):
+                return got
+            look *= 2
+
+    def _agreement(self, tail: str, head: str) -> tuple[int, int, list[int]] | None:
+        n, most = len(tail), len(head) - LOOK
+        own, ends = [0], {0: 0}  # ends of the right chunk's pieces, by their number
+        for m in self.pieces.finditer(head):
+            if m.end() > most:
+                break
+            own.append(m.end())
+            ends[m.end()] = len(own) - 1
+        both, text = [], tail + head
+        for m in self.pieces.finditer(text):
+            p = m.end() - n
+            if p > most:
+                return None
+            both.append((m.start(), m.end()))
+            if p in ends:
+                new = [i for a, b in both for i in self.t.encode_ordinary(text[a:b])]
+                gone = sum(len(self.t.encode_ordinary(head[a:b])) for a, b in zip(own[: ends[p]], own[1:]))
+                return p, gone, new
+        return None
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets per document)."""
         data = buf.tobytes()
         starts = self.cuts(buf, offs)
-        parts = [data[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(data)])]
         first = offs[np.searchsorted(offs, starts)] == starts if len(starts) else np.zeros(0, bool)
-        if len(self.chunks) > self.kept:
-            self.chunks.clear()
-        got: list[np.ndarray] = []
-        for p, f in zip(parts, first.tolist()):
-            ids = self.chunks.get(p)
-            if ids is None:
-                ids = np.array(self.ids(p.decode()), np.int32)
-                if len(self.chunks) <= self.kept:
-                    self.chunks[p] = ids
-            got.append(ids)
-        for i in self.disagreeing(parts, starts, first):
-            # re-encode both chunks as one; the left one is then empty
-            parts[i - 1], parts[i] = b"", parts[i - 1] + parts[i]
-            got[i - 1], got[i] = np.zeros(0, np.int32), np.array(self.ids((parts[i]).decode()), np.int32)
-        ids = np.concatenate(got) if got else np.zeros(0, np.int32)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        doc = np.searchsorted(offs, starts, "right") - 1
-        per = np.bincount(doc, weights=size, minlength=len(offs) - 1).astype(np.int64)
+        out: list[np.ndarray] = []
+        doc_sizes: list[int] = []
+        left: Chunk | None = None
+        for a, b, begins in zip(starts.tolist(), [*starts[1:].tolist(), len(data)], first.tolist()):
+            right = self.known(data[a:b])
+            if begins:
+                doc_sizes.append(0)
+                out.append(right.ids)
+                doc_sizes[-1] += len(right.ids)
+                left = right
+                continue
+            found = self.joint(left.tail, right.text)
+            doc_sizes[-1] -= left.tail_size
+            out[-1] = out[-1][: len(out[-1]) - left.tail_size]
+            if found is None or right.tail_at < found[0]:
+                # no piece ends in both, or none is left from which to go on: one chunk of both
+                left = self.chunk(left.tail + right.text)
+                out.append(left.ids)
+                doc_sizes[-1] += len(left.ids)
+                continue
+            _, gone, new = found
+            out.append(np.array(new, np.int32))
+            out.append(right.ids[gone:])
+            doc_sizes[-1] += len(new) + len(right.ids) - gone
+            left = right
+        ids = np.concatenate(out) if out else np.zeros(0, np.int32)
+        per = np.zeros(len(offs) - 1, np.int64)
+        per[np.flatnonzero(np.diff(offs) > 0)] = doc_sizes
         return ids, np.concatenate(([0], np.cumsum(per)))
 
-    def disagreeing(self, parts: list[bytes], starts: np.ndarray, first: np.ndarray) -> list[int]:
-        """Chunks, in order, whose joint with the one before doesn't hold; each distinct pair of pieces is tested once."""
-        seen: dict[bytes, bool] = {}
-        out = []
-        for i in np.flatnonzero(~first).tolist():
-            a, b = parts[i - 1][-8:], parts[i][:8]
-            key = a[a.rfind(b" ") + 1 :][-1:] + b"\0" + b[:2]
-            if key not in seen:
-                seen[key] = self.agree(parts[i - 1], parts[i])
-            if not seen[key]:
-                out.append(i)
-        return out
-
     def joined(self, ids: np.ndarray) -> bytes:
         """Decimal ids, each followed by a comma."""
         n = self.size[ids]
