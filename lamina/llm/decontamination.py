@@ -2,13 +2,15 @@
 
 Each slice of documents is a shard: its words become numbers, the suffixes that can match a benchmark
 text at all are sorted into a suffix array, and every benchmark suffix is binary-searched in it. That
-yields the longest verbatim match (up to `window` words; shorter ones than any window are left out),
-and all its places.
+yields the suffixes that share its first `window` words; each such match is then followed to its end along the
+texts, so matches have their whole length, however long, and all their places. Matches shorter than any window are left out.
 
 A window is `window` consecutive words of a benchmark item; an item of fewer words, but not none, is one
-window. A document word is hit if it lies in any occurrence of a window.
+window. A document word is hit if it lies in any occurrence of a window: the whole matches cover just these words.
 
-Benchmark texts go to the tasks in blocks of at most BLOCK_BYTES; a larger benchmark takes more passes.
+Benchmark texts go to the tasks in blocks of at most BLOCK_BYTES (a longer item is a block of its own), one after
+another: a larger benchmark takes more passes, and the driver and the tasks hold one block at a time.
+Words are told apart by 64-bit hashes within a block and a shard; equal hashes of different words are not looked for.
 Defined cases: null and empty texts have no words and no hits; repeated rows each get their own result;
 an empty benchmark hits nothing; further columns are ignored (or passed on by the filter).
 """
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +143,29 @@ def match(buf: np.ndarray, offs: np.ndarray, block: Block) -> dict[str, np.ndarr
     n = (hi - lo)[found]
     where = array.at[np.repeat(lo[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     q = np.repeat(found, n)
-    return out | {"doc": doc[where], "at": where - first[doc[where]], "q": q, "size": block.need[q], "longest": depth}
+    whole = _followed(where, q, block.need[q])
+    np.maximum.at(depth, q, whole)
+    return out | {"doc": doc[where], "at": where - first[doc[where]], "q": q, "size": whole, "longest": depth}
+
+
+def _followed(where: np.ndarray, q: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Words of each whole match: windows that follow one another in the text as in the item are one match."""
+    order = np.lexsort((q, where - q))
+    w, i = where[order], q[order]
+    on = np.zeros(len(w), bool)  # the next window belongs to the same match
+    on[:-1] = (w[1:] == w[:-1] + 1) & (i[1:] == i[:-1] + 1)
+    out = np.empty(len(w), np.int64)
+    out[order] = need[order] + np.where(on, _runs(on), 0)
+    return out
+
+
+def _maximal(m: dict[str, np.ndarray]) -> np.ndarray:
+    """Numbers of the matches that are not the rest of a longer one."""
+    order = np.lexsort((m["at"], m["q"] - m["at"], m["doc"]))
+    doc, at, q = (m[k][order] for k in ("doc", "at", "q"))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (q[1:] != q[:-1] + 1)
+    return order[new]
 
 
 def _summaries(m: dict[str, np.ndarray], block: Block) -> tuple[list[bytes], list[list[str]]]:
@@ -148,15 +173,16 @@ def _summaries(m: dict[str, np.ndarray], block: Block) -> tuple[list[bytes], lis
     n_docs = len(m["n_words"])
     runs: list[bytes] = [b""] * n_docs
     items: list[list[str]] = [[] for _ in range(n_docs)]
-    order = np.lexsort((m["at"], m["doc"]))
-    doc, at, end = m["doc"][order], m["at"][order], (m["at"] + m["size"])[order]
+    top = _maximal(m)
+    order = top[np.lexsort((m["at"][top], m["doc"][top]))]
+    doc, at, end, item = m["doc"][order], m["at"][order], (m["at"] + m["size"])[order], block.item_of[m["q"][order]]
     cuts = np.flatnonzero(np.diff(doc, prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(doc)]):
         e = np.maximum.accumulate(end[a:b])
         new = np.concatenate(([True], at[a + 1 : b] > e[:-1]))
         s = np.flatnonzero(new)
         runs[doc[a]] = np.stack((at[a:b][s], e[np.append(s[1:] - 1, b - a - 1)]), 1).astype(np.int32).tobytes()
-        items[doc[a]] = sorted({str(block.items[x]) for x in np.unique(block.item_of[m["q"][order][a:b]])})
+        items[doc[a]] = sorted({str(block.items[x]) for x in np.unique(item[a:b])})
     return runs, items
 
 
@@ -177,53 +203,89 @@ def _digest(n_words: int, run: bytes | list[bytes], items: list[str]) -> tuple[i
     return n_words, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= n_words
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> Iterator[tuple[list[str], list[str | None]]]:
-    """The query set in blocks of bounded size; an item is in one block."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int = BLOCK_BYTES) -> Iterator[tuple[Broadcast, int]]:
+    """(block, number of blocks): the query set as broadcast blocks of bounded size, one at a time: each is given back before the next is made. An item is in one block."""
+    sc = benchmark.sparkSession.sparkContext
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 64
     total = benchmark.agg(F.sum(size)).first()[0] or 0
     n = 1 + 2 * int(total // most)
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(n))
     for k in range(n):
         got = benchmark.where(part == k).select(F.col(id_col).cast("string"), text_col).orderBy(id_col, text_col).toArrow()
-        yield got.column(0).to_pylist(), got.column(1).to_pylist()
+        sent = sc.broadcast(build_block(got.column(0).to_pylist(), got.column(1).to_pylist(), window))
+        yield sent, n
+        if n > 1:
+            sent.destroy()
 
 
 SCHEMA = "n_words long, runs binary, items array<string>"
 
 
+def _pass(docs: DataFrame, sent: Broadcast, text_col: str) -> DataFrame:
+    """The columns beside the text, n_words, packed hit runs and items of one block."""
+    others = [f for f in docs.schema if f.name != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (text,) = columns(batch, text_col)
+            buf, offs = as_bytes(text)
+            for a, b in slices(offs, SLICE):
+                m = match(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], sent.value)
+                runs, items = _summaries(m, sent.value)
+                kept = [batch.column(k).slice(a, b - a) for k, n in enumerate(batch.schema.names) if n != text_col]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(m["n_words"]), pa.array(runs, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[f.name for f in others] + ["n_words", "runs", "items"])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), SCHEMA]))
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, key_cols: list[str], text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: the key columns, n_words, runs (list of packed hit runs) and items."""
-    spark, passes = docs.sparkSession, []
-    query = [build_block(i, t, window) for i, t in blocks(benchmark, item_col, text_col, block_bytes)]
-    own = docs.select(*key_cols, text_col)
-    if len(query) > 1:
-        own, _ = materialize(own.withColumn("_row", F.monotonically_increasing_id()), "docs")
-        key_cols = [*key_cols, "_row"]
-    schema = own.drop(text_col).schema
-    for block in query:
-        sent = spark.sparkContext.broadcast(block)  # at most block_bytes of text
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    own, hits = docs.select(*key_cols, text_col), None
+    for sent, n in blocks(benchmark, item_col, text_col, window, block_bytes):
+        if n == 1:
+            return _pass(own, sent, text_col).withColumn("runs", F.array("runs"))
+        if hits is None:
+            own, _ = materialize(own.withColumn("_row", F.monotonically_increasing_id()), "docs")
+            words, _ = materialize(_pass(own, sent, text_col), "overlaps")
+            hits = words.where("octet_length(runs) > 0").select("_row", "runs", "items")
+        else:
+            found, _ = materialize(_pass(own.select("_row", text_col), sent, text_col).where("octet_length(runs) > 0"), "overlaps")
+            hits = hits.unionByName(found.select("_row", "runs", "items"))
+    # only documents with hits meet again
+    hits = hits.groupBy("_row").agg(F.collect_list("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return words.drop("runs", "items").join(hits, "_row", "left").select(*key_cols, "n_words", none("runs", "array<binary>"), none("items", "array<string>"))
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The longest verbatim matches with their places: item, item_word and doc_word (first words, from 0), n_words. Each goes as far as both texts agree, and holds a window.
+
+    Of matches that end in the same words only the longest is given; every place in every document is given.
+    """
+    found, kind = None, docs.schema[id_col].dataType.simpleString()
+
+    def matches_of(sent: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                (text,) = columns(batch, text_col)
+                key, text = columns(batch, id_col, text_col)
                 buf, offs = as_bytes(text)
+                block = sent.value
+                begin = np.searchsorted(block.item_of, np.arange(len(block.items)))
                 for a, b in slices(offs, SLICE):
-                    m = match(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], sent.value)
-                    runs, items = _summaries(m, sent.value)
-                    kept = [batch.column(k).slice(a, b - a) for k, n in enumerate(batch.schema.names) if n != text_col]
-                    yield pa.RecordBatch.from_arrays(
-                        [*kept, pa.array(m["n_words"]), pa.array(runs, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                        names=[n for n in batch.schema.names if n != text_col] + ["n_words", "runs", "items"],
-                    )
-
-        passes.append(own.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, {SCHEMA}"))
-    if len(passes) == 1:
-        return passes[0].withColumn("runs", F.array("runs"))
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    merged = out.groupBy(*key_cols).agg(F.max("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return merged.drop("_row")
+                    m = match(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], block)
+                    top = _maximal(m)
+                    q = m["q"][top]
+                    item = block.item_of[q]
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(m["doc"][top] + a)), pa.array([str(x) for x in block.items[item]], pa.string()), pa.array(q - begin[item]), pa.array(m["at"][top]), pa.array(m["size"][top])], names=[id_col, "item", "item_word", "doc_word", "n_words"])
+
+        return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item string, item_word long, doc_word long, n_words long")
+
+    for sent, n in blocks(benchmark, item_col, text_col, window, block_bytes):
+        got = matches_of(sent)
+        if n > 1:
+            got, _ = materialize(got, "matches")
+        found = got if found is None else found.unionByName(got)
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
@@ -245,23 +307,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    spark = docs.sparkSession
-    query = [build_block(i, t, window) for i, t in blocks(benchmark, item_col, text_col, block_bytes)]
-    sent = [spark.sparkContext.broadcast(b) for b in query]
+    names, hits = docs.columns, None
+    for sent, n in blocks(benchmark, item_col, text_col, window, block_bytes):
+        if n == 1:
+            return _clean(docs, sent, text_col)
+        if hits is None:
+            docs, _ = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+        found, _ = materialize(_pass(docs.select("_row", text_col), sent, text_col).where("octet_length(runs) > 0").select("_row", "n_words", "runs"), "overlaps")
+        hits = found if hits is None else hits.unionByName(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, n, runs = batch.columns
+            hit = np.array([_n_hit(r) for r in runs.to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([row.filter(pa.array(20 * hit >= n.to_numpy()))], names=["_row"])
+
+    rows = hits.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.collect_list("runs").alias("runs"))
+    return docs.join(rows.mapInArrow(run, "_row long"), "_row", "left_anti").select(*names)
+
 
+def _clean(docs: DataFrame, sent: Broadcast, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (text,) = columns(batch, text_col)
             buf, offs = as_bytes(text)
             keep = np.zeros(len(text), bool)
             for a, b in slices(offs, SLICE):
-                part, own = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-                runs: list[list[bytes]] = [[] for _ in range(b - a)]
-                for s in sent:  # each block is bounded, and freed again where there are several
-                    m = match(part, own, s.value)
-                    for k, r in enumerate(_summaries(m, s.value)[0]):
-                        runs[k].append(r)
-                hit = np.array([_n_hit(r) for r in runs])
+                m = match(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], sent.value)
+                hit = np.array([_n_hit(r) for r in _summaries(m, sent.value)[0]])
                 keep[a:b] = ~((hit > 0) & (20 * hit >= m["n_words"]))
             yield batch.filter(pa.array(keep))
 

@@ -2,25 +2,38 @@
 
 A batch holds signed rows: an insert adds a document's counts, a delete takes them away, a revision takes the
 old counts away and adds the new ones, maybe under another tokenizer version. A commit sums the batch by
-source, language and tokenizer version and writes that small sum into the rollup's folder under the
-batch's name; writing the same batch again replaces its own folder, so commits are idempotent and a job
-that died half-way is just run again. Totals are sums over batches.
+source, language and tokenizer version, adds these sums to the totals of the last version and writes the new
+totals as the next version: its cost depends on the batch and the number of keys, not on the commits before. The totals and
+the names of the batches in them become visible together, by one rename. A batch whose name is in the totals
+changes nothing, so a commit may be repeated; a commit that died half-way has changed nothing and is
+just run again. Of two commits at a time, the rename of one fails, and it starts anew on the other's version.
 
 Defined cases: a null text has no tokens; null source or language is a group of its own; repeated rows
-count as often as they come; keys whose totals are all zero vanish; an empty batch changes nothing.
+count as often as they come; keys whose totals are all zero vanish; an empty batch changes nothing but its name
+is known; a rollup without commits has no rows; a batch that takes away more documents, tokens or bytes than a key has is
+refused (NegativeTotal), and nothing changes; further columns of a batch are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = ["n_docs", "n_tokens", "n_bytes"]
+SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
+#: Versions that stay when a new one is written; readers of older ones are cut off.
+VERSIONS = 3
 #: Tokenizer versions and their token patterns (fixed values).
 TOKENIZERS = {"spaced-1": r"[^ \t\n\f\r]+", "alnum-2": r"[0-9A-Za-z]+"}
 
 
+class NegativeTotal(ValueError):
+    """A batch takes away more than there is, as a document deleted twice does."""
+
+
 def counts(text: Column, version: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKENIZERS[version])), F.lit(0)).cast("long")
 
@@ -54,19 +67,54 @@ def revisions(docs: DataFrame, old: str, new: str) -> DataFrame:
 
 
 class Rollup:
-    """Additive totals in a folder that all executors share."""
+    """Additive totals in a folder that all executors share: v<number>/totals and v<number>/batches."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def commit(self, batch: str, delta: DataFrame) -> None:
-        """Sum a batch and put it in place of what the same batch wrote before."""
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _files(self):
+        return self._at("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Numbers of the versions that are there, in order."""
+        fs, root = self._files(), self._at("")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+
+    def _read(self, version: int | None) -> tuple[DataFrame, DataFrame]:
+        if version is None:
+            return self.spark.createDataFrame([], SCHEMA), self.spark.createDataFrame([], "batch string")
+        read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.path}/v{version}/{name}")
+        return read("totals", SCHEMA), read("batches", "batch string")
+
+    def commit(self, batch: str, delta: DataFrame) -> bool:
+        """Add a batch to the totals; False if it is in them already."""
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"batch names are letters, digits, - and _: {batch!r}")
-        sums = delta.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in TOTALS])
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        fs = self._files()
+        while True:
+            have = self.versions()
+            last = have[-1] if have else None
+            totals, batches = self._read(last)
+            if not batches.where(F.col("batch") == batch).isEmpty():
+                return False
+            sums = totals.unionByName(delta.select(*KEYS, *[F.col(c).cast("long").alias(c) for c in TOTALS])).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS])
+            number, own = (last or 0) + 1, f"_new-{uuid.uuid4().hex}"
+            sums.where(" OR ".join(f"{c} <> 0" for c in TOTALS)).write.parquet(f"{self.path}/{own}/totals")
+            written = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{own}/totals")
+            if not written.where(" OR ".join(f"{c} < 0" for c in TOTALS)).isEmpty():
+                fs.delete(self._at(own), True)
+                raise NegativeTotal(f"batch {batch!r} takes away more than there is")
+            batches.unionByName(self.spark.createDataFrame([(batch,)], "batch string")).coalesce(1).write.parquet(f"{self.path}/{own}/batches")
+            if not fs.exists(self._at(f"v{number}")) and fs.rename(self._at(own), self._at(f"v{number}")):
+                for old in have[: len(have) - VERSIONS + 1]:
+                    fs.delete(self._at(f"v{old}"), True)
+                return True
+            fs.delete(self._at(own), True)  # another commit was faster
 
     def totals(self) -> DataFrame:
-        rows = self.spark.read.schema("source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long, batch string").option("basePath", self.path).parquet(self.path)
-        out = rows.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in TOTALS])
-        return out.where(" OR ".join(f"{c} <> 0" for c in TOTALS))
+        have = self.versions()
+        return self._read(have[-1] if have else None)[0]

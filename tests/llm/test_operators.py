@@ -144,8 +144,33 @@ def test_longest_match():
     block = decontamination.build_block(["1"], ["a b c d e f g h i j k l m n o"], 13)
     text = ["x a b c d y", "a b c d e f g h i j k l m n o"]
     m = decontamination.match(*as_bytes(pa.array(text)), block)
-    assert m["longest"].tolist() == [13, 13, 13, *[0] * 12]
-    assert list(zip(m["doc"], m["at"], m["q"])) == [(1, 0, 0), (1, 1, 1), (1, 2, 2)]
+    assert m["longest"].tolist() == [15, 14, 13, *[0] * 12]
+    assert list(zip(m["doc"], m["at"], m["q"], m["size"])) == [(1, 0, 0, 15), (1, 1, 1, 14), (1, 2, 2, 13)]
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
+def test_longest_matches(spark, docs, sf_dir, block_bytes):
+    """Whole matches and their places, against a plain search."""
+    rng = np.random.default_rng(2)
+    word = lambda: "abcde"[rng.integers(0, 5)]
+    bench = [(str(i), " ".join(word() for _ in range(rng.integers(1, 30)))) for i in range(12)] + [("n", None)]
+    rows = [(i, " ".join([bench[i % 12][1], word(), bench[(i + 5) % 12][1][:40], word(), word()])) for i in range(40)] + [(99, None), (None, bench[3][1])]
+    want = set()
+    for d, t in rows:
+        w = (t or "").split()
+        for i, x in bench:
+            q = (x or "").split()
+            need = min(4, len(q))
+            for a in range(len(w)):
+                for b in range(len(q)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(q) and w[a + n] == q[b + n]:
+                        n += 1
+                    if q and n >= need and (b == 0 if len(q) < 4 else not (a and b and w[a - 1] == q[b - 1])):
+                        want.add((d, i, b, a, n))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = decontamination.longest_matches(df, spark.createDataFrame(bench, "item_id string, text string"), window=4, block_bytes=block_bytes).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and max(r["n_words"] for r in got) > 4
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -292,15 +317,24 @@ def test_toxicity(spark, odd, empty):
 def test_rollups(spark, sf_dir, duck, tmp_path, empty):
     got = rows_of(queries.op9_token_counts(spark, sf_dir))
     assert got == sorted(duck.execute(queries.OP9_SQL).fetchall(), key=str)
-    docs = spark.createDataFrame([("a b", None, "s"), (None, "en", "s"), ("a b", None, "s")], "text string, lang string, source string")
+    rows = [("a b", None, "s", 7), (None, "en", "s", 7), ("a b", None, "s", 7)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string, n_tokens int")  # a clashing name
     roll = rollups.Rollup(spark, str(tmp_path / "r"))
-    for _ in range(2):
-        roll.commit("b1", rollups.inserts(docs, "spaced-1"))
+    assert rows_of(roll.totals()) == [] and roll.totals().columns == [*rollups.KEYS, *rollups.TOTALS]
+    assert [roll.commit("b1", rollups.inserts(docs, "spaced-1")) for _ in range(2)] == [True, False]
     assert rows_of(roll.totals()) == [("s", "en", "spaced-1", 1, 0, 0), ("s", None, "spaced-1", 2, 4, 6)]
     roll.commit("b2", rollups.revisions(docs.where("lang is null"), "spaced-1", "alnum-2"))
     roll.commit("b3", rollups.deletes(docs.where("lang = 'en'"), "spaced-1"))
     roll.commit("b4", rollups.inserts(docs.limit(0), "spaced-1"))
-    assert rows_of(roll.totals()) == [("s", None, "alnum-2", 2, 4, 6)]
+    want = [("s", None, "alnum-2", 2, 4, 6)]
+    assert rows_of(roll.totals()) == want
+    # a document deleted twice under another name is refused, and nothing changes
+    with pytest.raises(rollups.NegativeTotal):
+        roll.commit("b5", rollups.deletes(docs.where("lang = 'en'"), "spaced-1"))
+    assert rows_of(roll.totals()) == want and roll.versions() == [2, 3, 4]
+    # what a commit that died has left is not seen
+    (tmp_path / "r" / "_new-dead" / "totals").mkdir(parents=True)
+    assert rows_of(rollups.Rollup(spark, str(tmp_path / "r")).totals()) == want and not roll.commit("b1", rollups.inserts(docs, "spaced-1"))
 
 
 # ---------------------------------------------------------------- BPE
