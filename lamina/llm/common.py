@@ -22,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only a session whose executors are in its own process, as in tests, may go without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file:///tmp/lamina-{getpass.getuser()}"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
@@ -145,18 +146,19 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word's (lower-cased) bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    at = np.cumsum(size) - size
-    pos = np.arange(int(size.sum())) - np.repeat(at, size)
-    src = buf[np.repeat(starts, size) + pos]
-    vals = (LOWER[src] if lower else src).astype(np.uint64)
-    vals += np.uint64(1)
-    vals *= powers(int(size.max()))[pos]
-    return mix(np.add.reduceat(vals, at) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, step: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each word's (lower-cased) bytes, so many words at a time: their bytes take 8 bytes each here, several times over."""
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), step):
+        first, size = starts[a : a + step], ends[a : a + step] - starts[a : a + step]
+        at = np.cumsum(size) - size
+        pos = np.arange(int(size.sum())) - np.repeat(at, size)
+        src = buf[np.repeat(first, size) + pos]
+        vals = (LOWER[src] if lower else src).astype(np.uint64)
+        vals += np.uint64(1)
+        vals *= powers(int(size.max()))[pos]
+        out[a : a + step] = mix(np.add.reduceat(vals, at) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:

@@ -31,7 +31,7 @@ from lamina.llm.common import ALNUM_WORD, as_bytes, columns, materialize, slices
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 @dataclass

@@ -33,7 +33,7 @@ MASK_BITS = 8
 #: Bytes before a place that the rolling hash sees.
 ROLL = 8
 #: Chunks, and repaired joints, that a worker keeps; then it starts anew.
-KEPT = 60_000
+KEPT = 40_000
 #: Characters after a piece that can decide its end; characters right of a joint that are looked at first.
 LOOK, FIRST = 3, 24
 #: The byte-level pre-tokenizer's pattern (fixed value).
@@ -233,6 +233,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     cols += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.string())]
                     names += ["token_ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        # workers live on; other stages need the memory
+        c.chunks.clear()
+        c.joints.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", token_ids array<int>, decoded string" if with_ids else ""

@@ -35,7 +35,7 @@ STEPS, LEAST_EPOCHS, MOST_EPOCHS = 350, 7, 24
 RATE, BATCH = 0.02, 64
 THRESHOLD = 0.3
 GRAMS = (3, 4)
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 @dataclass
