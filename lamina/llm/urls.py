@@ -1,12 +1,16 @@
 """URL filters: gradient-boosted trees on lexical features, below explicit rules.
 
-The rules of the filter label the addresses that they fit; trees are trained on at most MOST_ROWS of
-those (the first by a hash of the address) and decide on the addresses that no rule fits. Features: length,
-depth, share of digits, entropy, numbers of parameters and labels, and statistics of the host's suffix
-over all labelled addresses.
+Labelled addresses are those that the filter's rules fit, and any that the caller gives (url, block). Trees are trained
+on at most MOST_ROWS of them (the first by a hash of the address) and decide on the addresses that no rule
+fits. Features: length, depth, share of digits, entropy, numbers of parameters and labels, and statistics of the
+host's suffix. These statistics come from all labelled addresses; those of a labelled address leave out its own
+fold, so that its label is not among its features. `held_out` measures trees of the other folds on one fold.
 
-Defined cases: a null address, or one without ://, has empty host and path and fits no rule; if the rules
-label only one class, or nothing, the other addresses get that class, or allow; repeated rows each get a
+Rules that name a whole suffix only to block parts of it (net/es/) leave the trees without any allowed address below
+that suffix; labels from elsewhere mend that.
+
+Defined cases: a null address, or one without ://, has empty host and path and fits no rule; if only one class
+is labelled, or nothing, the other addresses get that class, or allow; repeated rows each get a
 verdict; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,6 +22,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.common import materialize
+
 #: (verdict, host, path); the longest that fits wins (fixed values).
 RULES = [
     ("allow", "com", "/"),
@@ -29,6 +35,8 @@ RULES = [
 #: Labelled addresses that the trees are fitted on, at most.
 MOST_ROWS = 20_000
 TREES, DEPTH = 12, 4
+#: Parts of the labelled addresses; tasks that share the rows of one suffix.
+FOLDS, SALTS = 5, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEXICAL = ["n_url", "n_host", "n_path", "depth", "digits", "entropy", "n_params", "n_labels", "n_hyphens", "suffix_rate", "suffix_log"]
 
@@ -75,30 +83,59 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", most_rows: int = MOST_ROWS) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, and the trees' probability of block."""
+def _labelled(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None, keep: list) -> DataFrame:
+    """Features of all pages, with `_label` (the rule's verdict), `rule`, `_fold` and `_y` (1 for block, null without a label)."""
     host, path = parts(F.col("_url"))
-    own = pages.select(F.col(id_col), F.col(url_col).alias("_url")).withColumn("host", host).withColumn("path", path)
+    own = pages.select(*keep, F.col("_url"), F.lit(None).cast("double").alias("_y"), F.lit(True).alias("_own"))
+    if labels is not None:
+        none = [F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in keep]
+        own = own.unionByName(labels.select(*none, F.col("url").alias("_url"), F.col("block").cast("double").alias("_y"), F.lit(False).alias("_own")))
+    own = own.withColumn("host", host).withColumn("path", path)
     own = own.withColumn("_label", rule_of(F.col("host"), F.col("path"), rules, 0)).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules, 1))
-    rows = lexical(own)
-    block = (F.col("_label") == "block").cast("double")
-    # counts over all labelled addresses, pulled towards one half where few
-    stats = rows.groupBy("suffix").agg(F.count("_label").alias("_n"), F.coalesce(F.sum(block), F.lit(0.0)).alias("_b"))
-    stats = stats.select("suffix", ((F.col("_b") + 1) / (F.col("_n") + 2)).alias("suffix_rate"), F.log1p("_n").alias("suffix_log"))
-    rows = rows.join(stats, "suffix", "left")
-    labelled = rows.where(F.col("_label").isNotNull()).withColumn("_y", block)
-    sample = labelled.select("_y", "_url", *LEXICAL).orderBy(F.xxhash64("_url"), "_url", "_y").limit(most_rows)
+    own = own.withColumn("_y", F.coalesce((F.col("_label") == "block").cast("double"), "_y")).withColumn("_fold", F.pmod(F.xxhash64("_url"), F.lit(FOLDS)).cast("int"))
+    return _with_suffix_statistics(lexical(own))
+
+
+def _with_suffix_statistics(rows: DataFrame) -> DataFrame:
+    """suffix_rate and suffix_log over the labelled addresses of the host's suffix, pulled towards one half where few; hot suffixes are salted."""
+    part = rows.groupBy("suffix", "_fold").agg(F.count("_y").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("b")).where("n > 0")
+    folds = F.map_from_entries(F.collect_list(F.struct("_fold", F.struct("n", "b"))))  # FOLDS entries at most
+    stats = part.groupBy("suffix").agg(F.sum("n").alias("_n"), F.sum("b").alias("_b"), folds.alias("_of"))
+    stats = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.withColumn("_salt", F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(SALTS)).cast("int")).join(stats, ["suffix", "_salt"], "left")
+    mine = F.when(F.col("_y").isNotNull(), F.element_at("_of", F.col("_fold")))
+    n, b = (F.coalesce(F.col(f"_{k}"), F.lit(0)) - F.coalesce(mine[k], F.lit(0)) for k in "nb")
+    return out.withColumns({"suffix_rate": (b + 1) / (n + 2), "suffix_log": F.log1p(n)}).drop("_salt", "_n", "_b", "_of")
+
+
+def _sample(rows: DataFrame, most_rows: int) -> DataFrame:
+    picked = rows.where(F.col("_y").isNotNull()).select("_y", "_url", "_fold", *LEXICAL).orderBy(F.xxhash64("_url"), "_url", "_y").limit(most_rows)
+    return materialize(picked, "urls")[0]
+
+
+def _fit(sample: DataFrame):
+    gather = VectorAssembler(inputCols=LEXICAL, outputCol="features")
+    trees = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, cacheNodeIds=False, predictionCol="_pred")
+    trees.setProbabilityCol("_p").setRawPredictionCol("_raw")
+    model = trees.fit(gather.transform(sample))
+    return lambda rows: model.transform(gather.transform(rows)).withColumn("p_block", vector_to_array(F.col("_p"))[1])
+
+
+def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", most_rows: int = MOST_ROWS, labels: DataFrame | None = None) -> DataFrame:
+    """One row per page: id, host, path, rule, verdict, and the trees' probability of block."""
+    rows = _labelled(pages.select(F.col(id_col), F.col(url_col).alias("_url")), rules, labels, [id_col])
+    sample = _sample(rows, most_rows)
     seen = {r["_y"] for r in sample.select("_y").distinct().collect()}
+    rows = rows.where("_own")
     if len(seen) < 2:
-        alone = "block" if seen == {1.0} else "allow"
-        decided = rows.withColumn("p_block", F.lit(float(alone == "block"))).withColumn("_by_trees", F.lit(alone))
+        decided = rows.withColumn("p_block", F.lit(float(seen == {1.0})))
     else:
-        gather = VectorAssembler(inputCols=LEXICAL, outputCol="features")
-        trees = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, cacheNodeIds=False, predictionCol="_pred")
-        trees.setProbabilityCol("_p").setRawPredictionCol("_raw")
-        model = trees.fit(gather.transform(sample))
-        p = vector_to_array(F.col("_p"))[1]
-        decided = model.transform(gather.transform(rows)).withColumn("p_block", p).withColumn("_by_trees", F.when(F.col("_pred") > 0.5, "block").otherwise("allow"))
-    return decided.select(id_col, "host", "path", "rule", F.coalesce("_label", "_by_trees").alias("verdict"), "p_block")
+        decided = _fit(sample)(rows)
+    by_trees = F.when(F.col("p_block") > 0.5, "block").otherwise("allow")
+    return decided.select(id_col, "host", "path", "rule", F.coalesce("_label", by_trees).alias("verdict"), "p_block")
 
 
+def held_out(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", most_rows: int = MOST_ROWS, labels: DataFrame | None = None) -> DataFrame:
+    """Labelled addresses of fold 0 with the probability that trees of the other folds give them: _url, _y, p_block."""
+    sample = _sample(_labelled(pages.select(F.col(url_col).alias("_url")), rules, labels, []), most_rows)
+    return _fit(sample.where("_fold <> 0"))(sample.where("_fold = 0")).select("_url", "_y", "p_block")

@@ -72,12 +72,49 @@ def test_licenses(spark, odd, empty, sf_dir, duck):
     text = "Hi. Released under the MIT License.\nLicensed under the Apache License, Version 2.0! x\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nother"
     r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (r["n_known"], r["sentence_ids"], r["licenses"]) == (3, "mit-released,apache-licensed,bsd-redistribution", "Apache-2.0,MIT")
-    full = [". ".join(licenses.SENTENCES[i] for i in seq) + "." for _, seq in licenses.RULES]
+    full = [".\n\n".join(licenses.SENTENCES[i] for i in seq) + "." for _, seq in licenses.RULES]
     got = licenses.scan(spark.createDataFrame(list(enumerate(full)), "doc_id long, text string")).collect()
     assert [r["licenses"] for r in sorted(got)] == [n for n, _ in licenses.RULES]
     assert rows_of(queries.op3_license_scan(spark, sf_dir)) == sorted(duck.execute(licenses.SQL).fetchall(), key=str)
 
 
+def wrapped(text, width, mark):
+    import textwrap
+
+    return "\n".join(f"{mark}{line}".rstrip() for par in text.split("\n\n") for line in [*textwrap.wrap(par, width, break_long_words=False), ""])
+
+
+@pytest.mark.parametrize("width,mark", [(10_000, ""), (78, ""), (60, "# "), (70, " * "), (12, "// ")])
+def test_license_texts(spark, width, mark):
+    """Whole notices, however their lines are broken and marked."""
+    s = licenses.SENTENCES
+    mit = f"Copyright (c) 2020 Some One\n\n{s['mit-grant']}:\n\n{s['mit-notice']}.\n\n{s['mit-warranty'].upper()}. {s['mit-liability'].upper()}."
+    apache = f"Copyright 2019 Some One\n\n{s['apache-header']};\n\n{s['apache-comply']}. {s['apache-copy']}\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\n{s['apache-basis']}. {s['apache-see']}."
+    gpl3 = f"{s['gpl-free']}: {s['gpl3-terms']}.\n\n{s['gpl-hope']}; {s['gpl-implied']}. {s['gpl-details']}."
+    gpl2 = f"{s['gpl-free']}; {s['gpl-terms']}; {s['gpl2-version']}.\n\n{s['gpl-hope']}; {s['gpl-implied']}."
+    two = f"{s['bsd-redistribution']}:\n\n1. {s['bsd-source']}.\n\n2. {s['bsd-binary']}.\n\n{s['bsd-warranty']}."
+    three = two.replace(f"\n\n{s['bsd-warranty']}", f"\n\n3. {s['bsd-endorse']}.\n\n{s['bsd-warranty']}")
+    mpl = f"{s['mpl-source']}. {s['mpl-copy']}."
+    texts = {"MIT": f"MIT License\n\n{mit}", "Apache-2.0": apache, "GPL-3.0-or-later": gpl3, "GPL-2.0-or-later": gpl2, "BSD-2-Clause": two, "BSD-3-Clause": three, "MPL-2.0": mpl, "BSD-2-Clause,BSD-3-Clause": f"{three}\n\nand\n\n{two}", "Apache-2.0,MIT": f"{mit}\n\nBut {apache}"}
+    rows = [(k, wrapped(t, width, mark)) for k, t in texts.items()]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: k for k in texts}
+
+
+def test_license_title_above(spark):
+    """A title or another line right above a wrapped sentence, without a blank line; a very long text; SQL on the same rows."""
+    import duckdb
+
+    grant = wrapped(licenses.SENTENCES["mit-grant"] + ":", 72, "")
+    rows = [(1, f"The MIT License\n{grant}"), (2, f"some words\nof prose {'on and on ' * 50_000}\n{grant}"), (3, None), (4, "no licence here"), (5, f"Released under the MIT License\nand more\n" * 3)]
+    got = [tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [(1, 2, "mit-title,mit-grant", "MIT"), (2, 1, "mit-grant", "MIT"), (3, 0, "", ""), (4, 0, "", ""), (5, 3, ",".join(["mit-released"] * 3), "MIT")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(licenses.SQL).fetchall()) == got
+
+
 # ---------------------------------------------------------------- URLs
 
 
@@ -122,6 +159,22 @@ def test_url_trees_learn(spark):
     assert (got[5000], got[5001]) == ("allow", "block")
 
 
+def test_url_trees_held_out(spark, sf_dir):
+    """Trees that have not seen an address give its label; labels from elsewhere tell addresses apart that the rules don't."""
+    pages = table(spark, sf_dir.replace("sf0.001", "sf0.1"), "pages")
+    got = urls.held_out(pages).collect()
+    want = {1.0: 0, 0.0: 0}
+    for r in got:
+        want[r["_y"]] += 1
+    assert min(want.values()) > 20
+    assert sum((r["p_block"] > 0.5) == (r["_y"] == 1) for r in got) / len(got) > 0.95
+    # below .org, by the number of digits alone
+    own = spark.createDataFrame([(i, f"http://h{i}.org/{'7' * (20 if i % 3 else 1)}/a") for i in range(600)], "page_id long, url string")
+    known = own.where("page_id < 300").select("url", (urls.F.col("page_id") % 3 > 0).alias("block"))
+    verdict = {r["page_id"]: r["verdict"] for r in urls.verdicts(own, labels=known).collect()}
+    assert len(verdict) == 600 and all((verdict[i] == "block") == (i % 3 > 0) for i in range(300, 600))
+
+
 # ---------------------------------------------------------------- decontamination
 
 
