@@ -2,29 +2,23 @@
 
 Strings are dealt to shards by content: the windows of LENGTH bytes that share their minimizer (the smallest
 hash of GRAM bytes inside) go to the same shard, as substrings of consecutive windows. Minimizers that only one
-text has can't repeat and stay home. Each shard sorts the suffixes of its substrings by induced sorting: the
-left-most S suffixes are sorted first, on names of ever longer blocks; then the L suffixes are induced from them
-bucket by bucket, and the S suffixes from those, through queues of (place) tuples that go to disk beyond
-QUEUE_BYTES. Neighbours in the suffix array whose common prefix is LENGTH bytes or more form groups; the
-smallest document of a group cuts the string out of all the others.
-
-A shard that one frequent minimizer (or a few) makes larger than LARGE_BYTES is not sorted in one task: its
-substrings, equal ones once, are cut into their windows, and those are grouped by their bytes on Spark.
-
-Two departures from textbook external induced sorting, as right results at this cost need them: the reduced
-problem is solved by doubling of block names instead of a further recursion, and the common prefix is
-compared on the text itself (up to LENGTH) instead of being carried through the queues.
-
-Equal texts are one text: its copies beyond the smallest id lose all their bytes. Defined cases: a null text
-counts as empty; texts shorter than LENGTH lose nothing; a null id is neither earlier nor cut; rows of one id
-are not earlier than each other; extra columns are ignored (or passed on by cut_texts).
+text has can't repeat and stay home. Each shard sorts the suffixes of its substrings by external induced sorting
+(induction.py), whose queues carry places and common prefixes and go to disk beyond a bound. Neighbours in the sorted
+suffixes whose common prefix is LENGTH bytes or more form groups; the smallest document of a group cuts the
+string out of all the others.
+
+A shard that one frequent minimizer (or a few) makes larger than LARGE_BYTES is not sorted by one task, though it could
+be: its substrings, equal ones once, are cut into their windows, and those are grouped by their bytes on Spark.
+
+Texts, substrings and minimizers are told apart by 64-bit hashes. Equal texts are one text: its copies beyond the
+smallest id lose all their bytes. Defined cases: a null text counts as empty; texts shorter than LENGTH lose nothing; a
+null id is neither earlier nor cut; rows of one id are not earlier than each other; extra columns are ignored (or passed
+on by cut_texts).
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.llm import induction
 from lamina.llm.common import as_bytes, columns, drop, materialize, mix, release, shuffle_width, slices, word_hashes
 
 LENGTH = 50
 #: Bytes hashed for a minimizer, and windows per substring at most.
 GRAM, RUN = 16, 64
-#: Bytes that the queues of one shard hold in memory.
-QUEUE_BYTES = 64 << 20
 SLICE = 1 << 20
 #: Bytes of input for each shard; about a third as many are sorted in it at once.
 SHARD_BYTES = 4 << 20
@@ -87,175 +80,50 @@ def minimizers(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[first], doc[first], at[first], size
 
 
-# ---------------------------------------------------------------- induced sorting of a shard
-
-
-class Queue:
-    """Arrays of places by bucket, in order of arrival; beyond a size all go to one file on disk."""
-
-    def __init__(self, most: int = QUEUE_BYTES):
-        self.most, self.held, self.spilled = most, 0, 0
-        self.parts: dict[int, list] = {}
-        self.file = None
-
-    def push(self, bucket: int, places: np.ndarray) -> None:
-        self.parts.setdefault(bucket, []).append(places)
-        self.held += places.nbytes
-        if self.held > self.most:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-            for k, arrays in self.parts.items():
-                whole = [x for x in arrays if isinstance(x, np.ndarray)]
-                if whole:
-                    done = [x for x in arrays if not isinstance(x, np.ndarray)]
-                    at = self.file.seek(0, os.SEEK_END)
-                    flat = np.concatenate(whole)
-                    self.file.write(flat.astype(np.int64).tobytes())
-                    self.parts[k] = [*done, (at, len(flat))]
-            self.spilled += self.held
-            self.held = 0
-
-    def pop(self, bucket: int) -> np.ndarray:
-        out = []
-        for x in self.parts.pop(bucket, []):
-            if isinstance(x, np.ndarray):
-                self.held -= x.nbytes
-                out.append(x)
-            else:
-                self.file.seek(x[0])
-                out.append(np.frombuffer(self.file.read(8 * x[1]), np.int64))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-
-
-def _by_char(queue: Queue, text: np.ndarray, places: np.ndarray) -> None:
-    """Push places to the buckets of their first letters, keeping their order."""
-    if not len(places):
-        return
-    c = text[places]
-    order = np.argsort(c, kind="stable")
-    c, places = c[order], places[order]
-    cuts = np.flatnonzero(np.diff(c.astype(np.int64), prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(c)]):
-        queue.push(int(c[a]), places[a:b])
+# ---------------------------------------------------------------- one shard
 
 
-def suffix_array(text: np.ndarray, depth: int = LENGTH, most: int = QUEUE_BYTES) -> np.ndarray:
-    """Suffixes of a text of letters (uint16, 0 ends a string and never repeats in what is compared) ordered by their first `depth` letters at least.
+def _whole_groups(pieces: Iterator[induction.Piece]) -> Iterator[induction.Piece]:
+    """The same suffixes in pieces that never part suffixes with a common prefix of LENGTH."""
+    held: list[induction.Piece] = []
+    for places, lcps in pieces:
+        cut = np.flatnonzero(lcps < LENGTH)
+        if held and len(cut):
+            k = int(cut[0])
+            held.append((places[:k], lcps[:k]))
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, places, lcps, cut = [], places[k:], lcps[k:], cut - k
+        if not held and len(cut):
+            k = int(cut[-1])
+            if k:
+                yield places[:k], lcps[:k]
+            places, lcps = places[k:], lcps[k:]
+        held.append((places, lcps))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
-    Letters of 0 are ends: suffixes are compared up to the first end.
-    """
-    n = len(text)
-    if n < 2:
-        return np.arange(n)
-    t = text.astype(np.int64)
-    # S where the next different letter is larger; ends count as S so that they seed all that precedes them
-    rise = np.sign(np.append(t[1:] - t[:-1], 1))
-    same = np.where(rise != 0, np.arange(n), n)
-    nxt = np.minimum.accumulate(same[::-1])[::-1]
-    is_s = rise[np.minimum(nxt, n - 1)] > 0
-    is_s[t == 0] = True
-    seed = is_s.copy()
-    seed[1:] &= ~is_s[:-1]
-    seed[0] = False
-    seed[t == 0] = True
-    lms = np.flatnonzero(seed)
-    letters = int(t.max()) + 1
-    del t, rise, same, nxt, seed
-    lms = lms[_order(text, lms, depth)]
-    # L suffixes from left-most S suffixes, from the smallest letter up
-    queue, ends = Queue(most), np.searchsorted(text[lms], np.arange(letters + 1))
-    low: dict[int, np.ndarray] = {}
-    for c in range(letters):
-        cur, got = queue.pop(c), []
-        while len(cur):
-            got.append(cur)
-            cur = _before(cur, text, c, queue, is_s, want=False)
-        low[c] = np.concatenate(got) if got else np.zeros(0, np.int64)
-        own = lms[ends[c] : ends[c + 1]]
-        if len(own):
-            _before(own, text, -1, queue, is_s, want=False)
-    queue.close()
-    # S suffixes from all larger ones, from the largest letter down; each bucket comes out backwards
-    queue = Queue(most)
-    high: dict[int, np.ndarray] = {}
-    for c in range(letters - 1, 0, -1):
-        cur, got = queue.pop(c), []
-        while len(cur):
-            got.append(cur)
-            cur = _before(cur, text, c, queue, is_s, want=True)
-        high[c] = np.concatenate(got)[::-1] if got else np.zeros(0, np.int64)
-        _before(low[c][::-1], text, -1, queue, is_s, want=True)
-    queue.close()
-    return np.concatenate([lms[: ends[1]], *[x for c in range(1, letters) for x in (low[c], high[c])]])
-
-
-def _before(places: np.ndarray, text: np.ndarray, c: int, queue: Queue, is_s: np.ndarray, want: bool) -> np.ndarray:
-    """Queue the suffixes that start one place earlier and have the wanted type; those of letter c come back at once."""
-    p = places[places > 0] - 1
-    p = p[(is_s[p] == want) & (text[p] > 0)]
-    now = text[p] == c
-    _by_char(queue, text, p[~now])
-    return p[now]
-
-
-def _order(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes at some places by their first `depth` letters: blocks of 7 letters are named, and names of the blocks that follow break ties."""
-    padded = np.concatenate((text, np.zeros(depth + 8, text.dtype)))
-
-    def block(at: np.ndarray) -> np.ndarray:
-        key, alive = np.zeros(len(at), U), np.ones(len(at), bool)
-        for k in range(7):
-            c = padded[at + k]
-            alive &= c > 0
-            key = (key << U(9)) | np.where(alive, c, 0).astype(U)
-        return key
-
-    key = block(places)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    name = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
-    for step in range(7, depth, 7):
-        # names held by several suffixes that have not ended in the last block
-        go = (np.bincount(name)[name] > 1) & ((key & U(511)) > 0)
-        which = np.flatnonzero(go)
-        if not len(which):
-            break
-        fresh = block(places[order[which]] + step)
-        sub = np.lexsort((fresh, name[which]))
-        order[which], key[which] = order[which[sub]], fresh[sub]
-        tie = (name[1:] == name[:-1]) & (~go[1:] | (key[1:] == key[:-1]))
-        name = np.cumsum(np.concatenate(([0], ~tie)))
-    return order
-
-
-def repeats(strings: tuple[np.ndarray, np.ndarray], least: np.ndarray, most: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For windows of all strings: (string, window, smallest document of any string that holds the window)."""
+
+def repeats(strings: tuple[np.ndarray, np.ndarray], least: np.ndarray, most: int = induction.QUEUE_BYTES, base: int = induction.BASE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For windows of all strings, a piece at a time: (string, window, smallest document of any string that holds the window)."""
     buf, size = strings
-    n_str = len(size)
+    if not len(size):
+        return
     at = np.cumsum(size + 1) - (size + 1)
     text = np.zeros(int((size + 1).sum()), np.uint16)
-    spot = np.arange(int(size.sum())) + np.repeat(np.arange(n_str), size)
-    text[spot] = buf.astype(np.uint16) + 1
-    sa = suffix_array(text, LENGTH, most)
-    own = np.repeat(np.arange(n_str), size + 1)
-    keep = sa + LENGTH <= (at + size)[own[sa]]
-    sa = sa[keep]
-    # common prefix of neighbours: LENGTH letters or fewer, compared on the text
-    raw = np.zeros(len(text), np.uint8)
-    raw[spot] = buf
-    w = _words8(raw)
-    same = np.ones(max(len(sa) - 1, 0), bool)
-    for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
-        x = w[sa + k]
-        same &= x[1:] == x[:-1]
-    group = np.cumsum(np.concatenate(([0], ~same))) if len(sa) else np.zeros(0, np.int64)
-    first = np.flatnonzero(np.diff(group, prepend=-1))
-    low = np.minimum.reduceat(least[own[sa]], first)[group] if len(sa) else np.zeros(0, np.int64)
-    return own[sa], sa - at[own[sa]], low
+    inside = np.ones(len(text), bool)
+    inside[at + size] = False
+    text[inside] = buf.astype(np.uint16) + 1
+    del inside
+    for places, lcps in _whole_groups(induction.induced(text, LENGTH, most, base)):
+        own = np.searchsorted(at, places, "right") - 1
+        window = np.flatnonzero(places + LENGTH <= (at + size)[own])
+        if not len(window):
+            continue
+        # a shorter suffix has a common prefix below LENGTH with both neighbours, so leaving it out parts no group
+        own, places, lcps = own[window], places[window], lcps[window]
+        first = np.flatnonzero(lcps < LENGTH)
+        group = np.cumsum(lcps < LENGTH) - 1
+        yield own, places - at[own], np.minimum.reduceat(least[own], first)[group]
 
 
 # ---------------------------------------------------------------- Spark
@@ -417,9 +285,12 @@ def _cuts_of(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     code, at, size = code[first], at[first], size[first]
     start = np.cumsum(size) - size
     own = buf[np.repeat(at - start, size) + np.arange(int(size.sum()))]
-    which, off, least = repeats((own, size), lows)
-    use = least < highs[which]
-    which, off, least = which[use], off[use], least[use]
+    del buf
+    got = [(np.zeros(0, np.int64),) * 3]
+    for which, off, least in repeats((own, size), lows):
+        use = least < highs[which]
+        got.append((which[use], off[use], least[use]))
+    which, off, least = (np.concatenate(x) for x in zip(*got))
     order = np.lexsort((off, which))
     which, off, least = which[order], off[order], least[order]
     new = np.ones(len(which), bool)

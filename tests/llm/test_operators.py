@@ -428,19 +428,32 @@ def test_bpe_joints(mask_bits):
 # ---------------------------------------------------------------- suffix-array dedup
 
 
-@pytest.mark.parametrize("most", [1 << 30, 2000])
-def test_suffix_array(most):
-    from lamina.llm import suffix_dedup
-
+@pytest.mark.parametrize("cap,base", [(50, 10**9), (50, 3), (None, 10**9), (None, 1)])
+@pytest.mark.parametrize("most,piece", [(1 << 30, 1 << 16), (300, 7)])
+def test_induction(monkeypatch, cap, base, most, piece):
+    """Order and common prefixes against plain sorting: in memory, with queues on disk, and through several recursions."""
+    from lamina.llm import induction
+
+    spilled, depth = [], []
+    spill, order = induction.Queue._spill, induction._seeds_in_order
+    monkeypatch.setattr(induction.Queue, "_spill", lambda q: (spill(q), spilled.append(q.spilled))[0])
+    monkeypatch.setattr(induction, "_seeds_in_order", lambda text, *a: (depth.append(text.dtype), order(text, *a))[1])
+    monkeypatch.setattr(induction, "PIECE", piece)
     rng = np.random.default_rng(0)
-    for _ in range(40):
-        strings = [rng.integers(97, 97 + rng.integers(1, 5), rng.integers(1, 90)) for _ in range(rng.integers(1, 30))]
+    for trial in range(8):
+        strings = [rng.integers(1, 1 + rng.integers(1, 6), rng.integers(1, 90)) for _ in range(rng.integers(1, 25))]
+        strings += strings[:3] * (trial % 2)
         text = np.concatenate([np.append(s, 0) for s in strings]).astype(np.uint16)
         ends = np.flatnonzero(text == 0)
-        sa = suffix_dedup.suffix_array(text, 50, most)
-        assert sorted(sa.tolist()) == list(range(len(text)))
-        keys = [text[p : ends[np.searchsorted(ends, p)]][:50].tolist() for p in sa]
+        sa, lcp = (np.concatenate(x) for x in zip(*induction.induced(text, cap, most, base)))
+        assert sorted(sa.tolist()) == np.flatnonzero(text > 0).tolist()
+        keys = [text[p : ends[np.searchsorted(ends, p)]][:cap].tolist() for p in sa]
         assert keys == sorted(keys)
+        for a, b, n in zip(keys, keys[1:], lcp[1:]):
+            same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert cap is None or n == same
+    assert bool(spilled) == (most == 300)  # far more tuples than the queues may hold
+    assert (np.dtype(np.uint32) in depth) == (base < 10)
 
 
 def test_removals(spark, docs, odd, empty):
@@ -454,6 +467,26 @@ def test_removals(spark, docs, odd, empty):
     assert suffix_dedup.removals(empty).count() == 0
 
 
+def test_repeats_beyond_memory():
+    """One shard of many times what its queues and its base case hold: the same groups as by a table of windows."""
+    from lamina.llm import induction, suffix_dedup
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(97, 101, 4000).astype(np.uint8)
+    size = rng.integers(50, 114, 400)
+    data = [pool[a : a + n] for a, n in zip(rng.integers(0, 3880, 400), size)]
+    least = rng.integers(0, 1000, 400)
+    want = {}
+    for s, d in zip(data, least):
+        for k in range(len(s) - 49):
+            want[bytes(s[k : k + 50])] = min(want.get(bytes(s[k : k + 50]), d), d)
+    seen = 0
+    for own, off, low in suffix_dedup.repeats((np.concatenate(data), size), least, most=2000, base=50):
+        assert all(want[bytes(data[i][k : k + 50])] == m for i, k, m in zip(own, off, low))
+        seen += len(own)
+    assert seen == sum(size - 49) and induction.BASE > 50
+
+
 def test_removals_frequent_phrase(spark, odd, monkeypatch):
     """One phrase in all texts with other surroundings: its shard is too large for a task and is split, with the same result."""
     from lamina.llm import suffix_dedup
