@@ -68,6 +68,20 @@ def lattice(pos: Column, start: Column | int, delta: int) -> Column:
     return F.floor((pos - start + delta // 2) / max(delta, 1)).cast("int")
 
 
+def int_vector(text: Column) -> Column:
+    """(x, y, z) of three comma-separated whole numbers; anything else is an error."""
+    parts = F.split(text, ",")
+    whole = (F.size(parts) == 3) & F.forall(parts, lambda p: F.trim(p).rlike(r"^[+-]?[0-9]+(\.0*)?$"))
+    bad = F.raise_error(F.concat(F.lit("not three whole numbers: "), text))
+    at = lambda k: F.when(whole, F.trim(parts[k]).cast("double").cast("long")).otherwise(bad.cast("long"))
+    return F.when(text.isNotNull(), F.struct(*[at(k).alias(a) for k, a in enumerate("xyz")]))
+
+
+def unvisited_to_zero(v: Column) -> Column:
+    """Logits for a reader that knows no NaN."""
+    return F.when(F.isnan(v) | v.isNull(), 0.0).otherwise(v)
+
+
 def pack_pair(a: Column, b: Column) -> Column:
     return a.bitwiseOR(F.shiftleft(b, 32))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.shared import kept
+
 AXES = ("z", "y", "x")
 
 
@@ -77,11 +79,14 @@ def counters(events: DataFrame) -> DataFrame:
 
 
 def histogram_lut(vox: DataFrame, value: str, steps: int = 255) -> DataFrame:
-    """(i, v): smallest value whose cumulative share reaches i / steps. The running sum is over distinct values."""
+    """(i, v): smallest value whose cumulative share reaches i / steps. Ranges of values have running sums of their own, and the totals of the ranges before are added."""
     counts = vox.groupBy(value).agg(F.count("*").alias("n"))
-    w = Window.orderBy(value)
-    cdf = counts.withColumn("_cum", F.sum("n").over(w)).withColumn("_tot", F.sum("n").over(Window.partitionBy()))
-    low = F.coalesce(F.lag("_cum").over(w), F.lit(0))
+    n_ranges = int(vox.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(counts.repartitionByRange(n_ranges, value).withColumn("_range", F.spark_partition_id()), "values")
+    totals = ranged.groupBy("_range").agg(F.sum("n").alias("_sum"))  # one row a range
+    totals = totals.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_tot"))
+    cdf = ranged.join(F.broadcast(totals), "_range").withColumn("_cum", F.col("_before") + F.sum("n").over(Window.partitionBy("_range").orderBy(value)))
+    low = F.col("_cum") - F.col("n")
     # value v serves all i with low / total < i / steps <= cum / total
     cdf = cdf.withColumn("_from", F.when(low == 0, F.lit(0)).otherwise(F.floor(low * steps / F.col("_tot")) + 1)).withColumn("_to", F.floor(F.col("_cum") * steps / F.col("_tot")))
     seq = F.sequence(F.col("_from").cast("int"), F.col("_to").cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -142,6 +143,62 @@ def warp_slices(vox: DataFrame, kind: str, seed: int, strength: float, *keys: st
     return vox.groupBy(*keys, "z").applyInPandas(run, vox.schema)
 
 
+def applied(vox: DataFrame, skip: float, seed: int, keys: list[str], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """An augmentation that a share of the examples (keys) skips; one draw an example."""
+    drawn = draw(seed, *keys)
+    if skip <= 0:
+        return change(vox)
+    if not keys:
+        raise ValueError("a share to skip needs keys that tell examples apart")
+    return vox.where(drawn < skip).select(vox.columns).unionByName(change(vox.where(drawn >= skip)).select(vox.columns))
+
+
+def section_augmentations(
+    vox: DataFrame, shape: tuple[int, int, int], keys: list[str], seed: int, elastic: dict | None = None, affine: dict | None = None, misaligned: dict | None = None, lost: dict | None = None, focus: dict | None = None, gray: dict | None = None
+) -> DataFrame:
+    """Section changes in their fixed order: elastic, affine, misalignment, missing sections, focus, grayscale; what is None is left out.
+
+    Each may have `skip`, the share of examples without it. elastic, affine, focus: `strength`. misaligned: z, dy, dx, slip. lost: `ratio`
+    of the slices, `fill`, `quadrant`. gray: contrast, brightness, gamma, most.
+    """
+    out, plain = vox, vox.columns
+    for k, (kind, args) in enumerate((("elastic", elastic), ("affine", affine), ("misaligned", misaligned), ("lost", lost), ("focus", focus), ("gray", gray))):
+        if args is None:
+            continue
+        a = {n: v for n, v in args.items() if n != "skip"}
+
+        def change(d: DataFrame, kind: str = kind, a: dict = a, own: int = seed + 17 * k) -> DataFrame:
+            if kind in ("elastic", "affine", "focus"):
+                return warp_slices(d, kind, own, a["strength"], *keys)
+            if kind == "misaligned":
+                return misalign(d, a["z"], a["dy"], a["dx"], shape, a.get("slip", False)).withColumns({c: F.col(c).cast("int") for c in ("y", "x")})
+            if kind == "lost":
+                hit = some_slices(d, a["ratio"], own, *keys)
+                return hit.withColumn("value", missing(F.col("value"), F.col("chosen"), a.get("quadrant"), a.get("fill", 0.0)))
+            return d.withColumn("value", grayscale(F.col("value"), a.get("contrast", 1.0), a.get("brightness", 0.0), a.get("gamma", 1.0), a.get("most", 255.0)))
+
+        out = applied(out, args.get("skip", 0.0), seed + 31 * k + 5, keys, change).select(*plain)
+    return out
+
+
+def apply_augmentation(vox: DataFrame, shape: tuple[int, int, int], keys: list[str], seed: int, sections: dict | None = None, reflected: tuple[bool, bool, bool] | None = None, order: tuple[str, str, str] | None = None, matrix: np.ndarray | None = None) -> DataFrame:
+    """Section changes, then reflection and permutation of the axes, then a rotation (values only), each if given; labels go along through all but the rotation.
+
+    A rotation needs one example: the frame of a single patch.
+    """
+    out = section_augmentations(vox, shape, keys, seed, **sections) if sections else vox
+    if reflected:
+        out = reflect(out, shape, reflected).withColumns({a: F.col(a).cast("int") for a in AXES})
+    if order:
+        out = permute(out, order)
+        shape = tuple(shape[AXES.index(o)] for o in order)
+    if matrix is not None:
+        if keys:
+            raise ValueError("a rotation takes one example at a time")
+        out = rotate(out.select(*AXES, "value"), matrix, shape, shape)
+    return out
+
+
 def edge_pad(vox: DataFrame, shape: tuple[int, int, int], pad: tuple[int, int, int], value: str = "value") -> DataFrame:
     """Repeat the border: each padded coordinate reads the clamped one."""
     out = vox

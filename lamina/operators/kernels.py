@@ -78,8 +78,24 @@ def sobel(a: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def peaks(a: np.ndarray, min_distance: int, least: float) -> np.ndarray:
-    """Local maxima above a floor, strongest first, none within the distance of a stronger one (ties: raster order); then in raster order."""
+def disk_peaks(a: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """Maxima of their disk in a plane above a floor, away from the border by the radius."""
+    ny, nx = a.shape
+    wide = np.pad(a, radius, constant_values=-np.inf)
+    top = np.full(a.shape, -np.inf)
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            if dy * dy + dx * dx <= radius * radius:
+                top = np.maximum(top, wide[radius + dy : radius + dy + ny, radius + dx : radius + dx + nx])
+    inner = np.zeros(a.shape, bool)
+    inner[radius : ny - radius, radius : nx - radius] = True
+    return np.argwhere((a == top) & (a > least) & inner)
+
+
+def peaks(a: np.ndarray, min_distance: int, least: float, noise: int | None = None) -> np.ndarray:
+    """A noise seed breaks ties by up to 1e-4. Local maxima above a floor, strongest first, none within the distance of a stronger one (ties: raster order); then in raster order."""
+    if noise is not None:
+        a = a + np.random.RandomState(noise).random_sample(a.shape) * 1e-4
     top = a.copy()
     for axis in range(a.ndim):
         pad = [(0, 0)] * a.ndim

@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators import kernels
+from lamina.operators.shared import kept, number
 from lamina.sources.volume import with_halo
 
 AXES = ("z", "y", "x")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or "file:///tmp/lamina-graph"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: short lineage, and nothing is lost with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def relabel(vox: DataFrame, table: DataFrame, on: list[str] | None = None, label: str = "label") -> DataFrame:
     """Map labels through (old_id, new_id), maybe per volume; missing or negative targets keep the label."""
     on = on or []
@@ -40,7 +28,7 @@ def relabel(vox: DataFrame, table: DataFrame, on: list[str] | None = None, label
 def contiguous(vox: DataFrame, label: str = "label") -> DataFrame:
     """Nonzero labels become 1, 2, ... in their order; 0 stays. The ranking is over distinct labels only."""
     ids = vox.where(F.col(label) > 0).select(F.col(label).alias("old_id")).distinct()
-    ids = ids.withColumn("new_id", F.row_number().over(Window.orderBy("old_id")).cast("long"))
+    ids = number(ids, "new_id", "old_id")
     return relabel(vox, ids, label=label)
 
 
@@ -106,9 +94,21 @@ def last_class(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("id").agg(F.max_by("cls", "seq").alias("cls"))
 
 
-def page(objects: DataFrame, size: int, number: int) -> DataFrame:
-    n = F.row_number().over(Window.orderBy("id"))
-    return objects.withColumn("_n", n).where((F.col("_n") > size * number) & (F.col("_n") <= size * (number + 1))).drop("_n")
+def page(objects: DataFrame, size: int, page_no: int) -> DataFrame:
+    """The given page (from 0) of objects in the order of their ids."""
+    return number(objects, "_n", "id").where((F.col("_n") > size * page_no) & (F.col("_n") <= size * (page_no + 1))).drop("_n")
+
+
+def resized(size: int, page_no: int, double: bool) -> tuple[int, int]:
+    """(size, page) after pages were doubled or halved, at the page that holds the first object of the old one; a page has one object at least."""
+    new = size * 2 if double else max(size // 2, 1)
+    return new, size * page_no // new
+
+
+def reviewed(objects: DataFrame, marks: DataFrame) -> DataFrame:
+    """Objects (id) with the last of their marks (id, mark, seq): `bad` ones stay, marked; `removed` ones go; `ok` takes a mark back."""
+    last = marks.groupBy("id").agg(F.max_by("mark", "seq").alias("_mark"))
+    return objects.join(last, "id", "left").where("_mark IS NULL OR _mark <> 'removed'").withColumn("bad", F.coalesce(F.col("_mark") == "bad", F.lit(False))).drop("_mark")
 
 
 def split_components(vox: DataFrame, block: tuple[int, int, int], connectivity: int = 1) -> DataFrame:
@@ -119,6 +119,8 @@ def split_components(vox: DataFrame, block: tuple[int, int, int], connectivity:
     bits = 21
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows[list(AXES)].to_numpy().min() < 0 or rows[list(AXES)].to_numpy().max() >> bits:
+            raise ValueError(f"coordinates must be from 0 to {(1 << bits) - 1}: shift the volume first")
         low = rows[list(AXES)].min().to_numpy()
         at = tuple((rows[a] - o).to_numpy() for a, o in zip(AXES, low))
         a = np.zeros(tuple(int(c.max()) + 1 for c in at), np.int64)
@@ -142,7 +144,7 @@ def cleaned(vox: DataFrame, block: tuple[int, int, int], min_size: int, connecti
     """(voxels with new ids, map new id -> original id and size): parts split, small ones dropped, ids by original id and first voxel."""
     parts = split_components(vox, block, connectivity)
     size = parts.groupBy("component").agg(F.count("*").alias("n"), F.min_by("label", F.struct(*AXES)).alias("orig")).where(F.col("n") >= min_size)
-    ids = size.withColumn("new_id", F.row_number().over(Window.orderBy("orig", "component")).cast("long"))
+    ids = number(size, "new_id", "orig", "component")
     out = parts.join(ids.select("component", "new_id"), "component").select(*AXES, F.col("new_id").alias("label"))
     return out, ids.select("new_id", F.col("orig").alias("old_id"), "n")
 

@@ -49,7 +49,20 @@ def coordinate_expression(text: str) -> Column:
             raise ValueError(f"not allowed in a mask expression: {word}")
     if re.search(r"[^\w\s+\-*/%<>=!().,]", text):
         raise ValueError("not allowed in a mask expression")
-    return F.expr(text)
+    # a number or a null is no mask: the plan refuses one, and a null masks nothing
+    return F.coalesce(F.expr(f"if(({text}), true, false)"), F.lit(False))
+
+
+def restricted(vox: DataFrame, keys: list[str], masks: list[Mask] = (), seed_masks: list[Mask] = ()) -> DataFrame:
+    """Voxels with `mask` (no moves) and `seed_mask` (no seeds), without the sub-volumes in which no move or no seed is left: they need no canvas."""
+    out = vox.withColumns({"mask": build_mask(list(masks)), "seed_mask": build_mask(list(seed_masks))})
+    open_ = out.groupBy(*keys).agg(F.bool_and("mask").alias("_m"), F.bool_and("seed_mask").alias("_s")).where("NOT _m AND NOT _s").select(*keys)
+    return out.join(open_, keys, "left_semi")
+
+
+def excluded(segmented: Column, mask: Column, seed_mask: Column) -> Column:
+    """Where no seed may start."""
+    return segmented | mask | seed_mask
 
 
 def build_mask(masks: list[Mask]) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.shared import number
+
 AXES = ("z", "y", "x")
 IGNORED = 255
 
@@ -19,14 +21,16 @@ def uniform(seed: int, *cols: str) -> Column:
 def balanced(coords: DataFrame, cls: str, target: int | None = None, order: list | None = None, seed: int = 1, salts: int = 64) -> DataFrame:
     """Each class repeated (or cut) cyclically to the target, or to the largest class; `copy` numbers the repeats.
 
-    Rows are numbered within salted parts of a class, so that one class with most of the rows is no single task; a given order needs the class in one sort.
+    Rows are numbered within salted parts of a class, so that one class with most of the rows is no single task; under a given order they are numbered by ranges of it.
     """
     rows = coords.where(F.col(cls) != IGNORED)
     counts = rows.groupBy(cls).agg(F.count("*").alias("_n"))
     goal = F.lit(target).cast("long") if target else F.max("_n").over(Window.partitionBy())
     counts = counts.withColumn("_goal", goal)
     if order:
-        numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(cls).orderBy(*order)))
+        # numbered over all classes, less the rows of the classes before
+        before = counts.select(cls, (F.sum("_n").over(Window.orderBy(cls)) - F.col("_n")).alias("_before"))
+        numbered = number(rows, "_rn", cls, *order).join(F.broadcast(before), cls).withColumn("_rn", F.col("_rn") - F.col("_before")).drop("_before")
     else:
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed), *AXES), F.lit(salts)))
         part = salted.groupBy(cls, "_salt").agg(F.count("*").alias("_m"))
@@ -75,20 +79,25 @@ def weighted_mix(sources: dict[str, tuple[DataFrame, float]], n: int, seed: int)
         at = sum(sources[m][1] for m in names[: names.index(name) + 1]) / total
         pick = F.when(u < at, name).otherwise(pick)
     draws = spark.range(n).withColumn("source", pick)
-    draws = draws.withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1)
     parts = []
     for name, (df, _) in sources.items():
         size = max(df.count(), 1)
-        rows = df.withColumn("_k", F.row_number().over(Window.orderBy(uniform(seed + 1, *df.columns), *df.columns)) - 1)
-        parts.append(draws.where(F.col("source") == name).withColumn("_k", F.col("_k") % size).join(rows, "_k").drop("_k"))
+        rows = number(df.withColumn("_u", uniform(seed + 1, *df.columns)), "_k", "_u", *df.columns).drop("_u").withColumn("_k", F.col("_k") - 1)
+        own = number(draws.where(F.col("source") == name), "_k", "id").withColumn("_k", (F.col("_k") - 1) % size)
+        parts.append(own.join(rows, "_k").drop("_k"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def interleave(sources: dict[str, DataFrame], order: list[str]) -> DataFrame:
     """Rows of all sources in turns."""
-    parts = [df.withColumn("source", F.lit(n)).withColumn("turn", F.row_number().over(Window.orderBy(*order))) for n, df in sources.items()]
+    parts = [number(df.withColumn("source", F.lit(n)), "turn", *order) for n, df in sources.items()]
     return reduce(DataFrame.unionByName, parts).orderBy("turn", "source")
 
 
 def batches(df: DataFrame, size: int, order: list) -> DataFrame:
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    return number(df, "_row", *order).withColumn("batch", F.floor((F.col("_row") - 1) / size).cast("long")).drop("_row")
+
+
+def epoch(df: DataFrame, number_of: int, seed: int, *cols: str) -> DataFrame:
+    """The rows in the order of one epoch: every epoch shuffles anew, and the same epoch always alike."""
+    return shuffled(df, seed * 1_000_003 + number_of, *cols)

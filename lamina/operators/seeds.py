@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.operators import kernels
+from lamina.operators.shared import number
 from lamina.operators.window import erode
 
 AXES = ("z", "y", "x")
@@ -21,7 +22,8 @@ GRID_STEP = 16
 
 
 def numbered(df: DataFrame, *order) -> DataFrame:
-    return df.select(F.row_number().over(Window.orderBy(*order)).alias("ord"), *AXES)
+    """Seeds in order: ord counts from 1."""
+    return number(df, "ord", *order).select("ord", *AXES)
 
 
 def grid(spark: SparkSession, shape: tuple[int, int, int], three_d: bool, step: int = GRID_STEP, offsets: tuple | None = None) -> DataFrame:
@@ -41,7 +43,7 @@ def by_intensity(vox: DataFrame) -> DataFrame:
 
 def of_origins(origins: DataFrame) -> DataFrame:
     """Start points of an earlier run, the highest id first."""
-    return origins.select(F.row_number().over(Window.orderBy(F.desc("segment_id"))).alias("ord"), *AXES)
+    return numbered(origins, F.desc("segment_id"))
 
 
 def dense(vox: DataFrame, threshold: float, invert: bool = False, erosions: int = 0) -> DataFrame:
@@ -51,12 +53,12 @@ def dense(vox: DataFrame, threshold: float, invert: bool = False, erosions: int
 
 
 def reverse(seeds: DataFrame) -> DataFrame:
-    return seeds.select(F.row_number().over(Window.orderBy(F.desc("ord"))).alias("ord"), *AXES)
+    return numbered(seeds.withColumnRenamed("ord", "_ord"), F.desc("_ord"))
 
 
 def chain(*seeds: DataFrame) -> DataFrame:
-    parts = [s.withColumn("_policy", F.lit(k)) for k, s in enumerate(seeds)]
-    return reduce(DataFrame.unionByName, parts).select(F.row_number().over(Window.orderBy("_policy", "ord")).alias("ord"), *AXES)
+    parts = [s.withColumn("_policy", F.lit(k)).withColumnRenamed("ord", "_ord") for k, s in enumerate(seeds)]
+    return numbered(reduce(DataFrame.unionByName, parts), "_policy", "_ord")
 
 
 def resume(seeds: DataFrame, done: int) -> DataFrame:
@@ -88,7 +90,7 @@ def _by_block(vox: DataFrame, keys: list[str], find: Callable[[np.ndarray, np.nd
     return src.groupBy(*keys).applyInPandas(run, "z int, y int, x int")
 
 
-def peaks(vox: DataFrame, keys: list[str], min_distance: int = 3, sigma: float = 49 / 6) -> DataFrame:
+def peaks(vox: DataFrame, keys: list[str], min_distance: int = 3, sigma: float = 49 / 6, noise: int | None = None) -> DataFrame:
     """Centres of areas away from edges: gradient, local threshold, distance transform, peaks; in raster order."""
 
     def find(value: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -98,7 +100,7 @@ def peaks(vox: DataFrame, keys: list[str], min_distance: int = 3, sigma: float =
             return np.zeros((0, 3), int)
         d = kernels.distance(~(edge | off))
         d[off | ~np.isfinite(d)] = -1
-        return kernels.peaks(d, min_distance, least=0.0)
+        return kernels.peaks(d, min_distance, 0.0, noise)
 
     return numbered(_by_block(vox, keys, find), *AXES)
 
@@ -130,6 +132,16 @@ def intensity_peaks(vox: DataFrame, keys: list[str], min_distance: int = 3, leas
     return numbered(_by_block(vox, keys, find), *AXES)
 
 
+def peaks_2d_disk(vox: DataFrame, radius: int = 3, rel: float = 0.0) -> DataFrame:
+    """Per slice, voxels that are the brightest of the disk around them, above a share of the slice's largest value and away from its border."""
+
+    def find(value: np.ndarray, off: np.ndarray) -> np.ndarray:
+        at = kernels.disk_peaks(np.where(off[0], -np.inf, value[0]), radius, rel * float(value.max()))
+        return np.concatenate((np.zeros((len(at), 1), int), at), 1)
+
+    return numbered(_by_block(vox, ["z"], find), *AXES)
+
+
 def peaks_3d_2d(vox: DataFrame, keys: list[str], distance_3d: int, distance_2d: int) -> DataFrame:
     """Peaks in space, then peaks of each slice; a negative distance leaves a phase out."""
     phases = []
@@ -140,7 +152,7 @@ def peaks_3d_2d(vox: DataFrame, keys: list[str], distance_3d: int, distance_2d:
     return chain(*phases)
 
 
-POLICIES: dict[str, Callable] = {f.__name__: f for f in (grid, by_intensity, of_origins, dense, peaks, peaks_2d, fill_empty, intensity_peaks, peaks_3d_2d)}
+POLICIES: dict[str, Callable] = {f.__name__: f for f in (grid, by_intensity, of_origins, dense, peaks, peaks_2d, fill_empty, intensity_peaks, peaks_2d_disk, peaks_3d_2d)}
 
 
 def policy(name: str) -> Callable:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.sources.volume import with_halo
+
 AXES = ("z", "y", "x")
 #: The voxel itself and its neighbours towards larger coordinates (z, y, x).
 FORWARD = [(0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)]
@@ -24,44 +26,84 @@ def contacts(vox: DataFrame, label: str = "label") -> DataFrame:
 
 
 def decision_points(candidates: DataFrame) -> DataFrame:
-    """From (id_a, id_b, dist, z, y, x, offset_no): per pair the smallest distance, and of its points the one nearest to their centroid; ties by offset and raster order."""
-    pair = Window.partitionBy("id_a", "id_b")
+    """From (volume if there is one, id_a, id_b, dist, z, y, x, offset_no): per pair the smallest distance, and of its points the one nearest to their centroid; ties by offset and raster order."""
+    keys = [*(["volume"] if "volume" in candidates.columns else []), "id_a", "id_b"]
+    pair = Window.partitionBy(*keys)
     best = candidates.withColumn("_least", F.min("dist").over(pair)).where("dist = _least")
     far = [F.pow(F.col(a) - F.avg(a).over(pair), 2) for a in AXES]
     best = best.withColumn("_d2", F.round(far[0] + far[1] + far[2], 9))
-    order = Window.partitionBy("id_a", "id_b").orderBy("_d2", "offset_no", *AXES)
-    return best.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("id_a", "id_b", "dist", "x", "y", "z")
+    order = Window.partitionBy(*keys).orderBy("_d2", "offset_no", *AXES)
+    return best.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*keys, "dist", "x", "y", "z")
+
+
+def enough_context(points: DataFrame, shape: tuple[int, int, int], radius: tuple[int, int, int], margin: tuple[int, int, int]) -> DataFrame:
+    """Points whose box of +-radius, and a further margin on each side, lies in the volume."""
+    out = points
+    for a, n, r, m in zip(AXES, shape, radius, margin):
+        out = out.where((F.col(a) - r - m >= 0) & (F.col(a) + r + m < n))
+    return out
 
 
-def expanded_candidates(seg: DataFrame, voxel_size: tuple[float, float, float] = (1, 1, 1), max_distance: float | None = None) -> DataFrame:
-    """Candidates of decision points of one sub-volume: each voxel takes its nearest segment; where two such regions touch, the distance is the sum of both sides'."""
+def expanded(seg: DataFrame, voxel_size: tuple[float, float, float], max_distance: float, block: tuple[int, int, int] = (64, 64, 64)) -> DataFrame:
+    """Each voxel with `nearest`, its nearest segment (0: none within max_distance), and the distance `dist`; in blocks with a halo of that distance."""
     import numpy as np
     import pandas as pd
 
     from lamina.operators import kernels
 
+    step = voxel_size[::-1]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        low = rows[list(AXES)].min().to_numpy()
+        at = tuple((rows[k] - o).to_numpy() for k, o in zip(AXES, low))
+        a = np.zeros(tuple(int(c.max()) + 1 for c in at), np.int64)
+        a[at] = rows["label"]
+        dist, near = kernels.nearest(a, step)
+        d, n = dist[at], near[at]
+        return rows[["volume", *AXES]].assign(nearest=np.where(d <= max_distance, n, 0), dist=d)[rows["is_core"]]
+
+    halo = tuple(int(np.ceil(max_distance / s)) for s in step)
+    return with_halo(seg.select("volume", *AXES, "label"), block, halo).groupBy("volume", "bz", "by", "bx").applyInPandas(run, "volume string, z int, y int, x int, nearest long, dist double")
+
+
+def expanded_candidates(seg: DataFrame, voxel_size: tuple[float, float, float] = (1, 1, 1), max_distance: float | None = None, block: tuple[int, int, int] = (64, 64, 64)) -> DataFrame:
+    """Candidates of decision points: each voxel takes its nearest segment, no farther than max_distance (in units of voxel_size, xyz); where two such regions touch, the distance is the mean of both sides'.
+
+    With a max_distance the volume is dealt in blocks with a halo of that distance, so a task holds one block;
+    without it the nearest segment may be anywhere, and a volume is one task. `volume` tells volumes apart; pairs are not joined across them.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from lamina.operators import kernels
+
+    step = voxel_size[::-1]
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         low = rows[list(AXES)].min().to_numpy()
         shape = tuple((rows[list(AXES)].max().to_numpy() - low + 1).tolist())
-        a = np.zeros(shape, np.int64)
-        a[tuple((rows[k] - o).to_numpy() for k, o in zip(AXES, low))] = rows["label"]
-        dist, near = kernels.nearest(a, voxel_size[::-1])
-        if max_distance is not None:
-            near = np.where(dist <= max_distance, near, 0)
+        at = tuple((rows[k] - o).to_numpy() for k, o in zip(AXES, low))
+        a, there, core = np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape, bool)
+        a[at], there[at], core[at] = rows["label"], True, rows["is_core"]
+        dist, near = kernels.nearest(a, step)
+        near = np.where(there & (dist <= (np.inf if max_distance is None else max_distance)), near, 0)
         out = []
         for k, off in enumerate(FORWARD):
-            one = near[tuple(slice(0, n - o) for n, o in zip(shape, off))]
-            two = near[tuple(slice(o, n) for n, o in zip(shape, off))]
-            d1 = dist[tuple(slice(0, n - o) for n, o in zip(shape, off))]
-            d2 = dist[tuple(slice(o, n) for n, o in zip(shape, off))]
-            z, y, x = np.nonzero((one != two) & (one > 0) & (two > 0))
+            here, there_ = tuple(slice(0, n - o) for n, o in zip(shape, off)), tuple(slice(o, n) for n, o in zip(shape, off))
+            one, two = near[here], near[there_]
+            z, y, x = np.nonzero((one != two) & (one > 0) & (two > 0) & core[here])
             l, r = one[z, y, x], two[z, y, x]
-            total = d1[z, y, x] + d2[z, y, x]
-            out.append(pd.DataFrame({"id_a": np.minimum(l, r), "id_b": np.maximum(l, r), "dist": total.astype(float), "z": z + low[0], "y": y + low[1], "x": x + low[2], "offset_no": k}))
+            mean = (dist[here][z, y, x] + dist[there_][z, y, x]) / 2
+            out.append(pd.DataFrame({"volume": rows["volume"].iloc[0], "id_a": np.minimum(l, r), "id_b": np.maximum(l, r), "dist": mean.astype(float), "z": z + low[0], "y": y + low[1], "x": x + low[2], "offset_no": k}))
         return pd.concat(out).astype({"z": "int32", "y": "int32", "x": "int32", "offset_no": "int32"})
 
-    got = seg.groupBy("volume").applyInPandas(run, "id_a long, id_b long, dist double, z int, y int, x int, offset_no int")
-    return got if max_distance is None else got.where(F.col("dist") <= max_distance)
+    schema = "volume string, id_a long, id_b long, dist double, z int, y int, x int, offset_no int"
+    rows = seg.select("volume", *AXES, "label")
+    if max_distance is None:
+        return rows.withColumn("is_core", F.lit(True)).groupBy("volume").applyInPandas(run, schema)
+    # a neighbour of a core voxel looks max_distance further
+    halo = tuple(int(np.ceil(max_distance / s)) + 1 for s in step)
+    return with_halo(rows, block, halo).groupBy("volume", "bz", "by", "bx").applyInPandas(run, schema)
 
 
 def near_segment(seeds: DataFrame, vox: DataFrame, reach: tuple[int, int, int]) -> DataFrame:

@@ -26,7 +26,7 @@ MOVES = """moves AS (
          user_id % 3 <> 0 AS wanted, event_id % 2 = 0 AS executed,
          CAST(event_id % 5 - 2 AS INTEGER) AS dz, CAST(event_id % 7 - 3 AS INTEGER) AS dy, CAST(user_id % 4 AS INTEGER) AS dx
   FROM events)"""
-EDGES = "edges AS (SELECT DISTINCT CAST(l_partkey % 400 AS BIGINT) AS src, CAST(400 + l_suppkey % 37 + 37 * (l_partkey % 11) AS BIGINT) AS dst FROM lineitem WHERE l_linenumber = 1)"
+EDGES = "edges AS (SELECT DISTINCT CAST(l_partkey % 400 AS BIGINT) AS src, CAST(400 + l_suppkey % 37 + 37 * (l_partkey % 11) AS BIGINT) AS dst FROM lineitem)"
 
 
 def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select((p % 400).cast("long").alias("src"), (400 + s % 37 + 37 * (p % 11)).cast("long").alias("dst")).distinct()
 
 

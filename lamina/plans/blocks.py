@@ -20,10 +20,9 @@ def connected_components(spark: S, d: str) -> DataFrame:
     return labels.split_components(vox(spark, d), (8, 8, 16))
 
 
-@query(f"""WITH {VOX}, s AS (SELECT * FROM vox WHERE z = 5)
-SELECT p.y, p.x, round(sqrt(min((q.y - p.y) * (q.y - p.y) * 4.0 + (q.x - p.x) * (q.x - p.x))), 9) AS dist FROM s p, s q WHERE q.label = 0 GROUP BY p.y, p.x""")
+@query(f"""WITH {VOX} SELECT p.z, p.y, p.x, round(sqrt(min((q.y - p.y) * (q.y - p.y) * 4.0 + (q.x - p.x) * (q.x - p.x))), 9) AS dist FROM vox p JOIN vox q ON q.z = p.z WHERE q.label = 0 GROUP BY p.z, p.y, p.x""")
 def edt_block(spark: S, d: str) -> DataFrame:
-    """Distance to the background on one slice, with voxels twice as high as wide."""
+    """Distance to the background within each slice, with voxels twice as high as wide."""
     import numpy as np
     import pandas as pd
 
@@ -31,10 +30,10 @@ def edt_block(spark: S, d: str) -> DataFrame:
         a = np.zeros((rows["y"].max() + 1, rows["x"].max() + 1), bool)
         a[rows["y"], rows["x"]] = rows["label"] > 0
         dist = kernels.distance(a, (2.0, 1.0))
-        return pd.DataFrame({"y": rows["y"], "x": rows["x"], "dist": dist[rows["y"], rows["x"]]})
+        return pd.DataFrame({"z": rows["z"], "y": rows["y"], "x": rows["x"], "dist": dist[rows["y"], rows["x"]]})
 
-    got = vox(spark, d).where("z = 5").groupBy("z").applyInPandas(run, "y int, x int, dist double")
-    return got.select("y", "x", r9(F.col("dist"), "dist"))
+    got = vox(spark, d).groupBy("z").applyInPandas(run, "z int, y int, x int, dist double")
+    return got.select("z", "y", "x", r9(F.col("dist"), "dist"))
 
 
 def _with_blocks(spark: S, d: str) -> DataFrame:
@@ -62,11 +61,24 @@ def seeds_intensity_peaks(spark: S, d: str) -> DataFrame:
     return seeds.peaks_3d_2d(_with_blocks(spark, d), ["bz", "bx"], 3, 5)
 
 
+THIN = "(z * 7 + y * 5 + x * 3) % 29 = 0"
+EXPANDED = f"""{VOX}, s AS (SELECT z, y, x, label FROM vox WHERE label > 0 AND {THIN}),
+o AS (SELECT CAST(a.i AS INTEGER) AS dz, CAST(b.i AS INTEGER) AS dy, CAST(c.i AS INTEGER) AS dx, a.i * a.i + b.i * b.i + c.i * c.i AS d2 FROM range(-2, 3) AS a(i), range(-2, 3) AS b(i), range(-2, 3) AS c(i)),
+best AS (SELECT v.z, v.y, v.x, min(d2) AS d2 FROM (SELECT s.z + dz AS z, s.y + dy AS y, s.x + dx AS x, d2 FROM s, o WHERE d2 <= 4) n JOIN vox v ON v.z = n.z AND v.y = n.y AND v.x = n.x GROUP BY v.z, v.y, v.x)"""
+
+
+@query(f"""WITH {EXPANDED} SELECT z, y, x, round(sqrt(d2), 9) AS dist FROM best""")
+def expanded_distances(spark: S, d: str) -> DataFrame:
+    """How far each voxel's nearest segment is, up to a distance of 2: whole volume, in blocks with a halo."""
+    v = vox(spark, d).select(F.lit("v").alias("volume"), "z", "y", "x", F.when(F.expr(THIN), F.col("label")).otherwise(0).alias("label"))
+    return spatial.expanded(v, (1, 1, 1), 2.0, (8, 8, 16)).where("nearest > 0").select("z", "y", "x", r9(F.col("dist"), "dist"))
+
+
 @query(None)
 def decision_points_expanded(spark: S, d: str) -> DataFrame:
-    """Decision points after every voxel took its nearest segment, per slab of slices."""
-    v = vox(spark, d).where("label IN (0, 2, 3, 4)").select(F.floor(F.col("z") / 8).cast("string").alias("volume"), "z", "y", "x", "label")
-    return spatial.decision_points(spatial.expanded_candidates(v, (1, 1, 1), 4.0))
+    """Decision points after every voxel took its nearest segment, in the whole volume."""
+    v = vox(spark, d).select(F.lit("v").alias("volume"), "z", "y", "x", "label")
+    return spatial.decision_points(spatial.expanded_candidates(v, (1, 1, 1), 4.0, (16, 16, 16))).drop("volume")
 
 
 CONFIG = traverse.Config(fov=(3, 3, 3), deltas=(1, 1, 1), min_size=3, boundary=(1, 1, 1))
@@ -77,6 +89,21 @@ def segment_all_standin(spark: S, d: str) -> DataFrame:
     return traverse.segment(_with_blocks(spark, d).select("bz", "bx", "z", "y", "x", "value"), ["bz", "bx"], traverse.threshold_predictor(0.1, 20.0), CONFIG, 0.2)
 
 
+@query(None)
+def segment_all_results(spark: S, d: str) -> DataFrame:
+    """Voxels, origins, overlaps and counters of a run that begins with an existing segmentation and keeps off a mask."""
+    v = _with_blocks(spark, d).select("bz", "bx", "z", "y", "x", "value", F.when((F.col("label") == 3) & (F.col("y") < 4), 3).otherwise(0).alias("start_label"), (F.col("x") % 16 == 7).alias("mask"))
+    return traverse.segment_results(v, ["bz", "bx"], traverse.threshold_predictor(0.1, 20.0), CONFIG, 0.2)
+
+
+@query(None)
+def training_steps(spark: S, d: str) -> DataFrame:
+    """Training examples of all sub-volumes: moves as inference makes them, through a seed that predictions change."""
+    v = _with_blocks(spark, d).select("bz", "bx", "z", "y", "x", "value", F.when(F.col("label") > 0, 0.95).otherwise(0.05).alias("target"))
+    go = traverse.steps_of_maxima((1, 1, 1), (3, 3, 3), (2, 4, 6))
+    return traverse.training_steps(v, ["bz", "bx"], go, traverse.threshold_predictor(0.0, 20.0), CONFIG)
+
+
 @query(None)
 def resegment_points(spark: S, d: str) -> DataFrame:
     v = vox(spark, d)

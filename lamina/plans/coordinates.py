@@ -14,11 +14,11 @@ N_SLICES = "(SELECT count(*) // 16 FROM embeddings)"
 
 
 @query(f"""WITH {BOXES} SELECT l.box_id AS box_a, r.box_id AS box_b, greatest(l.sz, r.sz) AS sz, greatest(l.sy, r.sy) AS sy, greatest(l.sx, r.sx) AS sx, least(l.ez, r.ez) AS ez, least(l.ey, r.ey) AS ey, least(l.ex, r.ex) AS ex
-FROM boxes l JOIN boxes r ON greatest(l.sz, r.sz) < least(l.ez, r.ez) AND greatest(l.sy, r.sy) < least(l.ey, r.ey) AND greatest(l.sx, r.sx) < least(l.ex, r.ex) WHERE l.box_id % 2 = 0 AND r.box_id % 2 = 1""")
+FROM boxes l JOIN boxes r ON greatest(l.sz, r.sz) < least(l.ez, r.ez) AND greatest(l.sy, r.sy) < least(l.ey, r.ey) AND greatest(l.sx, r.sx) < least(l.ex, r.ex) WHERE l.box_id < r.box_id""")
 def box_intersections(spark: S, d: str) -> DataFrame:
-    """Boxes of even against boxes of odd numbers."""
+    """Common parts of all pairs of boxes."""
     b = boxes(spark, d)
-    return masks.overlaps(b.where("box_id % 2 = 0"), b.where("box_id % 2 = 1"), cell=16)
+    return masks.overlaps(b, b, cell=16).where("box_a < box_b")
 
 
 @query(f"WITH {BOXES} SELECT box_id % 10 AS g, min(sz) AS sz, min(sy) AS sy, min(sx) AS sx, max(ez) AS ez, max(ey) AS ey, max(ex) AS ex FROM boxes GROUP BY 1")
@@ -53,17 +53,17 @@ def crop_and_pad(spark: S, d: str) -> DataFrame:
     return masks.crop_pad(vox(spark, d), (10, 8, 30), (5, 6, 8), (9, 10, 12), "label")
 
 
-@query(f"""WITH {VOX}, {BOXES}, p AS (SELECT DISTINCT z, y, x FROM vox WHERE label = 4)
+@query(f"""WITH {VOX}, {BOXES}, p AS (SELECT DISTINCT z, y, x FROM vox WHERE label > 0)
 SELECT z, y, x FROM p WHERE EXISTS (SELECT 1 FROM boxes WHERE sz <= z - 1 AND ez > z + 1 AND sy <= y - 1 AND ey > y + 1 AND sx <= x - 2 AND ex > x + 2)""")
 def filter_oob(spark: S, d: str) -> DataFrame:
-    p = vox(spark, d).where("label = 4").withColumn("volume", F.lit("v"))
+    p = vox(spark, d).where("label > 0").withColumn("volume", F.lit("v"))
     return masks.in_boxes(p, boxes(spark, d).withColumn("volume", F.lit("v")), cell=16, radius=(1, 1, 2)).select("z", "y", "x").distinct()
 
 
-@query(f"""WITH {VOX} SELECT z, y, x FROM vox WHERE label = 5 AND (z % 2 = 1 OR (z BETWEEN 4 AND 13 AND y BETWEEN 2 AND 9 AND x BETWEEN 10 AND 29))""")
+@query(f"""WITH {VOX} SELECT z, y, x FROM vox WHERE label > 0 AND (z % 2 = 1 OR (z BETWEEN 4 AND 13 AND y BETWEEN 2 AND 9 AND x BETWEEN 10 AND 29))""")
 def filter_by_volume_boxes(spark: S, d: str) -> DataFrame:
     """Even slices are a volume with a box, odd ones a volume without any, which passes."""
-    p = vox(spark, d).where("label = 5").withColumn("volume", (F.col("z") % 2).cast("string")).select("volume", "z", "y", "x")
+    p = vox(spark, d).where("label > 0").withColumn("volume", (F.col("z") % 2).cast("string")).select("volume", "z", "y", "x")
     b = spark.createDataFrame([("0", 4, 2, 10, 14, 10, 30)], "volume string, sz int, sy int, sx int, ez int, ey int, ex int")
     return masks.in_boxes_or_unbounded(p, b, cell=8).select("z", "y", "x")
 
@@ -76,8 +76,9 @@ def seeds_too_close(spark: S, d: str) -> DataFrame:
 
 
 CONTACTS = f"""{VOX}, o AS (SELECT * FROM (VALUES (0,0,0,1), (1,0,1,0), (2,0,1,1), (3,1,0,0), (4,1,0,1), (5,1,1,0), (6,1,1,1)) AS t(offset_no, dz, dy, dx)),
-c AS (SELECT least(p.label, q.label) AS id_a, greatest(p.label, q.label) AS id_b, p.z, p.y, p.x, CAST(offset_no AS INTEGER) AS offset_no
-  FROM vox p CROSS JOIN o JOIN vox q ON q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.label > 0 AND q.label > 0 AND p.label <> q.label)"""
+s AS (SELECT z, y, x, label, offset_no, z + dz AS qz, y + dy AS qy, x + dx AS qx FROM vox, o WHERE label > 0),
+c AS (SELECT least(s.label, q.label) AS id_a, greatest(s.label, q.label) AS id_b, s.z, s.y, s.x, CAST(offset_no AS INTEGER) AS offset_no
+  FROM s JOIN (SELECT z, y, x, label FROM vox WHERE label > 0) q ON q.z = s.qz AND q.y = s.qy AND q.x = s.qx WHERE s.label <> q.label)"""
 
 
 @query(f"WITH {CONTACTS} SELECT * FROM c")
@@ -145,7 +146,7 @@ def coords_weighted_mix(spark: S, d: str) -> DataFrame:
 
 @query(f"""WITH {CLASSES}, t AS (SELECT CASE cls WHEN 1 THEN 'a' ELSE 'b' END AS source, z, y, x, row_number() OVER (PARTITION BY cls ORDER BY z, y, x) AS turn FROM k WHERE cls IN (1, 2)),
 o AS (SELECT *, row_number() OVER (ORDER BY turn, source) - 1 AS r FROM t)
-SELECT source, z, y, x, CAST(turn AS INTEGER) AS turn, CAST(r // 64 AS BIGINT) AS batch FROM o""")
+SELECT source, z, y, x, CAST(turn AS BIGINT) AS turn, CAST(r // 64 AS BIGINT) AS batch FROM o""")
 def coords_interleaved_batches(spark: S, d: str) -> DataFrame:
     v = _classes(spark, d).select("z", "y", "x", "cls")
     both = sampling.interleave({"a": v.where("cls = 1").drop("cls"), "b": v.where("cls = 2").drop("cls")}, ["z", "y", "x"])
@@ -160,7 +161,7 @@ def grid_sql(offsets: tuple, three_d: bool) -> str:
     z = f"z >= o AND (z - o) % 16 = 0" if three_d else "true"
     return f"""WITH n AS (SELECT {N_SLICES} AS nz), g AS (SELECT CAST(a.i AS INTEGER) AS z, CAST(b.i AS INTEGER) AS y, CAST(c.i AS INTEGER) AS x FROM n, range(0, 1000) AS a(i), range(0, 16) AS b(i), range(0, 64) AS c(i) WHERE a.i < nz),
 s AS (SELECT k, z, y, x FROM g, {off} WHERE {z} AND y >= o AND (y - o) % 16 = 0 AND x >= o AND (x - o) % 16 = 0)
-SELECT CAST(row_number() OVER (ORDER BY k, z, y, x) AS INTEGER) AS ord, z, y, x FROM s"""
+SELECT CAST(row_number() OVER (ORDER BY k, z, y, x) AS BIGINT) AS ord, z, y, x FROM s"""
 
 
 @query(grid_sql(seeds.GRID_3D, True))
@@ -173,7 +174,7 @@ def seeds_grid2d(spark: S, d: str) -> DataFrame:
     return seeds.grid(spark, shape(spark, d), False)
 
 
-@query(f"WITH {VOX} SELECT CAST(row_number() OVER (ORDER BY value DESC, z DESC, y DESC, x DESC) AS INTEGER) AS ord, z, y, x FROM vox")
+@query(f"WITH {VOX} SELECT CAST(row_number() OVER (ORDER BY value DESC, z DESC, y DESC, x DESC) AS BIGINT) AS ord, z, y, x FROM vox")
 def seeds_by_intensity(spark: S, d: str) -> DataFrame:
     return seeds.by_intensity(vox(spark, d))
 
@@ -181,17 +182,17 @@ def seeds_by_intensity(spark: S, d: str) -> DataFrame:
 DENSE = f"{VOX}, s AS (SELECT row_number() OVER (ORDER BY z, y, x) AS ord, z, y, x FROM vox WHERE value > 0.3)"
 
 
-@query(f"WITH {DENSE} SELECT CAST(ord AS INTEGER) AS ord, z, y, x FROM s")
+@query(f"WITH {DENSE} SELECT CAST(ord AS BIGINT) AS ord, z, y, x FROM s")
 def seeds_dense(spark: S, d: str) -> DataFrame:
     return seeds.dense(vox(spark, d), 0.3)
 
 
-@query(f"WITH {DENSE} SELECT CAST(row_number() OVER (ORDER BY ord DESC) AS INTEGER) AS ord, z, y, x FROM s")
+@query(f"WITH {DENSE} SELECT CAST(row_number() OVER (ORDER BY ord DESC) AS BIGINT) AS ord, z, y, x FROM s")
 def seeds_reverse(spark: S, d: str) -> DataFrame:
     return seeds.reverse(seeds.dense(vox(spark, d), 0.3))
 
 
-@query(f"WITH {DENSE}, t AS (SELECT row_number() OVER (ORDER BY value DESC, z DESC, y DESC, x DESC) AS ord, z, y, x FROM vox WHERE value > 0.4), u AS (SELECT 0 AS p, * FROM s UNION ALL SELECT 1, * FROM t), n AS (SELECT row_number() OVER (ORDER BY p, ord) AS ord, z, y, x FROM u) SELECT CAST(ord AS INTEGER) AS ord, z, y, x FROM n WHERE ord > 10 AND y >= 1 AND y < 15 AND x >= 2 AND x < 62 AND z >= 1 AND z + 1 < {N_SLICES}")
+@query(f"WITH {DENSE}, t AS (SELECT row_number() OVER (ORDER BY value DESC, z DESC, y DESC, x DESC) AS ord, z, y, x FROM vox WHERE value > 0.4), u AS (SELECT 0 AS p, * FROM s UNION ALL SELECT 1, * FROM t), n AS (SELECT row_number() OVER (ORDER BY p, ord) AS ord, z, y, x FROM u) SELECT CAST(ord AS BIGINT) AS ord, z, y, x FROM n WHERE ord > 10 AND y >= 1 AND y < 15 AND x >= 2 AND x < 62 AND z >= 1 AND z + 1 < {N_SLICES}")
 def seeds_chain(spark: S, d: str) -> DataFrame:
     """Two policies in a row, resumed after the tenth seed, away from the border."""
     v = vox(spark, d)
@@ -199,7 +200,7 @@ def seeds_chain(spark: S, d: str) -> DataFrame:
     return seeds.inside(seeds.resume(both, 10), shape(spark, d), (1, 1, 2))
 
 
-@query(f"WITH {VOX}, o AS (SELECT label AS segment_id, min(z) AS z, min(y) AS y, min(x) AS x FROM vox WHERE label > 0 GROUP BY label) SELECT CAST(row_number() OVER (ORDER BY segment_id DESC) AS INTEGER) AS ord, z, y, x FROM o")
+@query(f"WITH {VOX}, o AS (SELECT label AS segment_id, min(z) AS z, min(y) AS y, min(x) AS x FROM vox WHERE label > 0 GROUP BY label) SELECT CAST(row_number() OVER (ORDER BY segment_id DESC) AS BIGINT) AS ord, z, y, x FROM o")
 def seeds_of_origins(spark: S, d: str) -> DataFrame:
     o = vox(spark, d).where("label > 0").groupBy(F.col("label").alias("segment_id")).agg(F.min("z").alias("z"), F.min("y").alias("y"), F.min("x").alias("x"))
     return seeds.of_origins(o)
@@ -235,13 +236,14 @@ def contrast_background(spark: S, d: str) -> DataFrame:
     return augment.contrast_brightness(vox(spark, d), 1.5, 0.1, "background", "z").select("z", "y", "x", r9(F.col("value"), "value"))
 
 
-@query(f"WITH {VOX}, g AS (SELECT CAST(a.i AS INTEGER) AS z, CAST(b.i AS INTEGER) AS y, CAST(c.i AS INTEGER) AS x FROM range(0, 4) AS a(i), range(0, 64) AS b(i), range(0, 16) AS c(i)) SELECT g.z, g.y, g.x, coalesce(v.value, 0.0) AS value FROM g LEFT JOIN vox v ON v.z = g.z AND v.y = 15 - g.x AND v.x = g.y")
+@query(f"WITH {VOX}, g AS (SELECT CAST(a.i AS INTEGER) AS z, CAST(b.i AS INTEGER) AS y, CAST(c.i AS INTEGER) AS x FROM range(0, (SELECT count(*) // 16 FROM embeddings)) AS a(i), range(0, 64) AS b(i), range(0, 16) AS c(i)) SELECT g.z, g.y, g.x, coalesce(v.value, 0.0) AS value FROM g LEFT JOIN vox v ON v.z = g.z AND v.y = 15 - g.x AND v.x = g.y")
 def rotate_quarter(spark: S, d: str) -> DataFrame:
     """A quarter turn in the plane, as a rotation matrix."""
     import numpy as np
 
     turn = np.array([[1.0, 0, 0], [0, 0, 1], [0, -1, 0]])
-    return augment.rotate(vox(spark, d).where("z < 4").select("z", "y", "x", "value"), turn, (4, 16, 64), (4, 64, 16))
+    n, ny, nx = shape(spark, d)
+    return augment.rotate(vox(spark, d).select("z", "y", "x", "value"), turn, (n, ny, nx), (n, nx, ny))
 
 
 @query(f"WITH {VOX}, g AS (SELECT CAST(b.i AS INTEGER) AS y, CAST(c.i AS INTEGER) AS x FROM range(-2, 18) AS b(i), range(-1, 65) AS c(i)) SELECT z, g.y, g.x, v.label FROM g JOIN vox v ON v.y = least(greatest(g.y, 0), 15) AND v.x = least(greatest(g.x, 0), 63)")

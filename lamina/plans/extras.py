@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import aggregate, labels, masks, window
+from lamina.operators import aggregate, labels, masks, traverse, window
 from lamina.plans.base import BOXES, VOX, boxes, r9, shape, table, vox
 from lamina.plans.registry import query
 from lamina.plans.voxels import CONSENSUS, THRESHOLDS, box_sql
@@ -56,13 +53,13 @@ def display_slice(spark: S, d: str) -> DataFrame:
 
 
 @query(f"""WITH {VOX}, m AS (SELECT z, y, x FROM vox WHERE value > 0.35), s AS (SELECT z, y // 2 AS y, x // 2 AS x FROM vox WHERE greatest(abs(value * 20), abs(label - 5)) >= 6 AND z % 3 = 0),
-p AS (SELECT z, y, x FROM vox WHERE label = 6)
-SELECT z, y, x FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.z = p.z AND m.y = p.y AND m.x = p.x)
-AND NOT EXISTS (SELECT 1 FROM s WHERE abs(s.z - p.z) <= 1 AND s.y BETWEEN (p.y - 1) // 2 AND (p.y + 1) // 2 AND s.x BETWEEN (p.x - 1) // 2 AND (p.x + 1) // 2)""")
+p AS (SELECT z, y, x FROM vox WHERE label > 0),
+n AS (SELECT DISTINCT p.z, p.y, p.x FROM (SELECT *, unnest([z - 1, z, z + 1]) AS qz, (y - 1) // 2 AS y0, (y + 1) // 2 AS y1, (x - 1) // 2 AS x0, (x + 1) // 2 AS x1 FROM p) p JOIN (SELECT DISTINCT z, y, x FROM s) s ON s.z = p.qz AND s.y BETWEEN y0 AND y1 AND s.x BETWEEN x0 AND x1)
+SELECT z, y, x FROM p WHERE (z, y, x) NOT IN (SELECT (z, y, x) FROM m) AND (z, y, x) NOT IN (SELECT (z, y, x) FROM n)""")
 def movement_restrictor(spark: S, d: str) -> DataFrame:
     """Positions that are not masked and have no strongly shifted voxel (at half resolution in the plane) in their box."""
     v = vox(spark, d)
-    p = v.where("label = 6").select("z", "y", "x")
+    p = v.where("label > 0").select("z", "y", "x")
     free = p.join(v.where("value > 0.35").select("z", "y", "x"), ["z", "y", "x"], "left_anti")
     shift = v.where((F.greatest(F.abs(F.col("value") * 20), F.abs(F.col("label") - 5).cast("double")) >= 6) & (F.col("z") % 3 == 0))
     shift = shift.select(F.col("z").alias("sz"), F.floor(F.col("y") / 2).alias("sy"), F.floor(F.col("x") / 2).alias("sx")).distinct()
@@ -118,23 +115,23 @@ def consensus_origins(spark: S, d: str) -> DataFrame:
 
 
 @query(f"""WITH {VOX}, e AS (SELECT label AS id, count(*) AS size, count(*) FILTER (p AND q) AS n_both, count(*) FILTER (p OR q) AS any_, count(*) FILTER (p) AS np, count(*) FILTER (q) AS nq
-  FROM (SELECT label, value > 0.05 AS p, value > 0.08 AND x > 5 AS q FROM vox WHERE label > 0 AND z BETWEEN 2 AND 20) GROUP BY label)
+  FROM (SELECT label, value > 0.05 AS p, value > 0.08 AND x > 5 AS q FROM vox WHERE label > 0) GROUP BY label)
 SELECT id, size, round(n_both / greatest(any_, 1), 9) AS iou, round(np / size, 9) AS consistency_a, round(nq / size, 9) AS consistency_b, CASE WHEN size < 1000 THEN 'incomplete' WHEN n_both = 0 THEN 'missing' ELSE 'ok' END AS status FROM e""")
 def pair_evaluation(spark: S, d: str) -> DataFrame:
-    """Two re-segmentations of each segment in an analysis box: overlap, consistency, and a status instead of exceptions."""
+    """Two re-segmentations of each segment: overlap, consistency, and a status instead of exceptions."""
     p, q = F.col("value") > 0.05, (F.col("value") > 0.08) & (F.col("x") > 5)
-    e = vox(spark, d).where("label > 0 AND z BETWEEN 2 AND 20").groupBy(F.col("label").alias("id"))
+    e = vox(spark, d).where("label > 0").groupBy(F.col("label").alias("id"))
     e = e.agg(F.count("*").alias("size"), F.count_if(p & q).alias("both"), F.count_if(p | q).alias("any_"), F.count_if(p).alias("np"), F.count_if(q).alias("nq"))
     status = F.when(F.col("size") < 1000, "incomplete").when(F.col("both") == 0, "missing").otherwise("ok")
     share = lambda n, k: F.round(n / k, 9)
     return e.select("id", "size", share(F.col("both"), F.greatest("any_", F.lit(1))).alias("iou"), share(F.col("np"), F.col("size")).alias("consistency_a"), share(F.col("nq"), F.col("size")).alias("consistency_b"), status.alias("status"))
 
 
-@query(f"""WITH {VOX}, c AS (SELECT DISTINCT CAST(vec_id % 20 + 4 AS INTEGER) AS cz, CAST(vec_id % 40 + 10 AS INTEGER) AS cx FROM embeddings WHERE vec_id < 30)
+@query(f"""WITH {VOX}, c AS (SELECT DISTINCT CAST(vec_id % 20 + 4 AS INTEGER) AS cz, CAST(vec_id % 40 + 10 AS INTEGER) AS cx FROM embeddings)
 SELECT cz, cx, bool_or(value > 0.3) AS move FROM c JOIN vox ON abs(z - cz) <= 2 AND abs(y - 8) <= 2 AND abs(x - cx) <= 2 WHERE greatest(abs(z - cz), abs(y - 8), abs(x - cx)) = 2 GROUP BY cz, cx""")
 def shell_window_moves(spark: S, d: str) -> DataFrame:
     """A move is made if any voxel of the shell around its end is bright."""
-    c = table(spark, d, "embeddings").where("vec_id < 30").select((F.col("vec_id") % 20 + 4).cast("int").alias("cz"), (F.col("vec_id") % 40 + 10).cast("int").alias("cx")).distinct()
+    c = table(spark, d, "embeddings").select((F.col("vec_id") % 20 + 4).cast("int").alias("cz"), (F.col("vec_id") % 40 + 10).cast("int").alias("cx")).distinct()
     s = c.selectExpr("*", "explode(sequence(cz - 2, cz + 2)) AS z").selectExpr("*", "explode(sequence(6, 10)) AS y").selectExpr("*", "explode(sequence(cx - 2, cx + 2)) AS x")
     s = s.where("greatest(abs(z - cz), abs(y - 8), abs(x - cx)) = 2")
     return s.join(vox(spark, d), ["z", "y", "x"]).groupBy("cz", "cx").agg(F.bool_or(F.col("value") > 0.3).alias("move"))
@@ -162,13 +159,13 @@ def disconnected_update(spark: S, d: str) -> DataFrame:
     return v.select("z", "y", "x", r9(F.when(hold, F.col("old")).otherwise(F.col("new")), "logit"), gone.alias("deleted"))
 
 
-@query(f"""WITH {VOX}, c AS (SELECT DISTINCT CAST(vec_id % 20 + 3 AS INTEGER) AS cz, CAST(vec_id % 40 + 8 AS INTEGER) AS cx FROM embeddings WHERE vec_id < 25),
+@query(f"""WITH {VOX}, c AS (SELECT DISTINCT CAST(vec_id % 20 + 3 AS INTEGER) AS cz, CAST(vec_id % 40 + 8 AS INTEGER) AS cx FROM embeddings),
 p AS (SELECT cz, cx, z, y, x, value, label, max(CASE WHEN z = cz AND y = 8 AND x = cx THEN label END) OVER (PARTITION BY cz, cx) AS own
   FROM c JOIN vox ON abs(z - cz) <= 1 AND abs(y - 8) <= 1 AND abs(x - cx) <= 1)
 SELECT cz, cx, CAST(2 - (x - cx + 1) AS INTEGER) AS px, CAST(z - cz + 1 AS INTEGER) AS pz, CAST(y - 7 AS INTEGER) AS py, round((value - 0.1) / 0.5, 9) AS image, CASE WHEN label > 0 AND label = own THEN 0.95 ELSE 0.05 END::DOUBLE AS target FROM p""")
 def training_examples(spark: S, d: str) -> DataFrame:
     """Coordinates to examples: crop, object mask about the centre, soft targets, reflection in x, normalised image."""
-    c = table(spark, d, "embeddings").where("vec_id < 25").select((F.col("vec_id") % 20 + 3).cast("int").alias("cz"), (F.col("vec_id") % 40 + 8).cast("int").alias("cx")).distinct()
+    c = table(spark, d, "embeddings").select((F.col("vec_id") % 20 + 3).cast("int").alias("cz"), (F.col("vec_id") % 40 + 8).cast("int").alias("cx")).distinct()
     c = c.selectExpr("*", "explode(sequence(cz - 1, cz + 1)) AS z").selectExpr("*", "explode(sequence(7, 9)) AS y").selectExpr("*", "explode(sequence(cx - 1, cx + 1)) AS x")
     p = c.join(vox(spark, d), ["z", "y", "x"])
     own = F.max(F.when((F.col("z") == F.col("cz")) & (F.col("y") == 8) & (F.col("x") == F.col("cx")), F.col("label"))).over(Window.partitionBy("cz", "cx"))
@@ -176,16 +173,20 @@ def training_examples(spark: S, d: str) -> DataFrame:
     return p.select("cz", "cx", (2 - (F.col("x") - F.col("cx") + 1)).cast("int").alias("px"), (F.col("z") - F.col("cz") + 1).cast("int").alias("pz"), (F.col("y") - 7).cast("int").alias("py"), r9((F.col("value") - 0.1) / 0.5, "image"), scalar.soften(mask).alias("target"))
 
 
-@query(f"WITH {VOX} SELECT z, y, x, round(greatest(least((value - 0.1) * 8, 6), -6), 9) AS logit FROM vox")
+#: A small network: (weight, bias, output weight) of each hidden unit, and the output's bias.
+HIDDEN = [(8.0, -0.5, 1.5), (-6.0, 0.25, -2.0), (3.0, 1.0, 0.5), (12.0, -2.0, 1.0)]
+BIAS = -0.75
+
+
+@query(f"WITH {VOX} SELECT z, y, x, round({BIAS} + {' + '.join(f'greatest(value * {w} + {b}, 0) * {v}' for w, b, v in HIDDEN)}, 9) AS logit FROM vox".replace("+ -", "- "))
 def batched_predictions(spark: S, d: str) -> DataFrame:
-    """A predictor applied to Arrow batches, made once per task."""
+    """A network over Arrow batches; its weights are made once per task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level, gain = 0.1, 8.0
-        for b in batches:
-            yield b.assign(logit=np.clip((b["value"] - level) * gain, -6, 6))[["z", "y", "x", "logit"]]
+    def make():
+        w, b, v = np.array(HIDDEN).T
+        return lambda rows: BIAS + np.maximum(rows["value"].to_numpy()[:, None] * w + b, 0) @ v
 
-    out = vox(spark, d).select("z", "y", "x", "value").mapInPandas(run, "z int, y int, x int, logit double")
+    out = traverse.predicted(vox(spark, d).select("z", "y", "x", "value"), make)
     return out.select("z", "y", "x", r9(F.col("logit"), "logit"))
 
 
@@ -201,11 +202,11 @@ def ortho_planes(spark: S, d: str) -> DataFrame:
     return labels.union_all(*parts)
 
 
-@query(f"""WITH {VOX}, t AS (SELECT label, row_number() OVER (ORDER BY label) AS local FROM (SELECT DISTINCT label FROM vox WHERE label > 0 AND z < 10))
-SELECT label, count(*) AS n, CAST(coalesce(min(local), 0) AS BIGINT) AS local FROM vox LEFT JOIN t USING (label) WHERE z < 10 GROUP BY label""")
+@query(f"""WITH {VOX}, t AS (SELECT label, row_number() OVER (ORDER BY label) AS local FROM (SELECT DISTINCT label FROM vox WHERE label > 0))
+SELECT label, count(*) AS n, CAST(coalesce(min(local), 0) AS BIGINT) AS local FROM vox LEFT JOIN t USING (label) GROUP BY label""")
 def local_ids(spark: S, d: str) -> DataFrame:
     """Ids of a sub-volume and their contiguous local ones."""
-    v = vox(spark, d).where("z < 10")
+    v = vox(spark, d)
     own = labels.contiguous(v.withColumn("local", F.col("label")), "local")
     return own.groupBy("label").agg(F.count("*").alias("n"), F.min("local").cast("long").alias("local"))
 

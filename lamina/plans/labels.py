@@ -12,9 +12,9 @@ from lamina.plans.registry import query
 S = SparkSession
 
 
-@query(f"WITH {VOX}, t AS (SELECT CAST(n_nationkey AS BIGINT) AS old_id, CAST(n_regionkey - 1 AS BIGINT) AS new_id FROM nation WHERE n_nationkey < 6) SELECT z, y, x, CASE WHEN new_id IS NULL OR new_id < 0 THEN label ELSE new_id END AS label FROM vox LEFT JOIN t ON label = old_id")
+@query(f"WITH {VOX}, t AS (SELECT CAST(n_nationkey AS BIGINT) AS old_id, CAST(n_regionkey - 1 AS BIGINT) AS new_id FROM nation) SELECT z, y, x, CASE WHEN new_id IS NULL OR new_id < 0 THEN label ELSE new_id END AS label FROM vox LEFT JOIN t ON label = old_id")
 def relabel_default(spark: S, d: str) -> DataFrame:
-    t = table(spark, d, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").cast("long").alias("old_id"), (F.col("n_regionkey") - 1).cast("long").alias("new_id"))
+    t = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("old_id"), (F.col("n_regionkey") - 1).cast("long").alias("new_id"))
     return labels.relabel(vox(spark, d), t).select("z", "y", "x", "label")
 
 
@@ -32,11 +32,11 @@ def make_contiguous(spark: S, d: str) -> DataFrame:
 
 
 
-@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS u, dst AS v FROM edges WHERE (src + dst) % 5 = 0 UNION SELECT dst, src FROM edges WHERE (src + dst) % 5 = 0),
-reach(node, root) AS (SELECT u, u FROM b UNION SELECT b.v, reach.root FROM reach JOIN b ON b.u = reach.node)
+@query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges),
+reach(node, root) AS (SELECT u, u FROM b UNION SELECT b.v, reach.root FROM reach JOIN b ON b.u = reach.node WHERE reach.root < b.v)
 SELECT node, min(root) AS component FROM reach GROUP BY node""")
 def graph_components(spark: S, d: str) -> DataFrame:
-    return labels.components(edges(spark, d).where("(src + dst) % 5 = 0"))
+    return labels.components(edges(spark, d))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, b AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges),
@@ -71,8 +71,8 @@ def review_page(spark: S, d: str) -> DataFrame:
     return labels.page(labels.last_class(e), 20, 1)
 
 
-@query("SELECT CAST(c_custkey AS BIGINT) AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT CAST(o_orderkey AS BIGINT) AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber >= 3)")
 def unfinished_corners(spark: S, d: str) -> DataFrame:
-    """Work whose result does not exist yet."""
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(done, "c_custkey", "left_anti").select(F.col("c_custkey").cast("long").alias("id"))
+    """Work whose result does not exist yet: orders without a third line."""
+    done = table(spark, d, "lineitem").where("l_linenumber >= 3").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").join(done, "o_orderkey", "left_anti").select(F.col("o_orderkey").cast("long").alias("id"))

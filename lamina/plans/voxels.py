@@ -33,12 +33,12 @@ def vox_block_pack(spark: S, d: str) -> DataFrame:
     return volume.unpack_blocks(packed).select("z", "y", "x", "label")
 
 
-@query(f"""WITH {VOX}, c AS (SELECT DISTINCT CAST(vec_id % 20 + 3 AS INTEGER) AS cz, 8 AS cy, CAST(vec_id % 40 + 8 AS INTEGER) AS cx FROM embeddings WHERE vec_id < 40)
+@query(f"""WITH {VOX}, c AS (SELECT DISTINCT CAST(vec_id % 20 + 3 AS INTEGER) AS cz, 8 AS cy, CAST(vec_id % 40 + 8 AS INTEGER) AS cx FROM embeddings)
 SELECT cz, cy, cx, CAST(z - cz + 1 AS INTEGER) AS pz, CAST(y - cy + 2 AS INTEGER) AS py, CAST(x - cx + 3 AS INTEGER) AS px, value
 FROM c JOIN vox ON z BETWEEN cz - 1 AND cz + 1 AND y BETWEEN cy - 2 AND cy + 2 AND x BETWEEN cx - 3 AND cx + 3""")
 def centred_subvolumes(spark: S, d: str) -> DataFrame:
     """Patches of (3, 5, 7) around coordinates: each centre names the voxels that it needs, so the join is on equality."""
-    c = table(spark, d, "embeddings").where("vec_id < 40").select((F.col("vec_id") % 20 + 3).cast("int").alias("cz"), F.lit(8).alias("cy"), (F.col("vec_id") % 40 + 8).cast("int").alias("cx")).distinct()
+    c = table(spark, d, "embeddings").select((F.col("vec_id") % 20 + 3).cast("int").alias("cz"), F.lit(8).alias("cy"), (F.col("vec_id") % 40 + 8).cast("int").alias("cx")).distinct()
     for a, r in (("z", 1), ("y", 2), ("x", 3)):
         c = c.selectExpr("*", f"posexplode(sequence(c{a} - {r}, c{a} + {r})) AS (p{a}, {a})")
     return c.join(vox(spark, d), ["z", "y", "x"]).select("cz", "cy", "cx", "pz", "py", "px", "value")
@@ -350,11 +350,12 @@ def partition_map(spark: S, d: str) -> DataFrame:
     return window.partition_map(v, list(THRESHOLDS), (1, 1, 2), shape(spark, d), "off").select("z", "y", "x", "partition")
 
 
-@query(f"""WITH {VOX}, o AS (SELECT a.i AS dz, b.i AS dy, c.i AS dx FROM range(-1, 2) AS a(i), range(-1, 2) AS b(i), range(-1, 2) AS c(i))
-SELECT p.z, p.y, p.x, CAST(dz AS INTEGER) AS dz, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, p.label > 0 AND p.label = q.label AS same
-FROM vox p, o, vox q WHERE q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx AND p.z < 4""")
+@query(f"""WITH {VOX}, o AS (SELECT a.i AS dz, b.i AS dy, c.i AS dx FROM range(-1, 2) AS a(i), range(-1, 2) AS b(i), range(-1, 2) AS c(i)),
+s AS (SELECT z, y, x, label, dz, dy, dx, z + dz AS qz, y + dy AS qy, x + dx AS qx FROM vox, o)
+SELECT s.z, s.y, s.x, CAST(dz AS INTEGER) AS dz, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, s.label > 0 AND s.label = q.label AS same
+FROM s JOIN vox q ON q.z = s.qz AND q.y = s.qy AND q.x = s.qx""")
 def redundant_lom(spark: S, d: str) -> DataFrame:
-    return window.redundant_affinities(vox(spark, d), (1, 1, 1)).where("z < 4")
+    return window.redundant_affinities(vox(spark, d), (1, 1, 1))
 
 
 @query(f"""WITH {VOX}, f AS (
@@ -372,7 +373,9 @@ def running_sum(spark: S, d: str) -> DataFrame:
     return vox(spark, d).select("z", "y", "x", F.sum((F.col("label") > 0).cast("int")).over(w).alias("run"))
 
 
-@query(f"""WITH {VOX}, m AS (SELECT z, y, x, CAST(value > -0.1 AS INTEGER) AS m FROM vox)
-SELECT p.z, p.y, p.x, p.m = 1 AND (SELECT count(*) FROM m q WHERE q.m = 1 AND abs(q.z - p.z) + abs(q.y - p.y) + abs(q.x - p.x) = 1) = 6 AS eroded FROM m p""")
+@query(f"""WITH {VOX}, m AS (SELECT z, y, x, CAST(value > -0.1 AS INTEGER) AS m FROM vox),
+o(dz, dy, dx) AS (VALUES (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)),
+n AS (SELECT z + dz AS z, y + dy AS y, x + dx AS x, count(*) AS k FROM m, o WHERE m = 1 GROUP BY 1, 2, 3)
+SELECT m.z, m.y, m.x, m = 1 AND coalesce(k, 0) = 6 AS eroded FROM m LEFT JOIN n ON n.z = m.z AND n.y = m.y AND n.x = m.x""")
 def erode_once(spark: S, d: str) -> DataFrame:
     return window.erode(vox(spark, d).withColumn("m", F.col("value") > -0.1), "m", 1).select("z", "y", "x", "eroded")

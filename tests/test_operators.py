@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import augment, kernels, labels, masks, sampling, seeds, spatial, traverse
-from lamina.sources import volume
+from lamina.operators import augment, boxes, kernels, labels, masks, sampling, seeds, shared, spatial, traverse
+from lamina.sources import segmentation, volume
 from lamina.streaming import counters
 
 AXES = ("z", "y", "x")
@@ -95,18 +95,20 @@ def squares():
 
 
 def test_slabs(spark):
-    a = np.zeros((100, 8, 6), np.int64)
-    a[:40], a[60:] = 1, 2
-    got = points(spark, a)
-    assert set(got) == {(1, 2)} and abs(got[1, 2]["z"] - 49) <= 1 and 19 <= got[1, 2]["dist"] <= 20
+    zyx = scalar.unravel(F.col("id"), (100, 80, 60))
+    label = F.when(zyx[0] < 40, 1).when(zyx[0] >= 60, 2).otherwise(0).cast("long")
+    seg = spark.range(100 * 80 * 60).select(F.lit("v").alias("volume"), *[c.alias(a) for c, a in zip(zyx, AXES)], label.alias("label"))
+    for kw in ({}, {"max_distance": 12.0, "block": (50, 40, 60)}):
+        got = spatial.decision_points(spatial.expanded_candidates(seg, **kw)).collect()
+        assert [(r["id_a"], r["id_b"], r["dist"], [r["x"], r["y"], r["z"]]) for r in got] == [(1, 2, 10.0, [29, 39, 49])]
 
 
 def test_squares(spark):
     got = points(spark, squares())
-    assert set(got) == {(1, 2), (1, 3), (2, 3)}
-    want = {(1, 2): (49, 9), (1, 3): (29, 49), (2, 3): (69, 49)}
-    assert all(abs(got[k]["x"] - x) <= 1 and abs(got[k]["y"] - y) <= 1 for k, (x, y) in want.items())
-    assert set(points(spark, squares(), max_distance=30.0)) <= {(1, 2)}
+    assert {k: [r["x"], r["y"], r["z"]] for k, r in got.items()} == {(1, 2): [49, 9, 0], (1, 3): [29, 49, 0], (2, 3): [69, 49, 0]}
+    for block in ((64, 64, 64), (1, 30, 17)):
+        near = points(spark, squares(), max_distance=30.0, block=block)
+        assert {k: [r["x"], r["y"], r["z"]] for k, r in near.items()} == {(1, 2): [49, 9, 0]}
 
 
 # ---------------------------------------------------------------- labels and traversal
@@ -269,3 +271,96 @@ def test_shortest_path_beyond_64_steps(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(66)], "src long, dst long").coalesce(1)
     got = sorted(tuple(r) for r in labels.shortest_path(edges, 0, 66).collect())
     assert got == [(k, k) for k in range(67)]
+
+
+def test_number(spark):
+    rows = spark.range(1000).selectExpr("id", "cast(pmod(hash(id), 97) as int) AS k").repartition(7)
+    got = sorted((r["n"], r["k"]) for r in shared.number(rows, "n", "k", "id").collect())
+    assert [n for n, _ in got] == list(range(1, 1001)) and [k for _, k in got] == sorted(k for _, k in got)
+    assert shared.number(rows.limit(0), "n", "k").count() == 0
+
+
+def test_epochs(spark):
+    rows = spark.range(50).withColumnRenamed("id", "x")
+    order = lambda e: [r["x"] for r in sampling.epoch(rows, e, 3, "x").collect()]
+    assert order(0) == order(0) != order(1) and sorted(order(0)) == sorted(order(1)) == list(range(50))
+
+
+def test_uniform_over_boxes(spark):
+    """Draws fall on boxes by their volume."""
+    b = spark.createDataFrame([(1, 0, 0, 0, 10, 10, 10), (2, 50, 50, 50, 60, 60, 80), (3, 0, 90, 0, 1, 91, 1)], "box_id long, sz long, sy long, sx long, ez long, ey long, ex long")
+    n = {r["box_id"]: r["count"] for r in sampling.points_in_boxes(b, 8000, 1).groupBy("box_id").count().collect()}
+    assert abs(n[1] - 2000) < 200 and abs(n[2] - 6000) < 200 and n.get(3, 0) < 20
+
+
+def test_box_rules(spark):
+    b = spark.createDataFrame([(0, 0, 0, 5, 5, 5)], "sz long, sy long, sx long, ez long, ey long, ex long")
+    with pytest.raises(ValueError):
+        boxes.box(b, start=(0, 0, 0))
+    with pytest.raises(ValueError):
+        boxes.sub(b, size=(1, 1, 1))
+    with pytest.raises(ValueError):
+        boxes.sub(b, start=(1, 1, 1), end=(2, 2, 2), size=(1, 1, 1))
+
+
+def test_int_vectors(spark):
+    from pyspark.errors import PySparkException
+
+    ok = spark.createDataFrame([("1, -2,3.0",), (None,)], "t string").select(scalar.int_vector(F.col("t")).alias("v")).collect()
+    assert tuple(ok[0]["v"]) == (1, -2, 3) and ok[1]["v"] is None
+    for bad in ("1,2", "1,2,3.5", "a,b,c"):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([(bad,)], "t string").select(scalar.int_vector(F.col("t")).alias("v")).collect()
+
+
+def test_expression_is_boolean(spark):
+    from pyspark.errors import PySparkException
+
+    v = spark.createDataFrame([(1, 2, 3)], "z int, y int, x int")
+    assert v.select(masks.coordinate_expression("z + y = x").alias("m")).first()["m"]
+    with pytest.raises(PySparkException):
+        v.select(masks.coordinate_expression("z + y")).collect()
+
+
+def test_coordinates_out_of_range(spark):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException):
+        labels.split_components(spark.createDataFrame([(1 << 21, 0, 0, 1)], "z int, y int, x int, label long"), (4, 4, 4)).collect()
+
+
+def test_page_sizes():
+    assert labels.resized(10, 3, True) == (20, 1) and labels.resized(10, 3, False) == (5, 6) and labels.resized(1, 3, False) == (1, 3)
+
+
+def test_missing_segmentation(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        segmentation.load_segmentation(spark, str(tmp_path))
+    v = spark.createDataFrame([(0, 0, 0, 0, 0, 0, 5)], "cz int, cy int, cx int, z int, y int, x int, label long")
+    segmentation.save_segmentation(v, str(tmp_path), "checkpoint")
+    with pytest.raises(FileNotFoundError):
+        segmentation.load_segmentation(spark, str(tmp_path))
+    rows, ids = segmentation.load_segmentation(spark, str(tmp_path), allow_checkpoint=True, split=True, min_size=1)
+    assert [tuple(r) for r in ids.collect()] == [(1, 5, 1)] and rows.count() == 1
+    with pytest.raises(ValueError):
+        segmentation.load_segmentation(spark, str(tmp_path), allow_checkpoint=True, threshold=0.5)
+
+
+def test_png_stack(spark, tmp_path):
+    import struct
+    import zlib
+
+    a = np.random.default_rng(1).integers(0, 256, (3, 4, 5), dtype=np.uint8)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    for k, s in enumerate(a):
+        raw = b"".join(b"\0" + row.tobytes() for row in s)
+        (tmp_path / f"s{k}.png").write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 5, 4, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b""))
+    got = {(r["z"], r["y"], r["x"]): r["value"] for r in segmentation.read_png_stack(spark, str(tmp_path)).collect()}
+    assert got == {tuple(p): float(a[tuple(p)]) for p in np.argwhere(a >= 0).tolist()}
+
+
+def test_seed_noise():
+    """Equal values: noise leaves one peak, always the same; without it the first in raster order."""
+    a = np.ones((1, 7, 7))
+    assert kernels.peaks(a, 3, 0).tolist() == [[0, 0, 0], [0, 0, 4], [0, 4, 0], [0, 4, 4]]
+    assert kernels.peaks(a, 3, 0, noise=42).tolist() == kernels.peaks(a, 3, 0, noise=42).tolist()
