@@ -10,11 +10,14 @@ first order's prefixes make groups; inside a group a pair goes on only if the si
 second and the third order can share a token as well (bit maps), and the parity maps of the whole sets don't
 differ in more bits than linked sets can. What passes all filters is verified on the whole sets.
 
-Equal sets count once throughout. A first round verifies PARTNERS candidates of each set only, picked by a
-hash of the pair; the second verifies all candidates whose sets are then still in different components. Groups of more
+Equal sets count once throughout. A first round verifies a few candidates of each set only: those whose parity maps
+differ least, and those of the smallest hashes; large groups are looked at around their hubs, the members that differ least from a
+sample. The second round verifies all candidates whose sets are then still in different components. Groups of more
 than CHUNK sets are compared in blocks. So no link between components is lost, and near copies, however
 many, are not verified against all of each other.
 
+Sets and shingles are told apart by 64-bit hashes; equal hashes of different ones are not looked for.
+
 Defined cases: null and empty texts: no shingles, a component of their own; repeated rows: the same component;
 a null id is never the smallest unless the component has no other; extra columns are ignored (or passed on).
 """
@@ -33,8 +36,10 @@ from lamina.llm.common import SPACED_WORD, as_bytes, columns, drop, materialize,
 ORDERS = 3
 #: Buckets of the document-frequency sketch, and stripes that it is summed in.
 SKETCH, STRIPES = 1 << 21, 64
-#: Candidates per set in the first round; sets up to which it looks at a whole group; sets per block.
+#: Candidates per set in the first round (half of them the nearest); sets up to which it looks at a whole group; sets per block.
 PARTNERS, WHOLE, CHUNK = 4, 256, 2048
+#: Members of a large group that all others are measured against, to find its hubs; hubs.
+SAMPLE, HUBS = 16, 2
 #: 64-bit words of each prefix bit map; bits a token of the parity maps.
 MAP, NARROW, WIDE = 4, 1 / 3, 4
 U = np.uint64
@@ -131,23 +136,30 @@ def maps_differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def passing(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """Which pairs pass the size filter, the prefix filters of the further orders, and the parity filter."""
-    most = most_differing(a["n"][i], a["n"][j], threshold)
-    keep = np.flatnonzero(most >= 0)
-    for k in range(ORDERS - 1):
-        m = a["maps"][:, k * MAP : (k + 1) * MAP]
-        keep = keep[(m[i[keep]] & m[j[keep]]).any(1)]
+def differences(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the parity maps of pairs differ: about the tokens that one of them has alone, or fewer."""
+    differ = np.zeros(len(i), np.int64)
     # parity maps differ in size by a factor of two at most where the sizes of the sets fit
-    differ = np.zeros(len(keep), np.int64)
-    one, two = a["class"][i[keep]], a["class"][j[keep]]
+    one, two = a["class"][i], a["class"][j]
     for p, q in set(zip(one.tolist(), two.tolist())):
         at = np.flatnonzero((one == p) & (two == q))
-        x, y = a["parity"][p][a["row"][i[keep[at]]]], a["parity"][q][a["row"][j[keep[at]]]]
+        x, y = a["parity"][p][a["row"][i[at]]], a["parity"][q][a["row"][j[at]]]
         least = min(x.shape[1], y.shape[1])
         x, y = (np.bitwise_xor.reduce(m.reshape(len(m), -1, least), axis=1) for m in (x, y))
         differ[at] = np.bitwise_count(x ^ y).sum(1)
-    return keep[differ <= most[keep]]
+    return differ
+
+
+def passing(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs pass the size filter, the prefix filters of the further orders, and the parity filter; and the bits in which they differ."""
+    most = most_differing(a["n"][i], a["n"][j], threshold)
+    keep = np.flatnonzero(most >= 0)
+    for k in range(ORDERS - 1):
+        m = a["maps"][:, k * MAP : (k + 1) * MAP]
+        keep = keep[(m[i[keep]] & m[j[keep]]).any(1)]
+    differ = differences(a, i[keep], j[keep])
+    ok = differ <= most[keep]
+    return keep[ok], differ[ok]
 
 
 def unpacked(maps: pa.Array) -> dict:
@@ -291,11 +303,16 @@ def _pairs_of_group(g: dict[str, np.ndarray], at: np.ndarray, final: bool) -> It
         if size <= WHOLE:
             i, j = np.triu_indices(len(at), 1)
             yield at[i], at[j]
-        elif not cross:
-            # in an order of the group's own, each member meets the next few
-            own = at[np.argsort(mix(g["sid"][at].view(U) ^ g["key"][at].view(U)))]
-            for k in range(1, PARTNERS + 1):
-                yield own[:-k], own[k:]
+            return
+        # in an order of the group's own, each member meets the next few, and the hubs
+        own = at[np.argsort(mix(g["sid"][at].view(U) ^ g["key"][at].view(U)))]
+        for k in () if cross else range(1, PARTNERS + 1):
+            yield own[:-k], own[k:]
+        total = np.zeros(len(own))
+        for k in own[:SAMPLE]:
+            total += differences(g, own, np.full(len(own), k)) / (g["n"][own] + g["n"][k])
+        for k in own[np.argsort(total, kind="stable")[:HUBS]]:
+            yield np.full(len(own), k), own
         return
     left, right = (at[g["side"][at] == 0], at[g["side"][at] == 1]) if cross else (at, at)
     if not len(left) or not len(right):
@@ -334,9 +351,11 @@ def _candidates(members: DataFrame, threshold: tuple[int, int], final: bool) ->
             nonlocal waiting
             if pend:
                 i, j = (np.concatenate(x) for x in zip(*pend))
-                ok = passing(g, i, j, threshold)
+                ok, differ = passing(g, i, j, threshold)
                 a, b = g["sid"][i[ok]], g["sid"][j[ok]]
-                p = np.stack((np.minimum(a, b), np.maximum(a, b)), 1)
+                # share of the bits that may differ, in thousandths
+                far = 1000 * differ // (g["n"][i[ok]] + g["n"][j[ok]])
+                p = np.stack((np.minimum(a, b), np.maximum(a, b), far), 1)
                 found.append(np.unique(p[p[:, 0] != p[:, 1]], axis=0))
             pend.clear()
             waiting = 0
@@ -348,29 +367,30 @@ def _candidates(members: DataFrame, threshold: tuple[int, int], final: bool) ->
                 if waiting > 200_000:
                     flush()
         flush()
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
         if final:
             for a in range(0, len(out), 50_000):
                 part = out[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.nulls(len(part), pa.int64())], names=["a", "b", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int32())], names=["a", "b", "score", "kind"])
             return
-        score = (mix(out[:, 0].view(U) ^ mix(out[:, 1].view(U))) >> U(1)).astype(np.int64)
-        one, two, score = np.concatenate((out[:, 0], out[:, 1])), np.concatenate((out[:, 1], out[:, 0])), np.tile(score, 2)
-        order = np.lexsort((score, one))
-        one, two, score = one[order], two[order], score[order]
-        first = np.searchsorted(one, one)
-        keep = np.arange(len(one)) - first < PARTNERS
-        one, two, score = one[keep], two[keep], score[keep]
-        for a in range(0, len(one), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in (one, two, score)], names=["a", "b", "score"])
+        # each set's nearest partner here, and its partner of the smallest hash
+        code = (mix(np.ascontiguousarray(out[:, 0]).view(U) ^ mix(np.ascontiguousarray(out[:, 1]).view(U))) >> U(1)).astype(np.int64)
+        one, two = np.concatenate((out[:, 0], out[:, 1])), np.concatenate((out[:, 1], out[:, 0]))
+        for kind, score in ((0, out[:, 2]), (1, code)):
+            score = np.tile(score, 2)
+            order = np.lexsort((two, score, one))
+            best = order[np.flatnonzero(np.diff(one[order], prepend=one[order[0]] - 1))] if len(order) else order
+            for a in range(0, len(best), 50_000):
+                at = best[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(one[at]), pa.array(two[at]), pa.array(score[at]), pa.array(np.full(len(at), kind, np.int32))], names=["a", "b", "score", "kind"])
 
     n = shuffle_width(members.sparkSession)
     cols = ["key", "side", "size", "sid", "n", "maps"] + ["comp"] * final
-    rows = members.select(*cols).repartition(n, "key").mapInArrow(run, "a long, b long, score long")
+    rows = members.select(*cols).repartition(n, "key").mapInArrow(run, "a long, b long, score long, kind int")
     if final:
         return rows.select("a", "b").distinct()
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("score", "b"))
-    return rows.distinct().withColumn("_rank", rank).where(F.col("_rank") <= PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rank = F.row_number().over(Window.partitionBy("a", "kind").orderBy("score", "b"))
+    return rows.distinct().withColumn("_rank", rank).where(F.col("_rank") <= PARTNERS // 2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _near(pairs: DataFrame, wide: DataFrame, threshold: tuple[int, int]) -> DataFrame:
