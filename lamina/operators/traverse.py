@@ -356,7 +356,8 @@ def segment_results(vox: DataFrame, keys: list[str], predict: Predictor, config:
         parts.append(pd.DataFrame([("counter", k, n) for k, n in canvas.counters.items()], columns=["kind", "name", "n"]))
         out = pd.concat([p for p in parts if len(p)]) if any(len(p) for p in parts) else parts[0]
         out = out.reindex(columns=["kind", *AXES, "segment_id", "other", "n", "name"])
-        out = out.astype({c: "Int64" for c in ("z", "y", "x", "segment_id", "other", "n")})
+        out = out.astype({c: "Int64" for c in ("z", "y", "x", "segment_id", "other", "n")} | {"kind": object, "name": object})
+        out["name"] = out["name"].where(out["name"].notna(), None)
         for k, v in zip(keys, key):
             out.insert(0, k, v)
         return out
