@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 AXES = ("z", "y", "x")
 Place = tuple[int, int, int]
@@ -380,7 +381,7 @@ def predicted(patches: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd
         for b in batches:
             yield b.assign(**{name: model(b)})
 
-    return patches.mapInPandas(run, patches.schema.add(name, "double"))
+    return patches.mapInPandas(run, StructType(list(patches.schema.fields)).add(name, "double"))
 
 
 def resegment(vox: DataFrame, points: DataFrame, radius: tuple[int, int, int], predict: Predictor, config: Config, exclusion: Place = (0, 0, 0), max_retry: int = 1, recovered: float = 0.0) -> DataFrame:
