@@ -269,8 +269,20 @@ def test_components(spark, docs, odd, empty, words, num):
     assert ngram_join.components(empty).count() == 0
 
 
-def test_large_group(spark, monkeypatch):
-    """More near copies than a block holds, linked in chains; small limits also deal the group in blocks."""
+def test_star_beyond_a_block(spark):
+    """More copies than a block holds, each linked with the one original only: all are one component, though no two copies link."""
+    base = [f"w{k}" for k in range(100)]
+    rows = [(5000, " ".join(base))]
+    for d in range(ngram_join.CHUNK + 100):
+        w = list(base)
+        w[10 + d % 40], w[55 + d % 37] = f"a{d}", f"b{d}"
+        rows.append((d, " ".join(w)))
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), (80, 100), 5).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got} == {0}
+
+
+def test_large_group(spark):
+    """Near copies linked in chains."""
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(100)]
     rows = []
