@@ -40,8 +40,8 @@ SKETCH, STRIPES = 1 << 21, 64
 PARTNERS, WHOLE, CHUNK = 4, 256, 2048
 #: Members of a large group that all others are measured against, to find its hubs; hubs.
 SAMPLE, HUBS = 16, 2
-#: 64-bit words of each prefix bit map; bits a token of the parity maps.
-MAP, NARROW, WIDE = 4, 1 / 3, 4
+#: 64-bit words of each prefix bit map; bits a token of the parity maps, and the binary logarithm of their least size.
+MAP, NARROW, WIDE, LEAST_LOG = 4, 1 / 2, 4, 9
 U = np.uint64
 
 
@@ -120,7 +120,7 @@ def parity_maps(tokens: np.ndarray, at: np.ndarray, per_token: float) -> list[by
     code = mix(tokens ^ U(0x9FB21C651E98DF25))
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        bits = 1 << max(8, (int(per_token * (b - a)) - 1).bit_length())
+        bits = 1 << max(LEAST_LOG, (int(per_token * (b - a)) - 1).bit_length())
         on = np.bincount((code[a:b] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(on.astype(np.uint8), bitorder="little").tobytes())
     return out
