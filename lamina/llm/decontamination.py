@@ -143,28 +143,32 @@ def match(buf: np.ndarray, offs: np.ndarray, block: Block) -> dict[str, np.ndarr
     n = (hi - lo)[found]
     where = array.at[np.repeat(lo[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     q = np.repeat(found, n)
-    whole = _followed(where, q, block.need[q])
+    whole = _followed(where, q, block.need[q], doc[where], block.item_of[q])
     np.maximum.at(depth, q, whole)
     return out | {"doc": doc[where], "at": where - first[doc[where]], "q": q, "size": whole, "longest": depth}
 
 
-def _followed(where: np.ndarray, q: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Words of each whole match: windows that follow one another in the text as in the item are one match."""
+def _next(doc: np.ndarray, at: np.ndarray, item: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For matches in order: whether the next one goes on a word later, in the same document and the same item."""
+    return (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (at[1:] == at[:-1] + 1) & (q[1:] == q[:-1] + 1)
+
+
+def _followed(where: np.ndarray, q: np.ndarray, need: np.ndarray, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Words of each whole match: windows that follow one another in one document as in one item are one match."""
     order = np.lexsort((q, where - q))
-    w, i = where[order], q[order]
-    on = np.zeros(len(w), bool)  # the next window belongs to the same match
-    on[:-1] = (w[1:] == w[:-1] + 1) & (i[1:] == i[:-1] + 1)
-    out = np.empty(len(w), np.int64)
+    on = np.zeros(len(where), bool)  # the next window belongs to the same match
+    on[:-1] = _next(doc[order], where[order], item[order], q[order])
+    out = np.empty(len(where), np.int64)
     out[order] = need[order] + np.where(on, _runs(on), 0)
     return out
 
 
-def _maximal(m: dict[str, np.ndarray]) -> np.ndarray:
+def _maximal(m: dict[str, np.ndarray], block: Block) -> np.ndarray:
     """Numbers of the matches that are not the rest of a longer one."""
     order = np.lexsort((m["at"], m["q"] - m["at"], m["doc"]))
     doc, at, q = (m[k][order] for k in ("doc", "at", "q"))
     new = np.ones(len(order), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (q[1:] != q[:-1] + 1)
+    new[1:] = ~_next(doc, at, block.item_of[q], q)
     return order[new]
 
 
@@ -173,7 +177,7 @@ def _summaries(m: dict[str, np.ndarray], block: Block) -> tuple[list[bytes], lis
     n_docs = len(m["n_words"])
     runs: list[bytes] = [b""] * n_docs
     items: list[list[str]] = [[] for _ in range(n_docs)]
-    top = _maximal(m)
+    top = _maximal(m, block)
     order = top[np.lexsort((m["at"][top], m["doc"][top]))]
     doc, at, end, item = m["doc"][order], m["at"][order], (m["at"] + m["size"])[order], block.item_of[m["q"][order]]
     cuts = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -273,7 +277,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                 begin = np.searchsorted(block.item_of, np.arange(len(block.items)))
                 for a, b in slices(offs, SLICE):
                     m = match(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], block)
-                    top = _maximal(m)
+                    top = _maximal(m, block)
                     q = m["q"][top]
                     item = block.item_of[q]
                     yield pa.RecordBatch.from_arrays([key.take(pa.array(m["doc"][top] + a)), pa.array([str(x) for x in block.items[item]], pa.string()), pa.array(q - begin[item]), pa.array(m["at"][top]), pa.array(m["size"][top])], names=[id_col, "item", "item_word", "doc_word", "n_words"])

@@ -195,6 +195,31 @@ def test_decontamination(spark, docs, odd, empty, sf_dir, block_bytes):
     assert rows_of(decontamination.contamination(odd, b.limit(0)))[0][2] == 0
 
 
+def test_short_items_beside_others(spark):
+    """Matches go on within one item and one document only: items of one and two words next to others, matches at the edges of documents."""
+    run = " ".join(f"w{k}" for k in range(13))
+    fixed = [
+        ([("a", "alpha"), ("b", run)], [(1, f"zz alpha {run} yy")]),
+        ([("a", "alpha"), ("b", "beta")], [(2, "x alpha"), (3, "beta y")]),
+        ([("a", run), ("b", "w13 w14")], [(1, f"{run} w13 w14"), (2, run), (3, "w13 w14")]),
+    ]
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join("abcd"[k] for k in rng.integers(0, 4, n))
+    for _ in range(12):
+        items = [(f"i{k:02d}", text(rng.choice([0, 1, 1, 2, 3, 4, 9]))) for k in rng.permutation(8)]
+        fixed.append((items, [(k, text(rng.choice([0, 1, 2, 5, 30]))) for k in range(12)]))
+    for window in (13, 3):
+        for items, rows in fixed:
+            block = decontamination.build_block([i for i, _ in items], [t for _, t in items], window)
+            m = decontamination.match(*as_bytes(pa.array([t for _, t in rows])), block)
+            got = [(d, *decontamination._digest(int(n), *x)) for (d, _), n, *x in zip(rows, m["n_words"], *decontamination._summaries(m, block))]
+            assert got == brute.contamination(rows, items, window)
+    items, rows = fixed[0]
+    b = spark.createDataFrame(items, "item_id string, text string")
+    got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), b).first()
+    assert (got["n_hit"], got["n_items"]) == (14, 2)
+
+
 def test_longest_match():
     block = decontamination.build_block(["1"], ["a b c d e f g h i j k l m n o"], 13)
     text = ["x a b c d y", "a b c d e f g h i j k l m n o"]
