@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontamination, fingerprints, licenses, ngram_join, rollups, sharding, suffix_dedup, tokens, toxicity, urls
-from lamina.llm.common import shared_dir, table
+from lamina.llm import decontamination, digest_index, divergence, fingerprints, licenses, ngram_join, periodic, rollups, sharding, suffix_dedup, tokens, toxicity, urls
+from lamina.llm.common import shared_dir, shuffle_width, table
 
 
 def tokenizer_path() -> str:
@@ -73,6 +73,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_periods(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(docs, exponent=4, least=6))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table arrives in two batches, so the second meets an index that knows the first."""
+    index = digest_index.DigestIndex(spark, f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}", shuffle_width(spark))
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    return digest_index.keep_last(table(spark, sf_dir, "documents"), index, [("b1", half == 0), ("b2", half == 1)])
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT source, lang, CASE WHEN lang = 'de' THEN 'alnum-2' ELSE 'spaced-1' END AS tokenizer,
@@ -83,5 +99,11 @@ SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n)
 FROM d GROUP BY source, lang, tokenizer
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_license_scan, op4_url_filter, op5_decontamination, op6_fingerprints, op7_ngram_join, op8_toxicity, op9_token_counts, op10_bpe)}
-ORACLE_SQL = {"op3_license_scan": licenses.SQL, "op9_token_counts": OP9_SQL}
+OP13_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_suffix_dedup, op3_license_scan, op4_url_filter, op5_decontamination, op6_fingerprints, op7_ngram_join, op8_toxicity, op9_token_counts, op10_bpe, op11_divergence, op12_periodic_runs, op13_exact_dedup)}
+ORACLE_SQL = {"op3_license_scan": licenses.SQL, "op9_token_counts": OP9_SQL, "op11_divergence": divergence.SQL, "op13_exact_dedup": OP13_SQL}
