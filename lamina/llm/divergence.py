@@ -1,14 +1,15 @@
 """Source divergence audit by mergeable radix tries.
 
-Each task counts the terms of its documents in a byte trie: edges carry the bytes that the terms below share, and a leaf
-holds, per (lang, source) group, the term's occurrences and the documents that have it. Slices are counted at once and join
-the task's trie; a trie of more than COUNTERS counters is walked out in byte order and begun anew, so memory is bounded.
-Tries of all tasks are merged by prefix ranges: leaves are dealt by ranges of (lang, bytes of the term), which Spark draws from their
-spread, and each range is walked as a stream in UTF-8 order. Terms that fewer than `min_docs` of their lang's documents hold go.
+Each task counts the terms of its documents in a byte trie. The trie is kept flat, in the order of a walk: leaves by the bytes
+of their paths, and per leaf one counter for each (lang, source) group: the term's occurrences and the documents that have it.
+Tries of slices are merged into the task's; one of more than COUNTERS counters is written out and begun anew, so memory is bounded.
+What a task writes are twigs, the parts of a trie below PREFIX bytes of one lang: these bytes once, and what is left of each path.
 
-A second walk over the kept leaves, in blocks of bounded size, adds up the divergences of all pairs of sources
-and picks each group's candidates, value first and ties by the terms' bytes; ranges give at most `top` candidates a
-group each, so that few meet in the final ranking. All arithmetic is on integers; where 64 bits do not hold a count's product, Python's integers do.
+Twigs of all tasks are dealt by ranges of (lang, prefix), which Spark draws from their spread, and merged prefix by prefix in
+UTF-8 order. Terms that fewer than `min_docs` of their lang's documents hold go. A second walk over the kept leaves, in blocks
+of bounded size, adds up the divergences of all pairs of sources and picks each group's candidates, value first and ties by
+the terms' bytes; a task gives at most `top` candidates a group, so that few meet in the final ranking. All arithmetic
+is on integers; where 64 bits do not hold a count's product, Python's integers do.
 
 The names and totals of the groups are held on the driver and sent to the tasks. The result has a row for each pair of groups of a
 lang, so this list is of the order of the square root of the result.
@@ -20,9 +21,12 @@ documents of their own; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,150 +35,175 @@ from lamina.llm.common import LOWER, as_bytes, columns, materialize, shuffle_wid
 #: Letters of ASCII and all bytes of other characters.
 LETTERS = table_of((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 SCALE = 1_000_000_000
-#: Counters (a term in a group) of a task's trie before it is written out, and cells of a block in the second walk.
-COUNTERS, CELLS = 400_000, 2_000_000
-LEAF = "lang string, term binary, source string, n long, docs long"
-KEPT = "lang string, term binary, sources array<string>, counts array<long>"
-RESULT = "lang string, source string, part string, item string, value long"
+#: Counters (a term in a group) that are merged at a time, bytes that the leaves of a twig share, and cells of a block in the second walk.
+COUNTERS, PREFIX, CELLS = 1_000_000, 4, 2_000_000
+TWIG = "lang int, prefix binary, tails array<binary>, sizes array<int>, groups array<int>, n array<long>, docs array<long>"
+KEPT = "lang int, term binary, groups array<int>, counts array<long>"
+RESULT = "group int, part string, other int, item string, value long"
 
 
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where any of the sorted keys changes, the first place included."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _lists(values: pa.Array, firsts: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(firsts, n), pa.int32()), values)
+
+
+def _cut(terms: pa.Array, n: int) -> tuple[pa.Array, pa.Array]:
+    """The first n bytes of each term, and the rest."""
+    data, offs = as_bytes(terms)
+    size = np.diff(offs)
+    here = np.arange(len(data)) - np.repeat(offs[:-1], size) < n
+    whole = lambda size, data: pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size)))), pa.py_buffer(data)]).cast(pa.binary())
+    return whole(np.minimum(size, n), data[here]), whole(np.maximum(size - n, 0), data[~here])
+
+
+@dataclass
 class Trie:
-    """A radix trie over bytes. Each node has the bytes of the edge that leads to it, children by their first byte, and counters if a term ends here."""
-
-    __slots__ = ("edge", "kids", "counters")
-
-    def __init__(self, edge: bytes = b""):
-        self.edge, self.kids, self.counters = edge, {}, None
-
-    def leaf(self, term: bytes) -> dict:
-        """The counters of a term, made if there are none: group -> (occurrences, documents)."""
-        node, at = self, 0
-        while at < len(term):
-            kid = node.kids.get(term[at])
-            if kid is None:
-                kid = node.kids[term[at]] = Trie(term[at:])
-            elif not term.startswith(kid.edge, at):
-                # the edge is cut where both part
-                low, high = 1, min(len(kid.edge), len(term) - at) + 1
-                while high - low > 1:
-                    mid = (low + high) // 2
-                    low, high = (mid, high) if term.startswith(kid.edge[:mid], at) else (low, mid)
-                upper = Trie(kid.edge[:low])
-                kid.edge = kid.edge[low:]
-                upper.kids[kid.edge[0]] = kid
-                kid = node.kids[term[at]] = upper
-            at += len(kid.edge)
-            node = kid
-        if node.counters is None:
-            node.counters = {}
-        return node.counters
-
-    def add(self, term: bytes, counters: dict) -> int:
-        """Add to a term's counters; returns how many of them are new."""
-        own = self.leaf(term)
-        before = len(own)
-        for group, (n, docs) in counters.items():
-            old = own.get(group, (0, 0))
-            own[group] = (old[0] + n, old[1] + docs)
-        return len(own) - before
-
-    def merge(self, other: Trie) -> None:
-        for term, counters in other.walk():
-            self.add(term, counters)
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms and their counters, in the order of their bytes."""
-        stack = [(b"", self)]
-        while stack:
-            path, node = stack.pop()
-            if node.counters is not None:
-                yield path, node.counters
-            stack += [(path + node.kids[k].edge, node.kids[k]) for k in sorted(node.kids, reverse=True)]
-
-
-def count_terms(buf: np.ndarray, offs: np.ndarray, groups: np.ndarray) -> Iterator[tuple[bytes, dict]]:
-    """Each term of some documents with its counters by group."""
+    """A flat radix trie. terms: paths of the leaves in byte order; counter k belongs to leaf[k] and group[k], ordered by both."""
+
+    terms: pa.Array
+    leaf: np.ndarray
+    group: np.ndarray
+    n: np.ndarray
+    docs: np.ndarray
+
+    @staticmethod
+    def of(terms: pa.Array, leaf: np.ndarray, group: np.ndarray, n: np.ndarray, docs: np.ndarray) -> Trie:
+        """From counters in any order, of terms in any order and repeated."""
+        words = terms.dictionary_encode()
+        order = pc.sort_indices(words.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        leaf = rank[words.indices.to_numpy()[leaf]] if len(leaf) else leaf
+        width = int(group.max()) + 1 if len(group) else 1
+        order_ = np.argsort(leaf * width + group)
+        leaf, group = leaf[order_], group[order_]
+        at = _firsts(leaf, group)
+        add = lambda x: np.add.reduceat(x[order_], at) if len(at) else x
+        return Trie(words.dictionary.take(pa.array(order)), leaf[at], group[at], add(n), add(docs))
+
+    @staticmethod
+    def merge(tries: list[Trie]) -> Trie:
+        base = np.cumsum([0, *(len(t.terms) for t in tries)])
+        return Trie.of(
+            pa.concat_arrays([t.terms for t in tries]), np.concatenate([t.leaf + b for t, b in zip(tries, base)]),
+            *(np.concatenate([getattr(t, k) for t in tries]) for k in ("group", "n", "docs")),
+        )
+
+    def by_lang(self, lang_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Counters in the order of (lang, leaf): that order, the first counter of each leaf of a lang, its term and its lang."""
+        lang = lang_of[self.group]
+        order = np.argsort(lang, kind="stable")
+        at = _firsts(lang[order], self.leaf[order])
+        return order, at, self.terms.take(pa.array(self.leaf[order][at])), lang[order][at]
+
+    def twigs(self, lang_of: np.ndarray) -> pa.RecordBatch:
+        """A row for each lang and prefix: what is left of the leaves' paths, counters a leaf, and the counters."""
+        order, at, terms, lang = self.by_lang(lang_of)
+        prefix, rest = _cut(terms, PREFIX)
+        new = np.zeros(len(at), bool)
+        new[:1] = True
+        new[1:] = (lang[1:] != lang[:-1]) | pc.not_equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(new)
+        tails = _lists(rest, first, len(at))
+        sizes = _lists(pa.array(np.diff(np.append(at, len(order))), pa.int32()), first, len(at))
+        of = lambda x, t: _lists(pa.array(x[order], t), at[first], len(order))
+        cols = [pa.array(lang[first], pa.int32()), prefix.take(pa.array(first)), tails, sizes, of(self.group, pa.int32()), of(self.n, pa.int64()), of(self.docs, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=_names(TWIG))
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split(" ")[0] for f in schema.split(", ")]
+
+
+def count_terms(buf: np.ndarray, offs: np.ndarray, groups: np.ndarray) -> Trie:
+    """The trie of some documents, each of a group."""
     starts, ends, doc = word_spans(buf, offs, LETTERS)
-    if not len(starts):
-        return
     at = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
     data = LOWER[buf[LETTERS[buf]]]
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-    code = words.indices.to_numpy().astype(np.int64)
-    key, n = np.unique(code * len(groups) + doc, return_counts=True)  # a term in a document
-    term, group = key // len(groups), groups[key % len(groups)]
-    order = np.lexsort((group, term))
-    term, group, n = term[order], group[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (group[1:] != group[:-1]))))
-    total, docs = np.add.reduceat(n, first).tolist(), np.diff(np.append(first, len(n))).tolist()
-    term, group = term[first], group[first].tolist()
-    cut = np.flatnonzero(np.diff(term, prepend=-1, append=-1)).tolist()
-    names = words.dictionary.to_pylist()
-    for a, b in zip(cut, cut[1:]):
-        yield names[term[a]], {g: (x, y) for g, x, y in zip(group[a:b], total[a:b], docs[a:b])}
-
-
-def _leaves(trie: Trie, names: list[tuple[str, str]], most: int = 100_000) -> Iterator[pa.RecordBatch]:
-    out = []
-    for term, counters in trie.walk():
-        out += [(names[g][0], term, names[g][1], n, d) for g, (n, d) in counters.items()]
-        if len(out) >= most:
-            yield _batch(out, (pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64()), LEAF)
-            out = []
-    if out:
-        yield _batch(out, (pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64()), LEAF)
-
-
-def _batch(rows: list[tuple], kinds: tuple, schema: str) -> pa.RecordBatch:
-    names = [f.split(" ")[0] for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
-
-
-def leaves(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, term, source, n, docs): the leaves of every task's trie. Each group that occurs has a row with an empty term."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = np.sort(words.indices.to_numpy().astype(np.int64) * len(groups) + doc)
+    first = _firsts(key)  # a term in a document
+    term, doc = key[first] // len(groups), key[first] % len(groups)
+    return Trie.of(words.dictionary, term, groups[doc], np.diff(np.append(first, len(key))), np.ones(len(first), np.int64))
+
+
+def twigs(docs: DataFrame, groups: Broadcast) -> DataFrame:
+    """The twigs of every task's tries; docs: text, lang, source without nulls; groups: number of each (lang, source), and lang of each number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, size, number = Trie(), 0, {}
+        number, lang_of = groups.value
+        tries, size = [], 0
         for batch in batches:
             col, lang, source = columns(batch, "text", "lang", "source")
-            own = np.array([number.setdefault(x, len(number)) for x in zip(lang.to_pylist(), source.to_pylist())], np.int64)
+            own = np.array([number[x] for x in zip(lang.to_pylist(), source.to_pylist())], np.int64)
             buf, offs = as_bytes(col)
             for a, b in slices(offs):
-                for term, counters in count_terms(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], own[a:b]):
-                    size += trie.add(term, counters)
-                    if size > COUNTERS:
-                        yield from _leaves(trie, list(number))
-                        trie, size = Trie(), 0
-        trie.add(b"", {g: (0, 0) for g in number.values()})
-        yield from _leaves(trie, list(number))
-
-    return docs.select(text(text_col).alias("text"), text(lang_col).alias("lang"), text(source_col).alias("source")).mapInArrow(count, LEAF)
-
-
-def kept_terms(parts: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, term, sources, counts): all tries merged, range by range, without the terms that too few documents hold."""
-    width = shuffle_width(parts.sparkSession)
-    ranged = parts.where("n > 0").repartitionByRange(width, "lang", "term").sortWithinPartitions("lang", "term")
+                tries.append(count_terms(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], own[a:b]))
+                size += len(tries[-1].leaf)
+                if size > COUNTERS:
+                    tries = [Trie.merge(tries)]
+                    size = len(tries[0].leaf)
+                    if 2 * size > COUNTERS:
+                        yield tries.pop().twigs(lang_of)
+                        size = 0
+        if size:
+            yield Trie.merge(tries).twigs(lang_of)
+
+    return docs.mapInArrow(count, TWIG)
+
+
+def _of_twigs(rows: pa.Table) -> tuple[Trie, np.ndarray]:
+    """The merged trie of some twigs."""
+    rows = rows.combine_chunks()
+    tails, sizes, groups, n, docs = (rows.column(k).combine_chunks() for k in ("tails", "sizes", "groups", "n", "docs"))
+    parent = pc.list_parent_indices(tails)
+    terms = pc.binary_join_element_wise(rows.column("prefix").combine_chunks().take(parent), tails.flatten(), b"")
+    size = sizes.flatten().to_numpy()
+    leaf = np.repeat(np.arange(len(size)), size)
+    return Trie.of(terms.cast(pa.large_binary()), leaf, *(x.flatten().to_numpy().astype(np.int64) for x in (groups, n, docs)))
+
+
+def kept_terms(parts: DataFrame, groups: Broadcast, min_docs: int) -> DataFrame:
+    """(lang, term, groups, counts): all tries merged, range by range, without the terms that too few documents hold."""
+    ranged = parts.repartitionByRange(shuffle_width(parts.sparkSession), "lang", "prefix").sortWithinPartitions("lang", "prefix")
+
+    def kept(rows: pa.Table) -> pa.RecordBatch:
+        trie = _of_twigs(rows)
+        order, at, terms, lang = trie.by_lang(groups.value[1])
+        stay = np.add.reduceat(trie.docs[order], at) >= min_docs
+        size = np.diff(np.append(at, len(order)))
+        on = np.repeat(stay, size)
+        first = np.cumsum(size[stay]) - size[stay]
+        of = lambda x, t: _lists(pa.array(x[order][on], t), first, int(on.sum()))
+        cols = [pa.array(lang[stay], pa.int32()), terms.filter(pa.array(stay)).cast(pa.binary()), of(trie.group, pa.int32()), of(trie.n, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=_names(KEPT))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
-        at, counts, docs, out = None, {}, 0, []
+        held, size = [], 0
         for batch in batches:
-            for lang, term, source, n, d in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (lang, term):
-                    if docs >= min_docs:
-                        out.append((*at, list(counts), list(counts.values())))
-                    at, counts, docs = (lang, term), {}, 0
-                counts[source] = counts.get(source, 0) + n
-                docs += d
-            if len(out) > 10_000:
-                yield _batch(out, kinds, KEPT)
-                out = []
-        if docs >= min_docs:
-            out.append((*at, list(counts), list(counts.values())))
-        if out:
-            yield _batch(out, kinds, KEPT)
+            held.append(batch)
+            size += len(batch.column(batch.schema.get_field_index("groups")).flatten())
+            if size > COUNTERS:
+                # the last prefix may go on in the next batch
+                rows = pa.Table.from_batches(held)
+                last = rows.slice(rows.num_rows - 1)
+                same = pc.and_(pc.equal(rows["lang"], last["lang"][0]), pc.equal(rows["prefix"], last["prefix"][0]))
+                done = rows.num_rows - pc.sum(same).as_py()
+                if done:
+                    yield kept(rows.slice(0, done))
+                    rows = rows.slice(done)
+                held = rows.to_batches()
+                size = sum(len(x.column(x.schema.get_field_index("groups")).flatten()) for x in held)
+        if held:
+            yield kept(pa.Table.from_batches(held))
 
     return ranged.mapInArrow(merged, KEPT)
 
@@ -189,16 +218,14 @@ def shares(counts: np.ndarray, total: int) -> np.ndarray:
 class _Lang:
     """What a task gathers of one lang: sums for each pair of sources, and each source's best terms so far."""
 
-    def __init__(self, lang: str, sources: list[str], totals: list[int], n_terms: int, top: int):
-        self.lang, self.sources, self.totals, self.n_terms, self.top = lang, sources, totals, n_terms, top
-        self.number = {s: k for k, s in enumerate(sources)}
-        self.sums = np.zeros((len(sources), len(sources)), np.int64)
-        self.best: list[list[tuple[int, bytes]]] = [[] for _ in sources]
+    def __init__(self, first: int, totals: list[int], n_terms: int, top: int):
+        self.first, self.totals, self.n_terms, self.top = first, totals, n_terms, top
+        self.sums = np.zeros((len(totals), len(totals)), np.int64)
+        self.best: list[list[tuple[int, bytes]]] = [[] for _ in totals]
 
-    def add(self, terms: list[bytes], lists: list[list[str]], counts: list[list[int]]) -> None:
-        c = np.zeros((len(self.sources), len(terms)), np.int64)
-        rows = [self.number[s] for x in lists for s in x]
-        c[rows, np.repeat(np.arange(len(terms)), [len(x) for x in lists])] = [n for x in counts for n in x]
+    def add(self, terms: pa.Array, groups: pa.Array, counts: pa.Array) -> None:
+        c = np.zeros((len(self.totals), len(terms)), np.int64)
+        c[groups.flatten().to_numpy() - self.first, pc.list_parent_indices(groups).to_numpy()] = counts.flatten().to_numpy()
         p = np.stack([shares(row, total + self.n_terms) for row, total in zip(c, self.totals)])
         q = shares(c.sum(0), sum(self.totals) + self.n_terms)
         for k, own in enumerate(p):
@@ -209,51 +236,57 @@ class _Lang:
             if len(at) > self.top:  # what is below the value of rank `top` cannot stay; ties all do until they are ranked
                 stay = value >= np.partition(value, -self.top)[-self.top]
                 at, value = at[stay], value[stay]
-            self.best[k] = sorted(self.best[k] + [(-v, terms[i]) for i, v in zip(at.tolist(), value.tolist())])[: self.top]
+            self.best[k] = sorted(self.best[k] + list(zip((-value).tolist(), terms.take(pa.array(at)).to_pylist())))[: self.top]
 
     def rows(self) -> Iterator[tuple]:
-        for k, s in enumerate(self.sources):
-            for other, v in zip(self.sources, self.sums[k].tolist()):
-                if other != s:
-                    yield self.lang, s, "pair", other, v
+        for k in range(len(self.totals)):
+            for other, v in enumerate(self.sums[k].tolist()):
+                if other != k:
+                    yield self.first + k, "pair", self.first + other, None, v
             for v, term in self.best[k]:
-                yield self.lang, s, "term", term.decode(), -v
+                yield self.first + k, "term", None, term.decode(), -v
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = 3, top: int = 200) -> DataFrame:
     """Rows (lang, source, part, item, value, rank). Part `pair`: how far the group's term shares are from each other source's; part `term`: its terms above the lang's share, the first `top` of them."""
-    parts, _ = materialize(leaves(docs, text_col, lang_col, source_col), "leaves")
-    kept, _ = materialize(kept_terms(parts, min_docs), "kept")
-    groups = parts.where("n = 0").select("lang", "source").distinct()
-    counted = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
-    totals = groups.join(counted, ["lang", "source"], "left").orderBy("lang", "source").collect()
+    spark = docs.sparkSession
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    read = docs.select(text(text_col).alias("text"), text(lang_col).alias("lang"), text(source_col).alias("source"))
+    names = sorted(map(tuple, read.select("lang", "source").distinct().collect()))
+    langs = {lang: k for k, lang in enumerate(sorted({x for x, _ in names}))}
+    groups = spark.sparkContext.broadcast(({x: k for k, x in enumerate(names)}, np.array([langs[x] for x, _ in names], np.int64)))
+    parts, _ = materialize(twigs(read, groups), "twigs")
+    kept, _ = materialize(kept_terms(parts, groups, min_docs), "kept")
+    total = dict(kept.select(F.explode(F.arrays_zip("groups", "counts")).alias("x")).groupBy("x.groups").agg(F.sum("x.counts")).collect())
     n_terms = dict(kept.groupBy("lang").count().collect())
-    info: dict[str, tuple[list[str], list[int], int]] = {}
-    for lang, source, n in totals:
-        got = info.setdefault(lang, ([], [], n_terms.get(lang, 0)))
-        got[0].append(source)
-        got[1].append(n or 0)
-    sent = docs.sparkSession.sparkContext.broadcast(info)
+    info: dict[int, tuple[int, list[int], int]] = {}
+    for k, (lang, _) in enumerate(names):
+        info.setdefault(langs[lang], (k, [], n_terms.get(langs[lang], 0)))[1].append(total.get(k, 0))
+    sent = spark.sparkContext.broadcast(info)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states: dict[str, _Lang] = {}
+        states: dict[int, _Lang] = {}
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
-            for lang in sorted(set(langs)):
-                state = states.get(lang) or states.setdefault(lang, _Lang(lang, *sent.value[lang], top))
-                rows = batch.filter(pa.array(langs == lang))
-                step = max(1, CELLS // len(state.sources))
+            lang = batch.column(0).to_numpy()
+            for x in np.unique(lang).tolist():
+                state = states.get(x) or states.setdefault(x, _Lang(*sent.value[x], top))
+                rows = batch.filter(pa.array(lang == x))
+                step = max(1, CELLS // len(state.totals))
                 for a in range(0, rows.num_rows, step):
-                    state.add(*(c.to_pylist() for c in rows.slice(a, step).columns[1:]))
+                    state.add(*rows.slice(a, step).columns[1:])
         for state in states.values():
-            yield _batch(list(state.rows()), (*(pa.string(),) * 4, pa.int64()), RESULT)
+            got = list(state.rows())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64()))], names=_names(RESULT))
 
     found, _ = materialize(kept.mapInArrow(score, RESULT), "scores")
-    other = groups.select("lang", F.col("source").alias("item"))
-    none = groups.join(other, "lang").where("source <> item").select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value"))
-    pairs = found.where("part = 'pair'").unionByName(none).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    named = spark.createDataFrame([(k, *x) for k, x in enumerate(names)], "group int, lang string, source string")
+    other = named.select("lang", F.col("source").alias("item"), F.col("group").alias("other"))
+    sums = found.where("part = 'pair'").groupBy("group", "other").agg(F.sum("value").alias("value"))
+    pairs = named.join(other, "lang").where("source <> item").join(sums, ["group", "other"], "left")
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    terms = found.where("part = 'term'").join(named, "group").select("lang", "source", "part", "item", "value")
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = pairs.unionByName(found.where("part = 'term'")).withColumn("rank", F.row_number().over(order))
+    ranked = pairs.unionByName(terms).withColumn("rank", F.row_number().over(order))
     return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", "item", "value", "rank")
 
 

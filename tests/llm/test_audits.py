@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,20 +33,31 @@ def plain(df, *names):
 # ---------------------------------------------------------------- divergence
 
 
-def test_trie():
+def test_trie(spark):
+    """Merged tries hold every counter once, in the order of the terms' bytes, and so do their twigs."""
     rng = random.Random(4)
     word = lambda: bytes(rng.choice(b"ab\xc3\xa4") for _ in range(rng.randint(1, 7)))
-    words = [(word(), rng.randint(0, 2)) for _ in range(3000)]
-    tries, want = [divergence.Trie() for _ in range(3)], {}
-    for k, (w, g) in enumerate(words):
-        new = tries[k % 3].add(w, {g: (2, 1)})
-        assert new in (0, 1)
+    words, want, tries = [(word(), rng.randint(0, 2)) for _ in range(3000)], {}, []
+    for w, g in words:
         old = want.setdefault(w, {}).get(g, (0, 0))
         want[w][g] = (old[0] + 2, old[1] + 1)
-    for t in tries[1:]:
-        tries[0].merge(t)
-    assert list(tries[0].walk()) == sorted(want.items())
-    assert list(divergence.Trie().walk()) == []
+    for k in range(3):
+        part = words[k::3]
+        one = np.ones(len(part), np.int64)
+        tries.append(divergence.Trie.of(pa.array([w for w, _ in part], pa.large_binary()), np.arange(len(part)), np.array([g for _, g in part]), 2 * one, one))
+    trie = divergence.Trie.merge(tries)
+    again = divergence.Trie.merge([trie])
+    lang_of = np.array([0, 1, 0])
+    back = divergence._of_twigs(pa.Table.from_batches([t.twigs(lang_of) for t in tries]))
+    for t in (trie, again, back):
+        names, got = t.terms.to_pylist(), {}
+        assert names == sorted(want)
+        for leaf, g, n, d in zip(t.leaf.tolist(), t.group.tolist(), t.n.tolist(), t.docs.tolist()):
+            got.setdefault(names[leaf], {})[g] = (n, d)
+        assert got == want
+    rows = trie.twigs(lang_of).to_pylist()
+    at = [(r["lang"], r["prefix"]) for r in rows]
+    assert at == sorted(set(at)) and all(r["tails"] == sorted(r["tails"]) for r in rows)
 
 
 def test_shares_are_exact():
