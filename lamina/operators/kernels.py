@@ -5,48 +5,65 @@ from __future__ import annotations
 import numpy as np
 
 
-def _envelope(f: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """min over q of f[q] + (step * (p - q))^2 for all p of each row, and the best q. Rows are independent; quadratic in a block's edge but fully vectorised."""
-    n = f.shape[1]
-    p = np.arange(n)
-    best = np.full(f.shape, np.inf)
-    arg = np.zeros(f.shape, np.int64)
+def envelope(f: np.ndarray, label: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each place p of each line (the last axis): min over q of f[q] + (step * (p - q))^2, and the label there, of equals the smallest.
+
+    The lower envelope of the parabolas at all q is built from the left in a time that is linear in the line: a new parabola
+    ends those that it undercuts. All lines go on together.
+    """
+    shape, n = f.shape, f.shape[-1]
+    f, label = f.reshape(-1, n), label.reshape(-1, n)
+    rows = len(f)
+    place = step * np.arange(n)
+    owner, begin, top = np.zeros((rows, n), np.int32), np.full((rows, n + 1), np.inf), np.full(rows, -1)
     for q in range(n):
-        d = f[:, q : q + 1] + (step * (p - q)) ** 2
-        better = d < best
-        best[better] = d[better]
-        arg[better] = q
-    return best, arg
-
-
-def _squared(zero: np.ndarray, step: tuple[float, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Squared distance to the nearest true voxel, and its coordinates; separable, one axis at a time."""
-    d = np.where(zero, 0.0, np.inf)
-    at = list(np.indices(zero.shape))
-    for axis in range(zero.ndim):
-        m = np.moveaxis(d, axis, -1)
-        best, arg = _envelope(m.reshape(-1, m.shape[-1]), step[axis])
-        arg = arg.reshape(m.shape)
-        d = np.moveaxis(best.reshape(m.shape), -1, axis)
-        at = [np.moveaxis(np.take_along_axis(np.moveaxis(c, axis, -1), arg, -1), -1, axis) for c in at]
-    return d, at
+        line = np.flatnonzero(np.isfinite(f[:, q]))
+        while len(line):
+            k = top[line]
+            some = k >= 0
+            p = owner[line, np.maximum(k, 0)]
+            meet = np.full(len(line), -np.inf)
+            meet[some] = ((f[line, q] + place[q] ** 2 - f[line, p] - place[p] ** 2)[some]) / (2 * (place[q] - place[p[some]]))
+            under = some & (meet < begin[line, np.maximum(k, 0)])  # meets it before it begins; at the same point both stay
+            top[line[under]] -= 1
+            on = line[~under]
+            top[on] += 1
+            owner[on, top[on]], begin[on, top[on]] = q, meet[~under]
+            begin[on, top[on] + 1] = np.inf
+            line = line[under]
+    best, out = np.full((rows, n), np.inf), np.zeros((rows, n), label.dtype)
+    known = np.flatnonzero(top >= 0)
+    at = np.zeros(len(known), np.int64)
+    value = lambda line, k, p: f[line, owner[line, k]] + (place[p] - place[owner[line, k]]) ** 2
+    for p in range(n):
+        while (go := (at < top[known]) & (begin[known, np.minimum(at + 1, n)] < place[p])).any():
+            at[go] += 1
+        best[known, p], out[known, p] = value(known, at, p), label[known, owner[known, at]]
+        # others that begin just here are as near
+        more, k = np.arange(len(known)), at + 1
+        while len(more := more[(k[more] <= top[known[more]]) & (begin[known[more], np.minimum(k[more], n)] <= place[p])]):
+            line = known[more]
+            v, own = value(line, k[more], p), label[line, owner[line, k[more]]]
+            better = (v < best[line, p]) | ((v == best[line, p]) & (own < out[line, p]))
+            best[line[better], p], out[line[better], p] = v[better], own[better]
+            k[more] += 1
+    return best.reshape(shape), out.reshape(shape)
 
 
-def distance(mask: np.ndarray, step: tuple[float, ...] | None = None) -> np.ndarray:
-    """Euclidean distance of each true voxel to the nearest false one; infinite where there is none."""
-    d, _ = _squared(~mask, step or (1.0,) * mask.ndim)
-    return np.sqrt(d)
+def nearest(labels: np.ndarray, step: tuple[float, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distance to, and label of, the nearest labelled voxel, of equals the smallest label; infinite and 0 where there is none."""
+    d, near = np.where(labels > 0, 0.0, np.inf), labels
+    for axis, s in enumerate(step or (1.0,) * labels.ndim):
+        d, near = (np.moveaxis(x, -1, axis) for x in envelope(np.moveaxis(d, axis, -1), np.moveaxis(near, axis, -1), s))
+    return np.sqrt(d), near
 
 
-def nearest(labels: np.ndarray, step: tuple[float, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distance to, and label of, the nearest labelled voxel."""
-    if not (labels > 0).any():
-        return np.full(labels.shape, np.inf), np.zeros_like(labels)
-    d, at = _squared(labels > 0, step or (1.0,) * labels.ndim)
-    return np.sqrt(d), labels[tuple(at)]
+def distance(mask: np.ndarray, step: tuple[float, ...] | None = None) -> np.ndarray:
+    """Euclidean distance of each true voxel to the nearest false one; infinite where there is none."""
+    return nearest((~mask).astype(np.int8), step)[0]
 
 
-def _along(a: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
+def along(a: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     """Correlation with odd weights along an axis; the border is mirrored with its edge voxel."""
     r = len(weights) // 2
     n = a.shape[axis]
@@ -57,12 +74,10 @@ def _along(a: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
 
 
 def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
-    r = int(4 * sigma + 0.5)
-    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    w /= w.sum()
+    w = gaussian_weights(sigma)
     out = a.astype(float)
     for axis in range(a.ndim):
-        out = _along(out, w, axis)
+        out = along(out, w, axis)
     return out
 
 
@@ -70,10 +85,10 @@ def sobel(a: np.ndarray) -> np.ndarray:
     """Gradient magnitude."""
     total = np.zeros(a.shape)
     for axis in range(a.ndim):
-        g = _along(a.astype(float), np.array([-1.0, 0, 1.0]), axis)
+        g = along(a.astype(float), np.array([-1.0, 0, 1.0]), axis)
         for other in range(a.ndim):
             if other != axis:
-                g = _along(g, np.array([1.0, 2.0, 1.0]), other)
+                g = along(g, np.array([1.0, 2.0, 1.0]), other)
         total += g**2
     return np.sqrt(total)
 
@@ -92,6 +107,18 @@ def disk_peaks(a: np.ndarray, radius: int, least: float) -> np.ndarray:
     return np.argwhere((a == top) & (a > least) & inner)
 
 
+def running_max(a: np.ndarray, reach: int) -> np.ndarray:
+    """Largest value within the reach on both sides along the last axis."""
+    wide = np.pad(a, [(0, 0)] * (a.ndim - 1) + [(reach, reach)], constant_values=-np.inf)
+    return np.max([wide[..., k : k + a.shape[-1]] for k in range(2 * reach + 1)], axis=0)
+
+
+def gaussian_weights(sigma: float) -> np.ndarray:
+    r = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return w / w.sum()
+
+
 def peaks(a: np.ndarray, min_distance: int, least: float, noise: int | None = None) -> np.ndarray:
     """A noise seed breaks ties by up to 1e-4. Local maxima above a floor, strongest first, none within the distance of a stronger one (ties: raster order); then in raster order."""
     if noise is not None:

@@ -45,7 +45,7 @@ def enough_context(points: DataFrame, shape: tuple[int, int, int], radius: tuple
 
 
 def expanded(seg: DataFrame, voxel_size: tuple[float, float, float], max_distance: float, block: tuple[int, int, int] = (64, 64, 64)) -> DataFrame:
-    """Each voxel with `nearest`, its nearest segment (0: none within max_distance), and the distance `dist`; in blocks with a halo of that distance."""
+    """Each voxel with `nearest`, its nearest segment (of equally near ones the smallest; 0: none within max_distance), and the distance `dist`; in blocks with a halo of that distance."""
     import numpy as np
     import pandas as pd
 
@@ -66,11 +66,35 @@ def expanded(seg: DataFrame, voxel_size: tuple[float, float, float], max_distanc
     return with_halo(seg.select("volume", *AXES, "label"), block, halo).groupBy("volume", "bz", "by", "bx").applyInPandas(run, "volume string, z int, y int, x int, nearest long, dist double")
 
 
+def nearest_in_volume(seg: DataFrame, voxel_size: tuple[float, float, float] = (1, 1, 1), tile: tuple[int, int, int] = (32, 32, 32)) -> DataFrame:
+    """Each voxel of (volume, z, y, x, label) with `nearest`, its nearest segment in the whole volume (of equally near ones the smallest; 0 where the volume has none), and the distance `dist`.
+
+    Exact and without a bound: squared distances and labels pass along x, y and z, a row of tiles at a time, so no task holds the volume.
+    """
+    import numpy as np
+
+    from lamina.operators import kernels, lines
+
+    step = dict(zip(AXES, voxel_size[::-1]))
+    packed = lines.tiles(seg, {"near": (F.greatest("label", F.lit(0)), "i8", 0), "there": (F.lit(True), "?", False)}, tile)
+    kinds = {"near": "i8", "there": "?"}
+    out = {"d": "f8", **kinds}
+    for axis in ("x", "y", "z"):
+
+        def run(a: dict, axis: str = axis) -> dict:
+            d, near = kernels.envelope(a["d"] if "d" in a else np.where(a["near"] > 0, 0.0, np.inf), a["near"], step[axis])
+            return {"d": d if axis != "z" else np.sqrt(d), "near": near, "there": a["there"]}
+
+        packed, kinds = lines.along(packed, axis, tile, kinds, run, out), out
+    got = lines.voxels(packed, tile, out, lambda a: a["there"], {"near": "long", "d": "double"})
+    return got.withColumnsRenamed({"near": "nearest", "d": "dist"})
+
+
 def expanded_candidates(seg: DataFrame, voxel_size: tuple[float, float, float] = (1, 1, 1), max_distance: float | None = None, block: tuple[int, int, int] = (64, 64, 64)) -> DataFrame:
     """Candidates of decision points: each voxel takes its nearest segment, no farther than max_distance (in units of voxel_size, xyz); where two such regions touch, the distance is the mean of both sides'.
 
-    With a max_distance the volume is dealt in blocks with a halo of that distance, so a task holds one block;
-    without it the nearest segment may be anywhere, and a volume is one task. `volume` tells volumes apart; pairs are not joined across them.
+    The volume is dealt in blocks: with a max_distance they have a halo of that distance, in which distances are found; without
+    it, distances come from whole lines of the volume, and blocks need one more voxel only. `volume` tells volumes apart; pairs are not joined across them.
     """
     import numpy as np
     import pandas as pd
@@ -83,10 +107,14 @@ def expanded_candidates(seg: DataFrame, voxel_size: tuple[float, float, float] =
         low = rows[list(AXES)].min().to_numpy()
         shape = tuple((rows[list(AXES)].max().to_numpy() - low + 1).tolist())
         at = tuple((rows[k] - o).to_numpy() for k, o in zip(AXES, low))
-        a, there, core = np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape, bool)
-        a[at], there[at], core[at] = rows["label"], True, rows["is_core"]
-        dist, near = kernels.nearest(a, step)
-        near = np.where(there & (dist <= (np.inf if max_distance is None else max_distance)), near, 0)
+        near, dist, there, core = np.zeros(shape, np.int64), np.full(shape, np.inf), np.zeros(shape, bool), np.zeros(shape, bool)
+        there[at], core[at] = True, rows["is_core"]
+        if max_distance is None:
+            near[at], dist[at] = rows["nearest"], rows["dist"]
+        else:
+            near[at] = rows["label"]
+            dist, near = kernels.nearest(near, step)
+            near = np.where(there & (dist <= max_distance), near, 0)
         out = []
         for k, off in enumerate(FORWARD):
             here, there_ = tuple(slice(0, n - o) for n, o in zip(shape, off)), tuple(slice(o, n) for n, o in zip(shape, off))
@@ -98,11 +126,11 @@ def expanded_candidates(seg: DataFrame, voxel_size: tuple[float, float, float] =
         return pd.concat(out).astype({"z": "int32", "y": "int32", "x": "int32", "offset_no": "int32"})
 
     schema = "volume string, id_a long, id_b long, dist double, z int, y int, x int, offset_no int"
-    rows = seg.select("volume", *AXES, "label")
     if max_distance is None:
-        return rows.withColumn("is_core", F.lit(True)).groupBy("volume").applyInPandas(run, schema)
-    # a neighbour of a core voxel looks max_distance further
-    halo = tuple(int(np.ceil(max_distance / s)) + 1 for s in step)
+        rows, halo = nearest_in_volume(seg.select("volume", *AXES, "label"), voxel_size, block), (1, 1, 1)
+    else:
+        # a neighbour of a core voxel looks max_distance further
+        rows, halo = seg.select("volume", *AXES, "label"), tuple(int(np.ceil(max_distance / s)) + 1 for s in step)
     return with_halo(rows, block, halo).groupBy("volume", "bz", "by", "bx").applyInPandas(run, schema)
 
 

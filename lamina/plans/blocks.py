@@ -41,24 +41,35 @@ def _with_blocks(spark: S, d: str) -> DataFrame:
     return v.withColumns({"bz": F.floor(F.col("z") / 16), "bx": F.floor(F.col("x") / 32)})
 
 
+SMALL = (8, 8, 16)  # tiles small enough that the test volumes have several along each axis
+
+
 @query(None)
 def seeds_peaks(spark: S, d: str) -> DataFrame:
-    return seeds.peaks(_with_blocks(spark, d), ["bz", "bx"], sigma=2.0)
+    return seeds.peaks(vox(spark, d), sigma=2.0, tile=SMALL)
 
 
 @query(None)
 def seeds_peaks_2d(spark: S, d: str) -> DataFrame:
-    return seeds.peaks_2d(vox(spark, d), min_distance=3, least=1.0, sigma=2.0)
+    return seeds.peaks_2d(vox(spark, d), min_distance=3, least=1.0, sigma=2.0, tile=SMALL)
+
+
+def _local_maxima(name: str, r: str, where: str) -> str:
+    """Voxels above 0 that no voxel of the box exceeds, nor equals it and comes before it."""
+    return f"""{name} AS (SELECT p.z, p.y, p.x FROM vox p WHERE p.value > 0 AND NOT EXISTS (
+  SELECT 1 FROM vox q WHERE {where} AND abs(q.y - p.y) <= {r} AND abs(q.x - p.x) <= {r} AND (q.value > p.value OR (q.value = p.value AND (q.z, q.y, q.x) < (p.z, p.y, p.x)))))"""
 
 
 @query(None)
 def seeds_fill_empty(spark: S, d: str) -> DataFrame:
-    return seeds.fill_empty(_with_blocks(spark, d), ["bz", "bx"])
+    return seeds.fill_empty(vox(spark, d), tile=SMALL)
 
 
-@query(None)
+@query(f"""WITH {VOX}, {_local_maxima("a", "3", "abs(q.z - p.z) <= 3")}, {_local_maxima("b", "5", "q.z = p.z")}
+SELECT CAST(row_number() OVER (ORDER BY k, z, y, x) AS BIGINT) AS ord, z, y, x FROM (SELECT 0 AS k, * FROM a UNION ALL SELECT 1, * FROM b)""")
 def seeds_intensity_peaks(spark: S, d: str) -> DataFrame:
-    return seeds.peaks_3d_2d(_with_blocks(spark, d), ["bz", "bx"], 3, 5)
+    """Brightest voxels of the box around them, then of the square in their slice."""
+    return seeds.peaks_3d_2d(vox(spark, d), (), 3, 5, tile=SMALL)
 
 
 THIN = "(z * 7 + y * 5 + x * 3) % 29 = 0"
@@ -74,6 +85,34 @@ def expanded_distances(spark: S, d: str) -> DataFrame:
     return spatial.expanded(v, (1, 1, 1), 2.0, (8, 8, 16)).where("nearest > 0").select("z", "y", "x", r9(F.col("dist"), "dist"))
 
 
+WHOLE = f"""{VOX}, s AS (SELECT z, y, x, label FROM vox WHERE label > 0 AND {THIN}),
+near AS (SELECT v.z, v.y, v.x, min(((v.z - s.z) * (v.z - s.z) * 4 + (v.y - s.y) * (v.y - s.y) + (v.x - s.x) * (v.x - s.x)) * 1000 + s.label) AS k FROM vox v, s GROUP BY v.z, v.y, v.x),
+whole AS (SELECT z, y, x, CAST(k % 1000 AS BIGINT) AS nearest, sqrt(k // 1000) AS dist FROM near)"""
+
+
+def _thin(spark: S, d: str) -> DataFrame:
+    return vox(spark, d).select(F.lit("v").alias("volume"), "z", "y", "x", F.when(F.expr(THIN), F.col("label")).otherwise(0).alias("label"))
+
+
+@query(f"WITH {WHOLE} SELECT z, y, x, nearest, round(dist, 9) AS dist FROM whole")
+def nearest_segments(spark: S, d: str) -> DataFrame:
+    """The nearest segment of every voxel, however far, with voxels twice as high as wide: the whole volume in small tiles."""
+    got = spatial.nearest_in_volume(_thin(spark, d), (1, 1, 2), (8, 8, 16))
+    return got.select("z", "y", "x", "nearest", r9(F.col("dist"), "dist"))
+
+
+@query(f"""WITH {WHOLE}, o AS (SELECT * FROM (VALUES (0, 0, 0, 1), (1, 0, 1, 0), (2, 0, 1, 1), (3, 1, 0, 0), (4, 1, 0, 1), (5, 1, 1, 0), (6, 1, 1, 1)) AS o(k, dz, dy, dx)),
+c AS (SELECT least(a.nearest, b.nearest) AS id_a, greatest(a.nearest, b.nearest) AS id_b, (a.dist + b.dist) / 2 AS dist, a.z, a.y, a.x, k
+      FROM whole a, o JOIN whole b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.nearest <> b.nearest),
+m AS (SELECT * FROM c QUALIFY dist = min(dist) OVER (PARTITION BY id_a, id_b)),
+g AS (SELECT *, round(pow(z - avg(z) OVER p, 2) + pow(y - avg(y) OVER p, 2) + pow(x - avg(x) OVER p, 2), 9) AS d2 FROM m WINDOW p AS (PARTITION BY id_a, id_b))
+SELECT id_a, id_b, round(dist, 9) AS dist, x, y, z FROM g QUALIFY row_number() OVER (PARTITION BY id_a, id_b ORDER BY d2, k, z, y, x) = 1""")
+def decision_points_whole(spark: S, d: str) -> DataFrame:
+    """Decision points after every voxel took its nearest segment, however far."""
+    got = spatial.decision_points(spatial.expanded_candidates(_thin(spark, d), (1, 1, 2), None, (8, 8, 16)))
+    return got.select("id_a", "id_b", r9(F.col("dist"), "dist"), "x", "y", "z")
+
+
 @query(None)
 def decision_points_expanded(spark: S, d: str) -> DataFrame:
     """Decision points after every voxel took its nearest segment, in the whole volume."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import aggregate, labels, masks, traverse, window
+from lamina.operators import aggregate, labels, masks, seeds, traverse, window
 from lamina.plans.base import BOXES, VOX, boxes, r9, shape, table, vox
 from lamina.plans.registry import query
 from lamina.plans.voxels import CONSENSUS, THRESHOLDS, box_sql
@@ -218,12 +218,7 @@ b AS (SELECT z, y, x, value, 2 AS k FROM g QUALIFY row_number() OVER (ORDER BY v
 SELECT * FROM a UNION ALL SELECT * FROM b""")
 def starting_locations(spark: S, d: str) -> DataFrame:
     """The brightest voxel, and the next one outside the box around it."""
-    rest, found = vox(spark, d).select("z", "y", "x", "value"), []
-    for k in (1, 2):
-        r = rest.orderBy(F.desc("value"), "z", "y", "x").first()  # one row a round
-        found.append((r["z"], r["y"], r["x"], r["value"], k))
-        rest = rest.where(~((F.abs(F.col("z") - r["z"]) <= 2) & (F.abs(F.col("y") - r["y"]) <= 3) & (F.abs(F.col("x") - r["x"]) <= 4)))
-    return spark.createDataFrame(found, "z int, y int, x int, value double, k int")
+    return seeds.brightest(vox(spark, d), 2, (2, 3, 4))
 
 
 @query(f"""WITH RECURSIVE {VOX}, m AS (SELECT z, y, x FROM vox WHERE value > 0.02 AND z BETWEEN 6 AND 14 AND y BETWEEN 2 AND 13 AND x BETWEEN 20 AND 44),
