@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.window import BLOCK, pairs_at
 from lamina.sources.volume import with_halo
 
 AXES = ("z", "y", "x")
@@ -12,17 +13,10 @@ AXES = ("z", "y", "x")
 FORWARD = [(0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)]
 
 
-def contacts(vox: DataFrame, label: str = "label") -> DataFrame:
-    """(id_a, id_b, z, y, x, offset_no): voxel pairs of different segments at the seven forward offsets.
-
-    Offsets are exploded first, so the meeting is an equi-join on shifted coordinates; background never enters.
-    """
-    own = vox.where(F.col(label) > 0).select(*AXES, F.col(label).alias("_a"))
-    offs = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, AXES)], F.lit(k).alias("offset_no")) for k, o in enumerate(FORWARD)])
-    p = own.withColumn("o", F.explode(offs)).select(*AXES, "_a", "o.offset_no", *[(F.col(a) + F.col(f"o.d{a}")).cast("int").alias(f"_q{a}") for a in AXES])
-    q = own.select(*[F.col(a).alias(f"_q{a}") for a in AXES], F.col("_a").alias("_b"))
-    got = p.join(q, [f"_q{a}" for a in AXES]).where("_a <> _b")
-    return got.select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"), *AXES, "offset_no")
+def contacts(vox: DataFrame, label: str = "label", block: tuple[int, int, int] = BLOCK) -> DataFrame:
+    """(id_a, id_b, z, y, x, offset_no): voxel pairs of different segments at the seven forward offsets, found in blocks with one more voxel; background never enters."""
+    got = pairs_at(vox.where(F.col(label) > 0).select(*AXES, F.col(label).alias("label")), FORWARD, block).where("label <> other")
+    return got.select(F.least("label", "other").alias("id_a"), F.greatest("label", "other").alias("id_b"), *AXES, "offset_no")
 
 
 def decision_points(candidates: DataFrame) -> DataFrame:

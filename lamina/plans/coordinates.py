@@ -83,7 +83,7 @@ c AS (SELECT least(s.label, q.label) AS id_a, greatest(s.label, q.label) AS id_b
 
 @query(f"WITH {CONTACTS} SELECT * FROM c")
 def contacts(spark: S, d: str) -> DataFrame:
-    return spatial.contacts(vox(spark, d))
+    return spatial.contacts(vox(spark, d), block=(8, 8, 16))
 
 
 @query(f"""WITH {CONTACTS}, m AS (SELECT *, CAST(offset_no // 3 + 1 AS DOUBLE) AS dist FROM c),

@@ -10,7 +10,7 @@ from lamina.functions import scalar
 from lamina.operators import aggregate, labels, masks, seeds, traverse, window
 from lamina.plans.base import BOXES, VOX, boxes, r9, shape, table, vox
 from lamina.plans.registry import query
-from lamina.plans.voxels import CONSENSUS, THRESHOLDS, box_sql
+from lamina.plans.voxels import CONSENSUS, SAME, THRESHOLDS
 
 S = SparkSession
 N_SLICES = "(SELECT count(*) // 16 FROM embeddings)"
@@ -25,7 +25,7 @@ def decoded_coordinates(spark: S, d: str) -> DataFrame:
     return l.join(n, "k").select(F.col("l_orderkey").cast("long").alias("x"), "volume", seg.alias("segment_id"), F.coalesce(F.lit(None).cast("double"), F.lit(0.0)).alias("radius"))
 
 
-@query(f"""WITH {VOX}, lab AS (SELECT * FROM vox WHERE label > 0), {box_sql('1', 1, 1, 2, 'label', 'lab')},
+@query(f"""WITH {VOX}, {SAME},
 p AS (SELECT vox.z, vox.y, vox.x, CAST(CASE WHEN b3.box IS NULL THEN 0 ELSE 1 + {' + '.join(f'CAST(box / 45.0 >= {t} AS INTEGER)' for t in THRESHOLDS)} END AS INTEGER) AS part
   FROM vox LEFT JOIN b3 USING (z, y, x) WHERE vox.z BETWEEN 1 AND {N_SLICES} - 2 AND vox.y BETWEEN 1 AND 14 AND vox.x BETWEEN 2 AND 61),
 f AS (SELECT coalesce(part, 255) AS "partition" FROM vox LEFT JOIN p USING (z, y, x))

@@ -335,19 +335,22 @@ def occupied_labels(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {VOX}, {box_sql('CAST(label > 0 AS INTEGER)', 1, 2, 3)} SELECT z, y, x, box FROM b3 WHERE z BETWEEN 1 AND (SELECT count(*) // 16 FROM embeddings) - 2 AND y BETWEEN 2 AND 13 AND x BETWEEN 3 AND 60")
 def box_sum(spark: S, d: str) -> DataFrame:
-    v = window.box_sum(vox(spark, d).withColumn("on", (F.col("label") > 0).cast("int")), "on", (1, 2, 3))
+    v = window.box_sum(vox(spark, d).withColumn("on", (F.col("label") > 0).cast("int")), "on", (1, 2, 3), block=(8, 8, 16))
     return window.interior(v, shape(spark, d), (1, 2, 3)).select("z", "y", "x", "box")
 
 
+#: Labelled voxels with the number of voxels of the same label in the box of +-(1, 1, 2) around them.
+SAME = """lab AS (SELECT z, y, x, label FROM vox WHERE label > 0),
+b3 AS (SELECT p.z, p.y, p.x, count(*) AS box FROM lab p, range(-1, 2) AS a(i), range(-1, 2) AS b(i), range(-2, 3) AS c(i) JOIN lab q ON q.label = p.label AND q.z = p.z + a.i AND q.y = p.y + b.i AND q.x = p.x + c.i GROUP BY p.z, p.y, p.x)"""
 THRESHOLDS = (0.02, 0.04, 0.06, 0.1, 0.2)
 
 
-@query(f"""WITH {VOX}, lab AS (SELECT * FROM vox WHERE label > 0), {box_sql('1', 1, 1, 2, 'label', 'lab')}
+@query(f"""WITH {VOX}, {SAME}
 SELECT vox.z, vox.y, vox.x, CAST(CASE WHEN vox.x = 10 THEN 255 WHEN b3.box IS NULL THEN 0 ELSE 1 + {' + '.join(f'CAST(box / 45.0 >= {t} AS INTEGER)' for t in THRESHOLDS)} END AS INTEGER) AS "partition"
 FROM vox LEFT JOIN b3 USING (z, y, x) WHERE vox.z BETWEEN 1 AND (SELECT count(*) // 16 FROM embeddings) - 2 AND vox.y BETWEEN 1 AND 14 AND vox.x BETWEEN 2 AND 61""")
 def partition_map(spark: S, d: str) -> DataFrame:
     v = vox(spark, d).withColumn("off", F.col("x") == 10)
-    return window.partition_map(v, list(THRESHOLDS), (1, 1, 2), shape(spark, d), "off").select("z", "y", "x", "partition")
+    return window.partition_map(v, list(THRESHOLDS), (1, 1, 2), shape(spark, d), "off", (8, 8, 16)).select("z", "y", "x", "partition")
 
 
 @query(f"""WITH {VOX}, o AS (SELECT a.i AS dz, b.i AS dy, c.i AS dx FROM range(-1, 2) AS a(i), range(-1, 2) AS b(i), range(-1, 2) AS c(i)),
@@ -355,7 +358,7 @@ s AS (SELECT z, y, x, label, dz, dy, dx, z + dz AS qz, y + dy AS qy, x + dx AS q
 SELECT s.z, s.y, s.x, CAST(dz AS INTEGER) AS dz, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, s.label > 0 AND s.label = q.label AS same
 FROM s JOIN vox q ON q.z = s.qz AND q.y = s.qy AND q.x = s.qx""")
 def redundant_lom(spark: S, d: str) -> DataFrame:
-    return window.redundant_affinities(vox(spark, d), (1, 1, 1))
+    return window.redundant_affinities(vox(spark, d), (1, 1, 1), (8, 8, 16))
 
 
 @query(f"""WITH {VOX}, f AS (
@@ -379,3 +382,13 @@ n AS (SELECT z + dz AS z, y + dy AS y, x + dx AS x, count(*) AS k FROM m, o WHER
 SELECT m.z, m.y, m.x, m = 1 AND coalesce(k, 0) = 6 AS eroded FROM m LEFT JOIN n ON n.z = m.z AND n.y = m.y AND n.x = m.x""")
 def erode_once(spark: S, d: str) -> DataFrame:
     return window.erode(vox(spark, d).withColumn("m", F.col("value") > -0.1), "m", 1).select("z", "y", "x", "eroded")
+
+
+@query(f"""WITH {VOX}, few AS (SELECT label FROM vox WHERE label > 0 GROUP BY label HAVING count(*) % 2 = 0), {SAME}
+SELECT vox.z, vox.y, vox.x, CAST(CASE WHEN box IS NULL OR few.label IS NULL THEN 0 ELSE 1 + {' + '.join(f'CAST(box / 45.0 >= {t} AS INTEGER)' for t in THRESHOLDS)} END AS INTEGER) AS "partition"
+FROM vox LEFT JOIN b3 USING (z, y, x) LEFT JOIN few ON few.label = vox.label WHERE vox.z BETWEEN 1 AND (SELECT count(*) // 16 FROM embeddings) - 2 AND vox.y BETWEEN 1 AND 14 AND vox.x BETWEEN 2 AND 61""")
+def partition_map_of_some(spark: S, d: str) -> DataFrame:
+    """The partition map of the labels with an even number of voxels only."""
+    v = vox(spark, d)
+    few = v.where("label > 0").groupBy("label").count().where("count % 2 = 0")
+    return window.partition_map(v, list(THRESHOLDS), (1, 1, 2), shape(spark, d), block=(8, 8, 16), whitelist=few).select("z", "y", "x", "partition")
