@@ -3,10 +3,15 @@
 A batch holds signed rows: an insert adds a document's counts, a delete takes them away, a revision takes the
 old counts away and adds the new ones, maybe under another tokenizer version. A commit sums the batch by
 source, language and tokenizer version, adds these sums to the totals of the last version and writes the new
-totals as the next version: its cost depends on the batch and the number of keys, not on the commits before. The totals and
-the names of the batches in them become visible together, by one rename. A batch whose name is in the totals
-changes nothing, so a commit may be repeated; a commit that died half-way has changed nothing and is
-just run again. Of two commits at a time, the rename of one fails, and it starts anew on the other's version.
+totals to a folder of their own: its cost depends on the batch and the number of keys, not on the commits before.
+
+A version is one small file in `log`, named by its number, that names the folder of its totals and its batch. It is written
+aside and put in place only if that number is not taken: by a hard link where the folder is a file system of the
+machine, else by a rename that Hadoop refuses onto a file that exists (HDFS does both in one step; a store without such a step
+must not be written to by two at a time). Of two commits at a time one gets the number, and the other starts anew on its version.
+Every batch has a marker in `batches`. A commit first sets the marker of the last version's batch, in case that commit died
+before it could, and only then goes on; so the markers hold all batches before the next version can be there, and a
+batch that is committed again changes nothing. Old versions stay readable until `vacuum` removes them.
 
 Defined cases: a null text has no tokens; null source or language is a group of its own; repeated rows
 count as often as they come; keys whose totals are all zero vanish; an empty batch changes nothing but its name
@@ -16,16 +21,16 @@ refused (NegativeTotal), and nothing changes; further columns of a batch are ign
 
 from __future__ import annotations
 
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = ["n_docs", "n_tokens", "n_bytes"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
-#: Versions that stay when a new one is written; readers of older ones are cut off.
-VERSIONS = 3
 #: Tokenizer versions and their token patterns (fixed values).
 TOKENIZERS = {"spaced-1": r"[^ \t\n\f\r]+", "alnum-2": r"[0-9A-Za-z]+"}
 
@@ -67,28 +72,81 @@ def revisions(docs: DataFrame, old: str, new: str) -> DataFrame:
 
 
 class Rollup:
-    """Additive totals in a folder that all executors share: v<number>/totals and v<number>/batches."""
+    """Additive totals in a folder that all executors share: log/<number>, batches/<name>, data/<folder>, and `last`, a hint where to look for the last version."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _files(self):
-        return self._at("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._at("log").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _text(self, name: str) -> str:
+        stream = self._files().open(self._at(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, name: str, text: str) -> None:
+        out = self._files().create(self._at(name), True)
+        out.writeBytes(text)
+        out.close()
+
+    def _publish(self, name: str, text: str) -> bool:
+        """Create a file with its whole text; False if it is there already."""
+        aside = f"aside/{uuid.uuid4().hex}"
+        self._put(aside, text)
+        fs, to = self._files(), self._at(name)
+        fs.mkdirs(to.getParent())
+        if fs.getUri().getScheme() == "file":
+            try:
+                os.link(self._at(aside).toUri().getPath(), to.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                fs.delete(self._at(aside), False)
+        return self._renamed(self._at(aside), to)
+
+    def _renamed(self, aside, to) -> bool:
+        """Rename a file unless the new name is taken; then the file goes."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        none = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(to.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, to, none)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            self._files().delete(aside, False)
+            return False
 
     def versions(self) -> list[int]:
         """Numbers of the versions that are there, in order."""
-        fs, root = self._files(), self._at("")
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+        fs, root = self._files(), self._at("log")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(root)) if fs.exists(root) else []
 
-    def _read(self, version: int | None) -> tuple[DataFrame, DataFrame]:
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMA), self.spark.createDataFrame([], "batch string")
-        read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.path}/v{version}/{name}")
-        return read("totals", SCHEMA), read("batches", "batch string")
+    def last(self) -> int:
+        """The number of the last version, 0 if there is none: from the hint on, or from the whole log where the hint fails."""
+        fs = self._files()
+        try:
+            hint = self._text("last")
+        except Py4JJavaError:  # none yet, or another commit is just writing it
+            hint = ""
+        number = int(hint) if hint.isdigit() and fs.exists(self._at(f"log/{int(hint):020d}")) else max(self.versions(), default=0)
+        while fs.exists(self._at(f"log/{number + 1:020d}")):
+            number += 1
+        return number
+
+    def _read(self, number: int) -> tuple[DataFrame, str | None]:
+        """The totals of a version, and its batch."""
+        if not number:
+            return self.spark.createDataFrame([], SCHEMA), None
+        folder, batch = self._text(f"log/{number:020d}").split("\n")
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/data/{folder}"), batch
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Add a batch to the totals; False if it is in them already."""
@@ -96,25 +154,37 @@ class Rollup:
             raise ValueError(f"batch names are letters, digits, - and _: {batch!r}")
         fs = self._files()
         while True:
-            have = self.versions()
-            last = have[-1] if have else None
-            totals, batches = self._read(last)
-            if not batches.where(F.col("batch") == batch).isEmpty():
+            number = self.last()
+            totals, before = self._read(number)
+            if before is not None:
+                self._publish(f"batches/{before}", before)
+            if fs.exists(self._at(f"batches/{batch}")):
                 return False
             sums = totals.unionByName(delta.select(*KEYS, *[F.col(c).cast("long").alias(c) for c in TOTALS])).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in TOTALS])
-            number, own = (last or 0) + 1, f"_new-{uuid.uuid4().hex}"
-            sums.where(" OR ".join(f"{c} <> 0" for c in TOTALS)).write.parquet(f"{self.path}/{own}/totals")
-            written = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{own}/totals")
+            folder = uuid.uuid4().hex
+            sums.where(" OR ".join(f"{c} <> 0" for c in TOTALS)).write.parquet(f"{self.path}/data/{folder}")
+            written = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/data/{folder}")
             if not written.where(" OR ".join(f"{c} < 0" for c in TOTALS)).isEmpty():
-                fs.delete(self._at(own), True)
+                fs.delete(self._at(f"data/{folder}"), True)
                 raise NegativeTotal(f"batch {batch!r} takes away more than there is")
-            batches.unionByName(self.spark.createDataFrame([(batch,)], "batch string")).coalesce(1).write.parquet(f"{self.path}/{own}/batches")
-            if not fs.exists(self._at(f"v{number}")) and fs.rename(self._at(own), self._at(f"v{number}")):
-                for old in have[: len(have) - VERSIONS + 1]:
-                    fs.delete(self._at(f"v{old}"), True)
+            if self._publish(f"log/{number + 1:020d}", f"{folder}\n{batch}"):
+                self._publish(f"batches/{batch}", batch)
+                try:
+                    self._put("last", str(number + 1))
+                except Py4JJavaError:  # two at a time; the log counts
+                    pass
                 return True
-            fs.delete(self._at(own), True)  # another commit was faster
+            fs.delete(self._at(f"data/{folder}"), True)  # another commit was faster
+
+    def totals(self, version: int | None = None) -> DataFrame:
+        """The totals of a version, or of the last one."""
+        return self._read(self.last() if version is None else version)[0]
 
-    def totals(self) -> DataFrame:
-        have = self.versions()
-        return self._read(have[-1] if have else None)[0]
+    def vacuum(self, keep: int) -> None:
+        """Remove all but the last versions; who reads an older one is cut off."""
+        fs = self._files()
+        for number in self.versions()[: -max(keep, 1)]:
+            folder, batch = self._text(f"log/{number:020d}").split("\n")
+            self._publish(f"batches/{batch}", batch)
+            fs.delete(self._at(f"data/{folder}"), True)
+            fs.delete(self._at(f"log/{number:020d}"), False)

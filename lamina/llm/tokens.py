@@ -5,7 +5,8 @@ whatever stands before them, and a cut may part a word, a number or a run of spa
 encoded once per worker and kept in a bounded table. Then every joint is repaired: from the last piece of
 the left chunk that nothing to the right can change, pieces are cut anew across the joint until one ends where
 a piece of the right chunk ends as well; what lies between is encoded anew. The look to the right doubles until
-that happens; if it never does, both chunks become one. From such a place on the right chunk's own ids
+that happens; if it never does, both chunks become one, with as many of the next ones as there is text left of the joint, so
+that text without breaks is read and encoded about twice at most. From such a place on the right chunk's own ids
 hold, as the pre-tokenizer never looks back; it looks ahead by LOOK characters at most.
 
 Ids equal those of the tokenizers library on the whole text with add_special_tokens=False.
@@ -34,6 +35,8 @@ MASK_BITS = 8
 ROLL = 8
 #: Chunks, and repaired joints, that a worker keeps; then it starts anew.
 KEPT = 40_000
+#: Characters of a text left of a joint from which on the joint is not kept.
+LONG = 4096
 #: Characters after a piece that can decide its end; characters right of a joint that are looked at first.
 LOOK, FIRST = 3, 24
 #: The byte-level pre-tokenizer's pattern (fixed value).
@@ -131,11 +134,15 @@ class Codec:
         while True:
             head = right[:look]
             key = (tail, head)
-            if key not in self.joints:
+            if len(tail) > LONG:
+                got = self._agreement(tail, head)
+            elif key not in self.joints:
                 if len(self.joints) >= self.kept:
                     self.joints.clear()
                 self.joints[key] = self._agreement(tail, head)
-            got = self.joints[key]
+                got = self.joints[key]
+            else:
+                got = self.joints[key]
             if got is not None or len(head) == len(right):
                 return got
             look *= 2
@@ -168,8 +175,11 @@ class Codec:
         out: list[np.ndarray] = []
         doc_sizes: list[int] = []
         left: Chunk | None = None
-        for a, b, begins in zip(starts.tolist(), [*starts[1:].tolist(), len(data)], first.tolist()):
-            right = self.known(data[a:b])
+        begin, end, first = starts.tolist(), [*starts[1:].tolist(), len(data)], first.tolist()
+        k = 0
+        while k < len(begin):
+            begins, right = first[k], self.known(data[begin[k] : end[k]])
+            k += 1
             if begins:
                 doc_sizes.append(0)
                 out.append(right.ids)
@@ -181,7 +191,12 @@ class Codec:
             out[-1] = out[-1][: len(out[-1]) - left.tail_size]
             if found is None or right.tail_at < found[0]:
                 # no piece ends in both, or none is left from which to go on: one chunk of both
-                left = self.chunk(left.tail + right.text)
+                parts, size = [left.tail, right.text], len(left.tail) + len(right.text)
+                while size < 2 * len(left.tail) and k < len(begin) and not first[k]:
+                    parts.append(data[begin[k] : end[k]].decode())
+                    size += len(parts[-1])
+                    k += 1
+                left = self.chunk("".join(parts))
                 out.append(left.ids)
                 doc_sizes[-1] += len(left.ids)
                 continue

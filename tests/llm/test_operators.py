@@ -423,10 +423,49 @@ def test_rollups(spark, sf_dir, duck, tmp_path, empty):
     # a document deleted twice under another name is refused, and nothing changes
     with pytest.raises(rollups.NegativeTotal):
         roll.commit("b5", rollups.deletes(docs.where("lang = 'en'"), "spaced-1"))
-    assert rows_of(roll.totals()) == want and roll.versions() == [2, 3, 4]
-    # what a commit that died has left is not seen
-    (tmp_path / "r" / "_new-dead" / "totals").mkdir(parents=True)
-    assert rows_of(rollups.Rollup(spark, str(tmp_path / "r")).totals()) == want and not roll.commit("b1", rollups.inserts(docs, "spaced-1"))
+    assert rows_of(roll.totals()) == want and roll.versions() == [1, 2, 3, 4]
+    assert rows_of(roll.totals(1)) == [("s", "en", "spaced-1", 1, 0, 0), ("s", None, "spaced-1", 2, 4, 6)]
+    # what a commit that died has left is not seen; one that died after its version was there is not repeated
+    (tmp_path / "r" / "data" / "dead").mkdir(parents=True)
+    (tmp_path / "r" / "batches" / "b4").unlink()
+    (tmp_path / "r" / "last").write_text("99")
+    again = rollups.Rollup(spark, str(tmp_path / "r"))
+    assert rows_of(again.totals()) == want and not any(again.commit(b, rollups.inserts(docs, "spaced-1")) for b in ("b4", "b1"))
+    again.vacuum(1)
+    assert again.versions() == [4] and rows_of(again.totals()) == want and not again.commit("b2", rollups.inserts(docs, "spaced-1"))
+
+
+def test_rollup_commits_at_a_time(spark, tmp_path, monkeypatch):
+    """No batch is lost or counted twice when commits meet, and a version that is there is never written over."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    delta = spark.createDataFrame([("s", "en", "v", 1, 10, 100)], rollups.SCHEMA)
+    rolls = [rollups.Rollup(spark, str(tmp_path / "r")) for _ in range(3)]
+    names = [f"b{k % 6}" for k in range(9)]  # three of them twice
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(lambda k: rolls[k % 3].commit(names[k], delta), range(9)))
+    assert sum(done) == 6 and rolls[0].versions() == [1, 2, 3, 4, 5, 6]
+    assert rows_of(rolls[0].totals()) == [("s", "en", "v", 6, 60, 600)]
+    # the other commit takes the number while this one is about to
+    real, other = rolls[0]._publish, rolls[1]
+
+    def late(name, text):
+        if name.endswith("7") and not other.versions()[-1] == 7:
+            assert other.commit("first", delta)
+        return real(name, text)
+
+    monkeypatch.setattr(rolls[0], "_publish", late)
+    assert rolls[0].commit("second", delta) and rolls[0].versions()[-1] == 8
+    assert rows_of(rolls[2].totals()) == [("s", "en", "v", 8, 80, 800)]
+    # the way of file systems that are not the machine's own
+    for name, is_new in (("7", False), ("9", True)):
+        rolls[0]._put("aside/x", "x")
+        to = rolls[0]._at("log/" + name.zfill(20))
+        qualified = rolls[0]._files().makeQualified
+        assert rolls[0]._renamed(qualified(rolls[0]._at("aside/x")), qualified(to)) == is_new
+        assert not rolls[0]._files().exists(rolls[0]._at("aside/x"))
+    rolls[0]._files().delete(to, False)
+    assert not real("log/" + "7".zfill(20), "x") and rows_of(rolls[2].totals(7)) == [("s", "en", "v", 7, 70, 700)]
 
 
 # ---------------------------------------------------------------- BPE
@@ -464,6 +503,30 @@ def test_bpe_joints(mask_bits):
     assert any(v is None or v[0] > 0 for v in c.joints.values())  # some joints did not hold
 
 
+def test_bpe_without_breaks():
+    """Long texts that no piece ends in cost about what the encoder alone takes on them, and give the library's ids."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t, c = Tokenizer.from_file(path), tokens.Codec(path)
+    rng = np.random.default_rng(8)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    chinese = "".join(map(chr, rng.integers(0x4E00, 0x9000, 200_000)))
+    for text in (letters, chinese, " ".join((letters[:70_000], chinese[:30_000], "and on", letters[:300]))):
+        began = time.perf_counter()
+        alone = c.t.encode_ordinary(text)
+        took = [time.perf_counter() - began]
+        ids, at = c.encode(*as_bytes(pa.array([text, "x"])))
+        took.append(time.perf_counter() - began - took[0])
+        assert ids[: at[1]].tolist() == alone
+        assert took[1] < 8 * took[0] + 2
+    short = letters[:30_000] + chinese[:10_000]
+    ids, at = c.encode(*as_bytes(pa.array([short])))
+    assert ids.tolist() == t.encode(short, add_special_tokens=False).ids
+
+
 # ---------------------------------------------------------------- suffix-array dedup
 
 
