@@ -40,6 +40,8 @@ SKETCH, STRIPES = 1 << 21, 64
 PARTNERS, WHOLE, CHUNK = 4, 256, 2048
 #: Members of a large group that all others are measured against, to find its hubs; hubs.
 SAMPLE, HUBS = 16, 2
+#: Prefix tokens of each set, the smallest by hash, under which the first round looks for partners; the last round looks under all.
+FIRST = 8
 #: 64-bit words of each prefix bit map; bits a token of the parity maps, and the binary logarithm of their least size.
 MAP, NARROW, WIDE, LEAST_LOG = 4, 1 / 2, 4, 9
 U = np.uint64
@@ -251,9 +253,12 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
                 tok, doc = tok[chosen[doc]], doc[chosen[doc]]
                 part = (mix(tok) % U(n_parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                pairs = np.stack((tok[order], sid[doc[order]]), 1)
+                # the lowest bit of a token tells whether it is one of the set's FIRST
+                by, rank = np.lexsort((mix(tok), doc)), np.empty(len(tok), np.int64)
+                rank[by] = np.arange(len(by)) - np.searchsorted(doc[by], doc[by])
+                pairs = np.stack((((tok >> U(1)) << U(1) | (rank < FIRST).astype(U))[order], sid[doc[order]]), 1)
                 edge = np.searchsorted(part[order], np.arange(n_parts + 1))
-                del tok, doc, part, order
+                del tok, doc, part, order, by, rank
                 on = np.flatnonzero(np.diff(edge))
                 none = pa.nulls(len(on), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), none, none, pa.array([pairs[edge[p] : edge[p + 1]].tobytes() for p in on], pa.binary()), pa.nulls(len(on), pa.binary())], names=names)
@@ -262,23 +267,25 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
 
 
 def _groups(packed: DataFrame, n_parts: int) -> DataFrame:
-    """Rows (key, side, size, sid): members of the groups of at least two sets. Large groups are dealt in pairs of blocks."""
+    """Rows (key, side, size, sid, low): members of the groups of at least two sets. Large groups are dealt in pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [x for b in batches for x in b.column(0).to_pylist()]
         got = np.frombuffer(b"".join(data), U).reshape(-1, 2)
         del data
-        got = got[np.lexsort((got[:, 1], got[:, 0]))]
+        low, token = (got[:, 0] & U(1)).astype(bool), got[:, 0] >> U(1) << U(1)
+        order = np.lexsort((got[:, 1], token))
+        token, sid, low = token[order], got[order, 1], low[order]
         new = np.ones(len(got), bool)
-        new[1:] = (got[1:] != got[:-1]).any(1)
-        got = got[new]
-        _, group, size = np.unique(got[:, 0], return_inverse=True, return_counts=True)
+        new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+        token, sid, low = token[new], sid[new], low[new]
+        _, group, size = np.unique(token, return_inverse=True, return_counts=True)
         keep = size[group] > 1
-        token, sid, size = got[keep, 0], got[keep, 1], size[group][keep]
+        token, sid, low, size = token[keep], sid[keep], low[keep], size[group][keep]
         small = size <= CHUNK
-        yield _member_rows(mix(token[small]), np.full(int(small.sum()), 2), size[small], sid[small])
+        yield _member_rows(mix(token[small]), np.full(int(small.sum()), 2), size[small], sid[small], low[small])
         for t in np.unique(token[~small]):
-            own = sid[token == t]
+            own, first = sid[token == t], low[token == t]
             blocks = -(-len(own) // CHUNK)
             mine = mix(own) % U(blocks)
             for p in range(blocks):
@@ -286,13 +293,13 @@ def _groups(packed: DataFrame, n_parts: int) -> DataFrame:
                     key = mix(np.array([t]) + U((p * 0x9E3779B97F4A7C15 + q * 0xC2B2AE3D27D4EB4F) % (1 << 64)))
                     for side, which in ((2, p),) if p == q else ((0, p), (1, q)):
                         part = own[mine == U(which)]
-                        yield _member_rows(np.repeat(key, len(part)), np.full(len(part), side), np.full(len(part), len(own)), part)
+                        yield _member_rows(np.repeat(key, len(part)), np.full(len(part), side), np.full(len(part), len(own)), part, first[mine == U(which)])
 
-    return packed.select("part", "data").repartition(n_parts, "part").select("data").mapInArrow(run, "key long, side int, size long, sid long")
+    return packed.select("part", "data").repartition(n_parts, "part").select("data").mapInArrow(run, "key long, side int, size long, sid long, low boolean")
 
 
-def _member_rows(key: np.ndarray, side: np.ndarray, size: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(side.astype(np.int32)), pa.array(size.astype(np.int64)), pa.array(sid.view(np.int64))], names=["key", "side", "size", "sid"])
+def _member_rows(key: np.ndarray, side: np.ndarray, size: np.ndarray, sid: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(side.astype(np.int32)), pa.array(size.astype(np.int64)), pa.array(sid.view(np.int64)), pa.array(low)], names=["key", "side", "size", "sid", "low"])
 
 
 def _pairs_of_group(g: dict[str, np.ndarray], at: np.ndarray, final: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -386,7 +393,7 @@ def _candidates(members: DataFrame, threshold: tuple[int, int], final: bool) ->
 
     n = shuffle_width(members.sparkSession)
     cols = ["key", "side", "size", "sid", "n", "maps"] + ["comp"] * final
-    rows = members.select(*cols).repartition(n, "key").mapInArrow(run, "a long, b long, score long, kind int")
+    rows = (members if final else members.where("low")).select(*cols).repartition(n, "key").mapInArrow(run, "a long, b long, score long, kind int")
     if final:
         return rows.select("a", "b").distinct()
     rank = F.row_number().over(Window.partitionBy("a", "kind").orderBy("score", "b"))
