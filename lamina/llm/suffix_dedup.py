@@ -258,7 +258,7 @@ def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
                     x, y = edge[s], edge[s + 1]
                     start = np.cumsum(size[x:y]) - size[x:y]
                     src = np.repeat(at[x:y] - start, size[x:y]) + np.arange(int(size[x:y].sum()))
-                    rows.append((s, own[src].tobytes(), size[x:y].astype(np.uint8).tobytes(), code[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes(), len(src)))
+                    rows.append((s, _packed(own[src].tobytes()), size[x:y].astype(np.uint8).tobytes(), code[x:y].tobytes(), low[x:y].tobytes(), high[x:y].tobytes(), len(src)))
                 if rows:
                     *cols, total = zip(*rows)
                     k = len(rows)
@@ -270,9 +270,18 @@ def _substrings(texts: DataFrame, n_shards: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def _packed(data: bytes) -> bytes:
+    return pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _expanded(data: bytes, sizes: bytes) -> bytes:
+    """The substrings of a row, one after another; they wait packed for their shard's task."""
+    return pa.Codec("zstd").decompress(data, int(np.frombuffer(sizes, np.uint8).sum(dtype=np.int64)), asbytes=True)
+
+
 def _cuts_of(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One shard: (hash, off, n, low) of the runs to cut."""
-    buf = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
+    buf = np.frombuffer(b"".join(_expanded(r[0], r[1]) for r in rows), np.uint8)
     size = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).astype(np.int64)
     code = np.frombuffer(b"".join(r[2] for r in rows), U)
     low = np.frombuffer(b"".join(r[3] for r in rows), np.int64)
@@ -332,6 +341,7 @@ def _strings(packed: DataFrame) -> DataFrame:
         for batch in batches:
             for data, sizes, hashes, lows, highs in zip(*(c.to_pylist() for c in columns(batch, "bytes", "sizes", "hashes", "lows", "highs"))):
                 ends = np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int64)).tolist()
+                data = _expanded(data, sizes)
                 strings = [data[a:b] for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, np.int64)), pa.array(strings, pa.binary()), *[pa.array(np.frombuffer(x, np.int64)) for x in (lows, highs)]], names=["hash", "string", "low", "high"])
 
