@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from lamina.plans import blocks, coordinates, extras, labels, sources, voxels  # noqa: F401
+    from lamina.plans import blocks, coordinates, extras, labels, sources, volumes, voxels  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
