@@ -16,6 +16,7 @@ from lamina.plans.extras import N_SLICES
 from lamina.plans.registry import query
 from lamina.plans.voxels import SAME, THRESHOLDS
 from lamina.sources import chunked, records
+from lamina.streaming import shuffle
 
 S = SparkSession
 CHUNK = (8, 8, 32)
@@ -92,3 +93,18 @@ def resumed_corners(spark: S, d: str) -> DataFrame:
     runs.run(corners.where("cz % 16 = 0"), v, _narrowed, kind, path, "first")
     runs.run(corners, v, _narrowed, kind, path, "second")
     return runs.results(spark, path, kind)
+
+
+@query(f"WITH {VOX} SELECT z, y, x, label, CAST(1 AS BIGINT) AS n, TRUE AS gapless FROM vox WHERE label > 0")
+def shuffle_buffered(spark: S, d: str) -> DataFrame:
+    """All labelled coordinates as a stream through a shuffle buffer, stopped once and started again: every row once, draws without gaps."""
+    path = _place(spark, "shuffle")
+    rows = vox(spark, d).where("label > 0").select("z", "y", "x", "label")
+    shuffle.write_rows(rows.where("z % 2 = 0"), f"{path}/in")
+    out = shuffle.buffered(shuffle.read_rows(spark, f"{path}/in", rows.schema), ["z", "y", "x"], 256, 64, 11, 8)
+    shuffle.work_through(out, f"{path}/out", f"{path}/state")
+    shuffle.write_rows(rows.where("z % 2 = 1"), f"{path}/in")
+    shuffle.end_epoch(spark, f"{path}/in", rows.schema, 8)
+    got = shuffle.work_through(out, f"{path}/out", f"{path}/state")
+    lanes = got.groupBy("lane").agg(((F.min("position") == 0) & (F.max("position") == F.count("*") - 1) & (F.countDistinct("position") == F.count("*"))).alias("gapless"))
+    return got.join(F.broadcast(lanes), "lane").groupBy("z", "y", "x", "label").agg(F.count("*").alias("n"), F.min("gapless").alias("gapless"))
