@@ -26,6 +26,7 @@ MOVES = """moves AS (
          user_id % 3 <> 0 AS wanted, event_id % 2 = 0 AS executed,
          CAST(event_id % 5 - 2 AS INTEGER) AS dz, CAST(event_id % 7 - 3 AS INTEGER) AS dy, CAST(user_id % 4 AS INTEGER) AS dx
   FROM events)"""
+CENTRES = "c AS (SELECT CAST(vec_id // 16 AS INTEGER) AS cz, CAST(vec_id % 16 AS INTEGER) AS cy, CAST(vec_id * 7 % 64 AS INTEGER) AS cx FROM embeddings)"
 EDGES = "edges AS (SELECT DISTINCT CAST(l_partkey % 400 AS BIGINT) AS src, CAST(400 + l_suppkey % 37 + 37 * (l_partkey % 11) AS BIGINT) AS dst FROM lineitem)"
 
 
@@ -37,6 +38,11 @@ def shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
     return table(spark, sf_dir, "embeddings").count() // 16, 16, 64
 
 
+def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A centre for every row of the table."""
+    return table(spark, sf_dir, "embeddings").selectExpr("CAST(vec_id DIV 16 AS INT) AS cz", "CAST(vec_id % 16 AS INT) AS cy", "CAST(vec_id * 7 % 64 AS INT) AS cx")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.two_segmentations(table(spark, sf_dir, "lineitem"))
 

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import aggregate, labels, masks, seeds, traverse, window
-from lamina.plans.base import BOXES, VOX, boxes, r9, shape, table, vox
+from lamina.operators import aggregate, labels, masks, patches, seeds, traverse, window
+from lamina.plans.base import BOXES, CENTRES, VOX, boxes, centres, r9, shape, table, vox
 from lamina.plans.registry import query
 from lamina.plans.voxels import CONSENSUS, SAME, THRESHOLDS
 
@@ -127,14 +127,12 @@ def pair_evaluation(spark: S, d: str) -> DataFrame:
     return e.select("id", "size", share(F.col("both"), F.greatest("any_", F.lit(1))).alias("iou"), share(F.col("np"), F.col("size")).alias("consistency_a"), share(F.col("nq"), F.col("size")).alias("consistency_b"), status.alias("status"))
 
 
-@query(f"""WITH {VOX}, c AS (SELECT DISTINCT CAST(vec_id % 20 + 4 AS INTEGER) AS cz, CAST(vec_id % 40 + 10 AS INTEGER) AS cx FROM embeddings)
-SELECT cz, cx, bool_or(value > 0.3) AS move FROM c JOIN vox ON abs(z - cz) <= 2 AND abs(y - 8) <= 2 AND abs(x - cx) <= 2 WHERE greatest(abs(z - cz), abs(y - 8), abs(x - cx)) = 2 GROUP BY cz, cx""")
+@query(f"""WITH {VOX}, {CENTRES}
+SELECT cz, cy, cx, bool_or(value > 0.3) AS move FROM c CROSS JOIN range(-2, 3) AS i(i) CROSS JOIN range(-2, 3) AS j(i) CROSS JOIN range(-2, 3) AS k(i) JOIN vox ON z = cz + i.i AND y = cy + j.i AND x = cx + k.i
+WHERE greatest(abs(i.i), abs(j.i), abs(k.i)) = 2 GROUP BY cz, cy, cx""")
 def shell_window_moves(spark: S, d: str) -> DataFrame:
-    """A move is made if any voxel of the shell around its end is bright."""
-    c = table(spark, d, "embeddings").select((F.col("vec_id") % 20 + 4).cast("int").alias("cz"), (F.col("vec_id") % 40 + 10).cast("int").alias("cx")).distinct()
-    s = c.selectExpr("*", "explode(sequence(cz - 2, cz + 2)) AS z").selectExpr("*", "explode(sequence(6, 10)) AS y").selectExpr("*", "explode(sequence(cx - 2, cx + 2)) AS x")
-    s = s.where("greatest(abs(z - cz), abs(y - 8), abs(x - cx)) = 2")
-    return s.join(vox(spark, d), ["z", "y", "x"]).groupBy("cz", "cx").agg(F.bool_or(F.col("value") > 0.3).alias("move"))
+    """A move is made if any voxel of the shell around its end is bright; an end on every line of the volume."""
+    return patches.shell_any(centres(spark, d), vox(spark, d), (2, 2, 2), F.col("value") > 0.3, ["value"])
 
 
 @query("SELECT CAST(a.i AS INTEGER) AS dz, CAST(b.i AS INTEGER) AS dy, CAST(c.i AS INTEGER) AS dx, CAST(row_number() OVER (ORDER BY c.i, b.i, a.i) AS INTEGER) AS ord FROM range(-1, 2) AS a(i), range(-1, 2) AS b(i), range(-1, 2) AS c(i) WHERE NOT (a.i = 0 AND b.i = 0 AND c.i = 0)")
@@ -159,18 +157,13 @@ def disconnected_update(spark: S, d: str) -> DataFrame:
     return v.select("z", "y", "x", r9(F.when(hold, F.col("old")).otherwise(F.col("new")), "logit"), gone.alias("deleted"))
 
 
-@query(f"""WITH {VOX}, c AS (SELECT DISTINCT CAST(vec_id % 20 + 3 AS INTEGER) AS cz, CAST(vec_id % 40 + 8 AS INTEGER) AS cx FROM embeddings),
-p AS (SELECT cz, cx, z, y, x, value, label, max(CASE WHEN z = cz AND y = 8 AND x = cx THEN label END) OVER (PARTITION BY cz, cx) AS own
-  FROM c JOIN vox ON abs(z - cz) <= 1 AND abs(y - 8) <= 1 AND abs(x - cx) <= 1)
-SELECT cz, cx, CAST(2 - (x - cx + 1) AS INTEGER) AS px, CAST(z - cz + 1 AS INTEGER) AS pz, CAST(y - 7 AS INTEGER) AS py, round((value - 0.1) / 0.5, 9) AS image, CASE WHEN label > 0 AND label = own THEN 0.95 ELSE 0.05 END::DOUBLE AS target FROM p""")
+@query(f"""WITH {VOX}, {CENTRES},
+p AS (SELECT c.*, i.i AS dz, j.i AS dy, k.i AS dx, value, label FROM c CROSS JOIN range(-1, 2) AS i(i) CROSS JOIN range(-1, 2) AS j(i) CROSS JOIN range(-1, 2) AS k(i) JOIN vox ON z = cz + i.i AND y = cy + j.i AND x = cx + k.i),
+o AS (SELECT *, max(CASE WHEN dz = 0 AND dy = 0 AND dx = 0 THEN label END) OVER (PARTITION BY cz, cy, cx) AS own FROM p)
+SELECT cz, cy, cx, CAST(1 - dx AS INTEGER) AS px, CAST(dz + 1 AS INTEGER) AS pz, CAST(dy + 1 AS INTEGER) AS py, round((value - 0.1) / 0.5, 9) AS image, CASE WHEN label > 0 AND label = own THEN 0.95 ELSE 0.05 END::DOUBLE AS target FROM o""")
 def training_examples(spark: S, d: str) -> DataFrame:
     """Coordinates to examples: crop, object mask about the centre, soft targets, reflection in x, normalised image."""
-    c = table(spark, d, "embeddings").select((F.col("vec_id") % 20 + 3).cast("int").alias("cz"), (F.col("vec_id") % 40 + 8).cast("int").alias("cx")).distinct()
-    c = c.selectExpr("*", "explode(sequence(cz - 1, cz + 1)) AS z").selectExpr("*", "explode(sequence(7, 9)) AS y").selectExpr("*", "explode(sequence(cx - 1, cx + 1)) AS x")
-    p = c.join(vox(spark, d), ["z", "y", "x"])
-    own = F.max(F.when((F.col("z") == F.col("cz")) & (F.col("y") == 8) & (F.col("x") == F.col("cx")), F.col("label"))).over(Window.partitionBy("cz", "cx"))
-    mask = (F.col("label") > 0) & (F.col("label") == own)
-    return p.select("cz", "cx", (2 - (F.col("x") - F.col("cx") + 1)).cast("int").alias("px"), (F.col("z") - F.col("cz") + 1).cast("int").alias("pz"), (F.col("y") - 7).cast("int").alias("py"), r9((F.col("value") - 0.1) / 0.5, "image"), scalar.soften(mask).alias("target"))
+    return patches.examples(centres(spark, d), vox(spark, d), (1, 1, 1), 0.1, 0.5, (False, False, True)).withColumn("image", r9(F.col("image"), "image"))
 
 
 #: A small network: (weight, bias, output weight) of each hidden unit, and the output's bias.

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import aggregate, masks, window
+from lamina.operators import aggregate, masks, patches, window
 from lamina.plans import flagship
-from lamina.plans.base import MOVES, PAIRS, VOX, moves, pairs, r9, shape, table, vox
+from lamina.plans.base import CENTRES, MOVES, PAIRS, VOX, centres, moves, pairs, r9, shape, table, vox
 from lamina.plans.registry import query
 from lamina.sources import volume
 
@@ -33,15 +33,12 @@ def vox_block_pack(spark: S, d: str) -> DataFrame:
     return volume.unpack_blocks(packed).select("z", "y", "x", "label")
 
 
-@query(f"""WITH {VOX}, c AS (SELECT DISTINCT CAST(vec_id % 20 + 3 AS INTEGER) AS cz, 8 AS cy, CAST(vec_id % 40 + 8 AS INTEGER) AS cx FROM embeddings)
-SELECT cz, cy, cx, CAST(z - cz + 1 AS INTEGER) AS pz, CAST(y - cy + 2 AS INTEGER) AS py, CAST(x - cx + 3 AS INTEGER) AS px, value
-FROM c JOIN vox ON z BETWEEN cz - 1 AND cz + 1 AND y BETWEEN cy - 2 AND cy + 2 AND x BETWEEN cx - 3 AND cx + 3""")
+@query(f"""WITH {VOX}, {CENTRES}
+SELECT cz, cy, cx, CAST(i.i + 1 AS INTEGER) AS pz, CAST(j.i + 2 AS INTEGER) AS py, CAST(k.i + 3 AS INTEGER) AS px, value
+FROM c CROSS JOIN range(-1, 2) AS i(i) CROSS JOIN range(-2, 3) AS j(i) CROSS JOIN range(-3, 4) AS k(i) JOIN vox ON z = cz + i.i AND y = cy + j.i AND x = cx + k.i""")
 def centred_subvolumes(spark: S, d: str) -> DataFrame:
-    """Patches of (3, 5, 7) around coordinates: each centre names the voxels that it needs, so the join is on equality."""
-    c = table(spark, d, "embeddings").select((F.col("vec_id") % 20 + 3).cast("int").alias("cz"), F.lit(8).alias("cy"), (F.col("vec_id") % 40 + 8).cast("int").alias("cx")).distinct()
-    for a, r in (("z", 1), ("y", 2), ("x", 3)):
-        c = c.selectExpr("*", f"posexplode(sequence(c{a} - {r}, c{a} + {r})) AS (p{a}, {a})")
-    return c.join(vox(spark, d), ["z", "y", "x"]).select("cz", "cy", "cx", "pz", "py", "px", "value")
+    """Patches of (3, 5, 7) around a centre on every line of the volume."""
+    return patches.patches(centres(spark, d), vox(spark, d), (1, 2, 3), ["value"])
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS id, format('{}/{}/seg-{}_{}_{}.npz', p_size, p_partkey % 7, p_size, p_partkey % 7, p_partkey % 5) AS path, CAST(p_partkey % 5 AS INTEGER) AS z, CAST(p_partkey % 7 AS INTEGER) AS y, CAST(p_size AS INTEGER) AS x FROM part")
