@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import aggregate, labels, masks, patches, seeds, traverse, window
+from lamina.operators import aggregate, evaluation, labels, masks, patches, seeds, spatial, traverse, window
+from lamina.operators.shared import kept
 from lamina.plans.base import BOXES, CENTRES, VOX, boxes, centres, r9, shape, table, vox
+from lamina.plans.coordinates import CONTACTS
 from lamina.plans.registry import query
 from lamina.plans.voxels import CONSENSUS, SAME, THRESHOLDS
 
@@ -114,17 +116,56 @@ def consensus_origins(spark: S, d: str) -> DataFrame:
     return o.join(left, "segment_id", "left_semi")
 
 
-@query(f"""WITH {VOX}, e AS (SELECT label AS id, count(*) AS size, count(*) FILTER (p AND q) AS n_both, count(*) FILTER (p OR q) AS any_, count(*) FILTER (p) AS np, count(*) FILTER (q) AS nq
-  FROM (SELECT label, value > 0.05 AS p, value > 0.08 AND x > 5 AS q FROM vox WHERE label > 0) GROUP BY label)
-SELECT id, size, round(n_both / greatest(any_, 1), 9) AS iou, round(np / size, 9) AS consistency_a, round(nq / size, 9) AS consistency_b, CASE WHEN size < 1000 THEN 'incomplete' WHEN n_both = 0 THEN 'missing' ELSE 'ok' END AS status FROM e""")
+#: Pairs in contact within slabs of four slices, their points, two stand-in runs over a wider box, and the moves of both.
+PAIRED = f"""{CONTACTS}, c4 AS (SELECT *, z // 4 AS slab, CAST(offset_no // 3 + 1 AS DOUBLE) AS dist FROM c),
+near AS (SELECT * FROM c4 QUALIFY dist = min(dist) OVER (PARTITION BY slab, id_a, id_b)),
+far AS (SELECT *, round(power(z - avg(z) OVER p, 2) + power(y - avg(y) OVER p, 2) + power(x - avg(x) OVER p, 2), 9) AS d2 FROM near WINDOW p AS (PARTITION BY slab, id_a, id_b)),
+pt AS (SELECT CAST(slab * 1000000 + id_a * 1000 + id_b AS BIGINT) AS pair, id_a, id_b, z AS cz, y AS cy, x AS cx FROM far QUALIFY row_number() OVER (PARTITION BY slab, id_a, id_b ORDER BY d2, offset_no, z, y, x) = 1),
+box AS (SELECT pt.*, i.i AS dz, j.i AS dy, k.i AS dx, label, value FROM pt CROSS JOIN range(-2, 3) AS i(i) CROSS JOIN range(-2, 3) AS j(i) CROSS JOIN range(-3, 4) AS k(i) LEFT JOIN vox v ON v.z = cz + i.i AND v.y = cy + j.i AND v.x = cx + k.i),
+m AS (SELECT *, coalesce(label = id_a, false) AS sa, coalesce(label = id_b, false) AS sb, coalesce(value >= -0.07, false) AS ra, coalesce(value >= -0.05 AND dx < 3, false) AS rb, pair % 7 <> 3 AS whole,
+  CASE WHEN value > 0.2 THEN 1 + abs(dx) % 2 ELSE 0 END AS del FROM box),
+w AS (SELECT pair, dz, dy, dx, u.k, u.v FROM m, LATERAL (SELECT unnest([1, 2, 3, 4]) AS k, unnest([sa, sb, ra, rb AND whole]) AS v) u),
+edt AS (SELECT pair, k, CASE WHEN bool_or(NOT v) IS NULL OR NOT bool_or(NOT v) THEN NULL ELSE coalesce(max(d) FILTER (v), 0) END AS e FROM (
+  SELECT p.pair, p.k, p.v, sqrt(min(CASE WHEN p.v AND NOT q.v THEN (p.dz - q.dz) * (p.dz - q.dz) * 4.0 + (p.dy - q.dy) * (p.dy - q.dy) + (p.dx - q.dx) * (p.dx - q.dx) END)) AS d
+  FROM w p JOIN w q ON p.pair = q.pair AND p.k = q.k GROUP BY p.pair, p.k, p.v, p.dz, p.dy, p.dx) GROUP BY pair, k),
+sc AS (SELECT pair, id_a, id_b, cz AS z, cy AS y, cx AS x, CASE WHEN whole THEN 'ok' ELSE 'incomplete' END AS status, count(*) FILTER (sa) AS num_voxels_a, count(*) FILTER (sb) AS num_voxels_b,
+  count(*) FILTER (ra AND rb) / nullif(count(*) FILTER (ra OR rb), 0) AS iou,
+  count(*) FILTER (ra) AS a_num_voxels, count(*) FILTER (rb) AS b_num_voxels, CAST(sum(del) AS BIGINT) AS a_deleted_voxels, CAST(sum(del) FILTER (dx <> 0) AS BIGINT) AS b_deleted_voxels,
+  count(*) FILTER (ra AND sa) / nullif(count(*) FILTER (sa), 0) AS a_segment_a_consistency, count(*) FILTER (ra AND sb) / nullif(count(*) FILTER (sb), 0) AS a_segment_b_consistency,
+  count(*) FILTER (rb AND sa) / nullif(count(*) FILTER (sa), 0) AS b_segment_a_consistency, count(*) FILTER (rb AND sb) / nullif(count(*) FILTER (sb), 0) AS b_segment_b_consistency
+  FROM m GROUP BY ALL),
+ev AS (SELECT sc.*, e1.e AS max_edt_a, e2.e AS max_edt_b, e3.e AS a_max_edt, e4.e AS b_max_edt FROM sc
+  JOIN edt e1 ON e1.pair = sc.pair AND e1.k = 1 JOIN edt e2 ON e2.pair = sc.pair AND e2.k = 2 JOIN edt e3 ON e3.pair = sc.pair AND e3.k = 3 JOIN edt e4 ON e4.pair = sc.pair AND e4.k = 4)"""
+SCORES = [c.split()[0] for c in evaluation.SCORES]
+
+
+def _evaluated(spark: S, d: str) -> DataFrame:
+    """The pairs in contact within each slab of slices, scored. Two runs stand in for a network's: thresholds of the image; every seventh pair has one run only."""
+    v = vox(spark, d)
+    c = spatial.contacts(v, block=(8, 8, 16)).withColumns({"volume": F.floor(F.col("z") / 4), "dist": (F.floor(F.col("offset_no") / 3) + 1).cast("double")})
+    pairs = kept(spatial.decision_points(c).withColumn("pair", F.col("volume") * 1000000 + F.col("id_a") * 1000 + F.col("id_b")), "pairs")
+    centre = pairs.select("pair", *[F.col(a).alias(f"c{a}") for a in "zyx"])
+    wide = centre.join(patches.patches(centre, v, (3, 3, 4), ["value"]), ["cz", "cy", "cx"])
+    wide = wide.select("pair", *[(F.col(f"c{a}") + F.col(f"p{a}") - r).alias(a) for a, r in (("z", 3), ("y", 3), ("x", 4))], (F.col("px") - 4).alias("dx"), "value")
+    run = F.explode(F.when(F.col("pair") % 7 != 3, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))))
+    wide = kept(wide.select("*", run.alias("run")), "runs")
+    shift = F.when(F.col("run") == "a", F.col("value") + 0.57).when(F.col("dx") < 3, F.col("value") + 0.55)
+    moves = wide.where("value > 0.2 AND (run = 'a' OR dx <> 0)").select("pair", "run", "z", "y", "x", (1 + F.abs("dx") % 2).alias("deleted"))
+    return evaluation.pair_evaluation(pairs, v, wide.select("pair", "run", "z", "y", "x", shift.alias("prob")), moves, (2, 2, 3), (1, 1, 2))
+
+
+@query(f"WITH {PAIRED} SELECT pair, id_a, id_b, z, y, x, status, {', '.join(f"CASE WHEN status = 'ok' THEN round({c}, 9) END AS {c}" if 'iou' in c or 'edt' in c or 'cons' in c else f"CASE WHEN status = 'ok' THEN {c} END AS {c}" for c in SCORES)} FROM ev")
 def pair_evaluation(spark: S, d: str) -> DataFrame:
-    """Two re-segmentations of each segment: overlap, consistency, and a status instead of exceptions."""
-    p, q = F.col("value") > 0.05, (F.col("value") > 0.08) & (F.col("x") > 5)
-    e = vox(spark, d).where("label > 0").groupBy(F.col("label").alias("id"))
-    e = e.agg(F.count("*").alias("size"), F.count_if(p & q).alias("both"), F.count_if(p | q).alias("any_"), F.count_if(p).alias("np"), F.count_if(q).alias("nq"))
-    status = F.when(F.col("size") < 1000, "incomplete").when(F.col("both") == 0, "missing").otherwise("ok")
-    share = lambda n, k: F.round(n / k, 9)
-    return e.select("id", "size", share(F.col("both"), F.greatest("any_", F.lit(1))).alias("iou"), share(F.col("np"), F.col("size")).alias("consistency_a"), share(F.col("nq"), F.col("size")).alias("consistency_b"), status.alias("status"))
+    """Both runs of each pair in contact: sizes, largest distances, overlap, the four consistencies, voxels taken back, and a status instead of exceptions."""
+    e = _evaluated(spark, d)
+    return e.select("pair", "id_a", "id_b", "z", "y", "x", "status", *[F.round(c, 9).alias(c) if dict(e.dtypes)[c] == "double" else c for c in SCORES])
+
+
+@query(f"""WITH {PAIRED} SELECT pair, id_a, id_b, status = 'ok' AND coalesce(iou > 0.5 AND a_segment_a_consistency > 0.6 AND a_segment_b_consistency > 0.6 AND b_segment_a_consistency > 0.6 AND b_segment_b_consistency > 0.6
+  AND (coalesce(a_deleted_voxels / nullif(a_num_voxels, 0) < 0.05, false) OR coalesce(b_deleted_voxels / nullif(b_num_voxels, 0) < 0.05, false)), false) AS merge FROM ev""")
+def merge_decision(spark: S, d: str) -> DataFrame:
+    """Which of the scored pairs are merges: high overlap, high consistency, few voxels taken back."""
+    return _evaluated(spark, d).select("pair", "id_a", "id_b", evaluation.accepts_merge(0.5, 0.6, 0.05).alias("merge"))
 
 
 @query(f"""WITH {VOX}, {CENTRES}

@@ -194,13 +194,6 @@ def valid_positions(spark: S, d: str) -> DataFrame:
     return vox(spark, d).select("z", "y", "x", reason.alias("reason"))
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) AS id, s_acctbal > 4000 AND s_nationkey > 8 AND s_suppkey % 3 <> 0 AS merge FROM supplier")
-def merge_decision(spark: S, d: str) -> DataFrame:
-    """A merge needs a high overlap, high consistency and few deletions."""
-    rule = (F.col("s_acctbal") > 4000) & (F.col("s_nationkey") > 8) & (F.col("s_suppkey") % 3 != 0)
-    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), rule.alias("merge"))
-
-
 # ---------------------------------------------------------------- aggregations
 
 
