@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -46,29 +45,34 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             return labels
 
 
+def shortest_paths(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """(split, step, node): a shortest path for each of `goals` (split, start, goal; a split once), all searched together; no rows where there is none.
+
+    A round takes each front one edge further; a new node keeps its smallest parent, and can only be known from this front or the
+    one before. A search ends at its goal or where nothing new is reached. Fronts carry their paths, so nothing walks back.
+    """
+    both = kept(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct(), "both")
+    start = F.col("start").cast("long")
+    front = kept(goals.select("split", F.col("goal").cast("long").alias("goal"), start.alias("node"), F.array(start).alias("path")), "front")
+    before, found = front.limit(0), [front.where("node = goal")]
+    while True:
+        going = front.where("node <> goal")
+        done = front.where("node = goal").select("split").distinct()
+        new = going.join(done, "split", "left_anti").withColumnRenamed("node", "u").join(both, "u")
+        new = new.groupBy("split", "goal", F.col("v").alias("node")).agg(F.min_by("path", "u").alias("path"))
+        new = new.join(before.select("split", "node").unionByName(front.select("split", "node")), ["split", "node"], "left_anti")
+        before, front = front, kept(new.select("split", "goal", "node", F.concat("path", F.array("node")).alias("path")), "front")
+        rows, hits = front.agg(F.count("*"), F.count_if(F.col("node") == F.col("goal"))).first()
+        if hits:
+            found.append(front.where("node = goal"))
+        if not rows:
+            return union_all(*found).select("split", F.posexplode("path").alias("step", "node"))
+
+
 def shortest_path(edges: DataFrame, start: int, goal: int) -> DataFrame:
-    """(step, node) of one shortest path: breadth-first rounds keep one parent per node, the smallest, and end at the goal or where no new node is left."""
-    spark = edges.sparkSession
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct()
-    seen = kept(spark.createDataFrame([(start, None, 0)], "node long, parent long, depth int"), "front")
-    for depth in count(1):
-        if not seen.where(F.col("node") == goal).isEmpty():
-            break
-        front = seen.where(F.col("depth") == depth - 1).select(F.col("node").alias("u"))
-        new = both.join(front, "u").groupBy("v").agg(F.min("u").alias("parent")).join(seen.select(F.col("node").alias("v")), "v", "left_anti")
-        new = kept(new.select(F.col("v").alias("node"), "parent", F.lit(depth).alias("depth")), "front")
-        if new.isEmpty():
-            break
-        seen = kept(seen.unionByName(new), "seen")
-    # walk back along the parents, one small join a step
-    path, at = [], goal
-    while at is not None:
-        row = seen.where(F.col("node") == at).first()
-        if row is None:
-            return spark.createDataFrame([], "step int, node long")
-        path.append(at)
-        at = row["parent"]
-    return spark.createDataFrame([(k, n) for k, n in enumerate(reversed(path))], "step int, node long")
+    """(step, node) of one shortest path; empty where there is none."""
+    one = edges.sparkSession.createDataFrame([(0, start, goal)], "split int, start long, goal long")
+    return shortest_paths(edges, one).select("step", "node")
 
 
 def chain_edges(selection: DataFrame) -> DataFrame:

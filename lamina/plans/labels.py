@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.operators import labels, stitch
+from lamina.operators import graphs, labels, stitch
+from lamina.operators.shared import kept, shared_dir
 from lamina.sources.volume import with_halo
 from lamina.plans.base import EDGES, VOX, edges, table, vox
 from lamina.plans.registry import query
@@ -64,6 +67,57 @@ def isolate_and_cut(spark: S, d: str) -> DataFrame:
     return labels.without_edge(labels.isolate(e, nodes), spark.createDataFrame([(401, 3)], "src long, dst long"))
 
 
+#: A graph that grows with the table: orders and the parts that groups of eight orders share; additions bridge neighbouring groups.
+LOCAL = """l AS (SELECT l_orderkey AS o, l_orderkey // 8 AS g, l_partkey AS p, l_linenumber AS n, l_quantity AS q FROM lineitem),
+e0 AS (SELECT DISTINCT o AS src, 1000000000000 + g * 50 + p % 50 AS dst FROM l),
+m1 AS (SELECT DISTINCT o AS src, 1000000000000 + (g + 1) * 50 + p % 50 AS dst FROM l WHERE p % 97 = 0),
+c2 AS (SELECT DISTINCT o AS src, 1000000000000 + g * 50 + p % 50 AS dst FROM l WHERE p % 13 = 5)"""
+
+
+def _local(spark: S, d: str, where: str = "true", on: int = 0) -> DataFrame:
+    group = F.floor(F.col("l_orderkey") / 8)
+    rows = table(spark, d, "lineitem").where(where)
+    return rows.select(F.col("l_orderkey").alias("src"), (F.lit(1000000000000) + (group + on) * 50 + F.col("l_partkey") % 50).alias("dst")).distinct()
+
+
+@query(f"""WITH RECURSIVE {LOCAL},
+e AS (SELECT 1 AS version, * FROM (SELECT * FROM e0 UNION SELECT * FROM m1) UNION ALL
+  SELECT 3, * FROM (SELECT * FROM e0 UNION SELECT * FROM m1) WHERE (src, dst) NOT IN (SELECT (src, dst) FROM c2) AND src % 11 <> 0),
+b AS (SELECT version, src AS u, dst AS v FROM e UNION SELECT version, dst, src FROM e),
+r(version, node, root) AS (SELECT version, u, u FROM b UNION SELECT b.version, b.v, r.root FROM r JOIN b ON b.version = r.version AND b.u = r.node WHERE r.root < b.v),
+k AS (SELECT version, node, min(root) AS component FROM r GROUP BY ALL),
+a AS (SELECT i.i AS version, node FROM (SELECT src AS node FROM e0 UNION SELECT dst FROM e0 UNION SELECT src FROM m1 UNION SELECT dst FROM m1), (VALUES (1), (3)) AS i(i))
+SELECT CAST(a.version AS INTEGER) AS version, a.node, coalesce(component, a.node) AS component FROM a LEFT JOIN k USING (version, node)""")
+def graph_versions(spark: S, d: str) -> DataFrame:
+    """A graph under additions, cuts and an isolated set: its components after the additions and at the end."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    graphs.commit(spark, path, merge=_local(spark, d))
+    graphs.commit(spark, path, merge=_local(spark, d, "l_partkey % 97 = 0", 1))
+    graphs.commit(spark, path, cut=_local(spark, d, "l_partkey % 13 = 5"))
+    graphs.commit(spark, path, isolate=table(spark, d, "lineitem").where("l_orderkey % 11 = 0").select(F.col("l_orderkey").alias("node")))
+    return labels.union_all(*[graphs.parts_at(spark, path, k).select(F.lit(k).alias("version"), "node", "component") for k in (1, 3)])
+
+
+@query(f"""WITH RECURSIVE {LOCAL}, b AS (SELECT src AS u, dst AS v FROM e0 UNION SELECT dst, src FROM e0),
+s AS (SELECT g AS split, min(o) AS a, max(o) AS z FROM l GROUP BY g),
+far(split, node, depth) AS (SELECT split, a, 0 FROM s UNION SELECT far.split, b.v, depth + 1 FROM far JOIN b ON b.u = far.node WHERE depth < 16),
+near AS (SELECT split, node, min(depth) AS depth FROM far GROUP BY split, node),
+up AS (SELECT n.split, n.node, n.depth, min(m.node) AS parent FROM near n JOIN b ON b.v = n.node JOIN near m ON m.split = n.split AND m.node = b.u AND m.depth = n.depth - 1 GROUP BY ALL),
+path(split, node, depth) AS (SELECT near.split, near.node, near.depth FROM near JOIN s ON s.split = near.split AND near.node = z UNION ALL SELECT path.split, parent, path.depth - 1 FROM path JOIN up ON up.split = path.split AND up.node = path.node),
+len AS (SELECT split, count(*) AS n FROM path GROUP BY split),
+mv AS (SELECT g AS split, CAST(q % 3 - 1 AS BIGINT) AS delta, row_number() OVER (PARTITION BY g ORDER BY o, n, p, q) AS k FROM l),
+pt(split, k, i) AS (SELECT split, 0, 1 FROM len UNION ALL SELECT pt.split, pt.k + 1, greatest(1, least(n, i + delta)) FROM pt JOIN mv ON mv.split = pt.split AND mv.k = pt.k + 1 JOIN len ON len.split = pt.split),
+ix AS (SELECT split, arg_max(i, k) AS i FROM pt GROUP BY split)
+SELECT ix.split, x.node AS src, y.node AS dst FROM ix JOIN path x ON x.split = ix.split AND x.depth = i - 1 JOIN path y ON y.split = ix.split AND y.depth = i""")
+def split_edges(spark: S, d: str) -> DataFrame:
+    """Where each path between the first and the last order of a group is cut after its pointer was moved."""
+    l = table(spark, d, "lineitem").withColumn("split", F.floor(F.col("l_orderkey") / 8))
+    goals = l.groupBy("split").agg(F.min("l_orderkey").alias("start"), F.max("l_orderkey").alias("goal"))
+    paths = kept(labels.shortest_paths(_local(spark, d), goals), "paths")
+    moves = l.select("split", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("seq"), (F.col("l_quantity") % 3 - 1).alias("delta"))
+    return graphs.accepted(paths, graphs.pointers(paths, moves)).select("split", "src", "dst")
+
+
 @query("""WITH c AS (SELECT CAST(user_id AS BIGINT) AS id, arg_max(event_type, event_id) AS cls FROM events GROUP BY 1)
 SELECT id, cls FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM c) WHERE n > 20 AND n <= 40""")
 def review_page(spark: S, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import scalar
-from lamina.operators import aggregate, masks, patches, window
+from lamina.operators import aggregate, contrast, masks, patches, window
 from lamina.plans import flagship
 from lamina.plans.base import CENTRES, MOVES, PAIRS, VOX, centres, moves, pairs, r9, shape, table, vox
 from lamina.plans.registry import query
@@ -305,6 +305,40 @@ def match_histogram(spark: S, d: str) -> DataFrame:
     return aggregate.match_histogram(v, aggregate.histogram_lut(v, "g"), "g").select("z", "y", "x", "matched")
 
 
+#: Contrast-limited equalisation of slices of 16 by 64 voxels: 8 by 8 tiles of 2 by 8, a bin keeps one voxel or an eighth of a tile.
+EQUALISED = f"""{LUT}, r AS (SELECT z, min(value) AS low, max(value) AS high FROM vox GROUP BY z),
+b AS (SELECT vox.z, y, x, label, value, y // 2 AS py, x // 8 AS px, CAST(least(floor((value - low) / (high - low) * 64), 63) AS INTEGER) AS bin FROM vox JOIN r USING (z)),
+hs AS (SELECT z, py, px, bin, count(*) AS n FROM b GROUP BY ALL),
+cl AS (SELECT z, py, px, i AS bin, least(coalesce(n, 0), 2.0) AS kept, sum(greatest(coalesce(n, 0) - 2.0, 0)) OVER (PARTITION BY z, py, px) AS over
+  FROM (SELECT DISTINCT z, py, px FROM hs) CROSS JOIN range(0, 64) AS u(i) LEFT JOIN (SELECT z, py, px, bin AS i, n FROM hs) USING (z, py, px, i)),
+mp AS (SELECT z, py, px, bin, (sum(kept) OVER (PARTITION BY z, py, px ORDER BY bin) + over * (bin + 1) / 64) / 16 AS m FROM cl),
+pl AS (SELECT *, greatest(0, least(7, (y - 0.5) / 2)) AS fy, greatest(0, least(7, (x - 3.5) / 8)) AS fx FROM b),
+nb AS (SELECT pl.*, CAST(least(floor(fy), 6) AS INTEGER) AS iy, CAST(least(floor(fx), 6) AS INTEGER) AS ix FROM pl),
+eq AS (SELECT nb.z, nb.y, nb.x, label, value, (1 - (fy - iy)) * ((1 - (fx - ix)) * m00.m + (fx - ix) * m01.m) + (fy - iy) * ((1 - (fx - ix)) * m10.m + (fx - ix) * m11.m) AS e FROM nb
+  JOIN mp m00 ON m00.z = nb.z AND m00.py = iy AND m00.px = ix AND m00.bin = nb.bin JOIN mp m01 ON m01.z = nb.z AND m01.py = iy AND m01.px = ix + 1 AND m01.bin = nb.bin
+  JOIN mp m10 ON m10.z = nb.z AND m10.py = iy + 1 AND m10.px = ix AND m10.bin = nb.bin JOIN mp m11 ON m11.z = nb.z AND m11.py = iy + 1 AND m11.px = ix + 1 AND m11.bin = nb.bin)"""
+
+
+@query(f"WITH {EQUALISED} SELECT z, y, x, round(e, 9) AS equalised FROM eq")
+def equalised_slices(spark: S, d: str) -> DataFrame:
+    """Contrast-limited equalisation of every slice."""
+    return contrast.equalised(vox(spark, d), limit=0.125, bins=64).select("z", "y", "x", F.round("equalised", 9).alias("equalised"))
+
+
+@query(f"""WITH {EQUALISED}, lv AS (SELECT *, CAST(floor(e * 255 + 1e-9) AS INTEGER) AS lev, label = 3 OR z % 6 = 5 AS hid FROM eq),
+lc AS (SELECT z, lev, count(*) FILTER (NOT hid) AS n FROM lv GROUP BY z, lev),
+ld AS (SELECT z, lev, sum(n) OVER (PARTITION BY z ORDER BY lev) AS cum, sum(n) OVER (PARTITION BY z) AS tot FROM lc),
+le AS (SELECT z, lev, tot, CAST(greatest(cum, min(cum) FILTER (cum > 0) OVER (PARTITION BY z)) * 255 // tot AS INTEGER) AS i FROM ld WHERE tot > 0)
+SELECT z, y, x, round(coalesce(CAST(lut.v AS DOUBLE), value), 9) AS matched FROM lv LEFT JOIN le USING (z, lev) LEFT JOIN lut USING (i)""")
+def match_histogram_masked(spark: S, d: str) -> DataFrame:
+    """Slices matched to the whole volume's distribution after contrast-limited equalisation; one label and every sixth slice are masked."""
+    v = vox(spark, d)
+    lut = aggregate.histogram_lut(v.withColumn("g", F.floor((F.col("value") + 1) * 100)), "g")
+    hidden = v.withColumn("hidden", (F.col("label") == 3) | (F.col("z") % 6 == 5))
+    got = contrast.matched(hidden, lut.withColumn("v", F.col("v").cast("double")), masked="hidden", limit=0.125, bins=64)
+    return got.select("z", "y", "x", F.round("matched", 9).alias("matched"))
+
+
 @query(f"WITH {VOX} SELECT label, count(*) AS n, min(z) AS min_z, max(z) AS max_z, min(y) AS min_y, max(y) AS max_y, min(x) AS min_x, max(x) AS max_x FROM vox WHERE label > 0 GROUP BY label")
 def segment_extents(spark: S, d: str) -> DataFrame:
     return aggregate.extents(vox(spark, d))
