@@ -9,6 +9,9 @@ order, without the unknown sentences between them, are matched against rules: ea
 identifiers that must occur in direct succession. A match that lies inside a longer one, by its places,
 adds nothing; the same sentences elsewhere in the text count.
 
+Names of holders that a notice fills in stand for the words of the known sentence. A tag that names one of TAGS is a sentence of its own, with its colon;
+a tag with an expression gives nothing.
+
 A text without any of the ANCHORS, one of which is in each known sentence, has none and is not cut.
 Everything happens inside a row: no shuffle, no join. Defined cases: null and empty texts have no sentence
 and no licence; repeated rows each get a result; other columns are ignored.
@@ -50,6 +53,9 @@ SENTENCES = {
     "gpl-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "gpl2-version": "either version 2 of the License, or (at your option) any later version",
     "gpl3-version": "either version 3 of the License, or (at your option) any later version",
+    "gpl2-only-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl2-only-version": "version 2 of the License",
+    "gpl3-only-version": "version 3 of the License",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "gpl-details": "See the GNU General Public License for more details",
@@ -62,6 +68,9 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "apache-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    "gpl2-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl3-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "mpl-source": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
     "unlicense-domain": "This is free and unencumbered software released into the public domain",
@@ -97,6 +106,12 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "gpl3-version"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "gpl2-version"]),
+    ("GPL-2.0-only", ["gpl-free", "gpl2-only-terms"]),
+    ("GPL-2.0-only", ["gpl-free", "gpl-terms", "gpl2-only-version"]),
+    ("GPL-3.0-only", ["gpl-free", "gpl-terms", "gpl3-only-version"]),
+    ("Apache-2.0", ["apache-text"]),
+    ("GPL-2.0", ["gpl2-text"]),
+    ("GPL-3.0", ["gpl3-text"]),
     ("GPL-3.0", ["gpl3-work"]),
     ("GPL-2.0", ["gpl2-work"]),
     ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-terms", "lgpl21-version"]),
@@ -117,6 +132,14 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
 ]
 
+#: Identifiers that a tag may name (fixed values). A tag with an expression, or with another identifier, is no known sentence.
+TAGS = [
+    "MIT", "ISC", "Apache-2.0", "GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-2.0-only", "LGPL-2.1-or-later", "AGPL-3.0-or-later",
+    "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "Unlicense", "Zlib", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0",
+]
+SENTENCES |= {f"tag-{t.lower()}": f"SPDX-License-Identifier: {t}" for t in TAGS}
+RULES += [(t, [f"tag-{t.lower()}"]) for t in TAGS]
+
 #: Each known sentence holds one of these (fixed values).
 ANCHORS = ["licens", "redistribut", "software", "warranty", "mozilla", "mpl", "public domain", "this program is", "copyright"]
 
@@ -127,6 +150,14 @@ NOISE = r"[^a-z0-9.\n\x01]+"
 LIST_NUMBER = r"^[0-9]+ "
 #: The full stop of a version (v. 2.0) does not end a sentence.
 VERSION = r"([^a-z0-9])v\.[^a-z0-9]+([0-9])"
+#: Places that a notice fills in, and what stands there in the known sentence. A holder has at most 20 words; it may hold full stops.
+GAP = "[^a-z0-9]+"
+HOLDER = f"(?:[a-z0-9]+{GAP}){{0,20}}?"
+FILLED = [
+    (f"neither{GAP}the{GAP}names?{GAP}of{GAP}{HOLDER}nor{GAP}the{GAP}names?{GAP}of{GAP}(?:its|their|any|other){GAP}contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (f"this{GAP}software{GAP}is{GAP}provided{GAP}by{GAP}{HOLDER}and{GAP}contributors{GAP}as{GAP}is{GAP}and", "this software is provided by the copyright holders and contributors as is and"),
+    (f"spdx{GAP}license{GAP}identifier{GAP}", "spdx license identifier "),
+]
 
 
 def normalized(sentence: str) -> str:
@@ -142,7 +173,7 @@ def sentence_ids(text: Column) -> Column:
     """Array of the identifiers of a text's known sentences, in order; null for a null text."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     low = F.translate(text, UPPER, LOWER)
-    flat = F.regexp_replace(low, VERSION, "$1v $2")
+    flat = F.regexp_replace(reduce(lambda t, f: F.regexp_replace(t, f[0], f[1]), FILLED, low), VERSION, "$1v $2")
     flat = F.regexp_replace(F.regexp_replace(flat, SENTENCE_END, "\x01"), NOISE, " ")
     lines = F.transform(F.split(flat, "\x01"), lambda s: F.filter(F.transform(F.split(s, "\n"), lambda x: F.btrim(x, F.lit(" ."))), lambda x: x != ""))
     id_of = lambda s: F.element_at(known, F.regexp_replace(s, LIST_NUMBER, ""))
@@ -178,7 +209,8 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_FLAT = f"regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '{VERSION}', '\\1v \\2', 'g')"
+_FILLED = reduce(lambda t, f: f"regexp_replace({t}, '{f[0]}', '{f[1]}', 'g')", FILLED, f"translate(text, '{UPPER}', '{LOWER}')")
+_FLAT = f"regexp_replace({_FILLED}, '{VERSION}', '\\1v \\2', 'g')"
 SQL = f"""
 WITH known(id, s) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(s)})" for s, i in KNOWN.items())}),
 rules(no, name, n, i, id) AS (VALUES {", ".join(f"({k}, {_quoted(name)}, {len(r)}, {i}, {_quoted(x)})" for k, (name, r) in enumerate(RULES) for i, x in enumerate(r))}),

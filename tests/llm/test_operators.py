@@ -625,3 +625,38 @@ def test_cut_texts(spark, odd):
     want = {(str(d), h) for d, _, _, _, h in brute.removals(plain(odd)) if d not in (7, 8)}
     got = {(str(r["doc_id"]), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in cut.collect() if r["doc_id"] not in (7, 8)}
     assert got == want and cut.count() == len(brute.ODD)
+
+
+def test_license_placeholders_tags_and_full_texts(spark):
+    import duckdb
+    import pandas as pd
+
+    s = licenses.SENTENCES
+    head = f"{s['bsd-redistribution']}:\n\n1. {s['bsd-source']}.\n2. {s['bsd-binary']}.\n"
+    endorse = lambda who: s["bsd-endorse"].replace("the copyright holder", who)
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+    cases = [
+        (head + f"3. {endorse('Google Inc.')}.", "BSD-3-Clause"),
+        (wrapped(head + f"3. {endorse('the University of Somewhere, its Regents & Sons Ltd.')}.", 60, " * "), "BSD-3-Clause"),
+        (head + f"3. {endorse('机构')}.", "BSD-3-Clause"),
+        (head + f"3. {endorse(' '.join(['word'] * 21))}.", "BSD-2-Clause"),
+        (head, "BSD-2-Clause"),
+        (gpl2, "GPL-2.0-only"),
+        (f"{s['gpl-free']}; {s['gpl-terms']}; {s['gpl2-only-version']}.", "GPL-2.0-only"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", "GPL-3.0"),
+        ("# SPDX-License-Identifier: MIT\n# Copyright 2020 Some One\nimport x\n", "MIT"),
+        ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", ""),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */", ""),
+        ("Neither the name of " * 20_000, ""),
+        (None, ""),
+    ]
+    rows = [(k, t) for k, (t, _) in enumerate(cases)]
+    got = [tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [r[3] for r in got] == [n for _, n in cases]
+    by = "THIS SOFTWARE IS PROVIDED BY SOME BODY, INC. AND CONTRIBUTORS" + s["bsd-warranty"].split("CONTRIBUTORS")[1]
+    assert licenses.scan(spark.createDataFrame([(1, by + ".")], "doc_id long, text string")).first()["sentence_ids"] == "bsd-warranty"
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert sorted(con.execute(licenses.SQL).fetchall()) == got
