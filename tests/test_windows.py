@@ -1,5 +1,7 @@
 """Box sums and neighbour pairs in blocks: the same as plain sums, for any block."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -34,3 +36,23 @@ def test_pairs(spark, block):
     # one shuffle, whatever the number of offsets
     plan = window.pairs_at(df, offs, block)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_face_maxima(spark):
+    """Edges of the box count for each of their faces, ties go to the first in raster order, nulls and NaN never win, low maxima are left out."""
+    rng = np.random.default_rng(2)
+    at = [(z, y, x) for z in range(-3, 4) for y in range(-2, 5) for x in range(7)]
+    values = [None if k % 11 == 0 else math.nan if k % 13 == 0 else float(v) for k, v in enumerate(rng.integers(0, 4, len(at)) / 4)]
+    df = spark.createDataFrame([(*p, v, "ab"[k % 2]) for k, (p, v) in enumerate(zip(at, values))], "z int, y int, x int, value double, part string")
+    center, delta = (0, 1, 3), (2, 0, 3)
+    for keys in ((), ("part",)):
+        for threshold in (0.5, 0.75, 0.8):
+            want = set()
+            for part in "ab" if keys else [""]:
+                inside = [(v, p) for k, (p, v) in enumerate(zip(at, values)) if part in ("", "ab"[k % 2]) and v is not None and not math.isnan(v) and all(abs(p[a] - center[a]) <= delta[a] for a in range(3))]
+                for a, s in [(a, s) for a in range(3) if delta[a] for s in (-1, 1)]:
+                    v, p = min(((-v, p) for v, p in inside if p[a] == center[a] + s * delta[a]))
+                    if -v >= threshold:
+                        want.add(((part,) if keys else ()) + (-v, *(c - o for c, o in zip(p, center))))
+            got = [tuple(r) for r in window.face_maxima(df, center, delta, threshold, keys).collect()]
+            assert sorted(got) == sorted(want) and (want or threshold == 0.8)
