@@ -125,15 +125,15 @@ def face_maxima(logits: DataFrame, center: tuple[int, int, int], delta: tuple[in
 
 
 def erode(vox: DataFrame, mask: str, times: int) -> DataFrame:
-    """Binary erosion by the 6-neighbour cross; outside the volume counts as false."""
+    """Binary erosion by the 6-neighbour cross; outside the volume and null neighbours count as false, a null voxel that nothing erodes stays null."""
     out = vox.withColumn("_m", F.col(mask).cast("int"))
     for _ in range(times):
-        parts = [F.col("_m")]
+        parts = []
         for a in AXES:
             w = Window.partitionBy(*[k for k in AXES if k != a]).orderBy(a)
             for fn in (F.lag, F.lead):
                 at = fn(F.col(a)).over(w)
                 near = F.abs(at - F.col(a)) == 1
                 parts.append(F.coalesce(F.when(near, fn("_m").over(w)), F.lit(0)))
-        out = out.withColumn("_n", F.least(*parts)).drop("_m").withColumnRenamed("_n", "_m")
+        out = out.withColumn("_n", F.when(F.least(*parts) == 0, 0).otherwise(F.col("_m"))).drop("_m").withColumnRenamed("_n", "_m")
     return out.withColumn("eroded", F.col("_m") == 1).drop("_m")

@@ -56,3 +56,26 @@ def test_face_maxima(spark):
                         want.add(((part,) if keys else ()) + (-v, *(c - o for c, o in zip(p, center))))
             got = [tuple(r) for r in window.face_maxima(df, center, delta, threshold, keys).collect()]
             assert sorted(got) == sorted(want) and (want or threshold == 0.8)
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_erode(spark, times):
+    """Holes and negative coordinates; the border and null neighbours erode; a null voxel is null only where all its neighbours hold."""
+    rng = np.random.default_rng(3)
+    cells = {p: True for p in np.ndindex(7, 6, 8)}
+    for p in rng.permutation(sorted(cells))[:6].tolist():
+        cells[tuple(p)] = None
+    for p in rng.permutation(sorted(cells))[:6].tolist():
+        cells[tuple(p)] = False
+    del cells[(3, 3, 3)]
+    cells[(5, 4, 1)] = None
+    for p in ((4, 4, 1), (6, 4, 1), (5, 3, 1), (5, 5, 1), (5, 4, 0), (5, 4, 2)):
+        cells[p] = True
+    df = spark.createDataFrame([(z - 3, y, x - 4, v) for (z, y, x), v in cells.items()], "z int, y int, x int, m boolean")
+    steps = [tuple(s if k == a else 0 for k in range(3)) for a in range(3) for s in (-1, 1)]
+    for _ in range(times):
+        cells = {p: v if all(cells.get(tuple(c + o for c, o in zip(p, d))) for d in steps) else False for p, v in cells.items()}
+    assert times == 2 or {True, False, None} <= set(cells.values())
+    got = window.erode(df, "m", times)
+    assert got.columns == ["z", "y", "x", "m", "eroded"]
+    assert {(r.z + 3, r.y, r.x + 4): r.eroded for r in got.collect()} == cells
