@@ -6,9 +6,9 @@ den * |A and B| >= num * |A or B|.
 
 Orders: each sorts tokens by a frequency level (from counts over all documents) and then by a hash of its
 own. Under any such order, linked sets share a token among their first n - ceil(t n) + 1 ("prefix"). The
-first order's prefixes make groups; inside a group a pair goes on only if the sizes fit, the prefixes under the
-second and the third order can share a token as well (bit maps), and the parity maps of the whole sets don't
-differ in more bits than linked sets can. What passes all filters is verified on the whole sets.
+first order's prefixes make groups, of the sets whose size fits another's in the group; inside a group a pair goes on
+only if the sizes fit, the prefixes under the second and the third order can share a token as well (bit maps), and the
+parity maps of the whole sets don't differ in more bits than linked sets can. What passes all filters is verified on the whole sets.
 
 Equal sets count once throughout. A first round verifies a few candidates of each set only: those whose parity maps
 differ least, and those of the smallest hashes; large groups are looked at around their hubs, the members that differ least from a
@@ -44,7 +44,11 @@ SAMPLE, HUBS = 16, 2
 FIRST = 8
 #: 64-bit words of each prefix bit map; bits a token of the parity maps, and the binary logarithm of their least size.
 MAP, NARROW, WIDE, LEAST_LOG = 4, 1 / 2, 4, 9
+#: Binary logarithm of the bits of the map of needed documents, by which texts are left out before they are shuffled.
+NEED_LOG = 24
 U = np.uint64
+#: A prefix token of a set, while it waits for its group.
+MEMBER = np.dtype([("token", "<u8"), ("sid", "<u8"), ("n", "<u4")])
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +229,7 @@ def _levels(sketch: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: tuple[int, int], level: np.ndarray, n_parts: int) -> DataFrame:
-    """Rows (part, tokens and set ids, packed) of first-order prefixes, and rows (sid, n, maps, wide map) of sets."""
+    """Rows (part, tokens, set ids and sizes, packed) of first-order prefixes, and rows (sid, n, maps, wide map) of sets."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +260,8 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
                 # the lowest bit of a token tells whether it is one of the set's FIRST
                 by, rank = np.lexsort((mix(tok), doc)), np.empty(len(tok), np.int64)
                 rank[by] = np.arange(len(by)) - np.searchsorted(doc[by], doc[by])
-                pairs = np.stack((((tok >> U(1)) << U(1) | (rank < FIRST).astype(U))[order], sid[doc[order]]), 1)
+                pairs = np.empty(len(tok), MEMBER)
+                pairs["token"], pairs["sid"], pairs["n"] = ((tok >> U(1)) << U(1) | (rank < FIRST).astype(U))[order], sid[doc[order]], n[doc[order]]
                 edge = np.searchsorted(part[order], np.arange(n_parts + 1))
                 del tok, doc, part, order, by, rank
                 on = np.flatnonzero(np.diff(edge))
@@ -266,22 +271,32 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     return docs.select(text_col).mapInArrow(run, "part int, sid long, n long, data binary, wide binary")
 
 
-def _groups(packed: DataFrame, n_parts: int) -> DataFrame:
-    """Rows (key, side, size, sid, low): members of the groups of at least two sets. Large groups are dealt in pairs of blocks."""
+def fitting(token: np.ndarray, n: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Which members of the groups of one token have another one there whose size fits: the next smaller or the next larger one fits best."""
+    order = np.lexsort((n, token))
+    t, m = token[order], n[order]
+    pair = np.flatnonzero((t[1:] == t[:-1]) & (most_differing(m[:-1], m[1:], threshold) >= 0))
+    ok = np.zeros(len(n), bool)
+    ok[order[pair]] = ok[order[pair + 1]] = True
+    return ok
+
+
+def _groups(packed: DataFrame, threshold: tuple[int, int], n_parts: int) -> DataFrame:
+    """Rows (key, side, size, sid, low): members of the groups that have another one of fitting size there. Large groups are dealt in pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [x for b in batches for x in b.column(0).to_pylist()]
-        got = np.frombuffer(b"".join(data), U).reshape(-1, 2)
+        got = np.frombuffer(b"".join(data), MEMBER)
         del data
-        low, token = (got[:, 0] & U(1)).astype(bool), got[:, 0] >> U(1) << U(1)
-        order = np.lexsort((got[:, 1], token))
-        token, sid, low = token[order], got[order, 1], low[order]
+        got = got[np.lexsort((got["sid"], got["token"] >> U(1)))]
+        low, token, sid = (got["token"] & U(1)).astype(bool), got["token"] >> U(1) << U(1), got["sid"].copy()
         new = np.ones(len(got), bool)
         new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-        token, sid, low = token[new], sid[new], low[new]
+        keep = np.flatnonzero(new)
+        keep = keep[fitting(token[keep], got["n"][keep].astype(np.int64), threshold)]
+        token, sid, low = token[keep], sid[keep], low[keep]
         _, group, size = np.unique(token, return_inverse=True, return_counts=True)
-        keep = size[group] > 1
-        token, sid, low, size = token[keep], sid[keep], low[keep], size[group][keep]
+        size = size[group]
         small = size <= CHUNK
         yield _member_rows(mix(token[small]), np.full(int(small.sum()), 2), size[small], sid[small], low[small])
         for t in np.unique(token[~small]):
@@ -415,6 +430,15 @@ def _near(pairs: DataFrame, wide: DataFrame, threshold: tuple[int, int]) -> Data
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
 
 
+def _needed(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of (_id, ...) whose id may be a rep of `need`, so that the join of both shuffles hardly any other text. The map has 2 ** NEED_LOG bits at most, in words of 64."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << NEED_LOG) - 1))
+    on = need.select(place("rep").alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word"))
+    words = on.agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 AS int))")).alias("_bits"))
+    own = texts.withColumn("_p", place("_id")).join(F.broadcast(words), F.shiftright("_p", 6) == F.col("_word"))
+    return own.where(F.getbit("_bits", F.col("_p").bitwiseAND(F.lit(63))) == 1).select(texts.columns)
+
+
 def _sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(sid, tokens) of the needed sets, from the one document that stands for each."""
 
@@ -430,7 +454,7 @@ def _sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str, words: i
                 yield pa.RecordBatch.from_arrays([pa.array(sid[own]), pa.array([t[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())], names=["sid", "tokens"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(need, F.col("_id").eqNullSafe(F.col("rep"))).select("sid", "_text")
+    rows = _needed(texts, need).join(need, F.col("_id").eqNullSafe(F.col("rep"))).select("sid", "_text")
     return rows.mapInArrow(run, "sid long, tokens binary")
 
 
@@ -482,11 +506,11 @@ def _components(docs: DataFrame, threshold: tuple[int, int], words: int, id_col:
     # about 16 MB of prefixes a part
     share = 1 - threshold[0] / threshold[1]
     total = meta.agg(F.sum(F.col("n") * share + 1)).first()[0] or 0
-    n_parts = int(max(shuffle_width(spark), total * 16 // (16 << 20) + 1))
+    n_parts = int(max(shuffle_width(spark), total * MEMBER.itemsize // (16 << 20) + 1))
     packed, at_packed = materialize(_members(docs, id_col, text_col, words, threshold, level, n_parts), "prefixes")
     features = packed.where("part IS NULL").groupBy("sid").agg(F.max("n").alias("n"), F.max("data").alias("maps"))
     wide, _ = materialize(packed.where("part IS NULL").select("sid", "n", "wide").dropDuplicates(["sid"]), "wide")
-    members, at_members = materialize(_groups(packed.where("part IS NOT NULL"), n_parts).join(features, "sid"), "members")
+    members, at_members = materialize(_groups(packed.where("part IS NOT NULL"), threshold, n_parts).join(features, "sid"), "members")
     drop(spark, at_packed)
     release(spark)
     reps = meta.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"))

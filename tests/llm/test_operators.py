@@ -660,3 +660,33 @@ def test_license_placeholders_tags_and_full_texts(spark):
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     assert sorted(con.execute(licenses.SQL).fetchall()) == got
+
+
+def test_members_of_fitting_size(spark):
+    """A member of a group stays if its size fits that of any other one there, for every threshold."""
+    rng = np.random.default_rng(5)
+    token, sid, n = rng.integers(1, 60, 400).astype(np.uint64) << np.uint64(1), np.arange(400).astype(np.uint64), rng.integers(1, 90, 400)
+    for threshold in ((80, 100), (90, 100), (1, 1), (1, 3)):
+        num, den = threshold
+        fits = lambda a, b: den * min(a, b) >= num * max(a, b)
+        want = [any(j != i and token[j] == token[i] and fits(int(n[i]), int(n[j])) for j in range(400)) for i in range(400)]
+        assert ngram_join.fitting(token, n, threshold).tolist() == want and (any(want) and not all(want) or num == 1)
+        data = np.empty(400, ngram_join.MEMBER)
+        data["token"], data["sid"], data["n"] = token, sid, n
+        # the same rows twice: a set is no partner of its own
+        packed = spark.createDataFrame([(0, bytearray(data[a:b].tobytes())) for a, b in ((0, 250), (250, 400), (0, 400))], "part int, data binary")
+        got = ngram_join._groups(packed, threshold, 2).collect()
+        assert sorted(r["sid"] for r in got) == [i for i in range(400) if want[i]]
+        sizes = {t: sum(w for w, u in zip(want, token.tolist()) if u == t) for t in set(token.tolist())}
+        assert all(r["size"] == sizes[int(token[r["sid"]])] for r in got)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_only_needed_texts_move(spark, kind):
+    """The join with the needed sets gets their documents, a null id's too, and hardly any other."""
+    ids = [None, *range(3000)]
+    texts = spark.createDataFrame([(d, f"a b c{d}") for d in ids], "_id long, _text string").selectExpr(f"cast(_id AS {kind}) AS _id", "_text")
+    for wanted in ([None, 0, 1500, 2999], [], ids):
+        need = spark.createDataFrame([(0, d) for d in wanted], "sid long, rep long").selectExpr("sid", f"cast(rep AS {kind}) AS rep")
+        got = [r["_text"] for r in ngram_join._needed(texts, need).collect()]
+        assert len(got) == len(set(got)) <= len(wanted) + 3 * bool(wanted) and {f"a b c{d}" for d in wanted} <= set(got)
