@@ -166,8 +166,14 @@ def _ordered(text: np.ndarray, places: np.ndarray, depth: int | None, stop: np.n
         if not len(which):
             break
         fresh = _blocks(text, places[order[which]] + step, None if stop is None else stop[order[which]], size, bits, pad)
-        sub = np.lexsort((fresh, name[which]))
-        order[which], key[which] = order[which[sub]], fresh[sub]
+        # names whose blocks are all alike are in order already
+        own = name[which]
+        mixed = np.zeros(name[-1] + 1, bool)
+        mixed[own[1:][(own[1:] == own[:-1]) & (fresh[1:] != fresh[:-1])]] = True
+        at = np.flatnonzero(mixed[own])
+        sub = at[np.lexsort((fresh[at], own[at]))]
+        order[which[at]], fresh[at] = order[which[sub]], fresh[sub]
+        key[which] = fresh
         inner = which[~new[which]]  # ties so far: both of the pair are among these
         new[inner] = key[inner] != key[inner - 1]
         told(inner, step)

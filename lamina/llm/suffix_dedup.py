@@ -2,8 +2,8 @@
 
 Strings are dealt to shards by content: the windows of LENGTH bytes that share their minimizer (the smallest
 hash of GRAM bytes inside) go to the same shard, as substrings of consecutive windows. Minimizers that only one
-text has can't repeat and stay home. Each shard sorts the suffixes of its substrings by external induced sorting
-(induction.py), whose queues carry places and common prefixes and go to disk beyond a bound. Neighbours in the sorted
+text has can't repeat and stay home. Each shard leaves out the substrings whose bytes beside the minimizer no other document
+has, and sorts the suffixes of the others by external induced sorting (induction.py), whose queues carry places and common prefixes and go to disk beyond a bound. Neighbours in the sorted
 suffixes whose common prefix is LENGTH bytes or more form groups; the smallest document of a group cuts the
 string out of all the others.
 
@@ -32,6 +32,8 @@ from lamina.llm.common import as_bytes, columns, drop, materialize, mix, release
 LENGTH = 50
 #: Bytes hashed for a minimizer, and windows per substring at most.
 GRAM, RUN = 16, 64
+#: A window that holds a minimizer has so many bytes at least on one of its sides.
+SIDE = (LENGTH - GRAM) // 2
 SLICE = 1 << 20
 #: Bytes of input for each shard; about a third as many are sorted in it at once.
 SHARD_BYTES = 4 << 20
@@ -49,14 +51,17 @@ def _words8(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf),), "<u8", data.tobytes(), 0, (1,))
 
 
+def _gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the GRAM bytes from each of the first n places on."""
+    return mix(w[:n] * U(0x9E3779B97F4A7C15) + w[8 : 8 + n])
+
+
 def minimizers(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one minimizer: (hash, document, first window, windows); windows don't cross documents."""
     none = np.zeros(0, np.int64)
     if len(buf) < LENGTH:
         return none.astype(U), none, none, none
-    w = _words8(buf)
-    n = len(buf) - GRAM + 1
-    h = mix(w[:n] * U(0x9E3779B97F4A7C15) + w[8 : 8 + n])
+    h = _gram_hashes(_words8(buf), len(buf) - GRAM + 1)
     span, k = LENGTH - GRAM + 1, 1
     while 2 * k <= span:
         h = np.minimum(h[:-k], h[k:])
@@ -83,6 +88,44 @@ def minimizers(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # ---------------------------------------------------------------- one shard
 
 
+def recurring(strings: tuple[np.ndarray, np.ndarray], least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which strings can hold a window that a string of another document holds too.
+
+    Equal windows have their minimizers in one place, and SIDE more bytes on its left or on its right: so the strings of one such
+    sequence of bytes are told by its hash, and those with one document only (least and most are its ids) are out.
+    """
+    buf, size = strings
+    end = np.cumsum(size)
+    at = end - size
+    w = _words8(buf)
+    string = np.repeat(np.arange(len(size), dtype=np.int32), size)[: len(buf) - GRAM + 1]
+    h = _gram_hashes(w, len(string))
+    h[np.arange(len(h)) + GRAM > end[string]] = U(0xFFFFFFFFFFFFFFFF)
+    gram = np.flatnonzero(h == np.minimum.reduceat(h, at)[string])
+    gram = gram[gram + GRAM <= end[string[gram]]]
+    codes, holders = [], []
+    for salt, a in enumerate((gram - SIDE, gram)):
+        own = string[gram]
+        ok = (a >= at[own]) & (a + GRAM + SIDE <= end[own])
+        a = a[ok]
+        code = np.full(len(a), salt, U)
+        for k in (*range(0, GRAM + SIDE - 8, 8), GRAM + SIDE - 8):
+            code = mix(code * U(0x9E3779B97F4A7C15) + w[a + k])
+        codes.append(code)
+        holders.append(own[ok])
+    code, own = np.concatenate(codes), np.concatenate(holders)
+    order = np.argsort(code)
+    code, own = code[order], own[order]
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    first = np.flatnonzero(new)
+    out = np.zeros(len(size), bool)
+    if len(first):
+        several = np.minimum.reduceat(least[own], first) < np.maximum.reduceat(most[own], first)
+        out[own[several[np.cumsum(new) - 1]]] = True
+    return out
+
+
 def _whole_groups(pieces: Iterator[induction.Piece]) -> Iterator[induction.Piece]:
     """The same suffixes in pieces that never part suffixes with a common prefix of LENGTH."""
     held: list[induction.Piece] = []
@@ -113,14 +156,17 @@ def repeats(strings: tuple[np.ndarray, np.ndarray], least: np.ndarray, most: int
     inside = np.ones(len(text), bool)
     inside[at + size] = False
     text[inside] = buf.astype(np.uint16) + 1
-    del inside
+    # places that a window starts at
+    inside[:] = True
+    for k in range(LENGTH):
+        inside[(at + size - k)[size >= k]] = False
     for places, lcps in _whole_groups(induction.induced(text, LENGTH, most, base)):
-        own = np.searchsorted(at, places, "right") - 1
-        window = np.flatnonzero(places + LENGTH <= (at + size)[own])
+        window = np.flatnonzero(inside[places])
         if not len(window):
             continue
         # a shorter suffix has a common prefix below LENGTH with both neighbours, so leaving it out parts no group
-        own, places, lcps = own[window], places[window], lcps[window]
+        places, lcps = places[window], lcps[window]
+        own = np.searchsorted(at, places, "right") - 1
         first = np.flatnonzero(lcps < LENGTH)
         group = np.cumsum(lcps < LENGTH) - 1
         yield own, places - at[own], np.minimum.reduceat(least[own], first)[group]
@@ -295,6 +341,9 @@ def _cuts_of(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     start = np.cumsum(size) - size
     own = buf[np.repeat(at - start, size) + np.arange(int(size.sum()))]
     del buf
+    if len(size):
+        use = recurring((own, size), lows, highs)
+        own, code, size, lows, highs = own[np.repeat(use, size)], code[use], size[use], lows[use], highs[use]
     got = [(np.zeros(0, np.int64),) * 3]
     for which, off, least in repeats((own, size), lows):
         use = least < highs[which]

@@ -690,3 +690,30 @@ def test_only_needed_texts_move(spark, kind):
         need = spark.createDataFrame([(0, d) for d in wanted], "sid long, rep long").selectExpr("sid", f"cast(rep AS {kind}) AS rep")
         got = [r["_text"] for r in ngram_join._needed(texts, need).collect()]
         assert len(got) == len(set(got)) <= len(wanted) + 3 * bool(wanted) and {f"a b c{d}" for d in wanted} <= set(got)
+
+
+def test_recurring_strings():
+    """Strings with a window that another document has too all stay, periodic ones too; most that share their minimizer only go before the sort."""
+    from lamina.llm import suffix_dedup
+
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(24)]
+    docs = [" ".join(rng.choice(words, 40)).encode() for _ in range(120)]
+    for k in range(0, 40, 4):
+        at = int(rng.integers(0, 250))
+        docs[k + 1] = docs[k + 1][:30] + docs[k][at : at + int(rng.integers(49, 90))] + docs[k + 1][30:]
+    docs += [b"xyz" * 60, b"zx" + b"yzx" * 40, b"q" * 130, b"q" * 70, docs[7]]
+    buf, offs = as_bytes(pa.array(docs))
+    h, doc, at, n = suffix_dedup.minimizers(buf, offs)
+    size = n + suffix_dedup.LENGTH - 1
+    held = {}
+    for k in range(len(h)):
+        for a in range(int(at[k]), int(at[k] + n[k])):
+            held.setdefault(buf[a : a + suffix_dedup.LENGTH].tobytes(), set()).add(int(doc[k]))
+    want = np.array([any(len(held[buf[a : a + suffix_dedup.LENGTH].tobytes()]) > 1 for a in range(int(at[k]), int(at[k] + n[k]))) for k in range(len(h))])
+    strings = np.concatenate([buf[a : a + s] for a, s in zip(at, size)]), size
+    got = suffix_dedup.recurring(strings, doc, doc)
+    assert want.sum() > 40 and not (want & ~got).any()
+    _, number, of = np.unique(h, return_inverse=True, return_counts=True)
+    shared = np.array([len(set(doc[number == k].tolist())) > 1 for k in range(len(of))])[number]
+    assert got.sum() - want.sum() < (shared & ~want).sum() / 2
