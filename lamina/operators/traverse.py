@@ -451,42 +451,54 @@ def training_moves(deltas: Place, steps: int, seed: int | None = None) -> list[P
     return [m for _, _, m in sorted((sum(map(abs, m)), int(k), m) for m, k in zip(out, draw))]
 
 
-Offsets = Callable[[np.ndarray, np.ndarray, float], Iterator[tuple[Place, bool, bool]]]
+#: (offset, wanted, made) of moves from (seed, labels, threshold, edges of a prediction's patch).
+Offsets = Callable[[np.ndarray, np.ndarray, float, Place], Iterator[tuple[Place, bool, bool]]]
+
+
+def _fits(shape: tuple[int, ...], off: Place, size: Place = (1, 1, 1)) -> bool:
+    """Whether a patch around the centre, moved by an offset, lies inside."""
+    return all(n // 2 + o - s // 2 >= 0 and n // 2 + o - s // 2 + s <= n for n, o, s in zip(shape, off, size))
 
 
 def _judged(logits: np.ndarray, labels: np.ndarray, off: Place, threshold: float) -> tuple[bool, bool]:
-    """(the seed reaches the threshold there, the label does)."""
+    """(the seed reaches the threshold there, the label does); neither does outside."""
+    if not _fits(logits.shape, off):
+        return False, False
     at = lambda a: a[tuple(n // 2 + o for n, o in zip(a.shape, off))]
     return bool(at(logits) >= threshold), bool(at(labels) >= 1 / (1 + np.exp(-threshold)))
 
 
-def no_step(logits: np.ndarray, labels: np.ndarray, threshold: float) -> Iterator[tuple[Place, bool, bool]]:
-    yield (0, 0, 0), True, True
+def no_step(logits: np.ndarray, labels: np.ndarray, threshold: float, fov: Place = (1, 1, 1)) -> Iterator[tuple[Place, bool, bool]]:
+    yield (0, 0, 0), True, _fits(logits.shape, (0, 0, 0), fov)
 
 
 def fixed_steps(shifts: Iterable[Place]) -> Offsets:
-    """The centre and then given moves; each is made if the seed, as it then is, reaches the threshold."""
+    """The centre and then given moves; each is made if the seed, as it then is, reaches the threshold and the patch lies inside."""
 
-    def go(logits: np.ndarray, labels: np.ndarray, threshold: float) -> Iterator[tuple[Place, bool, bool]]:
+    def go(logits: np.ndarray, labels: np.ndarray, threshold: float, fov: Place = (1, 1, 1)) -> Iterator[tuple[Place, bool, bool]]:
         for off in [(0, 0, 0), *shifts]:
             valid, wanted = _judged(logits, labels, off, threshold)
-            yield off, wanted, valid
+            yield off, wanted, valid and _fits(logits.shape, off, fov)
 
     return go
 
 
 def steps_of_maxima(deltas: Place, crop: Place, most: Place) -> Offsets:
-    """Moves as inference makes them, first in, first out, no further than `most` from the centre; unwanted ones are not made."""
+    """Moves as inference makes them, first in, first out, no further than `most` from the centre; unwanted ones are not made.
+
+    Moves whose patch would leave the example are dropped as those beyond `most` are; the centre is told in any case, not made where it does not fit.
+    """
 
-    def go(logits: np.ndarray, labels: np.ndarray, threshold: float) -> Iterator[tuple[Place, bool, bool]]:
+    def go(logits: np.ndarray, labels: np.ndarray, threshold: float, fov: Place = (1, 1, 1)) -> Iterator[tuple[Place, bool, bool]]:
         todo, done = deque([(0, 0, 0)]), set()
+        fits = lambda off: _fits(logits.shape, off, fov) and _fits(logits.shape, off, crop)
         while todo:
             off = todo.popleft()
             cell = tuple(int((o + d / 2) // max(d, 1)) for o, d in zip(off, deltas))
-            if any(abs(o) > m for o, m in zip(off, most)) or cell in done:
+            if any(abs(o) > m for o, m in zip(off, most)) or cell in done or (any(off) and not fits(off)):
                 continue
             valid, wanted = _judged(logits, labels, off, threshold)
-            made = valid and (wanted or cell == (0, 0, 0))
+            made = valid and (wanted or cell == (0, 0, 0)) and fits(off)
             yield off, wanted, made
             if made:
                 done.add(cell)
@@ -500,7 +512,8 @@ def training_steps(examples: DataFrame, keys: list[str], offsets: Offsets, predi
     """Training examples of patches given as voxel rows (keys, z, y, x, value, target): one row per tried move, in order.
 
     (keys, step, dz, dy, dx, wanted, made, loss, deleted): made moves are predicted and written into the seed, so later moves see them;
-    `loss` is the mean logistic loss of the whole seed against the targets after the move.
+    `loss` is the mean logistic loss of the whole seed against the targets after the move. A move is made only where the whole patch lies in
+    the example, as in inference: an example thinner than the patch has the row of its centre, not made.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -510,7 +523,7 @@ def training_steps(examples: DataFrame, keys: list[str], offsets: Offsets, predi
         logits = np.full(image.shape, _logit(config.pad))
         logits[tuple(n // 2 for n in image.shape)] = _logit(config.init)
         out = []
-        for k, (off, wanted, made) in enumerate(offsets(logits, target, _logit(config.move))):
+        for k, (off, wanted, made) in enumerate(offsets(logits, target, _logit(config.move), config.fov)):
             gone = 0
             if made:
                 at = tuple(slice(n // 2 + o - f // 2, n // 2 + o - f // 2 + f) for n, o, f in zip(image.shape, off, config.fov))

@@ -209,6 +209,27 @@ def test_training_steps(spark):
     assert radii == sorted(radii) and shifts != traverse.training_moves((1, 1, 1), 1, seed=6)[1:]
 
 
+def test_training_steps_of_thin_examples(spark):
+    """Examples of 1 to 7 slices, as at the end of a volume: every one has rows, moves stay inside, and none is made where the patch does not fit."""
+    config = traverse.Config(fov=(3, 3, 3), move=0.7)
+    rng = np.random.default_rng(6)
+    parts = []
+    for n in range(1, 8):
+        a = np.abs(rng.normal(1, 0.2, (n, 9, 9)))
+        at = np.indices(a.shape).reshape(3, -1)
+        parts.append(pd.DataFrame({"k": n, "z": at[0], "y": at[1], "x": at[2], "value": a.ravel(), "target": 0.95}))
+    vox = spark.createDataFrame(pd.concat(parts), "k int, z int, y int, x int, value double, target double")
+    shifts = traverse.training_moves((1, 1, 1), 2)[1:]
+    for go in (traverse.steps_of_maxima((1, 1, 1), (3, 3, 3), (2, 2, 2)), traverse.fixed_steps(shifts), traverse.no_step):
+        rows = traverse.training_steps(vox, ["k"], go, traverse.threshold_predictor(0.0, 20.0), config).collect()
+        assert {r["k"] for r in rows} == set(range(1, 8))
+        made = {(r["k"], r["dz"]) for r in rows if r["made"]}
+        assert all(n // 2 + dz >= 1 and n // 2 + dz + 1 < n for n, dz in made) and {n for n, _ in made} == set(range(3, 8))
+        assert all(r["loss"] > 0 for r in rows)
+    rows = traverse.training_steps(vox.where("k = 1"), ["k"], traverse.steps_of_maxima((1, 1, 1), (3, 3, 3), (2, 2, 2)), traverse.threshold_predictor(0.0, 20.0), config).collect()
+    assert [(r["step"], r["dz"], r["dy"], r["dx"], r["wanted"], r["made"], r["deleted"]) for r in rows] == [(0, 0, 0, 0, True, False, 0)]
+
+
 def test_config():
     c = traverse.config_of('{"fov": [3, 5, 7], "move": 0.8}')
     assert c.fov == (3, 5, 7) and c.move == 0.8 and c.segment == traverse.Config().segment
