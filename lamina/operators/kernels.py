@@ -4,16 +4,45 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Distance, in places, up to which `envelope` tries all places.
+NEAR = 16
+
 
 def envelope(f: np.ndarray, label: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
     """For each place p of each line (the last axis): min over q of f[q] + (step * (p - q))^2, and the label there, of equals the smallest.
 
-    The lower envelope of the parabolas at all q is built from the left in a time that is linear in the line: a new parabola
-    ends those that it undercuts. All lines go on together.
+    Places up to NEAR apart are tried one distance after another, all lines at once; a line is done when no place further away could
+    change it. What is left goes to `_hull`. Lines without a finite value keep infinity and get label 0.
     """
     shape, n = f.shape, f.shape[-1]
     f, label = f.reshape(-1, n), label.reshape(-1, n)
-    rows = len(f)
+    best, out = np.full(f.shape, np.inf), np.zeros(f.shape, label.dtype)
+    todo = np.flatnonzero(np.isfinite(f).any(1))
+    if len(todo) and f[todo].min() >= 0:  # else a place far away may win although it is far
+        place = step * np.arange(n)
+        v, own = f[todo], label[todo]
+        near, of = v.copy(), own.copy()
+        for k in range(1, min(n, NEAR + 1)):
+            if place[k] ** 2 > near.max() * (1 + 1e-9):
+                break
+            far = (place[k:] - place[:-k]) ** 2
+            for to, come in ((slice(k, None), slice(None, -k)), (slice(None, -k), slice(k, None))):
+                got = v[:, come] + far
+                better = (got < near[:, to]) | ((got == near[:, to]) & (own[:, come] < of[:, to]))
+                near[:, to], of[:, to] = np.where(better, got, near[:, to]), np.where(better, own[:, come], of[:, to])
+        done = near.max(1) * (1 + 1e-9) < (step * (NEAR + 1)) ** 2 if n > NEAR + 1 else np.isfinite(near).all(1)
+        best[todo[done]], out[todo[done]] = near[done], of[done]
+        todo = todo[~done]
+    if len(todo):
+        best[todo], out[todo] = _hull(f[todo], label[todo], step)
+    return best.reshape(shape), out.reshape(shape)
+
+
+def _hull(f: np.ndarray, label: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for any lines (rows, n). The lower envelope of the parabolas at all q is built from the left in a time that is linear in
+    the line: a new parabola ends those that it undercuts. All lines go on together.
+    """
+    rows, n = f.shape
     place = step * np.arange(n)
     owner, begin, top = np.zeros((rows, n), np.int32), np.full((rows, n + 1), np.inf), np.full(rows, -1)
     for q in range(n):
@@ -47,7 +76,7 @@ def envelope(f: np.ndarray, label: np.ndarray, step: float) -> tuple[np.ndarray,
             better = (v < best[line, p]) | ((v == best[line, p]) & (own < out[line, p]))
             best[line[better], p], out[line[better], p] = v[better], own[better]
             k[more] += 1
-    return best.reshape(shape), out.reshape(shape)
+    return best, out
 
 
 def nearest(labels: np.ndarray, step: tuple[float, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,12 +1,14 @@
 """Greedy spacing of points: the strongest stays, those within a box around it go, and so on. Independent of how the points are dealt.
 
-Decided in rounds over the graph of conflicts: a point goes if one that stays is near it, stays if no stronger one near it is left
-undecided, and waits otherwise. Each block works through its points and a halo in order of strength, so a round settles all that does not
-wait for a neighbour block; the strongest undecided point of all is settled in every round, and rounds end when none waits.
+Found as a fixed point: each block works through its points in order of strength, given which points of its halo stay, and works again
+when one of those has changed. A point's state is right once those of the stronger points near it are, so what holds still is the greedy
+choice itself, whatever was assumed at first (a block at first works through its halo as if nothing lay beyond it). A wrong assumption
+reaches as far as it changes choices: rounds grow with that distance, not with the number of blocks in a row.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,27 +19,19 @@ from lamina.sources.volume import with_halo
 AXES = ("z", "y", "x")
 
 
-def _settle(rows: pd.DataFrame, reach: tuple[int, int, int]) -> list[int]:
-    """For each row, strongest first: 1 stays, -1 goes, 0 waits. stays: known from before; rows outside the core are never settled here."""
-    cell = [r + 1 for r in reach]
-    near = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    grid: dict[tuple, list] = {}
+def _settle(rows: pd.DataFrame, reach: tuple[int, int, int]) -> list[bool]:
+    """For each row, strongest first, whether it stays. Rows outside the core keep the state they have, if any."""
+    at = rows[list(AXES)].to_numpy(np.int64)
+    at = at - at.min(0)
+    gone = np.zeros(at.max(0) + 1, bool)
+    rz, ry, rx = reach
+    given = ~rows["is_core"] & rows["stays"].notna()
     out = []
-    for z, y, x, stays, core in zip(*(rows[c].tolist() for c in (*AXES, "stays", "is_core"))):
-        at = (z // cell[0], y // cell[1], x // cell[2])
-        state = 1
-        if not stays:
-            for dz, dy, dx in near:
-                for oz, oy, ox, s in grid.get((at[0] + dz, at[1] + dy, at[2] + dx), ()):
-                    if abs(oz - z) <= reach[0] and abs(oy - y) <= reach[1] and abs(ox - x) <= reach[2]:
-                        state = -1 if s > 0 else min(state, 0)
-                if state < 0:
-                    break
-            if state > 0 and not core:
-                state = 0
-        if state >= 0:
-            grid.setdefault(at, []).append((z, y, x, state))
-        out.append(state)
+    for (z, y, x), held, was in zip(at.tolist(), given.tolist(), rows["stays"].tolist()):
+        stays = was if held else not gone[z, y, x]
+        if stays:
+            gone[max(0, z - rz) : z + rz + 1, max(0, y - ry) : y + ry + 1, max(0, x - rx) : x + rx + 1] = True
+        out.append(stays)
     return out
 
 
@@ -45,24 +39,29 @@ def spaced(points: DataFrame, reach: tuple[int, int, int], keys: tuple[str, ...]
     """The points (keys, z, y, x, value) that greedy spacing keeps: the largest value first, ties in raster order; none within +-reach of one kept before. keys tell volumes apart."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["value", *AXES], ascending=[False, True, True, True], kind="stable")
-        state = _settle(rows, reach)
-        rows["stays"] = [s > 0 for s in state]
-        return rows[[*keys, *AXES, "value", "stays"]][[s >= 0 and c for s, c in zip(state, rows["is_core"])]]
+        # of rows that are equal, the one that stayed comes first again
+        rows = rows.sort_values(["value", *AXES, "stays"], ascending=[False, True, True, True, False], kind="stable")
+        stays = np.array(_settle(rows, reach), bool)
+        rows["changed"] = rows["stays"].isna() | (rows["stays"].eq(True) != stays)
+        rows["stays"] = stays
+        return rows.loc[rows["is_core"], [*keys, *AXES, "value", "stays", "changed"]]
 
-    schema = ", ".join([*(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys), "z int, y int, x int, value double, stays boolean"])
-    state = points.select(*keys, *[F.col(a).cast("int").alias(a) for a in AXES], F.col("value").cast("double").alias("value"), F.lit(False).alias("stays"))
-    settled = None
+    schema = ", ".join([*(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys), "z int, y int, x int, value double, stays boolean, changed boolean"])
+    cell = [*keys, "bz", "by", "bx"]
+    own = {f"b{a}": F.floor(F.col(a) / b).cast("int") for a, b in zip(AXES, block)}
+    settled = lambda dealt: dealt.groupBy(*cell).applyInPandas(run, schema)
+    first = points.select(*keys, *[F.col(a).cast("int").alias(a) for a in AXES], F.col("value").cast("double").alias("value"), F.lit(None).cast("boolean").alias("stays"))
+    state, again = kept(settled(with_halo(first, block, reach)), "spaced").drop("changed"), None
     while True:
-        new = kept(with_halo(state, block, reach).groupBy(*keys, "bz", "by", "bx").applyInPandas(run, schema), "spaced")
-        waits = new.where("NOT stays")
-        if waits.isEmpty():
-            return (new if settled is None else settled.unionByName(new)).where("stays").select(*keys, *AXES, "value").distinct()
-        # points that stay matter again only where one still waits near them
-        settled = new.where("stays") if settled is None else settled.unionByName(new.where("stays"))
-        cells = waits
-        for a, b, r in zip(AXES, block, reach):
-            cells = cells.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(a) - r) / b), F.floor((F.col(a) + r) / b))))
-        cells = cells.select(*keys, *[f"c{a}" for a in AXES]).distinct()
-        own = settled.withColumns({f"c{a}": F.floor(F.col(a) / b) for a, b in zip(AXES, block)})
-        state = waits.unionByName(own.join(cells, [*keys, *[f"c{a}" for a in AXES]], "left_semi").drop(*[f"c{a}" for a in AXES]))
+        dealt = with_halo(state, block, reach)
+        if again is None:
+            new = settled(dealt)
+        else:
+            rest = state.withColumns(own).join(again, cell, "left_anti").drop("bz", "by", "bx").withColumn("changed", F.lit(False))
+            new = settled(dealt.join(again, cell, "left_semi")).unionByName(rest)
+        new = kept(new, "spaced")
+        # the blocks that see a changed point of another one
+        again = with_halo(new.where("changed"), block, reach).where("NOT is_core").select(cell).distinct()
+        if again.isEmpty():
+            return new.where("stays").select(*keys, *AXES, "value")
+        state = new.drop("changed")

@@ -90,6 +90,33 @@ def test_spaced(spark, block, values):
     assert spacing.spaced(df.limit(0), (1, 1, 1)).count() == 0
 
 
+def test_spaced_ties_along_many_blocks(spark, monkeypatch):
+    """Points of one strength in a row of 20 blocks: rounds don't grow with the blocks, and the choice is that of the whole volume."""
+    rng = np.random.default_rng(9)
+    there = rng.random((160, 6, 6)) < 0.2
+    rows = frame(spark, there, value=np.ones(there.shape), there=there).where("there").drop("there")
+    written, kept = [], spacing.kept
+    monkeypatch.setattr(spacing, "kept", lambda df, name: written.append(name) or kept(df, name))
+    got = {(r["z"], r["y"], r["x"]) for r in spacing.spaced(rows, (2, 2, 2), (), (8, 8, 8)).collect()}
+    want = set(map(tuple, kernels.peaks(there.astype(float), 2, 0.5).tolist()))
+    assert got == want and len(written) < 12
+
+
+def test_envelope_far_and_near():
+    """Lines with and without values near each place, long ones, and values below 0: as over all places."""
+    rng = np.random.default_rng(2)
+    for k in range(40):
+        n, step = int(rng.integers(1, 90)), (1.0, 2.0, 0.5)[k % 3]
+        f, own = rng.integers(-3 if k % 5 == 0 else 0, 60, (4, n)).astype(float), rng.integers(1, 4, (4, n))
+        f[rng.random((4, n)) < (0.1, 0.9, 0.99, 1)[k % 4]] = np.inf
+        place = step * np.arange(n)
+        v = f[:, None, :] + (place[:, None] - place[None, :]) ** 2
+        least = v.min(-1)
+        label = np.where(np.isinf(least), 0, np.where(v == least[..., None], own[:, None, :], 9).min(-1))
+        best, near = kernels.envelope(f, own, step)
+        assert (best == least).all() and (near == label).all()
+
+
 def plain_edges(value, off, sigma):
     edge = kernels.sobel(value)
     edge = edge > kernels.gaussian(edge, sigma)
