@@ -118,6 +118,31 @@ def overlaps(a: DataFrame, b: DataFrame, cell: int = 32) -> DataFrame:
     return l.join(r, on).where(once).select(*cols, *[low[k].alias(f"s{k}") for k in AXES], *[high[k].alias(f"e{k}") for k in AXES])
 
 
+def overlapping_pairs(boxes: DataFrame, cell: int = 32) -> DataFrame:
+    """Each two of the boxes (different box_id) that have a common part once, the smaller id first, and that part.
+
+    A pair meets where the common part begins. On the z axis that is the start of one of the two, which lies in one cell then; only the
+    other is dealt to all of its cells there. Cells are as long as the boxes are on average, and no longer than `cell`.
+    """
+    full = boxes.where(" AND ".join(f"s{k} < e{k}" for k in AXES)).select("box_id", *[f"{e}{k}" for e in "se" for k in AXES])
+    mean = full.agg(*[F.avg(F.col(f"e{k}") - F.col(f"s{k}")) for k in AXES]).first()
+    size = {k: max(1, min(cell, round(m or 1))) for k, m in zip(AXES, mean)}
+    place = lambda c, k: F.floor(c / size[k])
+    over = lambda df, axes: reduce(lambda d, k: d.withColumn(f"_c{k}", F.explode(F.sequence(place(F.col(f"s{k}"), k), place(F.col(f"e{k}") - 1, k)))), axes, df)
+    late, early = over(full.withColumn("_cz", place(F.col("sz"), "z")), AXES[1:]), over(full, AXES)
+    # few bytes of boxes make many pairs: sizes on disk say neither how many tasks that takes nor whether a side can be broadcast
+    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    late, early = (d.repartition(n, *[f"_c{k}" for k in AXES]).alias(a) for d, a in ((late, "l"), (early, "r")))
+    low = {k: F.greatest(f"l.s{k}", f"r.s{k}") for k in AXES}
+    high = {k: F.least(f"l.e{k}", f"r.e{k}") for k in AXES}
+    on = [F.col(f"l._c{k}") == F.col(f"r._c{k}") for k in AXES]
+    # of two that begin in the same slice, the one with the smaller id counts as the earlier
+    on += [F.expr("r.sz <= l.sz AND (r.sz < l.sz OR r.box_id < l.box_id) AND r.box_id <> l.box_id"), *[low[k] < high[k] for k in AXES]]
+    on += [place(low[k], k) == F.col(f"l._c{k}") for k in AXES[1:]]
+    ids = [F.least("l.box_id", "r.box_id").alias("box_a"), F.greatest("l.box_id", "r.box_id").alias("box_b")]
+    return late.join(early.hint("merge"), reduce(lambda p, q: p & q, on)).select(*ids, *[low[k].alias(f"s{k}") for k in AXES], *[high[k].alias(f"e{k}") for k in AXES])
+
+
 def hull(boxes: DataFrame, *keys: str) -> DataFrame:
     aggs = [F.min(f"s{k}").alias(f"s{k}") for k in AXES] + [F.max(f"e{k}").alias(f"e{k}") for k in AXES]
     return boxes.groupBy(*keys).agg(*aggs)

@@ -17,8 +17,7 @@ N_SLICES = "(SELECT count(*) // 16 FROM embeddings)"
 FROM boxes l JOIN boxes r ON greatest(l.sz, r.sz) < least(l.ez, r.ez) AND greatest(l.sy, r.sy) < least(l.ey, r.ey) AND greatest(l.sx, r.sx) < least(l.ex, r.ex) WHERE l.box_id < r.box_id""")
 def box_intersections(spark: S, d: str) -> DataFrame:
     """Common parts of all pairs of boxes."""
-    b = boxes(spark, d)
-    return masks.overlaps(b, b, cell=16).where("box_a < box_b")
+    return masks.overlapping_pairs(boxes(spark, d), cell=16)
 
 
 @query(f"WITH {BOXES} SELECT box_id % 10 AS g, min(sz) AS sz, min(sy) AS sy, min(sx) AS sx, max(ez) AS ez, max(ey) AS ey, max(ex) AS ex FROM boxes GROUP BY 1")
