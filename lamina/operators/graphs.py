@@ -57,21 +57,30 @@ def _write(rows: DataFrame, path: str, name: str, number: int) -> None:
 
 
 def _joined(parts: DataFrame, added: DataFrame) -> DataFrame:
-    """Components after edges were added: joined through a graph whose nodes are components, or nodes that are new."""
-    ends = [parts.select(F.col("node").alias(e), F.col("component").alias(f"c_{e}")) for e in ("src", "dst")]
-    links = added.join(ends[0], "src", "left").join(ends[1], "dst", "left").select(F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst"))
+    """Changed and new rows of components after edges were added: joined through a graph whose nodes are components, or nodes that are new."""
+    ends = kept(_ends(added).join(parts, "node", "left"), "ends")
+    side = {e: ends.select(F.col("node").alias(e), F.coalesce("component", "node").alias(f"c_{e}")) for e in ("src", "dst")}
+    links = added.join(side["src"], "src").join(side["dst"], "dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))
     joined = labels.components(_plain(links)).select(F.col("node").alias("component"), F.col("component").alias("_to"))
-    known = parts.unionByName(_ends(added).join(parts, "node", "left_anti").withColumn("component", F.col("node")))
-    return known.join(joined, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    moved = parts.join(joined.where("component <> _to"), "component").select("node", F.col("_to").alias("component"))
+    new = ends.where("component IS NULL").select("node", F.col("node").alias("component"))
+    return moved.unionByName(new.join(joined, "component", "left").select("node", F.coalesce("_to", "component").alias("component")))
 
 
 def _parted(parts: DataFrame, edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """Components after edges went: those that lost one are found anew, from the edges of their own nodes."""
+    """Changed rows of components after edges went: those that lost one are found anew, from the edges of their own nodes."""
     hit = parts.join(_ends(gone), "node", "left_semi").select("component").distinct()
-    touched = kept(parts.join(hit, "component", "left_semi").select("node"), "touched")
-    left = edges.join(gone, ["src", "dst"], "left_anti").join(touched.withColumnRenamed("node", "src"), "src", "left_semi")
-    anew = touched.join(labels.components(left), "node", "left").select("node", F.coalesce("component", "node").alias("_new"))
-    return parts.join(anew, "node", "left").select("node", F.coalesce("_new", "component").alias("component"))
+    touched = kept(parts.join(hit, "component", "left_semi").select("node", "component"), "touched")
+    left = edges.join(gone, ["src", "dst"], "left_anti").join(touched.select(F.col("node").alias("src")), "src", "left_semi")
+    anew = touched.join(labels.components(left).withColumnRenamed("component", "_new"), "node", "left").withColumn("_new", F.coalesce("_new", "node"))
+    return anew.where("_new <> component").select("node", F.col("_new").alias("component"))
+
+
+def _leaving(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with one end in the set."""
+    n = nodes.select(F.col("node").cast("long").alias("node")).where("node IS NOT NULL").distinct()
+    e = edges.join(n.select(F.col("node").alias("src"), F.lit(True).alias("_s")), "src", "left").join(n.select(F.col("node").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
+    return e.where("isnull(_s) <> isnull(_d)").select("src", "dst")
 
 
 def commit(spark: SparkSession, path: str, merge: DataFrame | None = None, isolate: DataFrame | None = None, cut: DataFrame | None = None) -> int:
@@ -82,22 +91,30 @@ def commit(spark: SparkSession, path: str, merge: DataFrame | None = None, isola
     """
     now = version(spark, path)
     held, parts = kept(edges_at(spark, path, now), "held"), kept(parts_at(spark, path, now), "parts")
-    added, gone = held.limit(0), held.limit(0)
-    after = parts
+    empty = spark.createDataFrame([], "src long, dst long")
+    added = gone = empty
+    changed = spark.createDataFrame([], PART)
+    edges = held
     if merge is not None:
         added = kept(_plain(merge).join(held, ["src", "dst"], "left_anti"), "added")
-        after = kept(_joined(parts, added), "after")
-    edges = held.unionByName(added)
-    if isolate is not None:
-        gone = edges.join(labels.isolate(edges, isolate), ["src", "dst"], "left_anti")
-    if cut is not None:
-        gone = gone.unionByName(edges.join(_plain(cut), ["src", "dst"], "left_semi")).distinct()
-    now_parts = after
+        # where there is no version yet, no node has a component
+        changed = kept(_joined(parts, added), "joined") if now >= 0 else labels.components(added)
+        edges = held.unionByName(added)
     if isolate is not None or cut is not None:
+        gone = _leaving(edges, isolate) if isolate is not None else empty
+        if cut is not None:
+            gone = gone.unionByName(edges.join(_plain(cut), ["src", "dst"], "left_semi")).distinct()
         gone = kept(gone, "gone")
-        now_parts = _parted(after, edges, gone)
-    changed = now_parts.join(parts.withColumnRenamed("component", "_was"), "node", "left").where("_was IS NULL OR component <> _was").select("node", "component")
-    state = added.join(gone, ["src", "dst"], "left_anti").withColumn("alive", F.lit(True)).unionByName(gone.join(held, ["src", "dst"], "left_semi").withColumn("alive", F.lit(False)))
+        if merge is None:
+            changed = _parted(parts, edges, gone)
+        else:
+            after = kept(parts.join(changed, "node", "left_anti").unionByName(changed), "after")
+            again = kept(_parted(after, edges, gone), "parted")
+            both = changed.join(again, "node", "left_anti").unionByName(again)
+            # what came back to its old component has not changed
+            changed = both.join(parts.withColumnRenamed("component", "_was"), "node", "left").where("_was IS NULL OR component <> _was").select("node", "component")
+    lost = gone if merge is None else gone.join(held, ["src", "dst"], "left_semi")
+    state = added.join(gone, ["src", "dst"], "left_anti").withColumn("alive", F.lit(True)).unionByName(lost.withColumn("alive", F.lit(False)))
     _write(state, path, "edges", now + 1)
     _write(changed, path, "parts", now + 1)
     system, inner = store.opened(path)

@@ -193,6 +193,21 @@ def components(labels: np.ndarray, connectivity: int = 1) -> np.ndarray:
     return number[part]
 
 
+def smallest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each is joined to) of edges: roots are hung below smaller ones that they meet, then paths are shortened."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        on = low < high
+        if not on.any():
+            return nodes, nodes[root]
+        a, b = a[on], b[on]
+        np.minimum.at(root, high[on], low[on])
+        while ((up := root[root]) != root).any():
+            root = up
+
+
 def clahe(a: np.ndarray, tiles: int = 8, limit: float = 0.01, bins: int = 256) -> np.ndarray:
     """Contrast-limited equalisation of a slice: clipped histograms of tiles, blended bilinearly."""
     low, high = float(a.min()), float(a.max())

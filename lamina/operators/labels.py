@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from lamina.operators.shared import kept, number
 from lamina.sources.volume import with_halo
 
 AXES = ("z", "y", "x")
+#: Edges that one task joins at once, whatever the size of the graph.
+ONE_TASK = 1 << 20
 
 
 def relabel(vox: DataFrame, table: DataFrame, on: list[str] | None = None, label: str = "label") -> DataFrame:
@@ -32,8 +35,52 @@ def contiguous(vox: DataFrame, label: str = "label") -> DataFrame:
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component): smallest node reachable. Labels of neighbours and pointer jumps until nothing changes."""
-    both = kept(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).union(edges.select(F.col(dst).alias("u"), F.col(src).alias("v"))).distinct(), "edges")
+    """(node, component): smallest node reachable.
+
+    Edges near each other in the order of their ends are joined within a task, which leaves a graph of the smallest nodes found there;
+    what nodes seen by several tasks link is solved in one task if it has few edges, else in rounds.
+    """
+    both = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node")))
+    kind = both.schema["node"].dataType
+    e = kept(edges.select(F.col(src).cast(kind).alias("u"), F.col(dst).cast(kind).alias("v")).where("u IS NOT NULL AND v IS NOT NULL"), "edges")
+    if e.count() <= ONE_TASK:
+        return kept(_stars(e.coalesce(1)), "labels").withColumnRenamed("root", "component")
+    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stars = kept(_stars(e.repartitionByRange(n, "u", "v").sortWithinPartitions("u", "v")), "stars")
+    least = kept(stars.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("_other")), "least")
+    several = least.where("root <> _other").select("node", F.col("root").alias("v"))
+    links = kept(stars.join(several, "node").where("root <> v").select(F.col("root").alias("u"), "v").distinct(), "links")
+    names = _stars(links.coalesce(1)).withColumnRenamed("root", "component") if links.count() <= ONE_TASK else _rounds(links)
+    named = least.join(names.withColumnRenamed("node", "root"), "root", "left")
+    return kept(named.select("node", F.coalesce("component", "root").alias("component")), "labels")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(node, root) for the ends of edges (u, v): the smallest node that edges of the same task, at most ONE_TASK at a time, lead to."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ONE_TASK:
+                yield solved(held)
+                held, n = [], 0
+        if n:
+            yield solved(held)
+
+    def solved(held: list) -> pa.RecordBatch:
+        u, v = (pa.chunked_array([b[c] for b in held]) for c in ("u", "v"))
+        node, root = kernels.smallest(u.to_numpy(), v.to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(node, u.type), pa.array(root, u.type)], ["node", "root"])
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (u, v). Labels of neighbours and pointer jumps until nothing changes."""
+    both = kept(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
     labels = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))

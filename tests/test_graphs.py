@@ -45,6 +45,26 @@ def test_any_series_of_edits_equals_a_rebuild(spark, tmp_path):
         assert {tuple(r) for r in graphs.parts_at(spark, path, k).collect()} == set(parts.items())
 
 
+def test_components_in_one_task_and_over_tasks(spark, monkeypatch):
+    """Random graphs and long paths, solved in one task, over tasks and in rounds: the smallest node that each reaches, without a table for every round."""
+    rng = random.Random(5)
+    written, kept = [], labels.kept
+    monkeypatch.setattr(labels, "kept", lambda df, name: written.append(name) or kept(df, name))
+    path = [(k, k + 1) for k in rng.sample(range(400), 390)]
+    some = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(7, 7)]
+    for rows in (path, some, []):
+        nodes = {n for e in rows for n in e}
+        for most in (1 << 20, 60, 1):
+            monkeypatch.setattr(labels, "ONE_TASK", most, raising=False)
+            del written[:]
+            got = labels.components(edges_of(spark, rows))
+            if most > 1:
+                assert len(written) < 6
+            assert {tuple(r) for r in got.collect()} == set(rebuilt(nodes, rows).items())
+    null = spark.createDataFrame([(1, None), (None, 2), (4, 3)], "src int, dst long")
+    assert sorted(map(tuple, labels.components(null).collect())) == [(3, 3), (4, 3)]
+
+
 def test_a_cut_writes_only_what_it_touches_and_a_dead_version_is_written_again(spark, tmp_path):
     path = f"file://{tmp_path}/g"
     assert graphs.version(spark, path) == -1
